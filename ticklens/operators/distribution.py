@@ -21,16 +21,6 @@ def _range_scalars(df: DataFrame, col: str = "price") -> tuple[Column, Column]:
     return stats.select("lo").scalar(), stats.select("hi").scalar()
 
 
-def _binned_counts(rows: DataFrame, value: Column, lo: Column, width: Column, n: int,
-                   start, end, closed_last: bool, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Aggregate per bin number; rows matching no bin are dropped."""
-    with_params = rows.select(value.alias("_v"), lo.alias("_lo"), width.alias("_w"),
-                              *[c.alias(k) for k, c in (extra or {}).items()])
-    ks = matching_bins(F.col("_v"), F.col("_lo"), F.col("_w"), n, start, end, closed_last)
-    exploded = with_params.select(F.explode(ks).alias("bin_number"), *(extra or {}).keys())
-    return exploded
-
-
 def volume_distribution(trades: DataFrame, bins: int = 10, timeframe=None, as_of=None) -> DataFrame:
     """N equal price bins over the timeframe's [min, max]: bin_start,
     bin_end, volume (SUM(size), 0 when empty) and trade_count.  Bins are
@@ -109,7 +99,9 @@ def price_histogram(trades: DataFrame, bins: int = 10, timeframe=None, as_of=Non
     lo, hi, total = (stats.select(c).scalar() for c in ("lo", "hi", "n"))
     n = bins
     width = (hi - lo) / F.lit(float(n))
-    k = F.least(F.floor(F.try_divide(F.col("price") - lo, width)), F.lit(n - 1))
+    raw_k = F.floor(F.try_divide(F.col("price") - lo, width))
+    # least() skips NULLs: keep "no bin" (zero range, NULL price) as NULL
+    k = F.when(raw_k.isNotNull(), F.least(raw_k, F.lit(n - 1)))
     per_bin = (t.select(k.alias("bin_number")).filter(F.col("bin_number").isNotNull())
                .groupBy("bin_number").agg(F.count(F.lit(1)).alias("_cnt")))
     grid = (bin_grid(trades.sparkSession, n)
