@@ -16,9 +16,15 @@ from ..functions.timeframe import timeframe_filter
 from .windows import price_changes
 
 
+def _scalars(df: DataFrame, **aggs: Column) -> tuple[Column, ...]:
+    """One-row aggregate as ONE scalar subquery (a struct); its fields are
+    returned as columns.  Spark runs the subquery once and reuses it."""
+    row = df.agg(F.struct(*[c.alias(k) for k, c in aggs.items()]).alias("s")).scalar()
+    return tuple(row.getField(k) for k in aggs)
+
+
 def _range_scalars(df: DataFrame, col: str = "price") -> tuple[Column, Column]:
-    stats = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    return stats.select("lo").scalar(), stats.select("hi").scalar()
+    return _scalars(df, lo=F.min(col), hi=F.max(col))
 
 
 def volume_distribution(trades: DataFrame, bins: int = 10, timeframe=None, as_of=None) -> DataFrame:
@@ -95,8 +101,7 @@ def price_histogram(trades: DataFrame, bins: int = 10, timeframe=None, as_of=Non
     """Clamped bins k = min(floor((p-min)/w), n-1): bin_start, bin_end,
     bin_center, count, percentage of all rows.  No rows when the input is empty."""
     t = timeframe_filter(trades, timeframe, as_of)
-    stats = t.agg(F.min("price").alias("lo"), F.max("price").alias("hi"), F.count(F.lit(1)).alias("n"))
-    lo, hi, total = (stats.select(c).scalar() for c in ("lo", "hi", "n"))
+    lo, hi, total = _scalars(t, lo=F.min("price"), hi=F.max("price"), n=F.count(F.lit(1)))
     n = bins
     width = (hi - lo) / F.lit(float(n))
     raw_k = F.floor(F.try_divide(F.col("price") - lo, width))
@@ -156,8 +161,7 @@ def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int =
     first_key = t.agg(F.min(F.struct("timestamp", "id")).alias("k")).select("k").scalar()
     changes = t.filter(F.struct("timestamp", "id") > first_key)
     us = epoch_micros_ntz("timestamp").cast("double")
-    tstats = changes.agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
-    tlo, thi = tstats.select("lo").scalar(), tstats.select("hi").scalar()
+    tlo, thi = _scalars(changes, lo=F.min(us), hi=F.max(us))
     plo, phi = _range_scalars(t)
     tw = (thi - tlo) / F.lit(float(time_bins))
     pw = (phi - plo) / F.lit(float(price_bins))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import extract_bigint, frac_change, pct_change, volatility_level
 from ..functions.timeframe import timeframe_filter
-from ..plans.ordered import INDEX_COL, exact_quantile_columns, global_index, ordered_window
+from ..plans.ordered import INDEX_COL, exact_quantile_columns, global_index, materialize, ordered_window
 from .filters import pair_filter
 from .windows import TRADE_ORDER, price_changes
 
@@ -67,7 +67,7 @@ def value_at_risk(trades: DataFrame, confidence: float = 0.95, timeframe=None, a
     name = f"var_{round(confidence * 100)}"
     q = (1 - confidence) * 100 / 100
     ch = price_changes(trades, timeframe, as_of, **tuning).filter(F.col("pct_change").isNotNull())
-    vals = ch.select("pct_change", "id")
+    vals = materialize(ch.select("pct_change", "id"))
     indexed, n = global_index(vals, ["pct_change", "id"])
     qcols = exact_quantile_columns(indexed, "pct_change", n, {name: q})
     return indexed.agg(qcols[name].alias(name), F.stddev_samp("pct_change").alias("volatility"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import pct_change as _pct
 from ..functions.timeframe import timeframe_filter
-from ..plans.ordered import INDEX_COL, ordered_window
+from ..plans.ordered import INDEX_COL, materialize, ordered_window
 from .filters import pair_filter
 
 TRADE_ORDER = ["timestamp", "id"]
@@ -45,7 +45,9 @@ def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_o
                        **tuning) -> DataFrame:
     """STDDEV and AVG(ABS) of pct_change over the last `window` changes
     (ROWS window-1 PRECEDING); rows without a rolling value are dropped."""
-    ch = price_changes(trades, timeframe, as_of, **tuning).filter(F.col("prev_price").isNotNull())
+    ch = materialize(price_changes(trades, timeframe, as_of, **tuning)
+                     .filter(F.col("prev_price").isNotNull())
+                     .select("timestamp", "id", "price", "pct_change"))
     frame = lambda w: w.rowsBetween(-(window - 1), 0)
     out = ordered_window(ch, TRADE_ORDER, lambda w: {
         "rolling_volatility": F.stddev_samp("pct_change").over(frame(w)),

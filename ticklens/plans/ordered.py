@@ -42,7 +42,7 @@ HASH_COL = "_h"
 # Tuning defaults (rows, not bytes: rows here are narrow trade records).
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 100_000
-OVERSAMPLE = 16
+OVERSAMPLE = 8
 MAX_BLOCK_ROWS = 4_000_000
 SAMPLE_SEED = 20240101
 
@@ -110,20 +110,21 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
         key_cols.append((f"_k{j}", expr, kind))
 
     if nb > 1:
-        # Bounded sample of the keys -> nb - 1 split points (evenly spaced ranks).
+        # Bounded sample of the keys (expected OVERSAMPLE * nb rows, at most a
+        # few MB) -> nb - 1 split points at evenly spaced ranks.
         fraction = min(1.0, OVERSAMPLE * nb / max(n, 1))
         sample = keyed.select(*[e.alias(a) for a, e, _ in key_cols])
         if fraction < 1.0:
             sample = sample.sample(withReplacement=False, fraction=fraction, seed=SAMPLE_SEED)
-        names = [a for a, _, _ in key_cols]
-        m = sample.count()
-        step = max(1, m // nb)
-        picked = (sample.withColumn("_r", F.row_number().over(Window.orderBy(*names)))
-                  .filter((F.col("_r") % step == 0) & (F.col("_r") < step * nb))
-                  .orderBy("_r").select(*names).collect())
         dtype = np.dtype([(a, kind) for a, _, kind in key_cols])
-        bounds = np.array([tuple(r) for r in picked], dtype=dtype)
-        bounds.sort(order=list(dtype.names))
+        pdf = sample.toPandas()
+        keys = np.empty(len(pdf), dtype=dtype)
+        for a in dtype.names:
+            keys[a] = pdf[a].to_numpy(dtype=dtype[a])
+        keys.sort(order=list(dtype.names))
+        m = len(keys)
+        picks = [round(j * m / nb) for j in range(1, nb)] if m else []
+        bounds = np.unique(keys[[p for p in picks if p < m]]) if picks else keys[:0]
         if len(bounds):
             keys_struct = F.struct(*[e.alias(a) for a, e, _ in key_cols])
             keyed = keyed.withColumn(BUCKET_COL, _bucket_udf(bounds)(keys_struct))
@@ -148,6 +149,16 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
     return indexed, n
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage before a second ordered pass: the intermediate is written
+    once to the session's checkpoint folder (shared storage on a cluster) and
+    the following count / sample / window jobs read it instead of recomputing
+    the first pass's shuffles.  Reliable: survives executor loss."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def block_rows_for(n: int, halo: int, parts: int) -> int:
     target = max(1, math.ceil(n / max(parts, 1)))
     return max(halo + 1, min(MAX_BLOCK_ROWS, target))
