@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import bin_grid, matching_bins
 from ..functions.exprs import epoch_micros_ntz, ntz_from_micros
 from ..functions.timeframe import timeframe_filter
+from ..plans.ordered import materialize
 from .windows import price_changes
 
 
@@ -209,7 +210,8 @@ def change_intensity(trades: DataFrame, timeframe=None, as_of=None, min_rows: in
     direction ('negative' / 'positive'); empty unless there are more than
     `min_rows` rows."""
     t = timeframe_filter(trades, timeframe, as_of)
-    ch = price_changes(t, keep_first=False)
+    # the change series feeds both max|chg| and the rows: write it once
+    ch = materialize(price_changes(t, keep_first=False).select("timestamp", "id", "pct_change"))
     total = t.agg(F.count(F.lit(1))).scalar()
     max_abs = ch.agg(F.max(F.abs("pct_change"))).scalar()
     return (ch.filter(total > F.lit(min_rows))
