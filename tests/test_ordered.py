@@ -82,3 +82,15 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], TRADES)
     got = ordered_window(df, ["timestamp", "id"], lambda w: {"prev": F.lag("price").over(w)}, halo=1)
     assert got.count() == 0
+
+
+def test_numpy_bucket_search_path(spark, monkeypatch):
+    """Large bound sets use the Arrow-batched numpy search; same result."""
+    import ticklens.plans.ordered as O
+    monkeypatch.setattr(O, "JVM_SEARCH_MAX_BOUNDS", 0)
+    df = _skewed(spark)
+    idx, n = O.global_index(df, ["timestamp", "id"], rows_per_bucket=100)
+    exp = df.select("id", (F.row_number().over(Window.orderBy("timestamp", "id")) - 1).alias("e"))
+    assert idx.join(exp, "id").filter(F.col(INDEX_COL) != F.col("e")).count() == 0
+    plan = idx._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan

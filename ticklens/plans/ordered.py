@@ -79,6 +79,29 @@ def _bucket_udf(bounds: np.ndarray):
     return bucket_of
 
 
+# Up to this many split points the bucket lookup is a JVM expression (a
+# balanced CASE tree, log2(n) struct comparisons per row, inside codegen);
+# beyond it the Arrow-batched numpy search above is used.
+JVM_SEARCH_MAX_BOUNDS = 255
+
+
+def _bucket_expr(bounds: np.ndarray, keys: Column) -> Column:
+    """bucket = number of split points <= key, as nested CASE WHENs."""
+    names = bounds.dtype.names
+
+    def lit_struct(row) -> Column:
+        return F.struct(*[F.lit(row[n].item()).alias(n) for n in names])
+
+    def build(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]; bounds[lo:hi] still undecided
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(keys < lit_struct(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+
+    return build(0, len(bounds))
+
+
 def _order_columns(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_by]
 
@@ -127,7 +150,9 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
         bounds = np.unique(keys[[p for p in picks if p < m]]) if picks else keys[:0]
         if len(bounds):
             keys_struct = F.struct(*[e.alias(a) for a, e, _ in key_cols])
-            keyed = keyed.withColumn(BUCKET_COL, _bucket_udf(bounds)(keys_struct))
+            lookup = (_bucket_expr(bounds, keys_struct) if len(bounds) <= JVM_SEARCH_MAX_BOUNDS
+                      else _bucket_udf(bounds)(keys_struct))
+            keyed = keyed.withColumn(BUCKET_COL, lookup)
         else:
             keyed = keyed.withColumn(BUCKET_COL, F.lit(0))
     else:
