@@ -40,15 +40,23 @@ def trunc_ntz(unit: str, ts) -> Column:
 
 
 def epoch_micros_ntz(ts) -> Column:
-    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (no time zone involved)."""
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, from its calendar
+    fields only, so the session time zone (and its DST gaps) never applies."""
     c = col_(ts)
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    day = F.unix_date(c.cast("date")).cast("long")
+    sec = F.extract(F.lit("SECOND"), c)                       # decimal(8,6), exact
+    tod = (F.hour(c).cast("long") * 3600 + F.minute(c).cast("long") * 60) * 1_000_000 \
+        + (sec * 1_000_000).cast("long")
+    return day * 86_400_000_000 + tod
 
 
 def ntz_from_micros(micros) -> Column:
     """TIMESTAMP_NTZ from a (whole) microsecond count since the epoch."""
-    return F.timestamp_add("MICROSECOND", col_(micros).cast("long"),
-                           F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    m = col_(micros).cast("long")
+    day = F.floor(m / 86_400_000_000).cast("long")
+    rest = m - day * 86_400_000_000
+    midnight = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("timestamp_ntz")
+    return F.timestamp_add("MICROSECOND", rest, midnight)
 
 
 def extract_bigint(unit: str, ts) -> Column:

@@ -15,7 +15,7 @@ partition.  Here the same result comes from three distributed steps:
    counts, at most ``nb`` rows per partition key, broadcast — gives every row
    its 0-based position ``_i`` in the total order.
 3. **Blocks with a halo.**  ``block = _i div B``.  The last ``H`` rows of each
-   block are copied into the next block, the requested window runs partitioned
+   block are also emitted for the next block, the requested window runs partitioned
    by ``block`` and ordered by ``_i``, and the copies are dropped.  Any frame
    that looks back at most ``H`` rows therefore sees exactly the rows a global
    window would see.
@@ -52,8 +52,8 @@ def _key_expr(df: DataFrame, name: str) -> tuple[Column, str]:
     dtype = df.schema[name].dataType
     col = F.col(name)
     if isinstance(dtype, T.TimestampNTZType):
-        key = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
-        return F.coalesce(key, F.lit(np.iinfo(np.int64).max)), "i8"
+        from ..functions.exprs import epoch_micros_ntz
+        return F.coalesce(epoch_micros_ntz(col), F.lit(np.iinfo(np.int64).max)), "i8"
     if isinstance(dtype, T.TimestampType):
         return F.coalesce(F.unix_micros(col), F.lit(np.iinfo(np.int64).max)), "i8"
     if isinstance(dtype, T.DateType):
@@ -211,13 +211,15 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     b = block_rows or block_rows_for(n, halo, parts)
     if b <= halo:
         raise ValueError("block_rows must exceed the halo")
-    base = (indexed.withColumn(BLOCK_COL, F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long"))
-            .withColumn(HALO_COL, F.lit(False)))
+    # One pass: every row goes to its block; the last `halo` rows of a block
+    # are emitted a second time for the next block (no union, so the indexing
+    # pipeline is not planned twice).
+    own = F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")
+    targets = F.array(own)
     if halo > 0:
-        copies = (base.filter(F.col(INDEX_COL) % F.lit(b) >= F.lit(b - halo))
-                  .withColumn(BLOCK_COL, F.col(BLOCK_COL) + 1)
-                  .withColumn(HALO_COL, F.lit(True)))
-        base = base.unionByName(copies)
+        targets = F.when(F.col(INDEX_COL) % F.lit(b) >= F.lit(b - halo), F.array(own, own + 1)).otherwise(targets)
+    base = (indexed.select("*", F.explode(targets).alias(BLOCK_COL))
+            .withColumn(HALO_COL, F.col(BLOCK_COL) != F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")))
     w = Window.partitionBy(*pcols, BLOCK_COL).orderBy(INDEX_COL)
     cols = build(w)
     out = base.select("*", *[c.alias(name) for name, c in cols.items()])
