@@ -34,6 +34,17 @@ def _num(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def _parse_once(df: DataFrame, text: Column, schema: str, name: str, *keep: str) -> DataFrame:
+    """Parse a JSON text column ONCE per row.
+
+    Catalyst substitutes a projected `from_json(...)` into every filter and
+    projection that uses it, parsing the document again for each reference.
+    Producing the parsed value through a generator (`explode` of a one-element
+    array) makes it a real column: later filters cannot be pushed below it.
+    """
+    return df.select(*keep, F.explode(F.array(F.from_json(text, schema))).alias(name))
+
+
 def _arrival() -> Column:
     return F.col("ingest_time").cast("timestamp_ntz")
 
@@ -58,14 +69,14 @@ _PLAIN = "struct<price:string, size:string, side:string, exchange:string, pair:s
 
 
 def _coinbase(raw: DataFrame) -> DataFrame:
-    m = raw.select(F.from_json("raw", _COINBASE).alias("m"), "ingest_time")
+    m = _parse_once(raw, F.col("raw"), _COINBASE, "m", "ingest_time")
     return (m.filter(F.col("m.type") == "match")
             .select(*_trade(_arrival(), _num(F.col("m.price")), _num(F.col("m.size")), F.col("m.side"),
                             F.lit("coinbase"))))
 
 
 def _binance(raw: DataFrame) -> DataFrame:
-    m = raw.select(F.from_json("raw", _BINANCE).alias("m"))
+    m = _parse_once(raw, F.col("raw"), _BINANCE, "m")
     side = F.when(F.lower(F.col("m.m")) == "true", F.lit("sell")).otherwise(F.lit("buy"))
     return (m.filter(F.col("m.e") == "trade")
             .select(*_trade(_millis_ntz(F.col("m.T")), _num(F.col("m.p")), _num(F.col("m.q")), side,
@@ -74,10 +85,9 @@ def _binance(raw: DataFrame) -> DataFrame:
 
 def _kraken_items(raw: DataFrame) -> DataFrame:
     """(ingest_time, items): trade arrays of `[chan, [[...], ...], 'trade', pair]`."""
-    arr = raw.select(F.from_json("raw", "array<string>").alias("a"), "ingest_time")
+    arr = _parse_once(raw, F.col("raw"), "array<string>", "a", "ingest_time")
     trades = arr.filter((F.get(F.col("a"), 2) == "trade") & F.get(F.col("a"), 1).isNotNull())
-    return trades.select("ingest_time",
-                         F.from_json(F.get(F.col("a"), 1), "array<array<string>>").alias("items"))
+    return _parse_once(trades, F.get(F.col("a"), 1), "array<array<string>>", "items", "ingest_time")
 
 
 def _kraken_trade(item) -> list[Column]:
@@ -93,7 +103,7 @@ def _kraken(raw: DataFrame, all_trades: bool = False) -> DataFrame:
 
 
 def _plain(raw: DataFrame) -> DataFrame:
-    m = raw.select(F.from_json("raw", _PLAIN).alias("m"))
+    m = _parse_once(raw, F.col("raw"), _PLAIN, "m")
     return (m.filter(F.col("m.price").isNotNull())
             .select(*_trade(_millis_ntz(F.col("m.timestamp")), _num(F.col("m.price")), _num(F.col("m.size")),
                             F.col("m.side"), F.coalesce(F.col("m.exchange"), F.lit(DEFAULT_EXCHANGE)),
@@ -162,9 +172,10 @@ def _broken_with_raw(raw: DataFrame, feed: str) -> DataFrame:
     """Trade messages of `feed` whose price or size does not parse, with the raw text."""
     rows = raw.select("raw", "ingest_time")
     if feed == "kraken":
-        items = (rows.select("raw", F.from_json("raw", "array<string>").alias("a"))
-                 .filter((F.get(F.col("a"), 2) == "trade") & F.get(F.col("a"), 1).isNotNull())
-                 .select("raw", F.get(F.from_json(F.get(F.col("a"), 1), "array<array<string>>"), 0).alias("t")))
+        arr = (_parse_once(rows, F.col("raw"), "array<string>", "a", "raw")
+               .filter((F.get(F.col("a"), 2) == "trade") & F.get(F.col("a"), 1).isNotNull()))
+        items = (_parse_once(arr, F.get(F.col("a"), 1), "array<array<string>>", "items", "raw")
+                 .select("raw", F.get(F.col("items"), 0).alias("t")))
         return items.filter(F.col("t").isNotNull() &
                             (_num(F.get(F.col("t"), 0)).isNull() | _num(F.get(F.col("t"), 1)).isNull()))
     schema, flag, price, size = {
@@ -172,7 +183,7 @@ def _broken_with_raw(raw: DataFrame, feed: str) -> DataFrame:
         "binance": (_BINANCE, F.col("m.e") == "trade", "m.p", "m.q"),
         "plain": (_PLAIN, F.col("m.price").isNotNull(), "m.price", "m.size"),
     }[feed]
-    m = rows.select("raw", F.from_json("raw", schema).alias("m"))
+    m = _parse_once(rows, F.col("raw"), schema, "m", "raw")
     return m.filter(flag & (_num(F.col(price)).isNull() | _num(F.col(size)).isNull()))
 
 
@@ -184,7 +195,7 @@ def norm_envelope(raw: DataFrame) -> DataFrame:
     """Bus envelope `{subject, data: {price}, timestamp?}` -> tick with
     price = data.price (0.0 when absent), time = timestamp (ms) or arrival,
     source 'nex_stream'."""
-    m = raw.select(F.from_json("raw", _ENVELOPE).alias("m"), "ingest_time")
+    m = _parse_once(raw, F.col("raw"), _ENVELOPE, "m", "ingest_time")
     env = m.filter(F.col("m.subject").isNotNull() & F.col("m.data").isNotNull())
     price = F.coalesce(_num(F.col("m.data.price")), F.lit(0.0))
     time = F.coalesce(_millis_ntz(F.col("m.timestamp")), _arrival())
@@ -196,7 +207,7 @@ def norm_ticker(raw: DataFrame) -> DataFrame:
     """Accept `type == 'ticker'` or any message with a `source`: price, ISO
     `time`, source label ('nex_stream' -> 'NEX Stream', else 'Coinbase'),
     subject (default 'ticker')."""
-    m = raw.select(F.from_json("raw", _TICKER).alias("m"))
+    m = _parse_once(raw, F.col("raw"), _TICKER, "m")
     accept = F.coalesce((F.col("m.type") == "ticker") | F.col("m.source").isNotNull(), F.lit(False))
     label = F.when(F.col("m.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
              .otherwise(F.lit(TICK_SOURCE_DEFAULT))
