@@ -20,7 +20,9 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def raw_messages_from_events(events: DataFrame) -> DataFrame:
+def raw_messages_from_events(events: DataFrame, feed: str | None = None) -> DataFrame:
+    """One raw message per event.  With `feed`, every event is written in that
+    feed's format; otherwise the feed is chosen per user (mixed traffic)."""
     k = F.get_json_object("props", "$.k").cast("long")
     size = (k.cast("double") + F.lit(1.0)) / F.lit(100.0)
     buy = F.col("event_type").isin("purchase", "signup")
@@ -28,8 +30,13 @@ def raw_messages_from_events(events: DataFrame) -> DataFrame:
     price_txt = F.when((F.col("event_type") == "error") & (k % 25 == 0), F.lit("abc")).otherwise(_s(F.col("value")))
     ms = F.floor(epoch_micros_ntz("ts") / F.lit(1000))
     feed_mod = F.col("user_id") % 4
-    feed = F.when(feed_mod == 0, "coinbase").when(feed_mod == 1, "binance") \
-            .when(feed_mod == 2, "kraken").otherwise("plain")
+    if feed is None:
+        feed = F.when(feed_mod == 0, "coinbase").when(feed_mod == 1, "binance") \
+                .when(feed_mod == 2, "kraken").otherwise("plain")
+    else:
+        if feed not in FEED_BY_MOD.values():
+            raise ValueError(f"unknown feed: {feed}")
+        feed = F.lit(feed)
     coinbase = F.to_json(F.struct(F.lit("match").alias("type"), price_txt.alias("price"),
                                   _s(size).alias("size"), side.alias("side")))
     binance = F.to_json(F.struct(F.lit("trade").alias("e"), ms.alias("T"), price_txt.alias("p"),
