@@ -62,3 +62,8 @@ def ntz_from_micros(micros) -> Column:
 def extract_bigint(unit: str, ts) -> Column:
     """EXTRACT(unit FROM ts) as BIGINT (seconds floored, like the reference engine)."""
     return F.floor(F.extract(F.lit(unit), col_(ts))).cast("long")
+
+
+def asc(*cols: str) -> list[Column]:
+    """Ascending sort keys with NULLs last (the reference engine's default)."""
+    return [F.col(c).asc_nulls_last() for c in cols]

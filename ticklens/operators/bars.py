@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import epoch_micros_ntz, ntz_from_micros, trunc_ntz
+from ..functions.exprs import asc, epoch_micros_ntz, ntz_from_micros, trunc_ntz
 from ..functions.timeframe import timeframe_filter
 from .filters import pair_filter
 
@@ -30,7 +30,7 @@ def aggregated_price(trades: DataFrame, unit: str = "second", timeframe=None, as
     return (t.groupBy(trunc_ntz(unit, "timestamp").alias("timestamp"))
             .agg(F.avg("price").alias("price"), F.count(F.lit(1)).alias("trade_count"),
                  F.min("price").alias("low"), F.max("price").alias("high"))
-            .orderBy("timestamp"))
+            .orderBy(*asc("timestamp")))
 
 
 def ohlc_bars(trades: DataFrame, unit: str = "minute", timeframe=None, as_of=None) -> DataFrame:
@@ -45,7 +45,7 @@ def ohlc_bars(trades: DataFrame, unit: str = "minute", timeframe=None, as_of=Non
             .agg(F.min_by("price", _order_key()).alias("open"), F.max("price").alias("high"),
                  F.min("price").alias("low"), F.max_by("price", _order_key()).alias("close"),
                  F.count(F.lit(1)).alias("volume"))
-            .orderBy("timestamp"))
+            .orderBy(*asc("timestamp")))
 
 
 def _floor_bucket(seconds: int) -> Column:
@@ -64,7 +64,7 @@ def ohlcv_interval_bars(trades: DataFrame, interval="5s", timeframe=None, as_of=
             .agg(F.avg("price").alias("price"), F.min_by("price", _order_key()).alias("open"),
                  F.max("price").alias("high"), F.min("price").alias("low"),
                  F.max_by("price", _order_key()).alias("close"), F.sum("size").alias("volume"))
-            .orderBy("timestamp"))
+            .orderBy(*asc("timestamp")))
 
 
 def price_history(trades: DataFrame, minutes: int = 100, limit: int = 100, as_of=None,
@@ -92,7 +92,7 @@ def volume_over_time(trades: DataFrame, unit: str = "minute", timeframe=None, as
                  F.sum(F.when(F.col("side") == "buy", size).otherwise(F.lit(0.0))).alias("buy_volume"),
                  F.sum(F.when(F.col("side") == "sell", size).otherwise(F.lit(0.0))).alias("sell_volume"),
                  F.count(F.lit(1)).alias("trade_count"))
-            .orderBy("time_bucket"))
+            .orderBy(*asc("time_bucket")))
 
 
 def volume_5min(trades: DataFrame, timeframe=None, as_of=None, minutes: int = 5) -> DataFrame:
@@ -102,4 +102,4 @@ def volume_5min(trades: DataFrame, timeframe=None, as_of=None, minutes: int = 5)
     vol = F.when(size.isNull() | (size == 0) | F.isnan(size), F.lit(1.0)).otherwise(size)
     return (t.groupBy(_floor_bucket(minutes * 60).alias("timestamp"))
             .agg(F.sum(vol).alias("volume"))
-            .orderBy("timestamp"))
+            .orderBy(*asc("timestamp")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_grid, matching_bins
-from ..functions.exprs import epoch_micros_ntz, ntz_from_micros
+from ..functions.exprs import asc, epoch_micros_ntz, ntz_from_micros
 from ..functions.timeframe import timeframe_filter
 from ..plans.ordered import materialize
 from .windows import price_changes
@@ -55,7 +55,7 @@ def volume_distribution(trades: DataFrame, bins: int = 10, timeframe=None, as_of
                        F.coalesce(F.col("_vol"), F.lit(0.0)).alias("volume"),
                        F.coalesce(F.col("_cnt"), F.lit(0)).cast("long").alias("trade_count"),
                        "bin_number")
-            .orderBy("bin_number").drop("bin_number"))
+            .orderBy(*asc("bin_number")).drop("bin_number"))
 
 
 def _width_bins(trades: DataFrame, bins: int, timeframe, as_of, closed_last: bool,
@@ -88,14 +88,14 @@ def price_distribution(trades: DataFrame, bins: int = 10, timeframe=None, as_of=
     w*(k+1) with w = (max-min)/n.  Always n bins (the reference takes its bin
     list from `LIMIT n` rows of the table, so a shorter table had fewer)."""
     return (_width_bins(trades, bins, timeframe, as_of, closed_last=False, end_from_start=False)
-            .orderBy("bin_number").drop("bin_number"))
+            .orderBy(*asc("bin_number")).drop("bin_number"))
 
 
 def price_distribution_closed(trades: DataFrame, bins: int = 10, timeframe=None, as_of=None) -> DataFrame:
     """As D5 but end = start + w and the last bin is closed on the right,
     so the maximum price is counted; adds bin_number."""
     return (_width_bins(trades, bins, timeframe, as_of, closed_last=True, end_from_start=True)
-            .orderBy("bin_number"))
+            .orderBy(*asc("bin_number")))
 
 
 def price_histogram(trades: DataFrame, bins: int = 10, timeframe=None, as_of=None) -> DataFrame:
@@ -122,7 +122,7 @@ def price_histogram(trades: DataFrame, bins: int = 10, timeframe=None, as_of=Non
                     cnt.alias("count"),
                     (cnt / F.col("_n") * F.lit(100.0)).alias("percentage"),
                     "bin_number")
-            .orderBy("bin_number").drop("bin_number"))
+            .orderBy(*asc("bin_number")).drop("bin_number"))
 
 
 def histogram_by_source(ticks: DataFrame, bins: int = 20) -> DataFrame:
@@ -145,7 +145,7 @@ def histogram_by_source(ticks: DataFrame, bins: int = 20) -> DataFrame:
     k = F.col("bin_number").cast("double")
     return (per_cell.select("source", F.col("bin_number").cast("long").alias("bin_number"),
                             start(k).alias("bin_start"), end(k).alias("bin_end"), "count")
-            .orderBy("source", "bin_number"))
+            .orderBy(*asc("source", "bin_number")))
 
 
 def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int = 10,
@@ -202,7 +202,7 @@ def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int =
                      F.coalesce(F.col("_cnt"), F.lit(0)).cast("long").alias("count"),
                      ntz_from_micros(F.floor((ts0 + ts1) / 2)).alias("mid_time"),
                      ((ps0 + ps1) / 2).alias("mid_price"))
-            .orderBy("time_bin", "price_bin"))
+            .orderBy(*asc("time_bin", "price_bin")))
 
 
 def change_intensity(trades: DataFrame, timeframe=None, as_of=None, min_rows: int = 10) -> DataFrame:
@@ -219,4 +219,4 @@ def change_intensity(trades: DataFrame, timeframe=None, as_of=None, min_rows: in
                     F.least(F.lit(1.0), F.try_divide(F.abs("pct_change"), max_abs)).alias("intensity"),
                     F.when(F.col("pct_change") < 0, F.lit("negative")).otherwise(F.lit("positive"))
                     .alias("direction"))
-            .orderBy("timestamp", "id"))
+            .orderBy(*asc("timestamp", "id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import notional
+from ..functions.exprs import asc, notional
 from ..functions.timeframe import timeframe_filter  # F1, re-exported
 
 __all__ = ["timeframe_filter", "pair_filter", "source_filter", "price_series",
@@ -28,7 +28,7 @@ def source_filter(ticks: DataFrame, selected: str = "both", limit: int | None =
     ``exact`` keeps one source by equality, in ascending time order.
     """
     if exact is not None:
-        return ticks.filter(F.col("source") == F.lit(exact)).orderBy("time", "id")
+        return ticks.filter(F.col("source") == F.lit(exact)).orderBy(*asc("time", "id"))
     pattern = SOURCE_PREFIXES.get(selected)
     out = ticks if pattern is None else ticks.filter(F.col("source").like(pattern))
     out = out.orderBy(F.col("time").desc_nulls_last(), F.col("id").desc_nulls_last())
@@ -38,7 +38,7 @@ def source_filter(ticks: DataFrame, selected: str = "both", limit: int | None =
 def price_series(trades: DataFrame, timeframe=None, as_of=None) -> DataFrame:
     """raw (timestamp, price) in the timeframe, ascending."""
     t = timeframe_filter(trades, timeframe, as_of)
-    return t.select("timestamp", "price", "id").orderBy("timestamp", "id").drop("id")
+    return t.select("timestamp", "price", "id").orderBy(*asc("timestamp", "id")).drop("id")
 
 
 def volume_series(trades: DataFrame, timeframe=None, as_of=None, newest: int | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def volume_series(trades: DataFrame, timeframe=None, as_of=None, newest: int | N
         "id", "timestamp", F.col("size").alias("volume"), "price")
     if newest is not None:
         t = t.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc_nulls_last()).limit(newest)
-    return t.orderBy("timestamp", "id").drop("id")
+    return t.orderBy(*asc("timestamp", "id")).drop("id")
 
 
 def with_notional(trades: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import pct_change as _pct
+from ..functions.exprs import asc, pct_change as _pct
 from ..functions.timeframe import timeframe_filter
 from ..plans.ordered import INDEX_COL, materialize, ordered_window
 from .filters import pair_filter
@@ -55,7 +55,7 @@ def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_o
     }, halo=window - 1, **tuning)
     return (out.filter(F.col("rolling_volatility").isNotNull())
             .select("timestamp", "id", "price", "pct_change", "rolling_volatility", "rolling_avg_change")
-            .orderBy(*TRADE_ORDER))
+            .orderBy(*asc(*TRADE_ORDER)))
 
 
 def moving_averages(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), timeframe=None,
@@ -65,7 +65,7 @@ def moving_averages(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), ti
     out = ordered_window(t, TRADE_ORDER, lambda w: {
         f"ma_{p}": F.avg("price").over(w.rowsBetween(-(p - 1), 0)) for p in periods
     }, halo=max(periods) - 1, **tuning)
-    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]).orderBy(*TRADE_ORDER)
+    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]).orderBy(*asc(*TRADE_ORDER))
 
 
 def moving_averages_periods(trades: DataFrame, periods: Sequence[int] = (5, 10, 20),
@@ -98,7 +98,7 @@ def moving_averages_full(trades: DataFrame, periods: Sequence[int] = (7, 25, 99)
     }, halo=max(periods) - 1, keep_index=True, **tuning)
     return (out.filter(F.col(INDEX_COL) >= min(periods) - 1)
             .select("timestamp", "id", "price", *[f"ma{p}" for p in periods])
-            .orderBy(*TRADE_ORDER))
+            .orderBy(*asc(*TRADE_ORDER)))
 
 
 def moving_averages_filled(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), timeframe=None,
@@ -110,7 +110,7 @@ def moving_averages_filled(trades: DataFrame, periods: Sequence[int] = (10, 20,
                     .otherwise(F.col("price"))
         for p in periods
     }, halo=max(periods) - 1, **tuning)
-    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]).orderBy(*TRADE_ORDER)
+    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]).orderBy(*asc(*TRADE_ORDER))
 
 
 def source_analytics(ticks: DataFrame, **tuning) -> DataFrame:
@@ -148,7 +148,7 @@ def trailing_price_volatility(trades: DataFrame, window: int = 10, timeframe=Non
     return (out.filter(F.col(INDEX_COL) >= window)
             .select("timestamp", "id", "volatility",
                     (F.try_divide(F.col("volatility"), F.col("_mean")) * F.lit(100.0)).alias("percent_volatility"))
-            .orderBy(*TRADE_ORDER))
+            .orderBy(*asc(*TRADE_ORDER)))
 
 
 def price_rank(trades: DataFrame, **tuning) -> DataFrame:

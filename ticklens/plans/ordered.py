@@ -166,8 +166,11 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
         # at most `max_buckets` rows: bounded by construction
         offsets = F.broadcast(offsets)
 
+    # One shuffle partition per bucket (not the session default): a task sorts
+    # about `rows_per_bucket` rows at any data size.
+    parts = max(nb, min_buckets)
     rn = F.row_number().over(Window.partitionBy(*group).orderBy(*_order_columns(order_by)))
-    indexed = (keyed.withColumn("_rn", rn)
+    indexed = (keyed.repartition(parts, *group).withColumn("_rn", rn)
                .join(offsets, on=group, how="inner")
                .withColumn(INDEX_COL, F.col("_off") + F.col("_rn") - 1)
                .drop("_rn", "_off", BUCKET_COL, HASH_COL))
@@ -220,6 +223,9 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
         targets = F.when(F.col(INDEX_COL) % F.lit(b) >= F.lit(b - halo), F.array(own, own + 1)).otherwise(targets)
     base = (indexed.select("*", F.explode(targets).alias(BLOCK_COL))
             .withColumn(HALO_COL, F.col(BLOCK_COL) != F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")))
+    # one shuffle partition per block: task size is bounded by `b` rows
+    n_blocks = max(parts, math.ceil(n / b) + len(pcols))
+    base = base.repartition(n_blocks, *pcols, BLOCK_COL)
     w = Window.partitionBy(*pcols, BLOCK_COL).orderBy(INDEX_COL)
     cols = build(w)
     out = base.select("*", *[c.alias(name) for name, c in cols.items()])
