@@ -81,3 +81,12 @@ def test_subject_filter_and_defaults(spark, raw):
     t = spark.createDataFrame([("1.5", "x", "", None, "")], "price string, size string, side string, exchange string, pair string")
     r = M.default_fill(t).first()
     assert (r.price, r.size, r.side, r.exchange, r.pair) == (1.5, None, "unknown", "coinbase", "BTC-USD")
+
+
+def test_subscribed_messages_semi_join(spark):
+    msgs = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "subject string, v int")
+    subs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "c")], "client_id int, subject string")
+    got = sorted(r.v for r in M.subscribed_messages(msgs, subs).collect())
+    assert got == [1, 3]                                  # no duplicates from two 'a' clients
+    star = spark.createDataFrame([(1, "*")], "client_id int, subject string")
+    assert M.subscribed_messages(msgs, star).count() == 3

@@ -235,3 +235,21 @@ def default_fill(trades: DataFrame) -> DataFrame:
     return out.withColumn("side", dflt("side", DEFAULT_SIDE)) \
               .withColumn("exchange", dflt("exchange", DEFAULT_EXCHANGE)) \
               .withColumn("pair", dflt("pair", DEFAULT_PAIR))
+
+
+# Broadcast only a subscriber subject list of at most this many rows.
+MAX_BROADCAST_SUBJECTS = 100_000
+
+
+def subscribed_messages(messages: DataFrame, subscribers: DataFrame, subject_col: str = "subject") -> DataFrame:
+    """S8 with a subscriber table `(client_id, subject)`: messages that at least
+    one client wants.  A '*' subscription passes everything; otherwise a left
+    semi join on subject, broadcast when the distinct subject list is small
+    (its size is counted first)."""
+    subjects = subscribers.select(F.col(subject_col).alias("_subject")).distinct()
+    wildcard = subjects.filter(F.col("_subject") == "*").limit(1).count() > 0
+    if wildcard:
+        return messages
+    n = subjects.count()
+    side = F.broadcast(subjects) if n <= MAX_BROADCAST_SUBJECTS else subjects
+    return messages.join(side, messages[subject_col] == side["_subject"], "left_semi")
