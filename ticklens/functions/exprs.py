@@ -34,11 +34,30 @@ def volatility_level(abs_pct) -> Column:
              .otherwise(F.lit("low")))
 
 
+# Unit widths in microseconds for zone-free truncation.
+_UNIT_MICROS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
 def trunc_ntz(unit: str, ts) -> Column:
-    """DATE_TRUNC that keeps TIMESTAMP_NTZ."""
+    """DATE_TRUNC on a TIMESTAMP_NTZ that stays NTZ and never consults the
+    session time zone (exact epoch-micro arithmetic for second..day)."""
+    unit = unit.lower()
+    if unit in _UNIT_MICROS:
+        w = _UNIT_MICROS[unit]
+        return ntz_from_micros(F.floor(epoch_micros_ntz(ts) / F.lit(w)) * F.lit(w))
     return F.date_trunc(unit, col_(ts)).cast("timestamp_ntz")
 
 
+def ntz_to_instant(ts) -> Column:
+    """TIMESTAMP (instant) whose UTC wall time is the given TIMESTAMP_NTZ."""
+    return F.timestamp_micros(epoch_micros_ntz(ts))
+
+
+def instant_to_ntz(ts) -> Column:
+    """UTC wall time (TIMESTAMP_NTZ) of a TIMESTAMP instant."""
+    return ntz_from_micros(F.unix_micros(col_(ts)))
+
+
 def epoch_micros_ntz(ts) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, from its calendar
     fields only, so the session time zone (and its DST gaps) never applies."""

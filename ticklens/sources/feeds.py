@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import epoch_micros_ntz
+from ..functions.exprs import epoch_micros_ntz, ntz_to_instant
 
 # Feed per user_id % 4.
 FEED_BY_MOD = {0: "coinbase", 1: "binance", 2: "kraken", 3: "plain"}
@@ -57,7 +57,7 @@ def raw_messages_from_events(events: DataFrame, feed: str | None = None) -> Data
             .when((F.col("event_type") == "error") & (k % 25 == 1), F.lit("not json"))
             .otherwise(trade_msg))
     return events.select(F.col("event_id").alias("msg_id"), feed.alias("source"), raw.alias("raw"),
-                         F.col("ts").cast("timestamp").alias("ingest_time"))
+                         ntz_to_instant("ts").alias("ingest_time"))
 
 
 def bus_messages_from_events(events: DataFrame) -> DataFrame:
@@ -72,4 +72,4 @@ def bus_messages_from_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("msg_id"),
                          F.when(even, F.lit("bus")).otherwise(F.lit("coinbase_ticker")).alias("source"),
                          F.when(even, envelope).otherwise(ticker).alias("raw"),
-                         F.col("ts").cast("timestamp").alias("ingest_time"))
+                         ntz_to_instant("ts").alias("ingest_time"))

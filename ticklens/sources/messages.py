@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import ntz_from_micros
+from ..functions.exprs import instant_to_ntz, ntz_from_micros
 
 # Defaults filled into a trade, and labels of the tick feeds.
 DEFAULT_SIDE = "unknown"
@@ -46,7 +46,8 @@ def _parse_once(df: DataFrame, text: Column, schema: str, name: str, *keep: str)
 
 
 def _arrival() -> Column:
-    return F.col("ingest_time").cast("timestamp_ntz")
+    """Arrival instant as UTC wall time (independent of the session zone)."""
+    return instant_to_ntz(F.col("ingest_time"))
 
 
 def _millis_ntz(ms: Column) -> Column:
@@ -211,7 +212,7 @@ def norm_ticker(raw: DataFrame) -> DataFrame:
     accept = F.coalesce((F.col("m.type") == "ticker") | F.col("m.source").isNotNull(), F.lit(False))
     label = F.when(F.col("m.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
              .otherwise(F.lit(TICK_SOURCE_DEFAULT))
-    time = F.to_timestamp(F.col("m.time")).cast("timestamp_ntz")
+    time = instant_to_ntz(F.to_timestamp(F.col("m.time")))
     return m.filter(accept).select(_num(F.col("m.price")).alias("price"), time.alias("time"),
                                    label.alias("source"),
                                    F.coalesce(F.col("m.subject"), F.lit(TICK_SUBJECT_DEFAULT)).alias("subject"))

@@ -20,11 +20,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 4) -> str:
     """Write `df` as `chunks` consecutive time slices (bounds from approx quantiles)."""
     qs = [i / chunks for i in range(1, chunks)]
-    bounds = df.stat.approxQuantile(ts_col + "_us", qs, 0.001) if ts_col + "_us" in df.columns else None
-    if bounds is None:
-        us = F.unix_micros(F.col(ts_col).cast("timestamp"))
-        df = df.withColumn("_us", us)
-        bounds = df.stat.approxQuantile("_us", qs, 0.001)
+    from pyspark.sql import types as T
+    from ..functions.exprs import epoch_micros_ntz
+    col = F.col(ts_col)
+    us = epoch_micros_ntz(col) if isinstance(df.schema[ts_col].dataType, T.TimestampNTZType) else F.unix_micros(col)
+    df = df.withColumn("_us", us)
+    bounds = df.stat.approxQuantile("_us", qs, 0.001)
     edges = [None, *bounds, None]
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = df

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.exprs import instant_to_ntz, ntz_to_instant
 from ..operators.topk import retain_latest
 from ..sources import messages
 
@@ -45,7 +46,7 @@ def stream_session_metrics(trades_stream: DataFrame, key: str = "pair") -> DataF
     price = _truthy(F.col("price"))
     order = F.when(F.col("timestamp").isNotNull() & price.isNotNull(), F.struct("timestamp", "id"))
     has_ingest = "ingest_time" in trades_stream.columns
-    last = F.max("ingest_time") if has_ingest else F.max(F.col("timestamp").cast("timestamp"))
+    last = F.max("ingest_time") if has_ingest else F.max(ntz_to_instant("timestamp"))
     agg = trades_stream.groupBy(key).agg(
         F.min_by(price, order).alias("first_price"), F.max_by(price, order).alias("current_price"),
         F.max(price).alias("high"), F.min(price).alias("low"),
@@ -57,7 +58,7 @@ def stream_session_metrics(trades_stream: DataFrame, key: str = "pair") -> DataF
 def stream_bars(trades_stream: DataFrame, width: str = LIVE_BAR, watermark: str = "10 seconds") -> DataFrame:
     """Tumbling event-time bars (avg, open, high, low, close, volume,
     count) emitted once the watermark passes the bar's end."""
-    ev = trades_stream.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    ev = trades_stream.withColumn("event_time", ntz_to_instant("timestamp"))
     key = F.struct("event_time", "id")
     return (ev.withWatermark("event_time", watermark)
             .groupBy(F.window("event_time", width).alias("w"))
@@ -65,8 +66,8 @@ def stream_bars(trades_stream: DataFrame, width: str = LIVE_BAR, watermark: str
                  F.max("price").alias("high"), F.min("price").alias("low"),
                  F.max_by("price", key).alias("close"), F.sum("size").alias("volume"),
                  F.count(F.lit(1)).alias("trade_count"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("timestamp"),
-                    F.col("w.end").cast("timestamp_ntz").alias("bar_end"),
+            .select(instant_to_ntz(F.col("w.start")).alias("timestamp"),
+                    instant_to_ntz(F.col("w.end")).alias("bar_end"),
                     "price", "open", "high", "low", "close", "volume", "trade_count"))
 
 
@@ -101,12 +102,13 @@ def stream_tick_analytics(ticks_stream: DataFrame) -> DataFrame:
 
 def stream_retention(trades_stream: DataFrame, base: str, checkpoint: str, keep: int = 1000,
                      trigger: dict | None = None):
-    """T5: append every micro-batch to `base/all` and maintain `base/latest/v<epoch>`
-    = R1(previous latest + batch).  Each version is written whole (overwrite),
-    so a retried batch rewrites the same folder."""
+    """T5: write every micro-batch to `base/all/epoch=<id>` and maintain
+    `base/latest/v<epoch>` = R1(previous latest + batch).  Both are written
+    whole per epoch (overwrite), so a retried batch rewrites the same folders
+    instead of appending twice."""
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(os.path.join(base, "all"))
+        batch.write.mode("overwrite").parquet(os.path.join(base, "all", f"epoch={epoch}"))
         prev = latest_version(spark, base, before=epoch)
         merged = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
         retain_latest(merged, keep).write.mode("overwrite").parquet(os.path.join(base, "latest", f"v{epoch:012d}"))
