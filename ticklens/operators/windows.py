@@ -44,15 +44,36 @@ def price_changes(trades: DataFrame, timeframe=None, as_of=None, keep_first: boo
 def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_of=None,
                        **tuning) -> DataFrame:
     """STDDEV and AVG(ABS) of pct_change over the last `window` changes
-    (ROWS window-1 PRECEDING); rows without a rolling value are dropped."""
-    ch = materialize(price_changes(trades, timeframe, as_of, **tuning)
-                     .filter(F.col("prev_price").isNotNull())
-                     .select("timestamp", "id", "price", "pct_change"))
+    (ROWS window-1 PRECEDING); rows without a rolling value are dropped.
+
+    The frame runs over the change rows (prev_price NOT NULL).  Without NULL
+    prices the only row that is not a change is the first one, whose
+    pct_change is NULL and ignored by STDDEV/AVG, so ONE ordered pass (LAG,
+    then the frame, over the same blocks) gives the same frames.  With NULL
+    prices the change series is written once and indexed again.
+    """
+    t = timeframe_filter(trades, timeframe, as_of)
     frame = lambda w: w.rowsBetween(-(window - 1), 0)
-    out = ordered_window(ch, TRADE_ORDER, lambda w: {
-        "rolling_volatility": F.stddev_samp("pct_change").over(frame(w)),
-        "rolling_avg_change": F.avg(F.abs("pct_change")).over(frame(w)),
-    }, halo=window - 1, **tuning)
+
+    def rolling(w):
+        return {"rolling_volatility": F.stddev_samp("pct_change").over(frame(w)),
+                "rolling_avg_change": F.avg(F.abs("pct_change")).over(frame(w))}
+
+    has_null_price = t.filter(F.col("price").isNull()).limit(1).count() > 0
+    if not has_null_price:
+        stages = lambda w: [
+            {"prev_price": F.lag("price").over(w)},
+            {"pct_change": _pct("price", "prev_price")},
+            rolling(w),
+        ]
+        # halo = window: the oldest halo row only feeds the next row's LAG
+        out = ordered_window(t, TRADE_ORDER, stages, halo=window, **tuning) \
+            .filter(F.col("prev_price").isNotNull())
+    else:
+        ch = materialize(price_changes(t, **tuning)
+                         .filter(F.col("prev_price").isNotNull())
+                         .select("timestamp", "id", "price", "pct_change"))
+        out = ordered_window(ch, TRADE_ORDER, rolling, halo=window - 1, **tuning)
     return (out.filter(F.col("rolling_volatility").isNotNull())
             .select("timestamp", "id", "price", "pct_change", "rolling_volatility", "rolling_avg_change")
             .orderBy(*asc(*TRADE_ORDER)))

@@ -201,9 +201,10 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
                    keep_index: bool = False) -> DataFrame:
     """Evaluate row-frame window columns over a global (per key) order.
 
-    ``build(w)`` returns ``{name: expression}`` where ``w`` is a WindowSpec
-    ordered by the total order; frames may reach at most ``halo`` rows back
-    and none forward.  Equivalent to ``Window.partitionBy(*partition_by)
+    ``build(w)`` returns ``{name: expression}`` (or a list of such dicts,
+    applied in order) where ``w`` is a WindowSpec ordered by the total order;
+    frames may reach at most ``halo`` rows back and none forward — counting
+    the look-back of earlier stages that later stages depend on.  Equivalent to ``Window.partitionBy(*partition_by)
     .orderBy(*order_by)`` but spread over blocks.
     """
     if halo < 0:
@@ -227,8 +228,13 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     n_blocks = max(parts, math.ceil(n / b) + len(pcols))
     base = base.repartition(n_blocks, *pcols, BLOCK_COL)
     w = Window.partitionBy(*pcols, BLOCK_COL).orderBy(INDEX_COL)
-    cols = build(w)
-    out = base.select("*", *[c.alias(name) for name, c in cols.items()])
+    stages = build(w)
+    out = base
+    # a list of dicts is applied stage by stage (later stages may use earlier
+    # columns, e.g. LAG then a frame over the derived change); consecutive
+    # windows share the block partitioning and sort, so no extra shuffle
+    for cols in (stages if isinstance(stages, list) else [stages]):
+        out = out.select("*", *[c.alias(name) for name, c in cols.items()])
     out = out.filter(~F.col(HALO_COL)).drop(BLOCK_COL, HALO_COL)
     return out if keep_index else out.drop(INDEX_COL)
 
