@@ -94,3 +94,22 @@ def test_numpy_bucket_search_path(spark, monkeypatch):
     assert idx.join(exp, "id").filter(F.col(INDEX_COL) != F.col("e")).count() == 0
     plan = idx._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+@pytest.mark.parametrize("with_nulls", [False, True])
+def test_rolling_volatility_both_paths_equal_global_window(spark, with_nulls):
+    from ticklens.operators import windows
+    df = _skewed(spark)
+    if not with_nulls:
+        df = df.fillna({"price": 1.5})
+    got = windows.rolling_volatility(df, 20, block_rows=70, rows_per_bucket=120)
+    g = Window.orderBy("timestamp", "id")
+    ch = (df.select("*", F.lag("price").over(g).alias("prev")).filter(F.col("prev").isNotNull())
+          .withColumn("pct", F.try_divide(F.col("price") - F.col("prev"), F.col("prev")) * 100))
+    exp = (ch.select("id", F.stddev_samp("pct").over(g.rowsBetween(-19, 0)).alias("rv"),
+                     F.avg(F.abs("pct")).over(g.rowsBetween(-19, 0)).alias("ra"))
+           .filter(F.col("rv").isNotNull()))
+    j = got.join(exp, "id", "full")
+    assert got.count() == exp.count() == j.count()
+    assert j.filter((F.abs(F.col("rolling_volatility") - F.col("rv")) > 1e-9)
+                    | (F.abs(F.col("rolling_avg_change") - F.col("ra")) > 1e-9)).count() == 0
