@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ticklens.plans.ordered import INDEX_COL, exact_quantile_columns, global_index, ordered_window
+from ticklens.plans.ordered import INDEX_COL, exact_quantiles, global_index, ordered_window
 from ticklens.schema import TRADES
 
 
@@ -71,11 +71,21 @@ def test_global_index_dense_and_ordered(spark):
 
 @pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.95, 1.0])
 def test_exact_quantiles(spark, q):
-    df = _skewed(spark).filter(F.col("price").isNotNull())
-    idx, n = global_index(df.select("price", "id"), ["price", "id"], rows_per_bucket=200)
-    got = idx.agg(exact_quantile_columns(idx, "price", n, {"v": q})["v"].alias("v")).first().v
-    vals = np.array([r.price for r in df.select("price").collect()])
-    assert got == pytest.approx(float(np.percentile(vals, q * 100, method="linear")), rel=1e-12)
+    df = _skewed(spark)            # a third of the rows share one timestamp; some prices repeat
+    got, n = exact_quantiles(df, "price", "id", {"v": q}, rows_per_bucket=200)
+    vals = np.array([r.price for r in df.filter(F.col("price").isNotNull()).select("price").collect()])
+    assert n == len(vals)
+    assert got["v"] == pytest.approx(float(np.percentile(vals, q * 100, method="linear")), rel=1e-12)
+
+
+def test_exact_quantiles_hot_value(spark):
+    # one value holds a third of all rows: buckets still split it (ties by id)
+    rows = [(i, 7.0 if i % 3 == 0 else float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, price double")
+    got, n = exact_quantiles(df, "price", "id", {"a": 0.1, "b": 0.5, "c": 0.9}, rows_per_bucket=50)
+    vals = np.array([p for _, p in rows])
+    for k, q in {"a": 0.1, "b": 0.5, "c": 0.9}.items():
+        assert got[k] == pytest.approx(float(np.percentile(vals, q * 100, method="linear")))
 
 
 def test_empty_input(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeframe import timeframe_filter, validate_stats_timeframe
-from ..plans.ordered import exact_quantile_columns, global_index
+from ..plans.ordered import exact_quantiles
 from .filters import pair_filter
 
 # Time order (timestamp, id); NULL timestamps are ignored by min_by / max_by.
@@ -98,18 +98,16 @@ def price_dispersion(trades: DataFrame, timeframe=None, as_of=None) -> DataFrame
     """total_records, avg_price, price_stddev (sample) and exact
     median_price (PERCENTILE_CONT 0.5).
 
-    The median is found by rank selection on a distributed global index, so
-    no aggregation buffer holds all prices.
+    The median is exact and found by bucket selection
+    (:func:`ticklens.plans.ordered.exact_quantiles`): only the rows of the
+    bucket holding the middle rank are ranked, nothing holds all prices.
     """
     t = timeframe_filter(trades, timeframe, as_of)
-    vals = t.filter(F.col("price").isNotNull()).select("price", "id")
-    indexed, n = global_index(vals, ["price", "id"])
-    q = exact_quantile_columns(indexed, "price", n, {"median_price": 0.5})
-    med = indexed.agg(q["median_price"].alias("median_price"))
+    med, _ = exact_quantiles(t, "price", "id", {"median_price": 0.5})
     # count / avg / stddev over all rows (NULL prices counted by count(*)).
-    base = t.agg(F.count(F.lit(1)).alias("total_records"), F.avg("price").alias("avg_price"),
-                 F.stddev_samp("price").alias("price_stddev"))
-    return base.select("*", med.scalar().alias("median_price"))
+    return t.agg(F.count(F.lit(1)).alias("total_records"), F.avg("price").alias("avg_price"),
+                 F.stddev_samp("price").alias("price_stddev"),
+                 F.lit(med["median_price"]).cast("double").alias("median_price"))
 
 
 def trade_count(trades: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import extract_bigint, frac_change, pct_change, volatility_level
 from ..functions.timeframe import timeframe_filter
-from ..plans.ordered import INDEX_COL, exact_quantile_columns, global_index, materialize, ordered_window
+from ..plans.ordered import INDEX_COL, exact_quantiles, materialize, ordered_window
 from .filters import pair_filter
 from .windows import TRADE_ORDER, price_changes
 
@@ -60,19 +60,17 @@ def value_at_risk(trades: DataFrame, confidence: float = 0.95, timeframe=None, a
     """V4: PERCENTILE_CONT(1 - confidence) of pct_change as var_<conf%>, with
     STDDEV, AVG and COUNT over non-NULL changes.
 
-    The percentile is exact: the change series gets a distributed global
-    index in value order and only the one or two rows at the interpolation
-    ranks are read.
+    The change series is written once (it feeds two passes); the percentile
+    is exact, by bucket selection: bucket counts, then only the rows of the
+    bucket(s) holding the interpolation ranks are ranked.
     """
     name = f"var_{round(confidence * 100)}"
     q = (1 - confidence) * 100 / 100
-    ch = price_changes(trades, timeframe, as_of, **tuning).filter(F.col("pct_change").isNotNull())
-    vals = materialize(ch.select("pct_change", "id"))
-    indexed, n = global_index(vals, ["pct_change", "id"])
-    qcols = exact_quantile_columns(indexed, "pct_change", n, {name: q})
-    return indexed.agg(qcols[name].alias(name), F.stddev_samp("pct_change").alias("volatility"),
-                       F.avg("pct_change").alias("mean_return"),
-                       F.count(F.lit(1)).alias("sample_size"))
+    ch = materialize(price_changes(trades, timeframe, as_of, **tuning)
+                     .filter(F.col("pct_change").isNotNull()).select("pct_change", "id"))
+    var, _ = exact_quantiles(ch, "pct_change", "id", {name: q})
+    return ch.agg(F.lit(var[name]).cast("double").alias(name), F.stddev_samp("pct_change").alias("volatility"),
+                  F.avg("pct_change").alias("mean_return"), F.count(F.lit(1)).alias("sample_size"))
 
 
 def recent_volatility(trades: DataFrame, limit: int = 1000, pair: str = "BTC-USD") -> DataFrame:

@@ -20,7 +20,9 @@ partition.  Here the same result comes from three distributed steps:
    that looks back at most ``H`` rows therefore sees exactly the rows a global
    window would see.
 
-The same index gives exact order statistics (percentiles) by rank selection.
+The same buckets give exact order statistics (percentiles) by bucket selection
+(:func:`exact_quantiles`): count per bucket, rank only the bucket(s) that hold the
+wanted ranks.
 """
 from __future__ import annotations
 
@@ -106,18 +108,14 @@ def _order_columns(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_by]
 
 
-def global_index(df: DataFrame, order_by: Sequence[str], *,
-                 partition_by: Sequence[str] | None = None,
-                 rows_per_bucket: int | None = None,
-                 max_buckets: int = MAX_BUCKETS,
-                 min_buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``_i``: 0-based position of each row in ``order_by`` order.
-
-    With ``partition_by`` the position restarts for every partition key.
-    ``order_by`` must be a total order (end it with a unique column).  Returns
-    the indexed frame and the row count (one cheap counting job runs now, plus
-    one job on a bounded sample).
-    """
+def assign_buckets(df: DataFrame, order_by: Sequence[str], *,
+                   partition_by: Sequence[str] | None = None,
+                   rows_per_bucket: int | None = None,
+                   max_buckets: int = MAX_BUCKETS,
+                   min_buckets: int | None = None) -> tuple[DataFrame, int, int]:
+    """Tag rows with ``_bucket``: contiguous ranges of the (partition hash,
+    order_by) total order, balanced by a bounded sample.  Returns the tagged
+    frame (with ``_h``), the number of buckets and the row count."""
     spark = df.sparkSession
     pcols = list(partition_by or [])
     n = df.count()
@@ -158,6 +156,27 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
     else:
         keyed = keyed.withColumn(BUCKET_COL, F.lit(0))
 
+    return keyed, nb, n
+
+
+def global_index(df: DataFrame, order_by: Sequence[str], *,
+                 partition_by: Sequence[str] | None = None,
+                 rows_per_bucket: int | None = None,
+                 max_buckets: int = MAX_BUCKETS,
+                 min_buckets: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``_i``: 0-based position of each row in ``order_by`` order.
+
+    With ``partition_by`` the position restarts for every partition key.
+    ``order_by`` must be a total order (end it with a unique column).  Returns
+    the indexed frame and the row count (a counting job and a bounded sample
+    job run now).
+    """
+    spark = df.sparkSession
+    pcols = list(partition_by or [])
+    if min_buckets is None:
+        min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed, nb, n = assign_buckets(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket,
+                                  max_buckets=max_buckets, min_buckets=min_buckets)
     group = [*pcols, BUCKET_COL]
     counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*pcols).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
@@ -239,21 +258,53 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     return out if keep_index else out.drop(INDEX_COL)
 
 
-def exact_quantile_columns(indexed: DataFrame, value: str, n: int, quantiles: dict[str, float]) -> dict[str, Column]:
-    """Aggregate expressions giving interpolated quantiles (PERCENTILE_CONT)
-    from a frame indexed by ``value`` order with ``n`` rows.
-
-    Only the one or two rows at ranks ``floor(q(n-1))`` and ``ceil(q(n-1))``
-    contribute, so no aggregation buffer grows with the data.
-    """
-    out = {}
+def exact_quantiles(df: DataFrame, value: str, tie: str, quantiles: dict[str, float],
+                    rows_per_bucket: int | None = None) -> tuple[dict[str, float | None], int]:
+    """PERCENTILE_CONT values of ``value`` (NULLs ignored), exact, without
+    sorting the data: buckets of the (value, tie) order are counted (a partial
+    aggregate), the driver finds the bucket holding each needed rank from the
+    at most ``MAX_BUCKETS`` counts, and only those buckets' rows are ranked.
+    Returns ({name: value}, n)."""
+    vals = df.filter(F.col(value).isNotNull()).select(value, tie)
+    keyed, nb, n = assign_buckets(vals, [value, tie], rows_per_bucket=rows_per_bucket)
+    if n == 0:
+        return {k: None for k in quantiles}, 0
+    counts = sorted((r[0], r[1]) for r in keyed.groupBy(BUCKET_COL).count().collect())
+    starts, acc = {}, 0
+    for b, c in counts:
+        starts[b] = acc
+        acc += c
+    order = [b for b, _ in counts]
+
+    def locate(rank: int) -> tuple[int, int]:
+        lo, hi = 0, len(order) - 1
+        while lo < hi:                       # last bucket whose start <= rank
+            mid = (lo + hi + 1) // 2
+            if starts[order[mid]] <= rank:
+                lo = mid
+            else:
+                hi = mid - 1
+        b = order[lo]
+        return b, rank - starts[b]
+
+    wanted: dict[int, set[int]] = {}
+    plan = {}
     for name, q in quantiles.items():
-        if n == 0:
-            out[name] = F.lit(None).cast("double")
-            continue
         pos = q * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        lo_v = F.max(F.when(F.col(INDEX_COL) == lo, F.col(value)))
-        hi_v = F.max(F.when(F.col(INDEX_COL) == hi, F.col(value)))
-        out[name] = lo_v + (hi_v - lo_v) * F.lit(pos - lo)
-    return out
+        ranks = (math.floor(pos), math.ceil(pos))
+        plan[name] = (pos, ranks)
+        for r in ranks:
+            b, local = locate(r)
+            wanted.setdefault(b, set()).add(local)
+    rn = F.row_number().over(Window.partitionBy(BUCKET_COL).orderBy(*_order_columns([value, tie]))) - 1
+    cond = F.lit(False)
+    for b, locals_ in wanted.items():
+        cond = cond | ((F.col(BUCKET_COL) == b) & F.col("_rn").isin(*sorted(locals_)))
+    picked = (keyed.filter(F.col(BUCKET_COL).isin(*wanted))
+              .withColumn("_rn", rn).filter(cond).select(BUCKET_COL, "_rn", value).collect())
+    at = {starts[r[0]] + r[1]: r[2] for r in picked}
+    out = {}
+    for name, (pos, (lo, hi)) in plan.items():
+        lo_v, hi_v = at[lo], at[hi]
+        out[name] = lo_v + (hi_v - lo_v) * (pos - lo)
+    return out, n
