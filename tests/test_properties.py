@@ -26,19 +26,46 @@ def _df(spark, rows):
         TRADES)
 
 
+def _closed_bins_brute(prices, bins):
+    """The reference's loop: start = min + i*w, end = start + w, last bin closed."""
+    mn, mx = min(prices), max(prices)
+    w = (mx - mn) / bins
+    out = []
+    for i in range(bins):
+        start = mn + i * w
+        end = start + w
+        out.append(sum(1 for p in prices if p >= start and (p <= end if i == bins - 1 else p < end)))
+    return out
+
+
+def _clamped_bins_brute(prices, bins):
+    """min(floor((p - min) / w), n - 1); a zero range puts nothing in any bin."""
+    import math
+    mn, mx = min(prices), max(prices)
+    w = (mx - mn) / bins
+    out = [0] * bins
+    if w == 0:
+        return out
+    for p in prices:
+        out[min(math.floor((p - mn) / w), bins - 1)] += 1
+    return out
+
+
 @SETTINGS
 @given(rows=trade_rows, bins=st.integers(1, 12))
-def test_closed_and_clamped_bins_count_every_priced_row(spark, rows, bins):
+def test_bins_match_reference_loops(spark, rows, bins):
     t = _df(spark, rows)
-    priced = sum(1 for _, p, _, _ in rows if p is not None)
-    distinct = len({p for _, p, _, _ in rows if p is not None})
-    d6 = sum(r["count"] for r in distribution.price_distribution_closed(t, bins).collect())
-    d7 = sum(r["count"] for r in distribution.price_histogram(t, bins).collect())
-    if distinct > 1:                    # zero range: no clamped bin (reference NaN index)
-        assert d7 == priced
-    assert d6 == priced or distinct <= 1 and d6 in (0, priced)
+    prices = [p for _, p, _, _ in rows if p is not None]
+    d6 = [r["count"] for r in distribution.price_distribution_closed(t, bins).collect()]
+    d7 = [r["count"] for r in distribution.price_histogram(t, bins).collect()]
+    if not prices:
+        assert sum(d6) == 0 and sum(d7) == 0
+        return
+    assert d6 == _closed_bins_brute(prices, bins)
+    assert d7 == _clamped_bins_brute(prices, bins)
+    assert sum(d7) in (0, len(prices))          # clamped bins partition the priced rows
     half_open = sum(r.trade_count for r in distribution.volume_distribution(t, bins).collect())
-    assert half_open <= priced
+    assert half_open <= len(prices)
 
 
 @SETTINGS
