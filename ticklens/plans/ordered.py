@@ -46,6 +46,7 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 100_000
 OVERSAMPLE = 8
 MAX_BLOCK_ROWS = 4_000_000
+MIN_ROWS_PER_BUCKET = 1_000      # never split data into buckets smaller than this
 SAMPLE_SEED = 20240101
 
 
@@ -104,6 +105,11 @@ def _bucket_expr(bounds: np.ndarray, keys: Column) -> Column:
     return build(0, len(bounds))
 
 
+def parallelism(spark) -> int:
+    """Task slots of the cluster (not the shuffle-partition setting)."""
+    return max(1, int(spark.sparkContext.defaultParallelism))
+
+
 def _order_columns(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_by]
 
@@ -119,9 +125,10 @@ def assign_buckets(df: DataFrame, order_by: Sequence[str], *,
     spark = df.sparkSession
     pcols = list(partition_by or [])
     n = df.count()
-    if min_buckets is None:
-        min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    if min_buckets is None:
+        # enough buckets to use every task slot, none smaller than MIN_ROWS_PER_BUCKET
+        min_buckets = min(parallelism(spark), math.ceil(n / min(MIN_ROWS_PER_BUCKET, rows_per_bucket)))
     nb = max(1, min(max_buckets, max(min_buckets, math.ceil(n / rows_per_bucket)), n))
 
     keyed = df.withColumn(HASH_COL, F.xxhash64(*pcols) if pcols else F.lit(0).cast("long"))
@@ -171,10 +178,7 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
     the indexed frame and the row count (a counting job and a bounded sample
     job run now).
     """
-    spark = df.sparkSession
     pcols = list(partition_by or [])
-    if min_buckets is None:
-        min_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed, nb, n = assign_buckets(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket,
                                   max_buckets=max_buckets, min_buckets=min_buckets)
     group = [*pcols, BUCKET_COL]
@@ -187,7 +191,7 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
 
     # One shuffle partition per bucket (not the session default): a task sorts
     # about `rows_per_bucket` rows at any data size.
-    parts = max(nb, min_buckets)
+    parts = nb
     rn = F.row_number().over(Window.partitionBy(*group).orderBy(*_order_columns(order_by)))
     indexed = (keyed.repartition(parts, *group).withColumn("_rn", rn)
                .join(offsets, on=group, how="inner")
@@ -230,7 +234,7 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
         raise ValueError("halo must be >= 0")
     pcols = list(partition_by or [])
     indexed, n = global_index(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parallelism(df.sparkSession)
     b = block_rows or block_rows_for(n, halo, parts)
     if b <= halo:
         raise ValueError("block_rows must exceed the halo")
@@ -244,7 +248,7 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     base = (indexed.select("*", F.explode(targets).alias(BLOCK_COL))
             .withColumn(HALO_COL, F.col(BLOCK_COL) != F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")))
     # one shuffle partition per block: task size is bounded by `b` rows
-    n_blocks = max(parts, math.ceil(n / b) + len(pcols))
+    n_blocks = max(1, math.ceil(n / b) + len(pcols))
     base = base.repartition(n_blocks, *pcols, BLOCK_COL)
     w = Window.partitionBy(*pcols, BLOCK_COL).orderBy(INDEX_COL)
     stages = build(w)

@@ -44,8 +44,13 @@ def replay(spark: SparkSession, df: DataFrame, ts_col: str, name: str, chunks: i
 
 
 def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query to completion (availableNow) into parquet; read it back."""
+    """Run a streaming query to completion (availableNow) into parquet; read it back.
+
+    State partitions are fixed when a query first starts; they are set to the
+    cluster's task slots for this run (not the batch shuffle default)."""
     out, ck = scratch(spark, name + "-out"), scratch(spark, name + "-ck")
+    prev = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode("append").trigger(availableNow=True).start())
@@ -54,7 +59,10 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str
             batch.write.mode("overwrite").parquet(out)
         q = (stream.writeStream.foreachBatch(snapshot).option("checkpointLocation", ck)
              .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    try:
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", prev)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
