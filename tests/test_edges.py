@@ -126,6 +126,8 @@ def test_value_at_risk_matches_interpolation(make_trades):
     pct = [(b - a) / a * 100 for a, b in zip(prices, prices[1:])]
     assert r.var_95 == pytest.approx(float(np.percentile(pct, 5, method="linear")))
     assert r.sample_size == 6
+    a = volatility.value_at_risk(t, 0.95, approx=True).first()
+    assert a.var_95 in pct and a.sample_size == 6
 
 
 def test_source_filter_prefix(make_ticks):

@@ -56,16 +56,22 @@ def volatility_clustering(trades: DataFrame, timeframe=None, as_of=None, **tunin
 
 
 def value_at_risk(trades: DataFrame, confidence: float = 0.95, timeframe=None, as_of=None,
-                  **tuning) -> DataFrame:
+                  approx: bool = False, accuracy: int = 10_000, **tuning) -> DataFrame:
     """V4: PERCENTILE_CONT(1 - confidence) of pct_change as var_<conf%>, with
     STDDEV, AVG and COUNT over non-NULL changes.
 
     The change series is written once (it feeds two passes); the percentile
     is exact, by bucket selection: bucket counts, then only the rows of the
-    bucket(s) holding the interpolation ranks are ranked.
+    bucket(s) holding the interpolation ranks are ranked.  `approx=True`
+    uses `percentile_approx` (one pass, rank error about 1/accuracy) instead.
     """
     name = f"var_{round(confidence * 100)}"
     q = (1 - confidence) * 100 / 100
+    if approx:
+        ch = (price_changes(trades, timeframe, as_of, **tuning).filter(F.col("pct_change").isNotNull()))
+        return ch.agg(F.percentile_approx("pct_change", q, accuracy).alias(name),
+                      F.stddev_samp("pct_change").alias("volatility"),
+                      F.avg("pct_change").alias("mean_return"), F.count(F.lit(1)).alias("sample_size"))
     ch = materialize(price_changes(trades, timeframe, as_of, **tuning)
                      .filter(F.col("pct_change").isNotNull()).select("pct_change", "id"))
     var, _ = exact_quantiles(ch, "pct_change", "id", {name: q})
