@@ -135,3 +135,24 @@ def test_source_filter_prefix(make_ticks):
     from ticklens.operators import filters
     assert [r.id for r in filters.source_filter(ticks, "nex").collect()] == [1]
     assert filters.source_filter(ticks, "both").count() == 2
+
+
+def test_dispatch_covers_every_analysis(spark, make_trades):
+    rows = [(i, f"2024-01-30 12:{i:02d}:00", float(10 + (i % 7)), 0.5 + i % 3, "buy" if i % 2 else "sell")
+            for i in range(30)]
+    t = make_trades(rows)
+    for a in dispatch.VOLUME_ANALYSES:
+        assert dispatch.volume_analysis(t, 1440, a, as_of=AS_OF).count() >= 1
+    for a in dispatch.VOLATILITY_ANALYSES:
+        assert dispatch.volatility_analysis(t, 1440, a, as_of=AS_OF).count() >= 1
+    with pytest.raises(ValueError):
+        dispatch.volatility_analysis(t, 1440, "nope")
+
+
+def test_views_and_table_exists(spark, make_trades, make_ticks):
+    from ticklens.plans import views
+    t = make_trades([(1, "2024-01-30 12:00:00", 1.0, 1.0, "buy")])
+    ticks = make_ticks([(1, 1.0, "2024-01-01 00:00:00", "NEX Stream", "s")])
+    assert set(views.register_views(spark, t, ticks)) == {"trades", "ticks", "market_analytics"}
+    assert stats.table_exists(spark, "market_analytics")
+    assert views.run_sql(spark, "SELECT COUNT(*) AS n FROM trades").first().n == 1

@@ -46,7 +46,9 @@ def volatility_clustering(trades: DataFrame, timeframe=None, as_of=None, **tunin
     """V3: level high (>1 %) / medium (>0.5 %) / low -> count and avg/min/max
     abs change; ordered low, medium, high."""
     ch = _changes(trades, timeframe, as_of, **tuning).withColumn("abs_pct_change", F.abs("pct_change"))
-    rank = F.when(F.col("volatility_level") == "high", 3).when(F.col("volatility_level") == "medium", 2).otherwise(1)
+    rank = F.lit(LEVEL_ORDER["low"])
+    for level in ("medium", "high"):
+        rank = F.when(F.col("volatility_level") == level, F.lit(LEVEL_ORDER[level])).otherwise(rank)
     return (ch.groupBy(volatility_level("abs_pct_change").alias("volatility_level"))
             .agg(F.count(F.lit(1)).alias("occurrence_count"),
                  F.avg("abs_pct_change").alias("avg_volatility"),

@@ -58,7 +58,7 @@ def volume_analysis(trades: DataFrame, timeframe, analysis: str = "by_side", as_
         "distribution": lambda: distribution.volume_distribution(trades, 10, timeframe, as_of),
         "large_trades": lambda: topk.large_trades(trades, 1.0, timeframe, as_of),
     }
-    if analysis not in fns:
+    if analysis not in VOLUME_ANALYSES:
         raise ValueError(f"Invalid analysis type: {analysis}")
     return fns[analysis]()
 
@@ -73,7 +73,7 @@ def volatility_analysis(trades: DataFrame, timeframe, analysis: str = "basic", a
         "clustering": lambda: volatility.volatility_clustering(trades, timeframe, as_of),
         "var": lambda: volatility.value_at_risk(trades, 0.95, timeframe, as_of),
     }
-    if analysis not in fns:
+    if analysis not in VOLATILITY_ANALYSES:
         raise ValueError(f"Invalid analysis type: {analysis}")
     return fns[analysis]()
 

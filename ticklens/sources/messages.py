@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.exprs import instant_to_ntz, ntz_from_micros
 
@@ -27,9 +26,6 @@ TICK_SOURCE_DEFAULT = "Coinbase"
 TICK_SUBJECT_DEFAULT = "ticker"
 TRADE_FEEDS = ("coinbase", "binance", "kraken", "plain")
 
-_TRADE_COLS = ["timestamp", "price", "size", "side", "exchange", "pair"]
-
-
 def _num(c: Column) -> Column:
     return c.try_cast("double")
 
