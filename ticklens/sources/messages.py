@@ -2,10 +2,13 @@
 
 Input: a DataFrame of raw messages ``(source STRING, raw STRING, ingest_time
 TIMESTAMP)`` — a Kafka or file stream in production, a batch DataFrame in
-tests.  Every normaliser is a stateless projection + filter built from Spark's
-JSON functions, so the same code runs on batch and streaming DataFrames.
-Numbers are parsed with ``try_cast``: a malformed value becomes NULL and the
-row is routed to :func:`invalid_messages` instead of the trades.
+tests.  Each document is parsed ONCE into Spark's VARIANT type
+(`try_parse_json`; NULL when it is not JSON) and every feed shape — objects
+and Kraken's arrays alike — is read from it with `try_variant_get` paths.
+Every normaliser is a stateless projection + filter, so the same code runs on
+batch and streaming DataFrames, and the mixed-feed router is ONE projection
+(one scan of the stream, no union).  Numbers are parsed with ``try_cast``: a
+malformed value becomes NULL and the row goes to :func:`invalid_messages`.
 """
 from __future__ import annotations
 
@@ -30,15 +33,20 @@ def _num(c: Column) -> Column:
     return c.try_cast("double")
 
 
-def _parse_once(df: DataFrame, text: Column, schema: str, name: str, *keep: str) -> DataFrame:
-    """Parse a JSON text column ONCE per row.
+def _parse_once(df: DataFrame, *keep: str) -> DataFrame:
+    """`v` = VARIANT of the `raw` text, parsed ONCE per row.
 
-    Catalyst substitutes a projected `from_json(...)` into every filter and
-    projection that uses it, parsing the document again for each reference.
-    Producing the parsed value through a generator (`explode` of a one-element
-    array) makes it a real column: later filters cannot be pushed below it.
+    Catalyst would substitute a projected `try_parse_json(raw)` into every
+    filter and projection that reads it, parsing again for each reference;
+    producing it through a generator (`explode` of a one-element array) makes
+    it a real column that later filters cannot be pushed below.
     """
-    return df.select(*keep, F.explode(F.array(F.from_json(text, schema))).alias(name))
+    return df.select(*keep, F.explode(F.array(F.try_parse_json(F.col("raw")))).alias("v"))
+
+
+def _s(path: str) -> Column:
+    """String at a JSON path of `v` (numbers come back as their text)."""
+    return F.try_variant_get(F.col("v"), path, "string")
 
 
 def _arrival() -> Column:
@@ -50,168 +58,139 @@ def _millis_ntz(ms: Column) -> Column:
     return ntz_from_micros(ms.try_cast("long") * F.lit(1000))
 
 
-def _trade(ts, price, size, side, exchange, pair=None) -> list[Column]:
-    pair = F.lit(DEFAULT_PAIR) if pair is None else pair
-    return [ts.alias("timestamp"), price.alias("price"), size.alias("size"), side.alias("side"),
-            exchange.alias("exchange"), pair.alias("pair")]
-
-
 # -------------------------------------------------------------- per feed
-# Each feed's message is parsed ONCE with from_json against its own schema; a
-# document that is not JSON (or not that shape) parses to NULL and is dropped.
-
-_COINBASE = "struct<type:string, price:string, size:string, side:string>"
-_BINANCE = "struct<e:string, T:string, p:string, q:string, m:string>"
-_PLAIN = "struct<price:string, size:string, side:string, exchange:string, pair:string, timestamp:string>"
+# Each feed: (is_trade, [timestamp, price, size, side, exchange, pair]) as
+# expressions over `v`.
 
+def _coinbase() -> tuple[Column, list[Column]]:
+    return (F.coalesce(_s("$.type") == "match", F.lit(False)),
+            [_arrival(), _num(_s("$.price")), _num(_s("$.size")), _s("$.side"), F.lit("coinbase"),
+             F.lit(DEFAULT_PAIR)])
 
-def _coinbase(raw: DataFrame) -> DataFrame:
-    m = _parse_once(raw, F.col("raw"), _COINBASE, "m", "ingest_time")
-    return (m.filter(F.col("m.type") == "match")
-            .select(*_trade(_arrival(), _num(F.col("m.price")), _num(F.col("m.size")), F.col("m.side"),
-                            F.lit("coinbase"))))
 
+def _binance() -> tuple[Column, list[Column]]:
+    side = F.when(F.lower(_s("$.m")) == "true", F.lit("sell")).otherwise(F.lit("buy"))
+    return (F.coalesce(_s("$.e") == "trade", F.lit(False)),
+            [_millis_ntz(_s("$.T")), _num(_s("$.p")), _num(_s("$.q")), side, F.lit("binance"),
+             F.lit(DEFAULT_PAIR)])
 
-def _binance(raw: DataFrame) -> DataFrame:
-    m = _parse_once(raw, F.col("raw"), _BINANCE, "m")
-    side = F.when(F.lower(F.col("m.m")) == "true", F.lit("sell")).otherwise(F.lit("buy"))
-    return (m.filter(F.col("m.e") == "trade")
-            .select(*_trade(_millis_ntz(F.col("m.T")), _num(F.col("m.p")), _num(F.col("m.q")), side,
-                            F.lit("binance"))))
 
-
-def _kraken_items(raw: DataFrame) -> DataFrame:
-    """(ingest_time, items): trade arrays of `[chan, [[...], ...], 'trade', pair]`."""
-    arr = _parse_once(raw, F.col("raw"), "array<string>", "a", "ingest_time")
-    trades = arr.filter((F.get(F.col("a"), 2) == "trade") & F.get(F.col("a"), 1).isNotNull())
-    return _parse_once(trades, F.get(F.col("a"), 1), "array<array<string>>", "items", "ingest_time")
-
-
-def _kraken_trade(item) -> list[Column]:
+def _kraken_trade(item: Column) -> list[Column]:
     side = F.when(F.get(item, 3) == "b", F.lit("buy")).otherwise(F.lit("sell"))
-    return _trade(_arrival(), _num(F.get(item, 0)), _num(F.get(item, 1)), side, F.lit("kraken"))
+    return [_arrival(), _num(F.get(item, 0)), _num(F.get(item, 1)), side, F.lit("kraken"), F.lit(DEFAULT_PAIR)]
 
 
-def _kraken(raw: DataFrame, all_trades: bool = False) -> DataFrame:
-    items = _kraken_items(raw).filter(F.size("items") > 0)
-    if all_trades:
-        return items.select("ingest_time", F.explode("items").alias("t")).select(*_kraken_trade(F.col("t")))
-    return items.select(*_kraken_trade(F.get(F.col("items"), 0)))
+def _kraken() -> tuple[Column, list[Column]]:
+    first = F.try_variant_get(F.col("v"), "$[1][0]", "array<string>")
+    return (F.coalesce((_s("$[2]") == "trade") & first.isNotNull(), F.lit(False)), _kraken_trade(first))
 
 
-def _plain(raw: DataFrame) -> DataFrame:
-    m = _parse_once(raw, F.col("raw"), _PLAIN, "m")
-    return (m.filter(F.col("m.price").isNotNull())
-            .select(*_trade(_millis_ntz(F.col("m.timestamp")), _num(F.col("m.price")), _num(F.col("m.size")),
-                            F.col("m.side"), F.coalesce(F.col("m.exchange"), F.lit(DEFAULT_EXCHANGE)),
-                            F.coalesce(F.col("m.pair"), F.lit(DEFAULT_PAIR)))))
+def _plain() -> tuple[Column, list[Column]]:
+    return (_s("$.price").isNotNull(),
+            [_millis_ntz(_s("$.timestamp")), _num(_s("$.price")), _num(_s("$.size")), _s("$.side"),
+             F.coalesce(_s("$.exchange"), F.lit(DEFAULT_EXCHANGE)), F.coalesce(_s("$.pair"), F.lit(DEFAULT_PAIR))])
 
 
 _FEEDS = {"coinbase": _coinbase, "binance": _binance, "kraken": _kraken, "plain": _plain}
+_TRADE_COLS = ("timestamp", "price", "size", "side", "exchange", "pair")
 
 
 def _valid(df: DataFrame) -> DataFrame:
     return df.filter(F.col("price").isNotNull() & F.col("size").isNotNull())
 
 
+def _one_feed(raw: DataFrame, feed: str) -> DataFrame:
+    is_trade, cols = _FEEDS[feed]()
+    parsed = _parse_once(raw, "ingest_time")
+    return _valid(parsed.filter(is_trade).select(*[c.alias(n) for c, n in zip(cols, _TRADE_COLS)]))
+
+
 def norm_coinbase(raw: DataFrame) -> DataFrame:
     """`type == 'match'` -> trade; timestamp = arrival time."""
-    return _valid(_coinbase(raw))
+    return _one_feed(raw, "coinbase")
 
 
 def norm_binance(raw: DataFrame) -> DataFrame:
     """`e == 'trade'` -> trade at T (ms); side sell when `m` (maker) else buy."""
-    return _valid(_binance(raw))
+    return _one_feed(raw, "binance")
 
 
 def norm_kraken(raw: DataFrame, all_trades: bool = False) -> DataFrame:
     """S3: `[chan, [[price, vol, time, side, ...], ...], 'trade', pair]` -> the
     first trade of the array (or every trade with ``all_trades``); 'b' = buy."""
-    return _valid(_kraken(raw, all_trades))
+    if not all_trades:
+        return _one_feed(raw, "kraken")
+    is_trade, _ = _kraken()
+    items = F.try_variant_get(F.col("v"), "$[1]", "array<array<string>>")
+    parsed = _parse_once(raw, "ingest_time").filter(is_trade)
+    rows = parsed.select("ingest_time", F.explode(items).alias("t"))
+    return _valid(rows.select(*[c.alias(n) for c, n in zip(_kraken_trade(F.col("t")), _TRADE_COLS)]))
 
 
 def norm_plain(raw: DataFrame) -> DataFrame:
     """Flat trade JSON from the bus (price, size, side, exchange, pair, ms)."""
-    return _valid(_plain(raw))
+    return _one_feed(raw, "plain")
 
 
-def _by_feed(raw: DataFrame, source_col: str, feed: str) -> DataFrame:
-    return raw.filter(F.col(source_col) == F.lit(feed))
+def _routed(source: Column) -> tuple[Column, list[Column]]:
+    """is_trade and trade columns chosen by the message's feed (CASE on source)."""
+    parts = {feed: fn() for feed, fn in _FEEDS.items()}
+    is_trade = F.lit(False)
+    cols = [F.lit(None)] * len(_TRADE_COLS)
+    for feed, (flag, feed_cols) in parts.items():
+        hit = source == F.lit(feed)
+        is_trade = F.when(hit, flag).otherwise(is_trade)
+        cols = [F.when(hit, c).otherwise(prev) for c, prev in zip(feed_cols, cols)]
+    return is_trade, cols
 
 
 def normalize_trades(raw: DataFrame, source_col: str = "source") -> DataFrame:
     """Route each message by its feed, drop non-trade messages and return
-    one trades relation: the bag union (U1) of the per-feed projections."""
-    out = None
-    for feed, parse in _FEEDS.items():
-        part = _valid(parse(_by_feed(raw, source_col, feed)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    one trades relation (the union U1 of the feeds) — a single projection over
+    one scan of the raw stream."""
+    parsed = _parse_once(raw, source_col, "ingest_time")
+    is_trade, cols = _routed(F.col(source_col))
+    return _valid(parsed.filter(is_trade).select(*[c.alias(n) for c, n in zip(cols, _TRADE_COLS)]))
 
 
 def invalid_messages(raw: DataFrame, source_col: str = "source") -> DataFrame:
     """Side output of S7: (source, raw, reason) for messages that are not JSON,
     come from an unknown feed, or are trades whose price / size do not parse."""
-    not_json = raw.filter(F.json_array_length("raw").isNull() & F.json_object_keys("raw").isNull())
-    parts = [not_json.select(source_col, "raw", F.lit("not_json").alias("reason")),
-             raw.filter(~F.col(source_col).isin(*TRADE_FEEDS) | F.col(source_col).isNull())
-                .select(source_col, "raw", F.lit("unknown_feed").alias("reason"))]
-    for feed in _FEEDS:
-        bad = _broken_with_raw(_by_feed(raw, source_col, feed), feed)
-        parts.append(bad.select(F.lit(feed).alias(source_col), "raw", F.lit("bad_number").alias("reason")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _broken_with_raw(raw: DataFrame, feed: str) -> DataFrame:
-    """Trade messages of `feed` whose price or size does not parse, with the raw text."""
-    rows = raw.select("raw", "ingest_time")
-    if feed == "kraken":
-        arr = (_parse_once(rows, F.col("raw"), "array<string>", "a", "raw")
-               .filter((F.get(F.col("a"), 2) == "trade") & F.get(F.col("a"), 1).isNotNull()))
-        items = (_parse_once(arr, F.get(F.col("a"), 1), "array<array<string>>", "items", "raw")
-                 .select("raw", F.get(F.col("items"), 0).alias("t")))
-        return items.filter(F.col("t").isNotNull() &
-                            (_num(F.get(F.col("t"), 0)).isNull() | _num(F.get(F.col("t"), 1)).isNull()))
-    schema, flag, price, size = {
-        "coinbase": (_COINBASE, F.col("m.type") == "match", "m.price", "m.size"),
-        "binance": (_BINANCE, F.col("m.e") == "trade", "m.p", "m.q"),
-        "plain": (_PLAIN, F.col("m.price").isNotNull(), "m.price", "m.size"),
-    }[feed]
-    m = _parse_once(rows, F.col("raw"), schema, "m", "raw")
-    return m.filter(flag & (_num(F.col(price)).isNull() | _num(F.col(size)).isNull()))
-
-
-_ENVELOPE = "struct<subject:string, data:struct<price:string>, timestamp:string>"
-_TICKER = "struct<type:string, price:string, time:string, source:string, subject:string>"
+    parsed = _parse_once(raw, source_col, "raw", "ingest_time")
+    src = F.col(source_col)
+    is_trade, cols = _routed(src)
+    reason = (F.when(F.col("v").isNull(), F.lit("not_json"))
+               .when(src.isNull() | ~src.isin(*TRADE_FEEDS), F.lit("unknown_feed"))
+               .when(is_trade & (cols[1].isNull() | cols[2].isNull()), F.lit("bad_number")))
+    return (parsed.select(source_col, "raw", reason.alias("reason"))
+            .filter(F.col("reason").isNotNull()))
 
 
 def norm_envelope(raw: DataFrame) -> DataFrame:
     """Bus envelope `{subject, data: {price}, timestamp?}` -> tick with
     price = data.price (0.0 when absent), time = timestamp (ms) or arrival,
     source 'nex_stream'."""
-    m = _parse_once(raw, F.col("raw"), _ENVELOPE, "m", "ingest_time")
-    env = m.filter(F.col("m.subject").isNotNull() & F.col("m.data").isNotNull())
-    price = F.coalesce(_num(F.col("m.data.price")), F.lit(0.0))
-    time = F.coalesce(_millis_ntz(F.col("m.timestamp")), _arrival())
+    parsed = _parse_once(raw, "ingest_time")
+    has_data = F.try_variant_get(F.col("v"), "$.data", "variant").isNotNull()
+    env = parsed.filter(_s("$.subject").isNotNull() & has_data)
+    price = F.coalesce(_num(_s("$.data.price")), F.lit(0.0))
+    time = F.coalesce(_millis_ntz(_s("$.timestamp")), _arrival())
     return env.select(price.alias("price"), time.alias("time"), F.lit(ENVELOPE_SOURCE).alias("source"),
-                      F.col("m.subject").alias("subject"))
+                      _s("$.subject").alias("subject"))
 
 
 def norm_ticker(raw: DataFrame) -> DataFrame:
     """Accept `type == 'ticker'` or any message with a `source`: price, ISO
     `time`, source label ('nex_stream' -> 'NEX Stream', else 'Coinbase'),
     subject (default 'ticker')."""
-    m = _parse_once(raw, F.col("raw"), _TICKER, "m")
-    accept = F.coalesce((F.col("m.type") == "ticker") | F.col("m.source").isNotNull(), F.lit(False))
-    label = F.when(F.col("m.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
+    parsed = _parse_once(raw)
+    accept = F.coalesce((_s("$.type") == "ticker") | _s("$.source").isNotNull(), F.lit(False))
+    label = F.when(_s("$.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
              .otherwise(F.lit(TICK_SOURCE_DEFAULT))
-    time = instant_to_ntz(F.to_timestamp(F.col("m.time")))
-    return m.filter(accept).select(_num(F.col("m.price")).alias("price"), time.alias("time"),
-                                   label.alias("source"),
-                                   F.coalesce(F.col("m.subject"), F.lit(TICK_SUBJECT_DEFAULT)).alias("subject"))
+    time = instant_to_ntz(F.to_timestamp(_s("$.time")))
+    return parsed.filter(accept).select(_num(_s("$.price")).alias("price"), time.alias("time"),
+                                        label.alias("source"),
+                                        F.coalesce(_s("$.subject"), F.lit(TICK_SUBJECT_DEFAULT)).alias("subject"))
 
 
 def subject_filter(messages: DataFrame, subscriptions: Sequence[str], subject_col: str = "subject") -> DataFrame:
