@@ -21,8 +21,8 @@ def test_session_metrics_equal_batch(spark):
 
 def test_tick_state_equals_batch_window(spark):
     ticks = load_ticks(spark, SF)
-    got = replay.run_to_parquet(streams.stream_tick_analytics(replay.replay(spark, ticks, "time", "t4", 4)),
-                                spark, "t4")
+    got = replay.run_to_parquet(streams.stream_tick_analytics(replay.replay(spark, ticks, "time", "t4", 4),
+                                                              mode="state"), spark, "t4")
     exp = windows.source_analytics(ticks)
     j = got.alias("g").join(exp.alias("e"), "id")
     assert j.count() == ticks.count()
@@ -74,3 +74,16 @@ def test_dashboard_bundle(spark):
     n = out["price"].count()
     assert n > 0 and out["moving_averages"].count() == n
     assert sum(r["count"] for r in out["heatmap"].collect()) <= n - 1
+
+
+def test_tick_blocked_equals_batch_window(spark, tmp_path):
+    ticks = load_ticks(spark, SF)
+    q = streams.stream_tick_analytics(replay.replay(spark, ticks, "time", "t4b", 4),
+                                      base=str(tmp_path / "b"), checkpoint=str(tmp_path / "ck"))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "b" / "out"))
+    exp = windows.source_analytics(ticks)
+    j = got.alias("g").join(exp.alias("e"), "id")
+    assert got.count() == ticks.count() == j.count()
+    assert j.filter(~F.col("g.prev_price").eqNullSafe(F.col("e.prev_price"))
+                    | (F.abs(F.col("g.moving_avg_5") - F.col("e.moving_avg_5")) > 1e-9)).count() == 0

@@ -4,8 +4,12 @@
   stateless projections work unchanged on a streaming DataFrame.
 * T1/T2 are one keyed streaming aggregate (state = one row per pair).
 * T3 bars use an event-time watermark and tumbling windows in append mode.
-* T4 keeps the last k prices per source in `applyInPandasWithState`, because
-  row-frame windows are not allowed on streams.
+* T4: row-frame windows are not allowed on streams.  Default: `foreachBatch`
+  runs the distributed ordered window (per source, blocks with a halo) on
+  each micro-batch plus the previous epoch's last five rows per source (a
+  small versioned state table), so no source is ever handled by one task.
+  Option `mode="state"`: keyed `applyInPandasWithState` keeping the last five
+  prices (lower latency; needs bounded triggers).
 * T5 appends each micro-batch and keeps a bounded "latest" table via
   `foreachBatch` (versioned folders, idempotent on retry).
 """
@@ -21,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.exprs import instant_to_ntz, ntz_to_instant
 from ..operators.topk import retain_latest
+from ..plans.ordered import INDEX_COL, ordered_window
 from ..sources import messages
 
 # Bar width of the live chart and the tick frame (6 rows =
@@ -92,12 +97,54 @@ def _tick_state_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     yield out
 
 
-def stream_tick_analytics(ticks_stream: DataFrame) -> DataFrame:
+def stream_tick_analytics(ticks_stream: DataFrame, mode: str = "blocked", base: str | None = None,
+                          checkpoint: str | None = None, trigger: dict | None = None):
     """T4: per source, moving_avg_5 (current + 5 preceding prices) and
-    prev_price on a stream, with the last five prices kept as keyed state.
-    Rows of a source are assumed to arrive in time order across batches."""
-    return ticks_stream.groupBy("source").applyInPandasWithState(
-        _tick_state_fn, TICK_OUT_SCHEMA, TICK_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    prev_price on a stream.
+
+    ``mode="blocked"`` (default) starts a `foreachBatch` query writing
+    `base/out/epoch=<id>` and returns the StreamingQuery; each micro-batch is
+    windowed with the distributed ordered window, continuing from the state
+    table `base/state/v<epoch>` (last five rows per source).
+    ``mode="state"`` returns the streaming DataFrame of the
+    `applyInPandasWithState` form.  Both assume a source's rows arrive in time
+    order across micro-batches.
+    """
+    if mode == "state":
+        return ticks_stream.groupBy("source").applyInPandasWithState(
+            _tick_state_fn, TICK_OUT_SCHEMA, TICK_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    if mode != "blocked":
+        raise ValueError(f"unknown mode: {mode}")
+    if base is None or checkpoint is None:
+        raise ValueError("blocked mode needs `base` and `checkpoint` folders")
+    cols = ["id", "price", "time", "source", "subject"]
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        prev = _latest(spark, os.path.join(base, "state"), before=epoch)
+        rows = batch.select(*cols).withColumn("_carry", F.lit(False))
+        if prev is not None:
+            rows = rows.unionByName(spark.read.parquet(prev).select(*cols).withColumn("_carry", F.lit(True)))
+        framed = ordered_window(rows, ["time", "id"], lambda w: {
+            "moving_avg_5": F.avg("price").over(w.rowsBetween(-TICK_FRAME_PRECEDING, 0)),
+            "prev_price": F.lag("price").over(w),
+        }, halo=TICK_FRAME_PRECEDING, partition_by=["source"], keep_index=True)
+        # two outputs from one framed batch: keep it (bounded by the trigger;
+        # recomputable from the batch lineage if an executor is lost)
+        framed = framed.persist()
+        try:
+            (framed.filter(~F.col("_carry")).select(*cols, "moving_avg_5", "prev_price")
+             .write.mode("overwrite").parquet(os.path.join(base, "out", f"epoch={epoch}")))
+            # new state: the last five rows of every source (index > last - 5)
+            last = framed.groupBy("source").agg(F.max(INDEX_COL).alias("_last"))
+            tail = (framed.join(last, "source")
+                    .filter(F.col(INDEX_COL) > F.col("_last") - TICK_FRAME_PRECEDING).select(*cols))
+            tail.write.mode("overwrite").parquet(os.path.join(base, "state", f"v{epoch:012d}"))
+        finally:
+            framed.unpersist()
+
+    w = ticks_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_retention(trades_stream: DataFrame, base: str, checkpoint: str, keep: int = 1000,
@@ -109,7 +156,7 @@ def stream_retention(trades_stream: DataFrame, base: str, checkpoint: str, keep:
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(os.path.join(base, "all", f"epoch={epoch}"))
-        prev = latest_version(spark, base, before=epoch)
+        prev = _latest(spark, os.path.join(base, "latest"), before=epoch)
         merged = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
         retain_latest(merged, keep).write.mode("overwrite").parquet(os.path.join(base, "latest", f"v{epoch:012d}"))
 
@@ -119,7 +166,11 @@ def stream_retention(trades_stream: DataFrame, base: str, checkpoint: str, keep:
 
 def latest_version(spark, base: str, before: int | None = None) -> str | None:
     """Path of the newest complete `latest` version (optionally older than `before`)."""
-    root = os.path.join(base, "latest")
+    return _latest(spark, os.path.join(base, "latest"), before)
+
+
+def _latest(spark, root: str, before: int | None = None) -> str | None:
+    """Newest complete `v<epoch>` folder under `root` (older than `before`)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path(root)
