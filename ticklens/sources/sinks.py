@@ -15,12 +15,20 @@ from ..functions.exprs import epoch_micros_ntz, ntz_from_micros
 
 # Rollup timeframes (name -> seconds).
 ROLLUP_TIMEFRAMES = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600}
+MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def append_trades(trades: DataFrame, path: str) -> None:
-    """S10 (batch): append trades to a parquet table partitioned by trade date."""
+    """S10 (batch): append trades to a parquet table partitioned by trade date.
+
+    Rows are sorted by time inside each task (no shuffle), so parquet
+    row-group min/max on `timestamp` are tight and a later timeframe filter
+    skips row groups, not only date folders; files are capped in size.
+    """
     (trades.withColumn("date", F.to_date("timestamp"))
-     .write.mode("append").partitionBy("date").parquet(path))
+     .sortWithinPartitions("date", "timestamp")
+     .write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .partitionBy("date").parquet(path))
 
 
 def append_trades_stream(trades_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
@@ -28,7 +36,7 @@ def append_trades_stream(trades_stream: DataFrame, path: str, checkpoint: str, t
     output (replaces the reference's buffer and its lost-row race)."""
     w = (trades_stream.withColumn("date", F.to_date("timestamp"))
          .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-         .partitionBy("date").outputMode("append"))
+         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("date").outputMode("append"))
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
