@@ -156,3 +156,18 @@ def test_views_and_table_exists(spark, make_trades, make_ticks):
     assert set(views.register_views(spark, t, ticks)) == {"trades", "ticks", "market_analytics"}
     assert stats.table_exists(spark, "market_analytics")
     assert views.run_sql(spark, "SELECT COUNT(*) AS n FROM trades").first().n == 1
+
+
+def test_rollups_overwrite_only_written_timeframes(spark, make_trades, tmp_path):
+    from ticklens.sources import sinks
+    t = make_trades([(1, "2024-01-30 12:00:10", 1.0, 1.0, "buy"), (2, "2024-01-30 12:01:20", 3.0, 2.0, "sell"),
+                     (3, "2024-01-30 12:07:00", 2.0, 1.0, "buy")])
+    path = str(tmp_path / "rollups")
+    sinks.write_rollups(t, path, ["1m", "5m"])
+    sinks.write_rollups(t.filter("id = 1"), path, ["1m"])          # rewrites the 1m partition only
+    got = {(r.timeframe, str(r.timestamp)): (r.open_price, r.close_price, r.trade_count)
+           for r in spark.read.parquet(path).collect()}
+    assert got[("5m", "2024-01-30 12:00:00")] == (1.0, 3.0, 2)       # untouched
+    assert got[("5m", "2024-01-30 12:05:00")] == (2.0, 2.0, 1)
+    assert [k for k in got if k[0] == "1m"] == [("1m", "2024-01-30 12:00:00")]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
