@@ -17,7 +17,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "ticklens", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 4) -> str:
+def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 3) -> str:
     """Write `df` as `chunks` consecutive time slices (bounds from approx quantiles)."""
     qs = [i / chunks for i in range(1, chunks)]
     from pyspark.sql import types as T
@@ -37,7 +37,7 @@ def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 4) -> str:
     return dest
 
 
-def replay(spark: SparkSession, df: DataFrame, ts_col: str, name: str, chunks: int = 4) -> DataFrame:
+def replay(spark: SparkSession, df: DataFrame, ts_col: str, name: str, chunks: int = 3) -> DataFrame:
     """Streaming DataFrame over `df`, one micro-batch per time chunk."""
     dest = write_chunks(df, ts_col, scratch(spark, name + "-in"), chunks)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(dest)
