@@ -35,3 +35,34 @@ def test_ordered_window_has_no_single_partition_exchange(spark):
 def test_one_pass_comprehensive_stats(spark):
     p = plan(stats.comprehensive_stats(load_trades(spark, SF), 60, "2024-01-31 00:00:00"))
     assert p.count("FileScan") == 1
+
+
+def _single_partition_inputs(df) -> list[str]:
+    """Operators feeding each `Exchange SinglePartition` of the executed plan."""
+    import re
+    df.write.format("noop").mode("overwrite").save()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    out = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            nxt = re.sub(r"^[\s:|+\-*()0-9]*", "", lines[i + 1])
+            out.append(nxt.split(" ")[0].split("(")[0])
+    return out
+
+
+BOUNDED = {"HashAggregate", "SortAggregate", "ObjectHashAggregate", "TakeOrderedAndProject", "GlobalLimit",
+           "LocalLimit", "CollectLimit"}
+
+
+def test_no_registered_plan_moves_all_rows_into_one_partition(spark):
+    """SURVEY §7.6: only (partial) aggregates and top-N results may meet in
+    one partition; never the trade rows themselves."""
+    import __spark_entry__ as E
+    offenders = {}
+    for key, q in E.queries().items():
+        if key.startswith("stream_") or key in ("write_rollups", "append_trades"):
+            continue                      # these run their own jobs; their inputs are checked elsewhere
+        bad = [k for k in _single_partition_inputs(q(spark, SF)) if k not in BOUNDED]
+        if bad:
+            offenders[key] = bad
+    assert offenders == {}

@@ -46,7 +46,7 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 100_000
 OVERSAMPLE = 8
 MAX_BLOCK_ROWS = 4_000_000
-MIN_ROWS_PER_BUCKET = 1_000      # never split data into buckets smaller than this
+MIN_ROWS_PER_BUCKET = 128        # never split data into buckets smaller than this
 SAMPLE_SEED = 20240101
 
 
