@@ -247,8 +247,9 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
         targets = F.when(F.col(INDEX_COL) % F.lit(b) >= F.lit(b - halo), F.array(own, own + 1)).otherwise(targets)
     base = (indexed.select("*", F.explode(targets).alias(BLOCK_COL))
             .withColumn(HALO_COL, F.col(BLOCK_COL) != F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")))
-    # one shuffle partition per block: task size is bounded by `b` rows
-    n_blocks = max(1, math.ceil(n / b) + len(pcols))
+    # about one block of rows per shuffle partition: task size is bounded by
+    # `b` rows whatever the number of partition keys (keys only add groups)
+    n_blocks = max(1, math.ceil(n / b))
     base = base.repartition(n_blocks, *pcols, BLOCK_COL)
     w = Window.partitionBy(*pcols, BLOCK_COL).orderBy(INDEX_COL)
     stages = build(w)
