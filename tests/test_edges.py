@@ -171,3 +171,25 @@ def test_rollups_overwrite_only_written_timeframes(spark, make_trades, tmp_path)
     assert got[("5m", "2024-01-30 12:05:00")] == (2.0, 2.0, 1)
     assert [k for k in got if k[0] == "1m"] == [("1m", "2024-01-30 12:00:00")]
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_timeframe_resolution():
+    from ticklens.functions.timeframe import resolve_timeframe, validate_stats_timeframe
+    assert [resolve_timeframe(x) for x in ("1m", "5m", "15m", "1h", "all")] == [1, 5, 15, 60, None]
+    assert resolve_timeframe("weird") == 5 and resolve_timeframe(None) is None and resolve_timeframe(90) == 90
+    assert resolve_timeframe("30") == 30.0
+    with pytest.raises(ValueError):
+        resolve_timeframe(-1)
+    validate_stats_timeframe(1440)
+    for bad in (0, 1441, "60", True):
+        with pytest.raises(ValueError):
+            validate_stats_timeframe(bad)
+
+
+def test_named_timeframe_filter(make_trades):
+    from ticklens.functions.timeframe import timeframe_filter
+    t = make_trades([(1, "2024-01-30 23:59:30", 1.0, 1.0, "buy"), (2, "2024-01-30 23:50:00", 2.0, 1.0, "buy"),
+                     (3, "2024-01-30 22:00:00", 3.0, 1.0, "buy")])
+    ids = lambda tf: sorted(r.id for r in timeframe_filter(t, tf, AS_OF).collect())
+    assert ids("1m") == [1] and ids("15m") == [1, 2] and ids("1h") == [1, 2] and ids("all") == [1, 2, 3]
+    assert stats.pair_stats(t, "all", AS_OF).first().trade_count == 3      # 'all' = one year back
