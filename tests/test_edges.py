@@ -193,3 +193,12 @@ def test_named_timeframe_filter(make_trades):
     ids = lambda tf: sorted(r.id for r in timeframe_filter(t, tf, AS_OF).collect())
     assert ids("1m") == [1] and ids("15m") == [1, 2] and ids("1h") == [1, 2] and ids("all") == [1, 2, 3]
     assert stats.pair_stats(t, "all", AS_OF).first().trade_count == 3      # 'all' = one year back
+
+
+def test_change_intensity_needs_more_than_ten_rows(make_trades):
+    rows = [(i, f"2024-01-30 12:00:{i:02d}", float(10 + i % 4), 1.0, "buy") for i in range(10)]
+    assert distribution.change_intensity(make_trades(rows)).count() == 0
+    rows.append((10, "2024-01-30 12:00:10", 8.0, 1.0, "sell"))
+    out = distribution.change_intensity(make_trades(rows)).collect()
+    assert len(out) == 10 and max(r.intensity for r in out) == 1.0
+    assert {r.direction for r in out} == {"negative", "positive"}

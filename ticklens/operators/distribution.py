@@ -210,12 +210,16 @@ def change_intensity(trades: DataFrame, timeframe=None, as_of=None, min_rows: in
     direction ('negative' / 'positive'); empty unless there are more than
     `min_rows` rows."""
     t = timeframe_filter(trades, timeframe, as_of)
-    # the change series feeds both max|chg| and the rows: write it once
-    ch = materialize(price_changes(t, keep_first=False).select("timestamp", "id", "pct_change"))
-    total = t.agg(F.count(F.lit(1))).scalar()
+    # one count serves the ordered core and the "more than min_rows" guard;
+    # the change series feeds both max|chg| and the rows, so it is written once
+    n = t.count()
+    if n <= min_rows:
+        return t.select("timestamp", "id", F.lit(None).cast("double").alias("pct_change"),
+                        F.lit(None).cast("double").alias("intensity"),
+                        F.lit(None).cast("string").alias("direction")).filter(F.lit(False))
+    ch = materialize(price_changes(t, keep_first=False, n=n).select("timestamp", "id", "pct_change"))
     max_abs = ch.agg(F.max(F.abs("pct_change"))).scalar()
-    return (ch.filter(total > F.lit(min_rows))
-            .select("timestamp", "id", "pct_change",
+    return (ch.select("timestamp", "id", "pct_change",
                     F.least(F.lit(1.0), F.try_divide(F.abs("pct_change"), max_abs)).alias("intensity"),
                     F.when(F.col("pct_change") < 0, F.lit("negative")).otherwise(F.lit("positive"))
                     .alias("direction"))

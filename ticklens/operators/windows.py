@@ -59,15 +59,16 @@ def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_o
         return {"rolling_volatility": F.stddev_samp("pct_change").over(frame(w)),
                 "rolling_avg_change": F.avg(F.abs("pct_change")).over(frame(w))}
 
-    has_null_price = t.filter(F.col("price").isNull()).limit(1).count() > 0
-    if not has_null_price:
+    # one job answers both: the row count (for the ordered core) and whether any price is NULL
+    n, n_priced = t.agg(F.count(F.lit(1)), F.count("price")).first()
+    if n_priced == n:
         stages = lambda w: [
             {"prev_price": F.lag("price").over(w)},
             {"pct_change": _pct("price", "prev_price")},
             rolling(w),
         ]
         # halo = window: the oldest halo row only feeds the next row's LAG
-        out = ordered_window(t, TRADE_ORDER, stages, halo=window, **tuning) \
+        out = ordered_window(t, TRADE_ORDER, stages, halo=window, n=n, **tuning) \
             .filter(F.col("prev_price").isNotNull())
     else:
         ch = materialize(price_changes(t, **tuning)

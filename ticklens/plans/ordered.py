@@ -118,13 +118,15 @@ def assign_buckets(df: DataFrame, order_by: Sequence[str], *,
                    partition_by: Sequence[str] | None = None,
                    rows_per_bucket: int | None = None,
                    max_buckets: int = MAX_BUCKETS,
-                   min_buckets: int | None = None) -> tuple[DataFrame, int, int]:
+                   min_buckets: int | None = None,
+                   n: int | None = None) -> tuple[DataFrame, int, int]:
     """Tag rows with ``_bucket``: contiguous ranges of the (partition hash,
     order_by) total order, balanced by a bounded sample.  Returns the tagged
-    frame (with ``_h``), the number of buckets and the row count."""
+    frame (with ``_h``), the number of buckets and the row count (counted
+    here unless the caller passes the exact ``n``)."""
     spark = df.sparkSession
     pcols = list(partition_by or [])
-    n = df.count()
+    n = df.count() if n is None else n
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     if min_buckets is None:
         # enough buckets to use every task slot, none smaller than MIN_ROWS_PER_BUCKET
@@ -170,7 +172,8 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
                  partition_by: Sequence[str] | None = None,
                  rows_per_bucket: int | None = None,
                  max_buckets: int = MAX_BUCKETS,
-                 min_buckets: int | None = None) -> tuple[DataFrame, int]:
+                 min_buckets: int | None = None,
+                 n: int | None = None) -> tuple[DataFrame, int]:
     """Add ``_i``: 0-based position of each row in ``order_by`` order.
 
     With ``partition_by`` the position restarts for every partition key.
@@ -180,7 +183,7 @@ def global_index(df: DataFrame, order_by: Sequence[str], *,
     """
     pcols = list(partition_by or [])
     keyed, nb, n = assign_buckets(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket,
-                                  max_buckets=max_buckets, min_buckets=min_buckets)
+                                  max_buckets=max_buckets, min_buckets=min_buckets, n=n)
     group = [*pcols, BUCKET_COL]
     counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*pcols).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
@@ -221,7 +224,8 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
                    partition_by: Sequence[str] | None = None,
                    block_rows: int | None = None,
                    rows_per_bucket: int | None = None,
-                   keep_index: bool = False) -> DataFrame:
+                   keep_index: bool = False,
+                   n: int | None = None) -> DataFrame:
     """Evaluate row-frame window columns over a global (per key) order.
 
     ``build(w)`` returns ``{name: expression}`` (or a list of such dicts,
@@ -233,7 +237,7 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     if halo < 0:
         raise ValueError("halo must be >= 0")
     pcols = list(partition_by or [])
-    indexed, n = global_index(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket)
+    indexed, n = global_index(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket, n=n)
     parts = parallelism(df.sparkSession)
     b = block_rows or block_rows_for(n, halo, parts)
     if b <= halo:
