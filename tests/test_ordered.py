@@ -123,3 +123,18 @@ def test_rolling_volatility_both_paths_equal_global_window(spark, with_nulls):
     assert got.count() == exp.count() == j.count()
     assert j.filter((F.abs(F.col("rolling_volatility") - F.col("rv")) > 1e-9)
                     | (F.abs(F.col("rolling_avg_change") - F.col("ra")) > 1e-9)).count() == 0
+
+
+def test_many_buckets_and_blocks_on_events(spark):
+    """sf0.01 events with ~500 buckets (numpy search path, > 255 split points)
+    and ~200 blocks equal the global window."""
+    from ticklens.sources.tables import load_trades
+    t = load_trades(spark, "/root/testdata/sf0.01")
+    got = ordered_window(t, ["timestamp", "id"], lambda w: {
+        "prev": F.lag("price").over(w), "ma": F.avg("price").over(w.rowsBetween(-49, 0))},
+        halo=49, block_rows=50, rows_per_bucket=20)
+    g = Window.orderBy("timestamp", "id")
+    exp = t.select("id", F.lag("price").over(g).alias("p2"), F.avg("price").over(g.rowsBetween(-49, 0)).alias("m2"))
+    j = got.join(exp, "id")
+    assert j.count() == t.count() == 10_000
+    assert j.filter(~F.col("prev").eqNullSafe(F.col("p2")) | (F.abs(F.col("ma") - F.col("m2")) > 1e-9)).count() == 0
