@@ -125,10 +125,12 @@ def stream_tick_analytics(ticks_stream: DataFrame, mode: str = "blocked", base:
         rows = batch.select(*cols).withColumn("_carry", F.lit(False))
         if prev is not None:
             rows = rows.unionByName(spark.read.parquet(prev).select(*cols).withColumn("_carry", F.lit(True)))
+        # the count, the key sample and the window all read this epoch's input
+        rows = rows.persist()
         framed = ordered_window(rows, ["time", "id"], lambda w: {
             "moving_avg_5": F.avg("price").over(w.rowsBetween(-TICK_FRAME_PRECEDING, 0)),
             "prev_price": F.lag("price").over(w),
-        }, halo=TICK_FRAME_PRECEDING, partition_by=["source"], keep_index=True)
+        }, halo=TICK_FRAME_PRECEDING, partition_by=["source"], keep_index=True, n=rows.count())
         # two outputs from one framed batch: keep it (bounded by the trigger;
         # recomputable from the batch lineage if an executor is lost)
         framed = framed.persist()
@@ -142,6 +144,7 @@ def stream_tick_analytics(ticks_stream: DataFrame, mode: str = "blocked", base:
             tail.write.mode("overwrite").parquet(os.path.join(base, "state", f"v{epoch:012d}"))
         finally:
             framed.unpersist()
+            rows.unpersist()
 
     w = ticks_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
