@@ -87,3 +87,11 @@ def test_tick_blocked_equals_batch_window(spark, tmp_path):
     assert got.count() == ticks.count() == j.count()
     assert j.filter(~F.col("g.prev_price").eqNullSafe(F.col("e.prev_price"))
                     | (F.abs(F.col("g.moving_avg_5") - F.col("e.moving_avg_5")) > 1e-9)).count() == 0
+
+
+def test_session_metrics_update_mode(spark):
+    """T1 also runs in update mode (only changed keys are emitted per batch)."""
+    t = load_trades(spark, SF)
+    out = replay.run_to_parquet(streams.stream_session_metrics(replay.replay(spark, t, "timestamp", "t1u", 3)),
+                                spark, "t1u", "update")
+    assert out.first().trade_count == t.count()
