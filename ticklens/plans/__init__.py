@@ -1,0 +1,2 @@
+"""Plans: the distributed ordered-window core, dispatch entry points, SQL views
+and the registry of queries with their DuckDB oracles."""
