@@ -159,11 +159,11 @@ def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int =
     Times are computed in epoch microseconds.
     """
     t = timeframe_filter(trades, timeframe, as_of).filter(F.col("timestamp").isNotNull())
-    first_key = t.agg(F.min(F.struct("timestamp", "id")).alias("k")).select("k").scalar()
+    # one pass over the rows: first (timestamp, id) key and the price range
+    first_key, plo, phi = _scalars(t, k=F.min(F.struct("timestamp", "id")), lo=F.min("price"), hi=F.max("price"))
     changes = t.filter(F.struct("timestamp", "id") > first_key)
     us = epoch_micros_ntz("timestamp").cast("double")
     tlo, thi = _scalars(changes, lo=F.min(us), hi=F.max(us))
-    plo, phi = _range_scalars(t)
     tw = (thi - tlo) / F.lit(float(time_bins))
     pw = (phi - plo) / F.lit(float(price_bins))
 
