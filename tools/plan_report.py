@@ -43,21 +43,26 @@ def main() -> None:
     spark = build_session()
     print("# Plan report\n")
     print(f"Executed (AQE final) plans of every registered batch query at `{sf}`, generated by "
-          "`tools/plan_report.py`. *single* lists the operators feeding each single-partition exchange: only "
-          "aggregates and top-N results may meet in one partition. Stream and sink keys run their own jobs and are "
-          "not listed.\n")
-    print("| Query | Shuffles | Single-partition inputs | Broadcasts | Scan reads | Pushed filters |")
-    print("|---|---|---|---|---|---|")
+          "`tools/plan_report.py`. *Jobs run* counts every Spark job of the query, planning jobs included; "
+          "*exchanges in plan* counts distinct exchange nodes in the printed plan (a scalar subquery's plan is "
+          "listed per use, so this over-counts work). *Single-partition inputs* lists the operators feeding each "
+          "single-partition exchange: only aggregates and top-N results may meet in one partition. Stream and sink "
+          "keys run their own jobs and are not listed.\n")
+    print("| Query | Jobs run | Exchanges in plan | Single-partition inputs | Broadcasts | Scan reads | Pushed filters |")
+    print("|---|---|---|---|---|---|---|")
+    sc = spark.sparkContext
     for key in sorted(E.queries()):
         if key.startswith(SKIP_PREFIX) or key in SKIP:
             continue
-        df = E.queries()[key](spark, sf)
+        sc.setJobGroup(f"plan-{key}", key)
+        df = E.queries()[key](spark, sf)          # planning jobs (counts, samples) count too
         df.write.format("noop").mode("overwrite").save()
+        jobs = len(sc.statusTracker().getJobIdsForGroup(f"plan-{key}"))
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
         single = ", ".join(sorted(set(s["single"]))) or "-"  # kinds only
         reads = "<br>".join(s["schemas"]) or "-"
         pushed = "<br>".join(p[:80] for p in s["pushed"]) or "-"
-        print(f"| `{key}` | {s['shuffles']} | {single} | {s['broadcasts']} | {reads} | {pushed} |")
+        print(f"| `{key}` | {jobs} | {s['shuffles']} | {single} | {s['broadcasts']} | {reads} | {pushed} |")
 
 
 if __name__ == "__main__":
