@@ -6,20 +6,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import packing, token_files
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' token pieces in sequences of 2048."""
+    return packing.pattern_packing(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, written to bit-packed files and read back."""
     return token_files.token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op10_token_files,)
+    own = (op2_pattern_packing, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
