@@ -99,14 +99,14 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int =
     scale = max(1.0, float(target.max()))
     repeats = nnls(a * weight, target * weight[:, 0] / scale) * scale
 
-    by_step: dict[int, list[int]] = defaultdict(list)  # lengths, the longest last
+    by_step: dict[int, list[int]] = defaultdict(list)  # lengths, ascending
     for length in sorted(left):
         by_step[rounded(length)].append(length)
 
-    def take(step: int, most: int, longest: bool) -> tuple[int, int]:
-        """A length of that step and how many of at most ``most`` pieces it gives."""
+    def take(step: int, most: int, room: int) -> tuple[int, int]:
+        """The step's longest length that fits and how many of at most ``most`` pieces it gives."""
         own = by_step[step]
-        length = own[-1] if longest else own[0]
+        length = max(k for k in own if k <= room)
         n = min(most, left[length])
         left[length] -= n
         if not left[length]:
@@ -126,9 +126,14 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int =
         while want > 0:
             got, n = [], want
             for i, step in enumerate(shapes[j]):
+                if i + 1 == len(shapes[j]):  # of the last step or, as the others fell short, a little above
+                    room = capacity - sum(got)
+                    step = next((k for k in range(rounded(room), step - 1, -1) if by_step[k] and by_step[k][0] <= room), 0)
+                else:
+                    room = capacity
                 if not by_step[step]:
                     break
-                length, m = take(step, n, i == 0)
+                length, m = take(step, n, room)
                 if m < n:  # fewer of this length: the pieces before it give some back
                     for other in got:
                         give(other, n - m)

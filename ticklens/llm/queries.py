@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import packing, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,13 +18,18 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pattern_packing(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels outside the held-out third."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, written to bit-packed files and read back."""
     return token_files.token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pattern_packing, op10_token_files,)
+    own = (op2_pattern_packing, op4_toxicity, op10_token_files,)
     return {f.__name__: f for f in own}
 
 

@@ -176,7 +176,8 @@ def read_token_files(files: DataFrame) -> DataFrame:
     The only thing that passes through the driver is one number for each range of the writer.
     """
     spark = files.sparkSession
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).orderBy("part").collect()
+    tasks = max(1, sum(r["files"] for r in totals))  # a given number isn't coalesced by the rows' small size
     before, bases = 0, []
     for r in totals:
         bases.append((r["part"], before))
@@ -185,7 +186,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = (files.withColumn("inside", F.coalesce(F.sum("n_ids").over(own), F.lit(0)))
               .join(base, "part").select("path", (F.col("base") + F.col("inside")).alias("base"))
-              .repartition("path"))
+              .repartition(tasks, "path"))
 
     def read(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs as pafs
