@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files, toxicity
+from . import byte_bpe, packing, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,13 +23,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of all documents and back."""
+    return byte_bpe.byte_bpe_round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, written to bit-packed files and read back."""
     return token_files.token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pattern_packing, op4_toxicity, op10_token_files,)
+    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
