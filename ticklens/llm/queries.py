@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, simhash, token_files, toxicity
+from . import byte_bpe, ngram_lm, packing, simhash, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -33,13 +33,18 @@ def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a model of those outside the held-out seventh."""
+    return ngram_lm.language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, written to bit-packed files and read back."""
     return token_files.token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op7_simhash_vptree, op10_token_files,)
+    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op7_simhash_vptree, op9_lm_scores, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
