@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, ngram_lm, packing, simhash, token_files, toxicity
+from . import ann, byte_bpe, ngram_lm, packing, simhash, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe_round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+def op6_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all embeddings to every hundredth."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components that near fingerprints form."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,7 +49,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op7_simhash_vptree, op9_lm_scores, op10_token_files,)
+    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op9_lm_scores, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
