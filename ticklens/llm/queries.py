@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, ngram_lm, packing, simhash, token_files, toxicity
+from . import ann, byte_bpe, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,11 @@ def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a 100-byte passage which also starts earlier covers."""
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all documents under a model of those outside the held-out seventh."""
     return ngram_lm.language_model_scores(table(spark, sf_dir, "documents"))
@@ -49,7 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op9_lm_scores, op10_token_files,)
+    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
