@@ -6,13 +6,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
+from . import ann, byte_bpe, fingerprints, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and their likeness."""
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of all documents' token pieces in sequences of 2048."""
     return packing.pattern_packing(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
@@ -54,7 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pattern_packing, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,)
+    own = (op1_iblt_fingerprints, op2_pattern_packing, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
