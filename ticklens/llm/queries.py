@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, fingerprints, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
+from . import ann, byte_bpe, fingerprints, licenses, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pattern_packing(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op3_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical digests of all documents, and the licences that whole texts are."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"), licenses.known_digests(spark))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learnt from the labels outside the held-out third."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,9 +64,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_iblt_fingerprints, op2_pattern_packing, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,)
+    own = (op1_iblt_fingerprints, op2_pattern_packing, op3_license_digests, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_digests": licenses.oracle_sql()}

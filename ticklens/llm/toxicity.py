@@ -196,6 +196,13 @@ def score(model: Model):
     return scored
 
 
+def keep_ordinary(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
+    """``docs``, all columns, without the rows whose score reaches the threshold; null and empty texts stay."""
+    model = train(docs, labels, **sample)
+    scored = docs.withColumn("_llm_score", score(model)(F.col("text").cast("string")))
+    return scored.filter(F.col("_llm_score") < THRESHOLD).select(*docs.columns)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``, from its whole text alone."""
     model = train(docs, labels, **sample)
