@@ -1,18 +1,47 @@
-"""Corpus pipeline: stages over ``documents``, each an operator of ``ticklens.llm``."""
+"""Corpus pipeline: stages over ``documents``, each an operator of ``ticklens.llm``.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next stage's ``docs``.  All but the last return the columns of ``documents``.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ticklens.llm import packing, simhash, suffix_dedup, toxicity
 from ticklens.llm.common import materialize, table
+from ticklens.llm.queries import WORD_VOCABULARY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject; it learns from the labels outside the held-out third."""
+    return toxicity.keep_ordinary(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of each component of near fingerprints."""
+    return simhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that also start earlier in what is left."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the texts' ids in sequences."""
+    return packing.pattern_packing(docs, WORD_VOCABULARY)
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates),
+          ("suffix_array_dedup", cut_repeats), ("best_fit_packing", pack)]
 
-#: Classification, fingerprint clustering and packing are not expressible in SQL.
+#: Classification, fingerprint components, suffix sorting and tokenization are beyond SQL; tests/llm has a
+#: brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each stage's rows are written and read again."""
+    """Apply the stages to ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
