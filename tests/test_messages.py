@@ -34,13 +34,51 @@ def test_binance(raw):
     assert r.timestamp == dt.datetime(2024, 1, 1, 0, 0, 0)
 
 
-def test_kraken_first_and_all(raw):
-    txt = '[12,[["50000.10","0.5","1704067200.1","b","l",""],["50001","0.25","1704067200.2","s","l",""]],"trade","XBT/USD"]'
+def test_kraken_every_trade(raw):
+    txt = '[12,[["50000.10","0.5","1704067200.1","b","l",""],["x","1","1","b"],["50001","0.25","1704067200.2","s","l",""]],"trade","XBT/USD"]'
     df = raw([("kraken", txt), ("kraken", '{"event":"heartbeat"}')])
-    first = M.norm_kraken(df).collect()
-    assert [(r.price, r.size, r.side) for r in first] == [(50000.10, 0.5, "buy")]
-    every = M.norm_kraken(df, all_trades=True).collect()
-    assert sorted((r.price, r.side) for r in every) == [(50000.10, "buy"), (50001.0, "sell")]
+    for rows in (M.norm_kraken(df).collect(), M.normalize_trades(df).collect()):
+        assert sorted((r.price, r.size, r.side) for r in rows) == [(50000.10, 0.5, "buy"), (50001.0, 0.25, "sell")]
+        assert len({r.id for r in rows}) == 2
+    assert [(r.pos, r.reason, r.raw) for r in M.invalid_messages(df).collect()] == [(1, "bad_number", txt)]
+
+
+def test_ids_are_the_same_in_every_run(spark, raw):
+    rows = [("coinbase", '{"type":"match","price":"%d","size":"2","side":"buy"}' % i) for i in range(5)]
+    ids = lambda df: sorted(r.id for r in M.normalize_trades(df).collect())
+    df = raw(rows)
+    assert ids(df) == ids(df.repartition(3)) and len(set(ids(df))) == 5
+    numbered = df.withColumn("msg_id", F.col("raw").substr(26, 1).cast("long"))
+    assert ids(numbered) == [i << 20 for i in range(5)]
+    logged = df.withColumns({"topic": F.lit("t"), "partition": F.lit(0), "offset": F.xxhash64("raw")})
+    assert len(set(ids(logged))) == 5
+
+
+def test_poison_never_fails_the_job(raw):
+    df = raw([("binance", '{"e":"trade","T":9223372036854775807,"p":"3","q":"1","m":false}'),
+              ("plain", '{"price":1,"size":1,"timestamp":1704067200000000000}'),
+              ("coinbase", '{"type":"match","price":"NaN","size":"2"}'), ("coinbase", '{"type":"match","price":"1","size":"-Infinity"}'),
+              ("bus", '{"subject":"s","data":{"price":"x"}}'), ("bus", '{"subject":"s","data":{"price":1},"timestamp":"soon"}'),
+              ("coinbase_ticker", '{"type":"ticker","price":"1.5","time":"yesterday"}'), ("coinbase_ticker", '{"type":"ticker","price":"?","time":"2024-01-01T00:00:00Z"}'),
+              (None, '{"a":1}'), ("kraken", None)])
+    assert M.normalize_trades(df).count() == 0 and M.normalize_ticks(df).count() == 0
+    assert M.norm_ticker(df).count() == 0
+    assert sorted(r.reason for r in M.invalid_messages(df).collect()) == ["bad_number"] * 4 + ["bad_time"] * 4 + ["not_json", "unknown_feed"]
+
+
+def test_one_parse_writes_trades_and_rejects(spark, raw, tmp_path):
+    df = raw([("coinbase", '{"type":"match","price":"1","size":"2","side":"buy"}'), ("coinbase", "not json")])
+    M.split_messages(df, f"{tmp_path}/t", f"{tmp_path}/r")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 1 and spark.read.parquet(f"{tmp_path}/r").first().reason == "not_json"
+
+
+def test_messages_flow_into_analytics(raw):
+    from ticklens.operators import stats, windows
+    df = raw([("binance", '{"e":"trade","T":%d,"p":"%d","q":"1","m":false}' % (1704067200000 + i, i)) for i in range(1, 9)])
+    r = stats.comprehensive_stats(M.normalize_trades(df), 60, dt.datetime(2024, 1, 1, 0, 30)).first()
+    assert (r.first_price, r.current_price, r.trade_count) == (1.0, 8.0, 8)
+    ticks = M.norm_envelope(raw([("bus", '{"subject":"s","data":{"price":%d},"timestamp":%d}' % (i, 1704067200000 + i)) for i in range(4)]))
+    assert windows.tick_analytics(ticks).count() == 4
 
 
 def test_envelope_and_ticker(raw):

@@ -7,8 +7,10 @@ tests.  Each document is parsed ONCE into Spark's VARIANT type
 and Kraken's arrays alike — is read from it with `try_variant_get` paths.
 Every normaliser is a stateless projection + filter, so the same code runs on
 batch and streaming DataFrames, and the mixed-feed router is ONE projection
-(one scan of the stream, no union).  Numbers are parsed with ``try_cast``: a
-malformed value becomes NULL and the row goes to :func:`invalid_messages`.
+(one scan of the stream, no union).  Every trade of a message becomes a row with
+an id that is the same whenever the message is read again.  Numbers and times
+are parsed with ``try_`` functions: a malformed one never fails the job, its
+row goes to :func:`invalid_messages`, out of the same parse.
 """
 from __future__ import annotations
 
@@ -28,9 +30,16 @@ TICK_SOURCE_LABELS = {"nex_stream": "NEX Stream"}
 TICK_SOURCE_DEFAULT = "Coinbase"
 TICK_SUBJECT_DEFAULT = "ticker"
 TRADE_FEEDS = ("coinbase", "binance", "kraken", "plain")
+TICK_FEEDS = ("bus", "coinbase_ticker")
+# The last millisecond of year 9999; trade ids of a numbered message start at its number times this.
+MAX_EPOCH_MILLIS = 253_402_300_799_999
+IDS_PER_MESSAGE = 1 << 20
+
 
 def _num(c: Column) -> Column:
-    return c.try_cast("double")
+    """A finite double, else NULL ("NaN" and "Infinity" are no prices)."""
+    n = c.try_cast("double")
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
 
 
 def _parse_once(df: DataFrame, *keep: str) -> DataFrame:
@@ -55,142 +64,204 @@ def _arrival() -> Column:
 
 
 def _millis_ntz(ms: Column) -> Column:
-    return ntz_from_micros(ms.try_cast("long") * F.lit(1000))
+    """Wall time of epoch milliseconds; NULL unless a whole number up to year 9999."""
+    n = ms.try_cast("long")
+    return ntz_from_micros(F.when(F.abs(n) <= MAX_EPOCH_MILLIS, n * F.lit(1000)))
 
 
 # -------------------------------------------------------------- per feed
-# Each feed: (is_trade, [timestamp, price, size, side, exchange, pair]) as
-# expressions over `v`.
+# Each feed turns `v` into an array of entries: one for each trade or tick of
+# the message, none for other traffic.
+
+_ENTRY = ("timestamp", "price", "size", "side", "exchange", "pair", "tick_source", "subject", "reason")
+_ENTRY_TYPES = ("timestamp_ntz", "double", "double", "string", "string", "string", "string", "string", "string")
+
+
+def _entry(bad_time: Column | None = None, **cols: Column) -> Column:
+    """An entry; `reason` says why it is rejected, NULL for a good one."""
+    bad = cols["price"].isNull() | (cols["size"].isNull() if "size" in cols else F.lit(False))
+    reason = F.when(bad, F.lit("bad_number"))
+    if bad_time is not None:
+        reason = reason.when(bad_time, F.lit("bad_time"))
+    cols = cols | {"reason": reason}
+    return F.struct(*[cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in zip(_ENTRY, _ENTRY_TYPES)])
+
+
+def _none() -> Column:
+    return F.lit(None).cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(_ENTRY, _ENTRY_TYPES)) + ">>")
+
+
+def _if(is_trade: Column, entries: Column) -> Column:
+    return F.when(F.coalesce(is_trade, F.lit(False)), entries).otherwise(_none())
 
-def _coinbase() -> tuple[Column, list[Column]]:
-    return (F.coalesce(_s("$.type") == "match", F.lit(False)),
-            [_arrival(), _num(_s("$.price")), _num(_s("$.size")), _s("$.side"), F.lit("coinbase"),
-             F.lit(DEFAULT_PAIR)])
 
+def _coinbase() -> Column:
+    return _if(_s("$.type") == "match", F.array(_entry(
+        timestamp=_arrival(), price=_num(_s("$.price")), size=_num(_s("$.size")), side=_s("$.side"),
+        exchange=F.lit("coinbase"), pair=F.lit(DEFAULT_PAIR))))
 
-def _binance() -> tuple[Column, list[Column]]:
+
+def _binance() -> Column:
     side = F.when(F.lower(_s("$.m")) == "true", F.lit("sell")).otherwise(F.lit("buy"))
-    return (F.coalesce(_s("$.e") == "trade", F.lit(False)),
-            [_millis_ntz(_s("$.T")), _num(_s("$.p")), _num(_s("$.q")), side, F.lit("binance"),
-             F.lit(DEFAULT_PAIR)])
+    time = _millis_ntz(_s("$.T"))
+    return _if(_s("$.e") == "trade", F.array(_entry(
+        _s("$.T").isNotNull() & time.isNull(), timestamp=time, price=_num(_s("$.p")), size=_num(_s("$.q")), side=side,
+        exchange=F.lit("binance"), pair=F.lit(DEFAULT_PAIR))))
+
 
+def _kraken() -> Column:
+    items = F.try_variant_get(F.col("v"), "$[1]", "array<array<string>>")
 
-def _kraken_trade(item: Column) -> list[Column]:
-    side = F.when(F.get(item, 3) == "b", F.lit("buy")).otherwise(F.lit("sell"))
-    return [_arrival(), _num(F.get(item, 0)), _num(F.get(item, 1)), side, F.lit("kraken"), F.lit(DEFAULT_PAIR)]
+    def trade(item: Column) -> Column:
+        side = F.when(F.get(item, F.lit(3)) == "b", F.lit("buy")).otherwise(F.lit("sell"))
+        return _entry(timestamp=_arrival(), price=_num(F.get(item, F.lit(0))), size=_num(F.get(item, F.lit(1))), side=side,
+                      exchange=F.lit("kraken"), pair=F.lit(DEFAULT_PAIR))
 
+    return _if(_s("$[2]") == "trade", F.transform(items, trade))
 
-def _kraken() -> tuple[Column, list[Column]]:
-    first = F.try_variant_get(F.col("v"), "$[1][0]", "array<string>")
-    return (F.coalesce((_s("$[2]") == "trade") & first.isNotNull(), F.lit(False)), _kraken_trade(first))
 
+def _plain() -> Column:
+    time = _millis_ntz(_s("$.timestamp"))
+    return _if(_s("$.price").isNotNull(), F.array(_entry(
+        _s("$.timestamp").isNotNull() & time.isNull(), timestamp=time, price=_num(_s("$.price")), size=_num(_s("$.size")),
+        side=_s("$.side"), exchange=F.coalesce(_s("$.exchange"), F.lit(DEFAULT_EXCHANGE)),
+        pair=F.coalesce(_s("$.pair"), F.lit(DEFAULT_PAIR)))))
 
-def _plain() -> tuple[Column, list[Column]]:
-    return (_s("$.price").isNotNull(),
-            [_millis_ntz(_s("$.timestamp")), _num(_s("$.price")), _num(_s("$.size")), _s("$.side"),
-             F.coalesce(_s("$.exchange"), F.lit(DEFAULT_EXCHANGE)), F.coalesce(_s("$.pair"), F.lit(DEFAULT_PAIR))])
 
+def _envelope() -> Column:
+    has_data = F.try_variant_get(F.col("v"), "$.data", "variant").isNotNull()
+    price, stamp = _s("$.data.price"), _s("$.timestamp")
+    # an absent price is 0.0; one that is there and no number is a reject
+    return _if(_s("$.subject").isNotNull() & has_data, F.array(_entry(
+        stamp.isNotNull() & _millis_ntz(stamp).isNull(), timestamp=F.coalesce(_millis_ntz(stamp), _arrival()),
+        price=F.when(price.isNull(), F.lit(0.0)).otherwise(_num(price)), tick_source=F.lit(ENVELOPE_SOURCE),
+        subject=_s("$.subject"))))
 
-_FEEDS = {"coinbase": _coinbase, "binance": _binance, "kraken": _kraken, "plain": _plain}
-_TRADE_COLS = ("timestamp", "price", "size", "side", "exchange", "pair")
 
+def _ticker() -> Column:
+    label = F.when(_s("$.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
+             .otherwise(F.lit(TICK_SOURCE_DEFAULT))
+    time = instant_to_ntz(F.try_to_timestamp(_s("$.time")))
+    return _if((_s("$.type") == "ticker") | _s("$.source").isNotNull(), F.array(_entry(
+        time.isNull(), timestamp=time, price=_num(_s("$.price")), tick_source=label,
+        subject=F.coalesce(_s("$.subject"), F.lit(TICK_SUBJECT_DEFAULT)))))
+
+
+_FEEDS = {"coinbase": _coinbase, "binance": _binance, "kraken": _kraken, "plain": _plain,
+          "bus": _envelope, "coinbase_ticker": _ticker}
+_TRADE_COLS = ("id", "timestamp", "price", "size", "side", "exchange", "pair")
+
+
+def _entry_id(columns: Sequence[str]) -> Column:
+    """A trade's id, the same whenever its message is read again: from the message's number
+    (`msg_id`), or its place in the log (`topic`, `partition`, `offset`), or else a hash of its
+    source, text and arrival; and the trade's position in the message."""
+    pos = F.col("pos").cast("long")
+    source = [c for c in ("source",) if c in columns]
+    if "msg_id" in columns:
+        return F.coalesce(F.try_add(F.try_multiply(F.col("msg_id").cast("long"), F.lit(IDS_PER_MESSAGE)), pos),
+                          F.xxhash64(*source, "raw", "ingest_time", pos))
+    if {"topic", "partition", "offset"} <= set(columns):
+        return F.xxhash64("topic", "partition", "offset", pos)
+    return F.xxhash64(*source, "raw", "ingest_time", pos)
+
+
+def parse_messages(raw: DataFrame, feed: str | None = None, source_col: str = "source") -> DataFrame:
+    """One row for each trade or tick of each message, good or not, and for each message that is
+    none of a known feed's: all columns of `raw`, `kind` (trade, tick or NULL), `pos` (place in the
+    message), `id`, the entry's columns, and `reason` (NULL: good; else not_json, unknown_feed,
+    bad_number or bad_time).  With `feed` every message is read as that feed's.
+
+    One projection over one scan, batch or stream: trades and rejects come out of the same parse.
+    """
+    parsed = _parse_once(raw, "*")
+    reject = lambda why: F.array(_entry(price=F.lit(0.0)).withField("reason", F.lit(why)))
+    if feed is not None:
+        entries = _FEEDS[feed]()
+        kind = F.lit("trade" if feed in TRADE_FEEDS else "tick")
+    else:
+        src = F.col(source_col)
+        entries = reject("unknown_feed")
+        for name, fn in _FEEDS.items():
+            entries = F.when(src == F.lit(name), fn()).otherwise(entries)
+        kind = F.when(src.isin(*TRADE_FEEDS), F.lit("trade")).when(src.isin(*TICK_FEEDS), F.lit("tick"))
+    entries = F.when(F.col("v").isNull(), reject("not_json")).otherwise(entries)
+    rows = parsed.select(*raw.columns, kind.alias("kind"), F.posexplode(entries).alias("pos", "entry"))
+    return rows.select(*raw.columns, "kind", "pos", _entry_id(raw.columns).alias("id"), "entry.*")
 
-def _valid(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("price").isNotNull() & F.col("size").isNotNull())
 
+def _trades(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("reason").isNull() & (F.col("kind") == "trade")).select(*_TRADE_COLS)
 
-def _one_feed(raw: DataFrame, feed: str) -> DataFrame:
-    is_trade, cols = _FEEDS[feed]()
-    parsed = _parse_once(raw, "ingest_time")
-    return _valid(parsed.filter(is_trade).select(*[c.alias(n) for c, n in zip(cols, _TRADE_COLS)]))
+
+def _ticks(rows: DataFrame) -> DataFrame:
+    good = rows.filter(F.col("reason").isNull() & (F.col("kind") == "tick"))
+    return good.select("id", "price", F.col("timestamp").alias("time"), F.col("tick_source").alias("source"), "subject")
 
 
 def norm_coinbase(raw: DataFrame) -> DataFrame:
     """`type == 'match'` -> trade; timestamp = arrival time."""
-    return _one_feed(raw, "coinbase")
+    return _trades(parse_messages(raw, "coinbase"))
 
 
 def norm_binance(raw: DataFrame) -> DataFrame:
     """`e == 'trade'` -> trade at T (ms); side sell when `m` (maker) else buy."""
-    return _one_feed(raw, "binance")
+    return _trades(parse_messages(raw, "binance"))
 
 
-def norm_kraken(raw: DataFrame, all_trades: bool = False) -> DataFrame:
-    """S3: `[chan, [[price, vol, time, side, ...], ...], 'trade', pair]` -> the
-    first trade of the array (or every trade with ``all_trades``); 'b' = buy."""
-    if not all_trades:
-        return _one_feed(raw, "kraken")
-    is_trade, _ = _kraken()
-    items = F.try_variant_get(F.col("v"), "$[1]", "array<array<string>>")
-    parsed = _parse_once(raw, "ingest_time").filter(is_trade)
-    rows = parsed.select("ingest_time", F.explode(items).alias("t"))
-    return _valid(rows.select(*[c.alias(n) for c, n in zip(_kraken_trade(F.col("t")), _TRADE_COLS)]))
+def norm_kraken(raw: DataFrame) -> DataFrame:
+    """S3: `[chan, [[price, vol, time, side, ...], ...], 'trade', pair]` -> every
+    trade of the array; 'b' = buy."""
+    return _trades(parse_messages(raw, "kraken"))
 
 
 def norm_plain(raw: DataFrame) -> DataFrame:
     """Flat trade JSON from the bus (price, size, side, exchange, pair, ms)."""
-    return _one_feed(raw, "plain")
-
-
-def _routed(source: Column) -> tuple[Column, list[Column]]:
-    """is_trade and trade columns chosen by the message's feed (CASE on source)."""
-    parts = {feed: fn() for feed, fn in _FEEDS.items()}
-    is_trade = F.lit(False)
-    cols = [F.lit(None)] * len(_TRADE_COLS)
-    for feed, (flag, feed_cols) in parts.items():
-        hit = source == F.lit(feed)
-        is_trade = F.when(hit, flag).otherwise(is_trade)
-        cols = [F.when(hit, c).otherwise(prev) for c, prev in zip(feed_cols, cols)]
-    return is_trade, cols
+    return _trades(parse_messages(raw, "plain"))
 
 
 def normalize_trades(raw: DataFrame, source_col: str = "source") -> DataFrame:
-    """Route each message by its feed, drop non-trade messages and return
-    one trades relation (the union U1 of the feeds) — a single projection over
-    one scan of the raw stream."""
-    parsed = _parse_once(raw, source_col, "ingest_time")
-    is_trade, cols = _routed(F.col(source_col))
-    return _valid(parsed.filter(is_trade).select(*[c.alias(n) for c, n in zip(cols, _TRADE_COLS)]))
+    """Every trade of every trade feed's messages (the union U1 of the feeds),
+    with an id that later operators order by."""
+    return _trades(parse_messages(raw, source_col=source_col))
 
 
 def invalid_messages(raw: DataFrame, source_col: str = "source") -> DataFrame:
-    """Side output of S7: (source, raw, reason) for messages that are not JSON,
-    come from an unknown feed, or are trades whose price / size do not parse."""
-    parsed = _parse_once(raw, source_col, "raw", "ingest_time")
-    src = F.col(source_col)
-    is_trade, cols = _routed(src)
-    reason = (F.when(F.col("v").isNull(), F.lit("not_json"))
-               .when(src.isNull() | ~src.isin(*TRADE_FEEDS), F.lit("unknown_feed"))
-               .when(is_trade & (cols[1].isNull() | cols[2].isNull()), F.lit("bad_number")))
-    return (parsed.select(source_col, "raw", reason.alias("reason"))
-            .filter(F.col("reason").isNotNull()))
+    """Side output of all six feeds: (source, raw, pos, reason) of each entry
+    that no relation takes (see :func:`parse_messages`)."""
+    rows = parse_messages(raw, source_col=source_col)
+    return rows.filter(F.col("reason").isNotNull()).select(source_col, "raw", "pos", "reason")
+
+
+def split_messages(raw: DataFrame, trades_path: str, rejects_path: str, mode: str = "append") -> None:
+    """Write the trades and the rejects of a batch (or a stream's micro-batch, in
+    `foreachBatch`) from one parse, which is kept while both are written."""
+    rows = parse_messages(raw).persist()
+    try:
+        _trades(rows).write.mode(mode).parquet(trades_path)
+        rows.filter(F.col("reason").isNotNull()).select("source", "raw", "pos", "reason").write.mode(mode).parquet(rejects_path)
+    finally:
+        rows.unpersist()
 
 
 def norm_envelope(raw: DataFrame) -> DataFrame:
     """Bus envelope `{subject, data: {price}, timestamp?}` -> tick with
     price = data.price (0.0 when absent), time = timestamp (ms) or arrival,
     source 'nex_stream'."""
-    parsed = _parse_once(raw, "ingest_time")
-    has_data = F.try_variant_get(F.col("v"), "$.data", "variant").isNotNull()
-    env = parsed.filter(_s("$.subject").isNotNull() & has_data)
-    price = F.coalesce(_num(_s("$.data.price")), F.lit(0.0))
-    time = F.coalesce(_millis_ntz(_s("$.timestamp")), _arrival())
-    return env.select(price.alias("price"), time.alias("time"), F.lit(ENVELOPE_SOURCE).alias("source"),
-                      _s("$.subject").alias("subject"))
+    return _ticks(parse_messages(raw, "bus"))
 
 
 def norm_ticker(raw: DataFrame) -> DataFrame:
     """Accept `type == 'ticker'` or any message with a `source`: price, ISO
     `time`, source label ('nex_stream' -> 'NEX Stream', else 'Coinbase'),
     subject (default 'ticker')."""
-    parsed = _parse_once(raw)
-    accept = F.coalesce((_s("$.type") == "ticker") | _s("$.source").isNotNull(), F.lit(False))
-    label = F.when(_s("$.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
-             .otherwise(F.lit(TICK_SOURCE_DEFAULT))
-    time = instant_to_ntz(F.to_timestamp(_s("$.time")))
-    return parsed.filter(accept).select(_num(_s("$.price")).alias("price"), time.alias("time"),
-                                        label.alias("source"),
-                                        F.coalesce(_s("$.subject"), F.lit(TICK_SUBJECT_DEFAULT)).alias("subject"))
+    return _ticks(parse_messages(raw, "coinbase_ticker"))
+
+
+def normalize_ticks(raw: DataFrame, subjects: Sequence[str] | None = None, source_col: str = "source") -> DataFrame:
+    """S4 + S5 over one scan of mixed bus traffic; with `subjects` only those."""
+    rows = parse_messages(raw, source_col=source_col)
+    return _ticks(rows if subjects is None else subject_filter(rows, subjects))
 
 
 def subject_filter(messages: DataFrame, subscriptions: Sequence[str], subject_col: str = "subject") -> DataFrame:
@@ -213,19 +284,12 @@ def default_fill(trades: DataFrame) -> DataFrame:
               .withColumn("pair", dflt("pair", DEFAULT_PAIR))
 
 
-# Broadcast only a subscriber subject list of at most this many rows.
-MAX_BROADCAST_SUBJECTS = 100_000
-
-
 def subscribed_messages(messages: DataFrame, subscribers: DataFrame, subject_col: str = "subject") -> DataFrame:
     """S8 with a subscriber table `(client_id, subject)`: messages that at least
-    one client wants.  A '*' subscription passes everything; otherwise a left
-    semi join on subject, broadcast when the distinct subject list is small
-    (its size is counted first)."""
-    subjects = subscribers.select(F.col(subject_col).alias("_subject")).distinct()
-    wildcard = subjects.filter(F.col("_subject") == "*").limit(1).count() > 0
-    if wildcard:
-        return messages
-    n = subjects.count()
-    side = F.broadcast(subjects) if n <= MAX_BROADCAST_SUBJECTS else subjects
-    return messages.join(side, messages[subject_col] == side["_subject"], "left_semi")
+    one client wants.  '*' wants them all: it is one more value that a message
+    may match, so batch and stream take the same plan and Spark picks the join."""
+    wanted = subscribers.select(F.col(subject_col).alias("_wanted")).filter(F.col("_wanted").isNotNull()).distinct()
+    star = wanted.filter(F.col("_wanted") == "*").agg(F.count(F.lit(1)).alias("_star"))  # one row
+    own = messages.join(F.broadcast(star))
+    key = F.when(F.col("_star") > 0, F.lit("*")).otherwise(F.col(subject_col))
+    return own.withColumn("_key", key).join(wanted, F.col("_key") == F.col("_wanted"), "left_semi").drop("_key", "_star")
