@@ -176,7 +176,9 @@ def test_rollups_overwrite_only_written_timeframes(spark, make_trades, tmp_path)
 def test_timeframe_resolution():
     from ticklens.functions.timeframe import resolve_timeframe, validate_stats_timeframe
     assert [resolve_timeframe(x) for x in ("1m", "5m", "15m", "1h", "all")] == [1, 5, 15, 60, None]
-    assert resolve_timeframe("weird") == 5 and resolve_timeframe(None) is None and resolve_timeframe(90) == 90
+    with pytest.raises(ValueError, match="use minutes or one of"):
+        resolve_timeframe("weird")
+    assert resolve_timeframe(None) is None and resolve_timeframe(90) == 90
     assert resolve_timeframe("30") == 30.0
     with pytest.raises(ValueError):
         resolve_timeframe(-1)
@@ -192,13 +194,47 @@ def test_named_timeframe_filter(make_trades):
                      (3, "2024-01-30 22:00:00", 3.0, 1.0, "buy")])
     ids = lambda tf: sorted(r.id for r in timeframe_filter(t, tf, AS_OF).collect())
     assert ids("1m") == [1] and ids("15m") == [1, 2] and ids("1h") == [1, 2] and ids("all") == [1, 2, 3]
-    assert stats.pair_stats(t, "all", AS_OF).first().trade_count == 3      # 'all' = one year back
+    assert stats.pair_stats(t, "all", AS_OF).first().trade_count == 3      # 'all' = everything
 
 
-def test_change_intensity_needs_more_than_ten_rows(make_trades):
+def test_change_intensity_and_its_guard(make_trades):
     rows = [(i, f"2024-01-30 12:00:{i:02d}", float(10 + i % 4), 1.0, "buy") for i in range(10)]
-    assert distribution.change_intensity(make_trades(rows)).count() == 0
+    assert distribution.change_intensity(make_trades(rows)).count() == 9      # no size switch by default
+    assert distribution.change_intensity(make_trades(rows), min_rows=10).count() == 0
     rows.append((10, "2024-01-30 12:00:10", 8.0, 1.0, "sell"))
-    out = distribution.change_intensity(make_trades(rows)).collect()
+    out = distribution.change_intensity(make_trades(rows), min_rows=10).collect()
     assert len(out) == 10 and max(r.intensity for r in out) == 1.0
     assert {r.direction for r in out} == {"negative", "positive"}
+
+
+def test_order_key_orders_as_the_struct(spark):
+    from ticklens.functions.exprs import time_key
+    ids = [None, -(1 << 63), -1, 0, 1, 10**18, (1 << 63) - 1]
+    rows = [(i, t) for t in ("0001-01-01 00:00:00", "1969-12-31 23:59:59.999999", "2024-01-01 00:00:00", "9999-12-31 23:59:59.999999") for i in ids]
+    df = spark.createDataFrame(rows, "id long, t string").select("id", F.expr("cast(t as timestamp_ntz)").alias("timestamp"))
+    by = lambda *c: [tuple(r) for r in df.orderBy(*c).collect()]
+    assert by(time_key()) == by(F.struct("timestamp", "id")) and df.filter(time_key().isNull()).count() == 0
+    assert df.limit(1).select(time_key(F.lit(None).cast("timestamp_ntz"))).first()[0] is None
+
+
+def test_as_of_now_is_read_once(spark):
+    """The default as_of is one literal: rows at the live edge give the same answer in every job."""
+    live = spark.range(4000).select("id", (F.expr("localtimestamp()") - F.expr("INTERVAL 59 MINUTES 58 SECONDS")
+                                           + F.expr("make_dt_interval(0, 0, 0, id / 1000)")).alias("timestamp"),
+                                    F.col("id").cast("double").alias("price"), F.lit(1.0).alias("size"), F.lit("buy").alias("side"),
+                                    F.lit("coinbase").alias("exchange"), F.lit("BTC-USD").alias("pair"))
+    r = stats.price_dispersion(live, 60).first()
+    assert r.total_records > 0 and r.median_price is not None
+    assert windows.rolling_volatility(live, timeframe=60).count() >= 0 and distribution.change_intensity(live, 60).count() >= 0
+
+
+def test_date_filter_prunes_the_appended_table(spark, make_trades, tmp_path):
+    from ticklens.functions.timeframe import timeframe_filter
+    from ticklens.sources import sinks
+    t = make_trades([(i, f"2024-01-{1 + i % 28:02d} 12:00:00", float(i), 1.0, "buy") for i in range(560)]).repartition(8)
+    sinks.append_trades(t, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("date=*/*.parquet"))) <= 28 * 4
+    near = timeframe_filter(stored, 60, "2024-01-20 12:30:00")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and near.count() == t.filter("timestamp >= timestamp_ntz'2024-01-20 11:30:00'").count()

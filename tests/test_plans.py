@@ -57,12 +57,22 @@ BOUNDED = {"HashAggregate", "SortAggregate", "ObjectHashAggregate", "TakeOrdered
 def test_no_registered_plan_moves_all_rows_into_one_partition(spark):
     """SURVEY §7.6: only (partial) aggregates and top-N results may meet in
     one partition; never the trade rows themselves."""
-    import __spark_entry__ as E
+    from ticklens.plans import registry
     offenders = {}
-    for key, q in E.queries().items():
+    for key, q in registry.queries().items():
         if key.startswith("stream_") or key in ("write_rollups", "append_trades"):
             continue                      # these run their own jobs; their inputs are checked elsewhere
         bad = [k for k in _single_partition_inputs(q(spark, SF)) if k not in BOUNDED]
         if bad:
             offenders[key] = bad
     assert offenders == {}
+
+
+def test_bars_and_metrics_do_not_sort_their_rows(spark):
+    """open and close come out of hash aggregates: no keyed sort aggregate over raw rows."""
+    from ticklens.operators import bars
+    from ticklens.sources import sinks
+    from ticklens.sources.tables import load_trades
+    t = load_trades(spark, SF)
+    for df in (bars.ohlc_bars(t), bars.ohlcv_interval_bars(t), bars.price_history(t, as_of="2024-01-31 00:00:00"), sinks.rollups(t)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

@@ -19,17 +19,6 @@ def test_session_metrics_equal_batch(spark):
     assert got.trade_count == exp.n and got.high == exp.h and got.first_price == exp.f
 
 
-def test_tick_state_equals_batch_window(spark):
-    ticks = load_ticks(spark, SF)
-    got = replay.run_to_parquet(streams.stream_tick_analytics(replay.replay(spark, ticks, "time", "t4", 4),
-                                                              mode="state"), spark, "t4")
-    exp = windows.source_analytics(ticks)
-    j = got.alias("g").join(exp.alias("e"), "id")
-    assert j.count() == ticks.count()
-    assert j.filter(~F.col("g.prev_price").eqNullSafe(F.col("e.prev_price"))
-                    | (F.abs(F.col("g.moving_avg_5") - F.col("e.moving_avg_5")) > 1e-9)).count() == 0
-
-
 def test_late_row_behind_watermark_is_dropped(spark, make_trades, tmp_path):
     """Spark drops a row once the watermark of an earlier batch has passed it;
     its bar was already emitted without it."""
@@ -90,8 +79,26 @@ def test_tick_blocked_equals_batch_window(spark, tmp_path):
 
 
 def test_session_metrics_update_mode(spark):
-    """T1 also runs in update mode (only changed keys are emitted per batch)."""
+    """T1 in update mode: each batch brings only the keys that changed, the result holds them all."""
     t = load_trades(spark, SF)
-    out = replay.run_to_parquet(streams.stream_session_metrics(replay.replay(spark, t, "timestamp", "t1u", 3)),
-                                spark, "t1u", "update")
-    assert out.first().trade_count == t.count()
+    late = t.agg(F.max("timestamp")).first()[0]
+    one = t.limit(1).select(*[F.lit("ETH-USD").alias(c) if c == "pair" else F.col(c) for c in t.columns]).withColumn("timestamp", F.lit(dt.datetime(2000, 1, 1)))
+    out = replay.run_to_parquet(streams.stream_session_metrics(replay.replay(spark, t.unionByName(one), "timestamp", "t1u", 3)),
+                                spark, "t1u", "update", ["pair"])
+    assert late is not None and {r.pair: r.trade_count for r in out.collect()} == {"BTC-USD": t.count(), "ETH-USD": 1}
+
+
+def test_replay_keeps_rows_without_a_time(spark):
+    t = load_trades(spark, SF)
+    holes = t.withColumn("timestamp", F.when(F.col("id") % 5 > 0, F.col("timestamp")))
+    got = replay.run_to_parquet(replay.replay(spark, holes, "timestamp", "holes", 3), spark, "holes")
+    assert got.count() == t.count()
+
+
+def test_state_folder_holds_two_versions(spark, tmp_path):
+    t = load_trades(spark, SF).limit(120)
+    streams.stream_retention(replay.replay(spark, t, "timestamp", "two", 6), str(tmp_path / "b"), str(tmp_path / "c"), keep=50).awaitTermination()
+    import os
+    assert len(os.listdir(tmp_path / "b" / "all")) >= 6 and len(os.listdir(tmp_path / "b" / "latest")) <= 2
+
+

@@ -1,6 +1,8 @@
 """Scalar column expressions used across operators (all JVM built-ins)."""
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +80,22 @@ def ntz_from_micros(micros) -> Column:
     return F.timestamp_add("MICROSECOND", rest, midnight)
 
 
+def order_key(micros: Column, tie="id") -> Column:
+    """(time, id) as ONE decimal(38,0), NULL where the time is.
+
+    A struct key cannot live in a hash-aggregate buffer, so `min_by` / `max_by`
+    by one make Spark sort all rows before the partial aggregate; this key can.
+    It orders as the struct does: by time, then a NULL id, then ids ascending.
+    """
+    place = F.coalesce(col_(tie).cast("decimal(20,0)") + F.lit(Decimal(2**63)), F.lit(Decimal(-1)))
+    return (micros.cast("decimal(18,0)") * F.lit(Decimal(10**20)) + place).cast("decimal(38,0)")
+
+
+def time_key(ts="timestamp", tie="id") -> Column:
+    """:func:`order_key` of a TIMESTAMP_NTZ column."""
+    return order_key(epoch_micros_ntz(ts), tie)
+
+
 def extract_bigint(unit: str, ts) -> Column:
     """EXTRACT(unit FROM ts) as BIGINT (seconds floored, like the reference engine)."""
     return F.floor(F.extract(F.lit(unit), col_(ts))).cast("long")

@@ -3,13 +3,11 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Named timeframes of the dashboard, in minutes ('all' = no bound;
-# unknown names fall back to 5 minutes).
+# Named timeframes of the dashboard, in minutes ('all' = no bound).
 NAMED_TIMEFRAMES = {"1m": 1, "5m": 5, "15m": 15, "1h": 60, "all": None}
-DEFAULT_TIMEFRAME_MINUTES = 5
 MAX_STATS_TIMEFRAME_MINUTES = 1440
 
 
@@ -23,7 +21,7 @@ def resolve_timeframe(timeframe) -> float | None:
         try:
             return float(timeframe)
         except ValueError:
-            return DEFAULT_TIMEFRAME_MINUTES
+            raise ValueError(f"{timeframe!r} is no timeframe; use minutes or one of {', '.join(NAMED_TIMEFRAMES)}") from None
     if isinstance(timeframe, (int, float)) and timeframe > 0:
         return timeframe
     raise ValueError(f"invalid timeframe: {timeframe!r}")
@@ -38,9 +36,10 @@ def validate_stats_timeframe(timeframe) -> None:
 
 
 def as_of_column(as_of) -> Column:
-    """`as_of` as a TIMESTAMP_NTZ column; None means the current time."""
+    """`as_of` as a TIMESTAMP_NTZ literal; None means the current time, read ONCE here so that
+    every job of an operator filters by the same instant."""
     if as_of is None:
-        return F.localtimestamp()
+        as_of = SparkSession.active().sql("SELECT localtimestamp()").first()[0]
     if isinstance(as_of, Column):
         return as_of.cast("timestamp_ntz")
     if isinstance(as_of, _dt.datetime):
@@ -57,8 +56,12 @@ def window_start(as_of, timeframe) -> Column | None:
 
 
 def timeframe_filter(df: DataFrame, timeframe=None, as_of=None, ts_col: str = "timestamp") -> DataFrame:
-    """Rows with `ts_col >= as_of - timeframe` (inclusive); all rows when None."""
+    """Rows with `ts_col >= as_of - timeframe` (inclusive); all rows when None.
+
+    A `date` column next to `timestamp` is the trade date by which `append_trades` partitions."""
     start = window_start(as_of, timeframe)
     if start is None:
         return df
+    if dict(df.dtypes).get("date") == "date" and ts_col == "timestamp":
+        df = df.filter(F.col("date") >= start.cast("date"))  # prunes the folders of a table by trade date
     return df.filter(F.col(ts_col) >= start)

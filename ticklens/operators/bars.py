@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import asc, epoch_micros_ntz, ntz_from_micros, trunc_ntz
+from ..functions.exprs import asc, epoch_micros_ntz, ntz_from_micros, time_key, trunc_ntz
 from ..functions.timeframe import timeframe_filter
 from .filters import pair_filter
 
@@ -13,14 +13,9 @@ from .filters import pair_filter
 PRICE_UNITS = ("second", "minute", "hour")
 INTERVAL_BARS = {"1s": 1, "5s": 5, "10s": 10, "30s": 30}
 
-# Time order (timestamp, id) for open / close; NULL timestamps ignored.
-def _order_key():
-    return F.when(F.col("timestamp").isNotNull(), F.struct(F.col("timestamp"), F.col("id")))
-
-
 def _check_unit(unit: str) -> None:
     if unit not in PRICE_UNITS:
-        raise ValueError(f"Invalid aggregation type: {unit}")
+        raise ValueError(f"{unit!r} is no bar unit; use one of {', '.join(PRICE_UNITS)}")
 
 
 def aggregated_price(trades: DataFrame, unit: str = "second", timeframe=None, as_of=None) -> DataFrame:
@@ -42,8 +37,8 @@ def ohlc_bars(trades: DataFrame, unit: str = "minute", timeframe=None, as_of=Non
     _check_unit(unit)
     t = timeframe_filter(trades, timeframe, as_of)
     return (t.groupBy(trunc_ntz(unit, "timestamp").alias("timestamp"))
-            .agg(F.min_by("price", _order_key()).alias("open"), F.max("price").alias("high"),
-                 F.min("price").alias("low"), F.max_by("price", _order_key()).alias("close"),
+            .agg(F.min_by("price", time_key()).alias("open"), F.max("price").alias("high"),
+                 F.min("price").alias("low"), F.max_by("price", time_key()).alias("close"),
                  F.count(F.lit(1)).alias("volume"))
             .orderBy(*asc("timestamp")))
 
@@ -61,9 +56,9 @@ def ohlcv_interval_bars(trades: DataFrame, interval="5s", timeframe=None, as_of=
         raise ValueError(f"invalid bar interval: {interval!r}")
     t = timeframe_filter(trades, timeframe, as_of)
     return (t.groupBy(_floor_bucket(seconds).alias("timestamp"))
-            .agg(F.avg("price").alias("price"), F.min_by("price", _order_key()).alias("open"),
+            .agg(F.avg("price").alias("price"), F.min_by("price", time_key()).alias("open"),
                  F.max("price").alias("high"), F.min("price").alias("low"),
-                 F.max_by("price", _order_key()).alias("close"), F.sum("size").alias("volume"))
+                 F.max_by("price", time_key()).alias("close"), F.sum("size").alias("volume"))
             .orderBy(*asc("timestamp")))
 
 
@@ -73,8 +68,8 @@ def price_history(trades: DataFrame, minutes: int = 100, limit: int = 100, as_of
     `limit` buckets (descending), close exposed as `price`."""
     t = pair_filter(timeframe_filter(trades, minutes, as_of), pair)
     bars = (t.groupBy(trunc_ntz("minute", "timestamp").alias("time_bucket"))
-            .agg(F.min_by("price", _order_key()).alias("open"), F.max("price").alias("high"),
-                 F.min("price").alias("low"), F.max_by("price", _order_key()).alias("close"),
+            .agg(F.min_by("price", time_key()).alias("open"), F.max("price").alias("high"),
+                 F.min("price").alias("low"), F.max_by("price", time_key()).alias("close"),
                  F.avg("price").alias("avg_price"), F.sum("size").alias("volume"),
                  F.count(F.lit(1)).alias("trade_count")))
     top = bars.orderBy(F.col("time_bucket").desc_nulls_last()).limit(limit)

@@ -205,10 +205,10 @@ def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int =
             .orderBy(*asc("time_bin", "price_bin")))
 
 
-def change_intensity(trades: DataFrame, timeframe=None, as_of=None, min_rows: int = 10) -> DataFrame:
+def change_intensity(trades: DataFrame, timeframe=None, as_of=None, min_rows: int = 0) -> DataFrame:
     """Per change row: pct_change, intensity = min(1, |chg| / max|chg|) and
-    direction ('negative' / 'positive'); empty unless there are more than
-    `min_rows` rows."""
+    direction ('negative' / 'positive'); with `min_rows`, empty unless there
+    are more rows than that."""
     t = timeframe_filter(trades, timeframe, as_of)
     # one count serves the ordered core and the "more than min_rows" guard;
     # the change series feeds both max|chg| and the rows, so it is written once

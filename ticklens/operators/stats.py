@@ -4,21 +4,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import time_key
 from ..functions.timeframe import timeframe_filter, validate_stats_timeframe
 from ..plans.ordered import exact_quantiles
 from .filters import pair_filter
 
-# Time order (timestamp, id); NULL timestamps are ignored by min_by / max_by.
-def _order_key():
-    return F.when(F.col("timestamp").isNotNull(), F.struct(F.col("timestamp"), F.col("id")))
-
-
 def _first_price():
-    return F.min_by(F.col("price"), _order_key())
+    return F.min_by(F.col("price"), time_key())
 
 
 def _last_price():
-    return F.max_by(F.col("price"), _order_key())
+    return F.max_by(F.col("price"), time_key())
 
 
 def session_stats(trades: DataFrame, timeframe=None, as_of=None) -> DataFrame:
@@ -64,12 +60,8 @@ def comprehensive_stats(trades: DataFrame, timeframe=60, as_of=None, validate: b
 
 
 def pair_stats(trades: DataFrame, timeframe="5m", as_of=None, pair: str = "BTC-USD") -> DataFrame:
-    """A5: one pair over a named timeframe ('all' = one year back)."""
-    from ..functions.timeframe import resolve_timeframe
-    minutes = resolve_timeframe(timeframe)
-    if minutes is None:
-        minutes = 365 * 24 * 60
-    t = pair_filter(timeframe_filter(trades, minutes, as_of), pair)
+    """A5: one pair over a named timeframe ('all' = the whole table) or a number of minutes."""
+    t = pair_filter(timeframe_filter(trades, timeframe, as_of), pair)
     agg = t.agg(
         F.max("price").alias("session_high"), F.min("price").alias("session_low"),
         _last_price().alias("current_price"), _first_price().alias("session_open"),

@@ -59,7 +59,7 @@ def volume_analysis(trades: DataFrame, timeframe, analysis: str = "by_side", as_
         "large_trades": lambda: topk.large_trades(trades, 1.0, timeframe, as_of),
     }
     if analysis not in VOLUME_ANALYSES:
-        raise ValueError(f"Invalid analysis type: {analysis}")
+        raise ValueError(f"{analysis!r} is no volume analysis; use one of {', '.join(VOLUME_ANALYSES)}")
     return fns[analysis]()
 
 
@@ -74,7 +74,7 @@ def volatility_analysis(trades: DataFrame, timeframe, analysis: str = "basic", a
         "var": lambda: volatility.value_at_risk(trades, 0.95, timeframe, as_of),
     }
     if analysis not in VOLATILITY_ANALYSES:
-        raise ValueError(f"Invalid analysis type: {analysis}")
+        raise ValueError(f"{analysis!r} is no volatility analysis; use one of {', '.join(VOLATILITY_ANALYSES)}")
     return fns[analysis]()
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
@@ -33,6 +34,8 @@ def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 3) -> str:
             part = part.filter(F.col("_us") >= F.lit(lo))
         if hi is not None:
             part = part.filter(F.col("_us") < F.lit(hi))
+        elif lo is not None:
+            part = part.unionByName(df.filter(F.col("_us").isNull()))  # rows without a time come last
         part.drop("_us").coalesce(1).write.mode("append").parquet(dest)
     return dest
 
@@ -43,8 +46,10 @@ def replay(spark: SparkSession, df: DataFrame, ts_col: str, name: str, chunks: i
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(dest)
 
 
-def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query to completion (availableNow) into parquet; read it back.
+def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Run a streaming query to completion (availableNow) into parquet; read it back.  In update mode
+    each batch brings the rows of the `keys` that changed; a key's last row counts.
 
     State partitions are fixed when a query first starts; they are set to the
     cluster's task slots for this run (not the batch shuffle default)."""
@@ -54,6 +59,14 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
              .outputMode("append").trigger(availableNow=True).start())
+    elif mode == "update":
+        if not keys:
+            raise ValueError("update mode needs the key columns")
+
+        def changed(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        q = (stream.writeStream.foreachBatch(changed).option("checkpointLocation", ck)
+             .outputMode(mode).trigger(availableNow=True).start())
     else:
         def snapshot(batch: DataFrame, epoch: int) -> None:
             batch.write.mode("overwrite").parquet(out)
@@ -65,4 +78,8 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if mode == "update":
+        last = Window.partitionBy(*keys).orderBy(F.desc("epoch"))
+        rows = spark.read.parquet(out).withColumn("_n", F.row_number().over(last))
+        return rows.filter("_n = 1").drop("_n", "epoch")
     return spark.read.parquet(out)

@@ -4,26 +4,21 @@
   stateless projections work unchanged on a streaming DataFrame.
 * T1/T2 are one keyed streaming aggregate (state = one row per pair).
 * T3 bars use an event-time watermark and tumbling windows in append mode.
-* T4: row-frame windows are not allowed on streams.  Default: `foreachBatch`
+* T4: row-frame windows are not allowed on streams: `foreachBatch`
   runs the distributed ordered window (per source, blocks with a halo) on
   each micro-batch plus the previous epoch's last five rows per source (a
   small versioned state table), so no source is ever handled by one task.
-  Option `mode="state"`: keyed `applyInPandasWithState` keeping the last five
-  prices (lower latency; needs bounded triggers).
 * T5 appends each micro-batch and keeps a bounded "latest" table via
   `foreachBatch` (versioned folders, idempotent on retry).
 """
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.exprs import instant_to_ntz, ntz_to_instant
+from ..functions.exprs import instant_to_ntz, ntz_to_instant, order_key, time_key
 from ..operators.topk import retain_latest
 from ..plans.ordered import INDEX_COL, ordered_window
 from ..sources import messages
@@ -49,7 +44,7 @@ def stream_session_metrics(trades_stream: DataFrame, key: str = "pair") -> DataF
     usable price are counted but skipped for the price figures; first/current
     follow event time (timestamp, id)."""
     price = _truthy(F.col("price"))
-    order = F.when(F.col("timestamp").isNotNull() & price.isNotNull(), F.struct("timestamp", "id"))
+    order = F.when(price.isNotNull(), time_key())
     has_ingest = "ingest_time" in trades_stream.columns
     last = F.max("ingest_time") if has_ingest else F.max(ntz_to_instant("timestamp"))
     agg = trades_stream.groupBy(key).agg(
@@ -62,9 +57,12 @@ def stream_session_metrics(trades_stream: DataFrame, key: str = "pair") -> DataF
 
 def stream_bars(trades_stream: DataFrame, width: str = LIVE_BAR, watermark: str = "10 seconds") -> DataFrame:
     """Tumbling event-time bars (avg, open, high, low, close, volume,
-    count) emitted once the watermark passes the bar's end."""
+    count) of one timestamp and width.
+
+    In append mode a bar comes out once, when the watermark passes its end; in update mode also
+    the bars that are still open, again with every micro-batch that changes them (the live chart)."""
     ev = trades_stream.withColumn("event_time", ntz_to_instant("timestamp"))
-    key = F.struct("event_time", "id")
+    key = order_key(F.unix_micros("event_time"))
     return (ev.withWatermark("event_time", watermark)
             .groupBy(F.window("event_time", width).alias("w"))
             .agg(F.avg("price").alias("price"), F.min_by("price", key).alias("open"),
@@ -76,52 +74,21 @@ def stream_bars(trades_stream: DataFrame, width: str = LIVE_BAR, watermark: str
                     "price", "open", "high", "low", "close", "volume", "trade_count"))
 
 
-TICK_OUT_SCHEMA = ("id long, price double, time timestamp_ntz, source string, subject string, "
-                   "moving_avg_5 double, prev_price double")
-TICK_STATE_SCHEMA = "prices array<double>"
-
-
-def _tick_state_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per source: extend the remembered last prices with this batch (time
-    order), emit moving_avg_5 and prev_price per row, remember the tail."""
-    frame = pd.concat(list(batches), ignore_index=True).sort_values(["time", "id"], kind="mergesort")
-    prior = list(state.get[0]) if state.exists else []
-    prices = pd.Series(prior + frame["price"].astype("float64").tolist(), dtype="float64")
-    k = len(prior)
-    ma = prices.rolling(TICK_FRAME_PRECEDING + 1, min_periods=1).mean().iloc[k:].to_numpy()
-    prev = prices.shift(1).iloc[k:].to_numpy()
-    out = frame[["id", "price", "time", "source", "subject"]].copy()
-    out["moving_avg_5"] = ma
-    out["prev_price"] = prev
-    state.update((prices.iloc[-TICK_FRAME_PRECEDING:].tolist(),))
-    yield out
-
-
-def stream_tick_analytics(ticks_stream: DataFrame, mode: str = "blocked", base: str | None = None,
-                          checkpoint: str | None = None, trigger: dict | None = None):
+def stream_tick_analytics(ticks_stream: DataFrame, base: str, checkpoint: str, trigger: dict | None = None):
     """T4: per source, moving_avg_5 (current + 5 preceding prices) and
     prev_price on a stream.
 
-    ``mode="blocked"`` (default) starts a `foreachBatch` query writing
-    `base/out/epoch=<id>` and returns the StreamingQuery; each micro-batch is
-    windowed with the distributed ordered window, continuing from the state
-    table `base/state/v<epoch>` (last five rows per source).
-    ``mode="state"`` returns the streaming DataFrame of the
-    `applyInPandasWithState` form.  Both assume a source's rows arrive in time
-    order across micro-batches.
+    Starts a `foreachBatch` query writing `base/out/epoch=<id>` and returns the
+    StreamingQuery; each micro-batch is windowed with the distributed ordered
+    window, continuing from the state table `base/state/v<epoch>` (last five
+    rows per source).  A source's rows must arrive in time order across
+    micro-batches.
     """
-    if mode == "state":
-        return ticks_stream.groupBy("source").applyInPandasWithState(
-            _tick_state_fn, TICK_OUT_SCHEMA, TICK_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    if mode != "blocked":
-        raise ValueError(f"unknown mode: {mode}")
-    if base is None or checkpoint is None:
-        raise ValueError("blocked mode needs `base` and `checkpoint` folders")
     cols = ["id", "price", "time", "source", "subject"]
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prev = _latest(spark, os.path.join(base, "state"), before=epoch)
+        prev = _previous(spark, os.path.join(base, "state"), epoch)
         rows = batch.select(*cols).withColumn("_carry", F.lit(False))
         if prev is not None:
             rows = rows.unionByName(spark.read.parquet(prev).select(*cols).withColumn("_carry", F.lit(True)))
@@ -158,10 +125,14 @@ def stream_retention(trades_stream: DataFrame, base: str, checkpoint: str, keep:
     instead of appending twice."""
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(os.path.join(base, "all", f"epoch={epoch}"))
-        prev = _latest(spark, os.path.join(base, "latest"), before=epoch)
-        merged = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
-        retain_latest(merged, keep).write.mode("overwrite").parquet(os.path.join(base, "latest", f"v{epoch:012d}"))
+        prev = _previous(spark, os.path.join(base, "latest"), epoch)
+        batch = batch.persist()  # the source is read once for both outputs
+        try:
+            batch.write.mode("overwrite").parquet(os.path.join(base, "all", f"epoch={epoch}"))
+            merged = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
+            retain_latest(merged, keep).write.mode("overwrite").parquet(os.path.join(base, "latest", f"v{epoch:012d}"))
+        finally:
+            batch.unpersist()
 
     w = trades_stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
@@ -172,6 +143,18 @@ def latest_version(spark, base: str, before: int | None = None) -> str | None:
     return _latest(spark, os.path.join(base, "latest"), before)
 
 
+def _previous(spark, root: str, epoch: int) -> str | None:
+    """The state that the epoch before left, by name; the one before that is no longer needed by
+    any retry and is deleted, so the folder holds two versions however long the query runs."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if epoch >= 2:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(os.path.join(root, f"v{epoch - 2:012d}")), True)
+    before = os.path.join(root, f"v{epoch - 1:012d}")
+    return before if epoch and fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(before, "_SUCCESS"))) else None
+
+
 def _latest(spark, root: str, before: int | None = None) -> str | None:
     """Newest complete `v<epoch>` folder under `root` (older than `before`)."""
     jvm = spark.sparkContext._jvm
