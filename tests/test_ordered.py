@@ -25,8 +25,8 @@ def _skewed(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, TRADES)
 
 
-@pytest.mark.parametrize("block_rows,rows_per_bucket", [(60, 100), (500, 700), (None, None)])
-def test_global_window_equivalence(spark, block_rows, rows_per_bucket):
+@pytest.mark.parametrize("rows_per_bucket", [30, 100, 700, None])
+def test_global_window_equivalence(spark, rows_per_bucket):
     df = _skewed(spark)
     build = lambda w: {
         "prev": F.lag("price").over(w),
@@ -34,7 +34,7 @@ def test_global_window_equivalence(spark, block_rows, rows_per_bucket):
         "sd": F.stddev_samp("price").over(w.rowsBetween(-19, 0)),
         "cnt": F.count(F.lit(1)).over(w.rowsBetween(-10, -1)),
     }
-    got = ordered_window(df, ["timestamp", "id"], build, halo=19, block_rows=block_rows,
+    got = ordered_window(df, ["timestamp", "id"], build, halo=19,
                          rows_per_bucket=rows_per_bucket)
     g = Window.orderBy("timestamp", "id")
     exp = df.select("id", *[c.alias(k + "_e") for k, c in build(g).items()])
@@ -51,7 +51,7 @@ def test_partitioned_equivalence_with_hot_key(spark):
     df = _skewed(spark)
     got = ordered_window(df, ["timestamp", "id"], lambda w: {"prev": F.lag("price").over(w),
                                                              "ma": F.avg("price").over(w.rowsBetween(-5, 0))},
-                         halo=5, partition_by=["exchange"], block_rows=50, rows_per_bucket=80)
+                         halo=5, partition_by=["exchange"], rows_per_bucket=80)
     w = Window.partitionBy("exchange").orderBy("timestamp", "id")
     exp = df.select("id", F.lag("price").over(w).alias("p2"), F.avg("price").over(w.rowsBetween(-5, 0)).alias("m2"))
     j = got.join(exp, "id")
@@ -61,8 +61,8 @@ def test_partitioned_equivalence_with_hot_key(spark):
 
 def test_global_index_dense_and_ordered(spark):
     df = _skewed(spark)
-    idx, n = global_index(df, ["timestamp", "id"], rows_per_bucket=150)
-    assert n == df.count()
+    idx = global_index(df, ["timestamp", "id"], rows_per_bucket=150)
+    n = df.count()
     stats = idx.agg(F.min(INDEX_COL), F.max(INDEX_COL), F.countDistinct(INDEX_COL)).first()
     assert tuple(stats) == (0, n - 1, n)
     exp = df.select("id", (F.row_number().over(Window.orderBy("timestamp", "id")) - 1).alias("e"))
@@ -94,16 +94,32 @@ def test_empty_input(spark):
     assert got.count() == 0
 
 
-def test_numpy_bucket_search_path(spark, monkeypatch):
-    """Large bound sets use the Arrow-batched numpy search; same result."""
-    import ticklens.plans.ordered as O
-    monkeypatch.setattr(O, "JVM_SEARCH_MAX_BOUNDS", 0)
+@pytest.mark.parametrize("kind", ["double", "decimal(18,8)", "date"])
+def test_rank_by_spark_order_of_null_nan_infinity_and_decimals(spark, kind):
+    from ticklens.operators import windows
+    rng = np.random.default_rng(3)
+    rows = [(i, [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, float(rng.normal())][i % 7 if i % 2 else 6]) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, p double")
+    price = {"double": F.col("p"), "decimal(18,8)": F.col("p").try_cast("decimal(18,8)") + F.lit(0.00000001).cast("decimal(18,8)") * (F.col("id") % 3).cast("decimal(1,0)"),
+             "date": F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 5).cast("int"))}[kind]
+    if kind == "decimal(18,8)":
+        df = df.filter(~F.isnan("p") & (F.abs("p") < 10) | F.col("p").isNull())
+    df = df.select("id", price.alias("price"))
+    got = windows.price_rank(df, rows_per_bucket=150)
+    exp = df.select("id", F.row_number().over(Window.orderBy(F.col("price").asc_nulls_last(), "id")).alias("e"))
+    assert got.join(exp, "id").filter(F.col("rank") != F.col("e")).count() == 0 and got.count() == df.count()
+
+
+def test_rows_are_shuffled_once_evenly_and_come_out_in_order(spark):
+    from ticklens.operators import windows
     df = _skewed(spark)
-    idx, n = O.global_index(df, ["timestamp", "id"], rows_per_bucket=100)
-    exp = df.select("id", (F.row_number().over(Window.orderBy("timestamp", "id")) - 1).alias("e"))
-    assert idx.join(exp, "id").filter(F.col(INDEX_COL) != F.col("e")).count() == 0
-    plan = idx._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" in plan
+    out = windows.moving_averages(df, (5, 20), rows_per_bucket=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.replace("BroadcastExchange", "").count("Exchange") == 1 and "shufflepartitionidpassthrough" in plan and "Python" not in plan
+    got = [(r.timestamp, r.id) for r in out.collect()]
+    assert got == sorted(got)
+    sizes = [r[1] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 40 and max(sizes) <= 2 * sum(sizes) / len(sizes)
 
 
 @pytest.mark.parametrize("with_nulls", [False, True])
@@ -112,7 +128,7 @@ def test_rolling_volatility_both_paths_equal_global_window(spark, with_nulls):
     df = _skewed(spark)
     if not with_nulls:
         df = df.fillna({"price": 1.5})
-    got = windows.rolling_volatility(df, 20, block_rows=70, rows_per_bucket=120)
+    got = windows.rolling_volatility(df, 20, rows_per_bucket=120)
     g = Window.orderBy("timestamp", "id")
     ch = (df.select("*", F.lag("price").over(g).alias("prev")).filter(F.col("prev").isNotNull())
           .withColumn("pct", F.try_divide(F.col("price") - F.col("prev"), F.col("prev")) * 100))
@@ -132,7 +148,7 @@ def test_many_buckets_and_blocks_on_events(spark):
     t = load_trades(spark, "/root/testdata/sf0.01")
     got = ordered_window(t, ["timestamp", "id"], lambda w: {
         "prev": F.lag("price").over(w), "ma": F.avg("price").over(w.rowsBetween(-49, 0))},
-        halo=49, block_rows=50, rows_per_bucket=20)
+        halo=49, rows_per_bucket=20)
     g = Window.orderBy("timestamp", "id")
     exp = t.select("id", F.lag("price").over(g).alias("p2"), F.avg("price").over(g.rowsBetween(-49, 0)).alias("m2"))
     j = got.join(exp, "id")

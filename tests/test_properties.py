@@ -105,14 +105,13 @@ def test_bars_are_consistent(spark, rows):
 
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(secs=st.lists(st.integers(0, 30), min_size=1, max_size=80),        # many timestamp ties
-       halo=st.integers(0, 12), block=st.integers(1, 40), bucket=st.integers(2, 60))
-def test_blocked_window_equals_global_window(spark, secs, halo, block, bucket):
+       halo=st.integers(0, 12), bucket=st.integers(2, 60))
+def test_blocked_window_equals_global_window(spark, secs, halo, bucket):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
     from ticklens.plans.ordered import ordered_window
     df = _df(spark, [(s, float((i * 37) % 11), 1.0, "buy") for i, s in enumerate(secs)])
     halo = max(halo, 1)                   # LAG looks back one row
-    block = max(block, halo + 1)
 
     def build(w):
         return {"lag": F.lag("price").over(w),
@@ -120,8 +119,7 @@ def test_blocked_window_equals_global_window(spark, secs, halo, block, bucket):
                 "c": F.count(F.lit(1)).over(w.rowsBetween(-halo, 0))}
 
     got = {r.id: (r.lag, r.s, r.c) for r in
-           ordered_window(df, ["timestamp", "id"], build, halo=halo, block_rows=block,
-                          rows_per_bucket=bucket).collect()}
+           ordered_window(df, ["timestamp", "id"], build, halo=halo, rows_per_bucket=bucket).collect()}
     g = Window.orderBy("timestamp", "id")
     exp = {r.id: (r.lag, r.s, r.c) for r in df.select("id", *[c.alias(k) for k, c in build(g).items()]).collect()}
     assert got == exp

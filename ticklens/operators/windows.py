@@ -2,7 +2,7 @@
 
 Windows over the whole (time-ordered) table go through
 :func:`ticklens.plans.ordered.ordered_window`, which spreads a global ROWS
-frame over blocks with a halo.  Windows over a bounded top-N slice (the
+frame over buckets; their rows come out in (timestamp, id) order.  Windows over a bounded top-N slice (the
 reference's `ORDER BY ... DESC LIMIT 100` forms) take that slice first with
 a TakeOrdered limit; only those few rows meet in one task.
 """
@@ -22,13 +22,6 @@ TRADE_ORDER = ["timestamp", "id"]
 TICK_ORDER = ["time", "id"]
 
 
-def _presented(sort: bool):
-    """Final ORDER BY timestamp, id (the reference's presentation order).  At
-    scale this is a full range-partitioned sort of the output; pass
-    ``sort=False`` when the result feeds another operator."""
-    return (lambda df: df.orderBy(*asc(*TRADE_ORDER))) if sort else (lambda df: df)
-
-
 def _newest(df: DataFrame, n: int, ts: str = "timestamp") -> DataFrame:
     return df.orderBy(F.col(ts).desc_nulls_last(), F.col("id").desc_nulls_last()).limit(n)
 
@@ -49,7 +42,7 @@ def price_changes(trades: DataFrame, timeframe=None, as_of=None, keep_first: boo
 
 
 def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_of=None,
-                       sort: bool = True, **tuning) -> DataFrame:
+                       **tuning) -> DataFrame:
     """STDDEV and AVG(ABS) of pct_change over the last `window` changes
     (ROWS window-1 PRECEDING); rows without a rolling value are dropped.
 
@@ -83,18 +76,17 @@ def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_o
                          .select("timestamp", "id", "price", "pct_change"))
         out = ordered_window(ch, TRADE_ORDER, rolling, halo=window - 1, **tuning)
     return (out.filter(F.col("rolling_volatility").isNotNull())
-            .select("timestamp", "id", "price", "pct_change", "rolling_volatility", "rolling_avg_change")
-            .transform(_presented(sort)))
+            .select("timestamp", "id", "price", "pct_change", "rolling_volatility", "rolling_avg_change"))
 
 
 def moving_averages(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), timeframe=None,
-                    as_of=None, sort: bool = True, **tuning) -> DataFrame:
+                    as_of=None, **tuning) -> DataFrame:
     """ma_<p> = AVG(price) over the last p rows; partial windows at the start."""
     t = timeframe_filter(trades, timeframe, as_of)
     out = ordered_window(t, TRADE_ORDER, lambda w: {
         f"ma_{p}": F.avg("price").over(w.rowsBetween(-(p - 1), 0)) for p in periods
     }, halo=max(periods) - 1, **tuning)
-    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]).transform(_presented(sort))
+    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods])
 
 
 def moving_averages_periods(trades: DataFrame, periods: Sequence[int] = (5, 10, 20),
@@ -113,7 +105,7 @@ def moving_averages_periods(trades: DataFrame, periods: Sequence[int] = (5, 10,
 
 
 def moving_averages_full(trades: DataFrame, periods: Sequence[int] = (7, 25, 99), timeframe=None,
-                         as_of=None, sort: bool = True, **tuning) -> DataFrame:
+                         as_of=None, **tuning) -> DataFrame:
     """ma<p> only where the window holds p rows; rows before the
     smallest period are omitted."""
     t = timeframe_filter(trades, timeframe, as_of)
@@ -126,12 +118,11 @@ def moving_averages_full(trades: DataFrame, periods: Sequence[int] = (7, 25, 99)
         for p in periods
     }, halo=max(periods) - 1, keep_index=True, **tuning)
     return (out.filter(F.col(INDEX_COL) >= min(periods) - 1)
-            .select("timestamp", "id", "price", *[f"ma{p}" for p in periods])
-            .transform(_presented(sort)))
+            .select("timestamp", "id", "price", *[f"ma{p}" for p in periods]))
 
 
 def moving_averages_filled(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), timeframe=None,
-                           as_of=None, sort: bool = True, **tuning) -> DataFrame:
+                           as_of=None, **tuning) -> DataFrame:
     """ma_<p> over p rows once the window is full, the price itself before."""
     t = timeframe_filter(trades, timeframe, as_of)
     out = ordered_window(t, TRADE_ORDER, lambda w: {
@@ -139,7 +130,7 @@ def moving_averages_filled(trades: DataFrame, periods: Sequence[int] = (10, 20,
                     .otherwise(F.col("price"))
         for p in periods
     }, halo=max(periods) - 1, **tuning)
-    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]).transform(_presented(sort))
+    return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods])
 
 
 def source_analytics(ticks: DataFrame, **tuning) -> DataFrame:
@@ -166,7 +157,7 @@ def tick_analytics(ticks: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def trailing_price_volatility(trades: DataFrame, window: int = 10, timeframe=None, as_of=None,
-                              sort: bool = True, **tuning) -> DataFrame:
+                              **tuning) -> DataFrame:
     """Population stddev of the previous `window` prices (current row
     excluded) and its percentage of their mean; from row `window` on."""
     t = timeframe_filter(trades, timeframe, as_of)
@@ -176,8 +167,7 @@ def trailing_price_volatility(trades: DataFrame, window: int = 10, timeframe=Non
     }, halo=window, keep_index=True, **tuning)
     return (out.filter(F.col(INDEX_COL) >= window)
             .select("timestamp", "id", "volatility",
-                    (F.try_divide(F.col("volatility"), F.col("_mean")) * F.lit(100.0)).alias("percent_volatility"))
-            .transform(_presented(sort)))
+                    (F.try_divide(F.col("volatility"), F.col("_mean")) * F.lit(100.0)).alias("percent_volatility")))
 
 
 def price_rank(trades: DataFrame, **tuning) -> DataFrame:

@@ -2,107 +2,48 @@
 
 The reference evaluates LAG / moving frames with ``OVER (ORDER BY timestamp)``
 and no PARTITION BY.  In Spark such a window puts every row into a single
-partition.  Here the same result comes from three distributed steps:
-
-1. **Buckets.**  A bounded sample of the sort key ``(h, k1, k2, ...)`` (``h`` is
-   a hash of the optional partition columns) gives ``nb - 1`` split points.
-   Each row's bucket is found by a vectorised binary search (Arrow batches,
-   numpy).  Because the sample includes the tie-breaking keys, a single hot
-   timestamp is still split across buckets; split points are collected once
-   and become constants, so a recomputed task gets the same bucket.
-2. **Global index.**  ``row_number`` inside each bucket (one shuffle on the
-   bucket) plus the bucket's offset — a cumulative sum over the per-bucket
-   counts, at most ``nb`` rows per partition key, broadcast — gives every row
-   its 0-based position ``_i`` in the total order.
-3. **Blocks with a halo.**  ``block = _i div B``.  The last ``H`` rows of each
-   block are also emitted for the next block, the requested window runs partitioned
-   by ``block`` and ordered by ``_i``, and the copies are dropped.  Any frame
-   that looks back at most ``H`` rows therefore sees exactly the rows a global
-   window would see.
-
-The same buckets give exact order statistics (percentiles) by bucket selection
-(:func:`exact_quantiles`): count per bucket, rank only the bucket(s) that hold the
-wanted ranks.
+partition.  Here the same result comes from ONE shuffle of the rows:
+
+1. **Split points.**  The sort keys of the rows with the least key hashes, a
+   bounded sample that is the same in every run, are sorted by Spark's own
+   comparator (NULLs last, NaN above infinity, decimals exact) and picked at
+   even ranks.  The tie-breaking keys are part of them, so a hot timestamp is
+   still split.  The same job counts the rows.
+2. **Counts.**  One narrow aggregate counts the rows between split points.  The
+   driver, which holds one number for each, joins neighbours to buckets of even
+   size that are never shorter than the look-back.
+3. **One shuffle.**  Bucket k goes to partition k (`repartitionById`); the rows of
+   its last ranges, together at least the look-back, go to bucket k + 1 as well.
+   The window runs inside the bucket, after those copies, and they are dropped.
+   A frame that looks back at most that far sees exactly the rows that a global
+   window would see.  The rows come out in order, so no sort follows.
+
+The same counts give exact order statistics (:func:`exact_quantiles`): only the
+range that holds a wanted rank is ranked.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INDEX_COL = "_i"
+RANGE_COL = "_range"
 BUCKET_COL = "_bucket"
-BLOCK_COL = "_block"
 HALO_COL = "_halo"
 HASH_COL = "_h"
 
 # Tuning defaults (rows, not bytes: rows here are narrow trade records).
 ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 100_000
-OVERSAMPLE = 8
-MAX_BLOCK_ROWS = 4_000_000
 MIN_ROWS_PER_BUCKET = 128        # never split data into buckets smaller than this
-SAMPLE_SEED = 20240101
-
-
-def _key_expr(df: DataFrame, name: str) -> tuple[Column, str]:
-    """Order-preserving numeric key for one sort column (nulls sort last)."""
-    dtype = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(dtype, T.TimestampNTZType):
-        from ..functions.exprs import epoch_micros_ntz
-        return F.coalesce(epoch_micros_ntz(col), F.lit(np.iinfo(np.int64).max)), "i8"
-    if isinstance(dtype, T.TimestampType):
-        return F.coalesce(F.unix_micros(col), F.lit(np.iinfo(np.int64).max)), "i8"
-    if isinstance(dtype, T.DateType):
-        return F.coalesce(F.unix_date(col).cast("long"), F.lit(np.iinfo(np.int64).max)), "i8"
-    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.coalesce(col.cast("long"), F.lit(np.iinfo(np.int64).max)), "i8"
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.coalesce(col.cast("double"), F.lit(float("inf"))), "f8"
-    raise TypeError(f"unsupported order column {name}: {dtype}")
-
-
-def _bucket_udf(bounds: np.ndarray):
-    """Pandas UDF: bucket = number of split points <= key (lexicographic)."""
-    dtype = bounds.dtype
-
-    @F.pandas_udf(T.IntegerType())
-    def bucket_of(keys: pd.DataFrame) -> pd.Series:
-        arr = np.empty(len(keys), dtype=dtype)
-        for j, name in enumerate(dtype.names):
-            arr[name] = keys.iloc[:, j].to_numpy(dtype=dtype[name])
-        return pd.Series(np.searchsorted(bounds, arr, side="right").astype(np.int32))
-
-    return bucket_of
-
-
-# Up to this many split points the bucket lookup is a JVM expression (a
-# balanced CASE tree, log2(n) struct comparisons per row, inside codegen);
-# beyond it the Arrow-batched numpy search above is used.
-JVM_SEARCH_MAX_BOUNDS = 255
-
-
-def _bucket_expr(bounds: np.ndarray, keys: Column) -> Column:
-    """bucket = number of split points <= key, as nested CASE WHENs."""
-    names = bounds.dtype.names
-
-    def lit_struct(row) -> Column:
-        return F.struct(*[F.lit(row[n].item()).alias(n) for n in names])
-
-    def build(lo: int, hi: int) -> Column:
-        # answer lies in [lo, hi]; bounds[lo:hi] still undecided
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(keys < lit_struct(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-
-    return build(0, len(bounds))
+# Keys sampled (a few MB on the driver) and ranges for each bucket; there are
+# at most SAMPLE_ROWS / 4 ranges, so beyond ROWS_PER_BUCKET times a sixteenth of
+# that buckets grow with the data: raise SAMPLE_ROWS with it.
+SAMPLE_ROWS = 40_000
+RANGES_PER_BUCKET = 8
 
 
 def parallelism(spark) -> int:
@@ -114,115 +55,86 @@ def _order_columns(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_by]
 
 
-def assign_buckets(df: DataFrame, order_by: Sequence[str], *,
-                   partition_by: Sequence[str] | None = None,
-                   rows_per_bucket: int | None = None,
-                   max_buckets: int = MAX_BUCKETS,
-                   min_buckets: int | None = None,
-                   n: int | None = None) -> tuple[DataFrame, int, int]:
-    """Tag rows with ``_bucket``: contiguous ranges of the (partition hash,
-    order_by) total order, balanced by a bounded sample.  Returns the tagged
-    frame (with ``_h``), the number of buckets and the row count (counted
-    here unless the caller passes the exact ``n``)."""
-    spark = df.sparkSession
-    pcols = list(partition_by or [])
-    n = df.count() if n is None else n
-    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    if min_buckets is None:
-        # enough buckets to use every task slot, none smaller than MIN_ROWS_PER_BUCKET
-        min_buckets = min(parallelism(spark), math.ceil(n / min(MIN_ROWS_PER_BUCKET, rows_per_bucket)))
-    nb = max(1, min(max_buckets, max(min_buckets, math.ceil(n / rows_per_bucket)), n))
-
-    keyed = df.withColumn(HASH_COL, F.xxhash64(*pcols) if pcols else F.lit(0).cast("long"))
-    key_cols = [(HASH_COL, F.col(HASH_COL), "i8")]
-    for j, name in enumerate(order_by):
-        expr, kind = _key_expr(df, name)
-        key_cols.append((f"_k{j}", expr, kind))
-
-    if nb > 1:
-        # Bounded sample of the keys (expected OVERSAMPLE * nb rows, at most a
-        # few MB) -> nb - 1 split points at evenly spaced ranks.
-        fraction = min(1.0, OVERSAMPLE * nb / max(n, 1))
-        sample = keyed.select(*[e.alias(a) for a, e, _ in key_cols])
-        if fraction < 1.0:
-            sample = sample.sample(withReplacement=False, fraction=fraction, seed=SAMPLE_SEED)
-        dtype = np.dtype([(a, kind) for a, _, kind in key_cols])
-        pdf = sample.toPandas()
-        keys = np.empty(len(pdf), dtype=dtype)
-        for a in dtype.names:
-            keys[a] = pdf[a].to_numpy(dtype=dtype[a])
-        keys.sort(order=list(dtype.names))
-        m = len(keys)
-        picks = [round(j * m / nb) for j in range(1, nb)] if m else []
-        bounds = np.unique(keys[[p for p in picks if p < m]]) if picks else keys[:0]
-        if len(bounds):
-            keys_struct = F.struct(*[e.alias(a) for a, e, _ in key_cols])
-            lookup = (_bucket_expr(bounds, keys_struct) if len(bounds) <= JVM_SEARCH_MAX_BOUNDS
-                      else _bucket_udf(bounds)(keys_struct))
-            keyed = keyed.withColumn(BUCKET_COL, lookup)
-        else:
-            keyed = keyed.withColumn(BUCKET_COL, F.lit(0))
-    else:
-        keyed = keyed.withColumn(BUCKET_COL, F.lit(0))
-
-    return keyed, nb, n
-
-
-def global_index(df: DataFrame, order_by: Sequence[str], *,
-                 partition_by: Sequence[str] | None = None,
-                 rows_per_bucket: int | None = None,
-                 max_buckets: int = MAX_BUCKETS,
-                 min_buckets: int | None = None,
-                 n: int | None = None) -> tuple[DataFrame, int]:
-    """Add ``_i``: 0-based position of each row in ``order_by`` order.
-
-    With ``partition_by`` the position restarts for every partition key.
-    ``order_by`` must be a total order (end it with a unique column).  Returns
-    the indexed frame and the row count (a counting job and a bounded sample
-    job run now).
+def _sort_key(pcols: Sequence[str], order_by: Sequence[str]) -> Column:
+    """The total order as one struct: hash and values of the partition columns, then for each order
+    column whether it is NULL and its value.  Structs compare as ORDER BY does, but for NULLs."""
+    parts = [F.xxhash64(*pcols).alias(HASH_COL)] if pcols else []
+    for j, c in enumerate([*pcols, *order_by]):
+        parts += [F.col(c).isNull().alias(f"_n{j}"), F.col(c).alias(f"_k{j}")]
+    return F.struct(*parts)
+
+
+def _with_range(df: DataFrame, bounds: list, kind: T.DataType, key: Column) -> DataFrame:
+    """Add ``_range``, the number of split points <= key: a search in two steps over two arrays,
+    which one broadcast row brings to every row."""
+    if not bounds:
+        return df.withColumn(RANGE_COL, F.lit(0))
+    g = math.isqrt(len(bounds)) + 1
+    schema = T.StructType([T.StructField("_tops", T.ArrayType(kind)), T.StructField("_parts", T.ArrayType(T.ArrayType(kind)))])
+    row = df.sparkSession.createDataFrame([(bounds[::g], [bounds[k : k + g] for k in range(0, len(bounds), g)])], schema)
+    not_above = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
+    top = not_above(F.col("_tops"))
+    inside = not_above(F.element_at("_parts", F.greatest(top, F.lit(1))))
+    found = F.when(top > 0, (top - 1) * g + inside).otherwise(0).cast("int")
+    return df.join(F.broadcast(row)).withColumn(RANGE_COL, found).drop("_tops", "_parts")
+
+
+def assign_ranges(df: DataFrame, order_by: Sequence[str], *, partition_by: Sequence[str] | None = None,
+                  rows_per_bucket: int | None = None, n: int | None = None) -> tuple[DataFrame, list[int], int]:
+    """Tag rows with ``_range``, contiguous ranges of the (partition, order_by) total order; returns
+    the tagged frame, the rows in each range and how many buckets they should make (runs two jobs
+    over the key columns now)."""
+    key = _sort_key(list(partition_by or []), order_by)
+    keys = df.select(key.alias("key"))
+    seen = Observation()
+    counted = keys.observe(seen, F.count(F.lit(1)).alias("n"))
+    sample = [r["key"] for r in counted.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS).orderBy("key").collect()]
+    n = seen.get["n"] if n is None else n
+    per = rows_per_bucket or ROWS_PER_BUCKET
+    least = min(parallelism(df.sparkSession), math.ceil(n / min(MIN_ROWS_PER_BUCKET, per)))
+    buckets = max(1, least, math.ceil(n / per))
+    ranges = min(buckets * RANGES_PER_BUCKET if buckets > 1 else 1, max(1, len(sample) // 4 if len(sample) == SAMPLE_ROWS else len(sample)))
+    picks = sorted({round(j * len(sample) / ranges) for j in range(1, ranges)})
+    bounds: list = []
+    for p in picks:
+        if p < len(sample) and (not bounds or bounds[-1] != sample[p]):
+            bounds.append(sample[p])
+    tagged = _with_range(df, bounds, keys.schema["key"].dataType, key)
+    if not bounds:
+        return tagged, [n], 1
+    found = {r[0]: r[1] for r in tagged.groupBy(RANGE_COL).count().collect()}
+    return tagged, [found.get(k, 0) for k in range(len(bounds) + 1)], buckets
+
+
+def make_buckets(counts: Sequence[int], buckets: int, halo: int) -> tuple[list[int], list[bool], list[int], list[int]]:
+    """Join ranges to about ``buckets`` buckets of at least ``halo`` rows.
+
+    Returns each range's bucket, whether its rows go to the next bucket too, and each bucket's first
+    position and how many copies it gets.
     """
-    pcols = list(partition_by or [])
-    keyed, nb, n = assign_buckets(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket,
-                                  max_buckets=max_buckets, min_buckets=min_buckets, n=n)
-    group = [*pcols, BUCKET_COL]
-    counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*pcols).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    if not pcols:
-        # at most `max_buckets` rows: bounded by construction
-        offsets = F.broadcast(offsets)
-
-    # One shuffle partition per bucket (not the session default): a task sorts
-    # about `rows_per_bucket` rows at any data size.
-    parts = nb
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*_order_columns(order_by)))
-    indexed = (keyed.repartition(parts, *group).withColumn("_rn", rn)
-               .join(offsets, on=group, how="inner")
-               .withColumn(INDEX_COL, F.col("_off") + F.col("_rn") - 1)
-               .drop("_rn", "_off", BUCKET_COL, HASH_COL))
-    return indexed, n
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage before a second ordered pass: the intermediate is written
-    once to the session's checkpoint folder (shared storage on a cluster) and
-    the following count / sample / window jobs read it instead of recomputing
-    the first pass's shuffles.  Reliable: survives executor loss."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def block_rows_for(n: int, halo: int, parts: int) -> int:
-    target = max(1, math.ceil(n / max(parts, 1)))
-    return max(halo + 1, min(MAX_BLOCK_ROWS, target))
+    target, total = max(1, math.ceil(sum(counts) / max(1, buckets))), sum(counts)
+    own, sizes, held, left = [], [], 0, total
+    for c in counts:
+        own.append(len(sizes))
+        held, left = held + c, left - c
+        if held >= max(target, halo, 1) and left >= max(halo, 1):  # what is left must make a bucket too
+            sizes.append(held)
+            held = 0
+    sizes.append(held)
+    copied, copies = [False] * len(counts), [0] * len(sizes)
+    for k in range(len(counts) - 1, -1, -1):
+        after = own[k] + 1
+        if halo and after < len(sizes) and copies[after] < halo:
+            copied[k] = True
+            copies[after] += counts[k]
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    return own, copied, starts, copies
 
 
 def ordered_window(df: DataFrame, order_by: Sequence[str],
                    build: Callable[[WindowSpec], dict[str, Column]], *,
                    halo: int,
                    partition_by: Sequence[str] | None = None,
-                   block_rows: int | None = None,
                    rows_per_bucket: int | None = None,
                    keep_index: bool = False,
                    n: int | None = None) -> DataFrame:
@@ -231,89 +143,97 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     ``build(w)`` returns ``{name: expression}`` (or a list of such dicts,
     applied in order) where ``w`` is a WindowSpec ordered by the total order;
     frames may reach at most ``halo`` rows back and none forward — counting
-    the look-back of earlier stages that later stages depend on.  Equivalent to ``Window.partitionBy(*partition_by)
-    .orderBy(*order_by)`` but spread over blocks.
+    the look-back of earlier stages that later stages depend on.  Equivalent to
+    ``Window.partitionBy(*partition_by).orderBy(*order_by)`` but spread over
+    buckets; without ``partition_by`` the rows come out in order, and ``_i``,
+    the position in it, may be used by ``build``.  ``order_by`` must be a total
+    order (end it with a unique column).
     """
     if halo < 0:
         raise ValueError("halo must be >= 0")
     pcols = list(partition_by or [])
-    indexed, n = global_index(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket, n=n)
-    parts = parallelism(df.sparkSession)
-    b = block_rows or block_rows_for(n, halo, parts)
-    if b <= halo:
-        raise ValueError("block_rows must exceed the halo")
-    # One pass: every row goes to its block; the last `halo` rows of a block
-    # are emitted a second time for the next block (no union, so the indexing
-    # pipeline is not planned twice).
-    own = F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")
-    targets = F.array(own)
-    if halo > 0:
-        targets = F.when(F.col(INDEX_COL) % F.lit(b) >= F.lit(b - halo), F.array(own, own + 1)).otherwise(targets)
-    base = (indexed.select("*", F.explode(targets).alias(BLOCK_COL))
-            .withColumn(HALO_COL, F.col(BLOCK_COL) != F.floor(F.col(INDEX_COL) / F.lit(b)).cast("long")))
-    # about one block of rows per shuffle partition: task size is bounded by
-    # `b` rows whatever the number of partition keys (keys only add groups)
-    n_blocks = max(1, math.ceil(n / b))
-    base = base.repartition(n_blocks, *pcols, BLOCK_COL)
-    w = Window.partitionBy(*pcols, BLOCK_COL).orderBy(INDEX_COL)
+    tagged, counts, buckets = assign_ranges(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket, n=n)
+    own, copied, starts, copies = make_buckets(counts, buckets, halo)
+    longs = lambda xs: F.lit(xs)  # noqa: E731  an array of constants
+    bucket = F.element_at(longs(own), F.col(RANGE_COL) + 1)
+    goes_on = F.element_at(longs(copied), F.col(RANGE_COL) + 1)
+    targets = F.when(goes_on, F.array(bucket, bucket + 1)).otherwise(F.array(bucket)) if any(copied) else F.array(bucket)
+    spread = (tagged.select("*", F.explode(targets).alias(BUCKET_COL))
+              .withColumn(HALO_COL, F.col(BUCKET_COL) != F.element_at(longs(own), F.col(RANGE_COL) + 1)))
+    placed = spread.repartitionById(len(starts), F.col(BUCKET_COL)) if len(starts) > 1 else spread.coalesce(1)
+    w = Window.partitionBy(*pcols, BUCKET_COL).orderBy(F.col(HALO_COL).desc(), *_order_columns(order_by))
+    number = F.row_number().over(w)
+    if not pcols:
+        first = F.element_at(longs([a - b for a, b in zip(starts, copies)]), F.col(BUCKET_COL) + 1)
+        out = placed.withColumn(INDEX_COL, (first + number - 1).cast("long"))
+    elif keep_index:
+        # rows of the same key in earlier buckets: of each bucket, only its first key can have any
+        per_key = tagged.withColumn(BUCKET_COL, bucket).groupBy(*pcols, BUCKET_COL).agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy(*pcols).orderBy(BUCKET_COL).rowsBetween(Window.unboundedPreceding, -1)
+        off = per_key.select(*[F.col(c).alias(f"_p_{c}") for c in pcols], F.col(BUCKET_COL).alias("_b"), F.sum("_n").over(earlier).alias("_off")).filter("_off > 0")
+        same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in pcols]
+        copies_here = F.sum(F.col(HALO_COL).cast("long")).over(Window.partitionBy(*pcols, BUCKET_COL))
+        numbered = placed.withColumn("_rn", number).withColumn("_copies", copies_here)
+        cond = F.col(BUCKET_COL) == F.col("_b")
+        for c in same:
+            cond = cond & c
+        out = (numbered.join(F.broadcast(off), cond, "left")  # at most a row for each bucket
+               .withColumn(INDEX_COL, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn") - 1 - F.col("_copies"))
+               .drop("_rn", "_copies", "_off", "_b", *[f"_p_{c}" for c in pcols]))
+    else:
+        out = placed
     stages = build(w)
-    out = base
     # a list of dicts is applied stage by stage (later stages may use earlier
     # columns, e.g. LAG then a frame over the derived change); consecutive
-    # windows share the block partitioning and sort, so no extra shuffle
+    # windows share the partitioning and sort, so no extra shuffle
     for cols in (stages if isinstance(stages, list) else [stages]):
         out = out.select("*", *[c.alias(name) for name, c in cols.items()])
-    out = out.filter(~F.col(HALO_COL)).drop(BLOCK_COL, HALO_COL)
+    out = out.filter(~F.col(HALO_COL)).drop(BUCKET_COL, HALO_COL, RANGE_COL)
     return out if keep_index else out.drop(INDEX_COL)
 
 
+def global_index(df: DataFrame, order_by: Sequence[str], *, partition_by: Sequence[str] | None = None,
+                 rows_per_bucket: int | None = None) -> DataFrame:
+    """Add ``_i``: 0-based position of each row in ``order_by`` order (restarting for every key)."""
+    return ordered_window(df, order_by, lambda w: {}, halo=0, partition_by=partition_by,
+                          rows_per_bucket=rows_per_bucket, keep_index=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage before a second ordered pass: the intermediate is written
+    once to the session's checkpoint folder (shared storage on a cluster) and
+    the following count / sample / window jobs read it instead of recomputing
+    the first pass's shuffles.  Reliable: survives executor loss."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def exact_quantiles(df: DataFrame, value: str, tie: str, quantiles: dict[str, float],
                     rows_per_bucket: int | None = None) -> tuple[dict[str, float | None], int]:
     """PERCENTILE_CONT values of ``value`` (NULLs ignored), exact, without
-    sorting the data: buckets of the (value, tie) order are counted (a partial
-    aggregate), the driver finds the bucket holding each needed rank from the
-    at most ``MAX_BUCKETS`` counts, and only those buckets' rows are ranked.
-    Returns ({name: value}, n)."""
+    sorting the data: the ranges of the (value, tie) order are counted, the
+    driver finds those holding the needed ranks, and only their rows are
+    ranked.  Returns ({name: value}, n)."""
     vals = df.filter(F.col(value).isNotNull()).select(value, tie)
-    keyed, nb, n = assign_buckets(vals, [value, tie], rows_per_bucket=rows_per_bucket)
+    tagged, counts, _ = assign_ranges(vals, [value, tie], rows_per_bucket=rows_per_bucket)
+    n = sum(counts)
     if n == 0:
         return {k: None for k in quantiles}, 0
-    counts = sorted((r[0], r[1]) for r in keyed.groupBy(BUCKET_COL).count().collect())
-    starts, acc = {}, 0
-    for b, c in counts:
-        starts[b] = acc
-        acc += c
-    order = [b for b, _ in counts]
-
-    def locate(rank: int) -> tuple[int, int]:
-        lo, hi = 0, len(order) - 1
-        while lo < hi:                       # last bucket whose start <= rank
-            mid = (lo + hi + 1) // 2
-            if starts[order[mid]] <= rank:
-                lo = mid
-            else:
-                hi = mid - 1
-        b = order[lo]
-        return b, rank - starts[b]
-
+    starts = [sum(counts[:k]) for k in range(len(counts))]
     wanted: dict[int, set[int]] = {}
     plan = {}
     for name, q in quantiles.items():
         pos = q * (n - 1)
-        ranks = (math.floor(pos), math.ceil(pos))
-        plan[name] = (pos, ranks)
-        for r in ranks:
-            b, local = locate(r)
-            wanted.setdefault(b, set()).add(local)
-    rn = F.row_number().over(Window.partitionBy(BUCKET_COL).orderBy(*_order_columns([value, tie]))) - 1
+        plan[name] = (pos, math.floor(pos), math.ceil(pos))
+        for rank in plan[name][1:]:
+            k = max(k for k in range(len(counts)) if starts[k] <= rank and counts[k])
+            wanted.setdefault(k, set()).add(rank - starts[k])
+    rn = F.row_number().over(Window.partitionBy(RANGE_COL).orderBy(*_order_columns([value, tie]))) - 1
     cond = F.lit(False)
-    for b, locals_ in wanted.items():
-        cond = cond | ((F.col(BUCKET_COL) == b) & F.col("_rn").isin(*sorted(locals_)))
-    picked = (keyed.filter(F.col(BUCKET_COL).isin(*wanted))
-              .withColumn("_rn", rn).filter(cond).select(BUCKET_COL, "_rn", value).collect())
+    for k, places in wanted.items():
+        cond = cond | ((F.col(RANGE_COL) == k) & F.col("_rn").isin(*sorted(places)))
+    picked = (tagged.filter(F.col(RANGE_COL).isin(*wanted))
+              .withColumn("_rn", rn).filter(cond).select(RANGE_COL, "_rn", value).collect())
     at = {starts[r[0]] + r[1]: r[2] for r in picked}
-    out = {}
-    for name, (pos, (lo, hi)) in plan.items():
-        lo_v, hi_v = at[lo], at[hi]
-        out[name] = lo_v + (hi_v - lo_v) * (pos - lo)
-    return out, n
+    return {name: at[lo] + (at[hi] - at[lo]) * (pos - lo) for name, (pos, lo, hi) in plan.items()}, n
