@@ -156,17 +156,18 @@ class Sequence:
         tops = (values >> U64(self.width)).astype(np.int64)
         stop = self._zero(tops) - tops
         at = np.where(tops > 0, self._zero(np.maximum(tops - 1, 0)) - tops + 1, 0)
-        low, left = values & U64((1 << self.width) - 1), np.arange(len(values))
-        while True:
-            go = at[left] < stop[left]
-            left = left[go]
-            if not len(left):
-                return out
-            got = get_low(self.low, at[left], self.width)
-            hit = got == low[left]
-            out[left[hit]] = at[left[hit]]
-            left = left[got < low[left]]
-            at[left] += 1
+        # a run is sorted by its low bits, and a frequent context's runs are long: halve them
+        low, end, left = values & U64((1 << self.width) - 1), stop.copy(), np.flatnonzero(at < stop)
+        while len(left):
+            middle = (at[left] + end[left]) // 2
+            less = get_low(self.low, middle, self.width) < low[left]
+            at[left[less]] = middle[less] + 1
+            end[left[~less]] = middle[~less]
+            left = left[at[left] < end[left]]
+        ask = np.flatnonzero(at < stop)
+        hit = ask[get_low(self.low, at[ask], self.width) == low[ask]]
+        out[hit] = at[hit]
+        return out
 
 
 # --- sorted runs ---------------------------------------------------------------------------------
