@@ -19,6 +19,12 @@ def pair_filter(df: DataFrame, pair: str = "BTC-USD") -> DataFrame:
     return df.filter(F.col("pair") == F.lit(pair))
 
 
+def feed_rows(ticks: DataFrame, selected: str) -> DataFrame:
+    """Rows whose source has the selected feed's prefix; 'both' keeps all."""
+    pattern = SOURCE_PREFIXES.get(selected)
+    return ticks if pattern is None else ticks.filter(F.col("source").like(pattern))
+
+
 def source_filter(ticks: DataFrame, selected: str = "both", limit: int | None = 100,
                   exact: str | None = None) -> DataFrame:
     """rows of one feed of the tick view.
@@ -29,9 +35,7 @@ def source_filter(ticks: DataFrame, selected: str = "both", limit: int | None =
     """
     if exact is not None:
         return ticks.filter(F.col("source") == F.lit(exact)).orderBy(*asc("time", "id"))
-    pattern = SOURCE_PREFIXES.get(selected)
-    out = ticks if pattern is None else ticks.filter(F.col("source").like(pattern))
-    out = out.orderBy(F.col("time").desc_nulls_last(), F.col("id").desc_nulls_last())
+    out = feed_rows(ticks, selected).orderBy(F.col("time").desc_nulls_last(), F.col("id").desc_nulls_last())
     return out.limit(limit) if limit is not None else out
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import asc, pct_change as _pct
 from ..functions.timeframe import timeframe_filter
 from ..plans.ordered import INDEX_COL, materialize, ordered_window
-from .filters import pair_filter
+from .filters import feed_rows, pair_filter
 
 TRADE_ORDER = ["timestamp", "id"]
 TICK_ORDER = ["time", "id"]
@@ -144,6 +144,22 @@ def source_analytics(ticks: DataFrame, **tuning) -> DataFrame:
                       _pct("price", "prev_price").alias("pct_change"))
 
 
+def newest_source_analytics(ticks: DataFrame, selected: str = "nex", limit: int = 100) -> DataFrame:
+    """F3 over W7: the newest `limit` rows of the selected feed with their per-source frames.
+
+    A frame reaches five rows back in its source, so each source's newest limit + 5 rows are
+    enough; Spark limits them before it shuffles."""
+    own = feed_rows(ticks, selected)
+    newest = Window.partitionBy("source").orderBy(F.col("time").desc_nulls_last(), F.col("id").desc_nulls_last())
+    slice_ = own.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= limit + 5)
+    w = Window.partitionBy("source").orderBy(F.col("time").asc_nulls_last(), F.col("id").asc_nulls_last())
+    framed = slice_.select("id", "price", "time", "source", "subject", "_rn",
+                           F.avg("price").over(w.rowsBetween(-5, 0)).alias("moving_avg_5"),
+                           F.lag("price").over(w).alias("prev_price"))
+    return (_newest(framed.filter(F.col("_rn") <= limit), limit, ts="time")
+            .withColumn("pct_change", _pct("price", "prev_price")).drop("_rn"))
+
+
 def tick_analytics(ticks: DataFrame, limit: int = 100) -> DataFrame:
     """moving_avg_5 and prev_price over all ticks (no partition), newest
     `limit` rows.  The six-row frame needs five older rows, so the newest

@@ -78,15 +78,35 @@ def volatility_analysis(trades: DataFrame, timeframe, analysis: str = "basic", a
     return fns[analysis]()
 
 
-def dashboard(trades: DataFrame, timeframe, as_of=None, persist: bool = True) -> dict[str, DataFrame]:
+class Dashboard(dict):
+    """P5's DataFrames by name, and the cached slice that feeds them.  `release()`, or leaving a
+    `with` block, frees the cache; the DataFrames still work afterwards."""
+
+    def __init__(self, views: dict[str, DataFrame], cached: DataFrame | None) -> None:
+        super().__init__(views)
+        self._cached = cached
+
+    def release(self) -> None:
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
+
+    def __enter__(self) -> Dashboard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def dashboard(trades: DataFrame, timeframe, as_of=None, persist: bool = True) -> Dashboard:
     """P5: the dashboard bundle for one timeframe — price series, volatility,
     distribution, moving averages, volume by side, share and heatmap — all
-    fed by one timeframe slice that is cached when `persist`."""
+    fed by one timeframe slice that is cached when `persist`, until the result is released."""
     _check_tf(timeframe)
     slice_ = timeframe_filter(trades, timeframe, as_of)
     if persist:
         slice_ = slice_.persist()
-    return {
+    return Dashboard({
         "price": filters.price_series(slice_),
         "volatility": volatility.basic_volatility(slice_),
         "distribution": distribution.price_distribution(slice_, 10),
@@ -94,4 +114,4 @@ def dashboard(trades: DataFrame, timeframe, as_of=None, persist: bool = True) ->
         "volume": volume.volume_by_side(slice_),
         "volume_share": volume.volume_share(slice_),
         "heatmap": distribution.price_time_heatmap(slice_),
-    }
+    }, slice_ if persist else None)

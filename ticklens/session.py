@@ -30,15 +30,19 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when unset.
+    """Return the cluster's checkpoint folder; in local mode set a scratch one when unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; without it this
+    raises, since a folder of one machine's disk would lose what others wrote.
     """
     conf = spark.sparkContext.getConf()
     current = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} it must name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="ticklens-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
