@@ -32,9 +32,9 @@ from .common import materialize, slices
 LENGTH = 100
 GRAM = 24
 #: Anchors that a task holds before it settles its own repeats.
-HELD = 1 << 22
+HELD = 1 << 20
 #: Bytes of surroundings that are sorted at once, about; a set of equal leading bytes stays whole.
-SORTED = 8 << 20
+SORTED = 3 << 20
 
 U64 = np.uint64
 
@@ -49,7 +49,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a multiplier and of its inverse modulo 2**64."""
     m = MULTIPLIERS[which]
@@ -66,7 +66,7 @@ class RangeHash:
     """Hash of any range of bytes in constant time."""
 
     def __init__(self, data: np.ndarray, which: int) -> None:
-        size = 1 << max(16, len(data).bit_length())
+        size = -(-len(data) // (1 << 18)) << 18
         self.power, self.inverse = _powers(which, size)
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(_tables()[which][data] * self.power[: len(data)], out=self.sums[1:])
@@ -135,7 +135,7 @@ def find_anchors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows.loc[again, "gram"] = _mix(rows["doc"].to_numpy(np.int64).view(U64)[again] * U64(31) + rows["loc"].to_numpy(np.int64).view(U64)[again]).view(np.int64)
         return rows[np.concatenate([[True], ~twin])]
 
-    for frame in slices(frames, 2 << 20):
+    for frame in slices(frames, 1 << 20):
         a = anchors([t.encode() for t in frame["text"]])
         if len(a["at"]):
             held.append(pd.DataFrame({
