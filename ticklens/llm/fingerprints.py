@@ -46,13 +46,24 @@ def check(digest: Column) -> Column:
 
 
 def fingerprint(found: Column, size: int = CELLS) -> Column:
-    """A sketch of fixed size as text: for each cell in use its number, count, digests and checks."""
-    def written(c: Column) -> Column:
-        own = F.filter(found, lambda d: reduce(lambda a, b: a | b, (cell(d, t, F.lit(size), 0) == c for t in range(SUBTABLES))))
-        xor = lambda f: F.aggregate(own, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(f(d)))
-        return F.when(F.size(own) > 0, F.concat_ws(".", F.hex(c), F.hex(F.size(own)), F.hex(xor(lambda d: d)), F.hex(xor(check))))
+    """A sketch of fixed size as text: for each cell in use its number, count, digests and checks.
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBTABLES * size - 1)), written), "-")
+    The digests' cells are sorted, and one pass adds up each cell's run.
+    """
+    places = F.array_sort(F.flatten(F.transform(found, lambda d: F.array(*(
+        F.struct(cell(d, t, F.lit(size), 0).alias("c"), d.alias("d"), check(d).alias("k")) for t in range(SUBTABLES))))))
+    state = lambda c, n, d, k, out: F.struct(c.alias("c"), n.alias("n"), d.alias("d"), k.alias("k"), out.alias("out"))
+    zero = F.lit(0).cast("long")
+
+    def written(a: Column) -> Column:
+        own = F.concat_ws(".", F.hex(a["c"]), F.hex(a["n"]), F.hex(a["d"]), F.hex(a["k"]))
+        return F.when(a["c"] < 0, F.lit("")).when(a["out"] == "", own).otherwise(F.concat_ws("-", a["out"], own))
+
+    def add(a: Column, x: Column) -> Column:
+        same = state(a["c"], a["n"] + 1, a["d"].bitwiseXOR(x["d"]), a["k"].bitwiseXOR(x["k"]), a["out"])
+        return F.when(a["c"] == x["c"], same).otherwise(state(x["c"], F.lit(1), x["d"], x["k"], written(a)))
+
+    return F.aggregate(places, state(F.lit(-1), F.lit(0), zero, zero, F.lit("")), add, written)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
