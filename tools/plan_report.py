@@ -13,7 +13,7 @@ import re
 import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-import __spark_entry__ as E  # noqa: E402
+from ticklens.plans import registry  # noqa: E402
 from ticklens.session import build_session  # noqa: E402
 
 SKIP_PREFIX = ("stream_",)
@@ -51,11 +51,11 @@ def main() -> None:
     print("| Query | Jobs run | Exchanges in plan | Single-partition inputs | Broadcasts | Scan reads | Pushed filters |")
     print("|---|---|---|---|---|---|---|")
     sc = spark.sparkContext
-    for key in sorted(E.queries()):
+    for key in sorted(registry.queries()):
         if key.startswith(SKIP_PREFIX) or key in SKIP:
             continue
         sc.setJobGroup(f"plan-{key}", key)
-        df = E.queries()[key](spark, sf)          # planning jobs (counts, samples) count too
+        df = registry.queries()[key](spark, sf)          # planning jobs (counts, samples) count too
         df.write.format("noop").mode("overwrite").save()
         jobs = len(sc.statusTracker().getJobIdsForGroup(f"plan-{key}"))
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
