@@ -26,10 +26,8 @@ def test_bars_use_partial_aggregation(spark):
 def test_ordered_window_has_no_single_partition_exchange(spark):
     df = windows.moving_averages(load_trades(spark, SF))
     p = plan(df)
-    # the only global-order steps allowed: the final presentation sort (range
-    # partitioned) and the bounded per-bucket offset table
-    assert "SinglePartition" not in p.split("BroadcastExchange")[0] or "rangepartitioning" in p
-    assert "hashpartitioning(_block" in p
+    # the rows' one exchange deals them by bucket; nothing of theirs meets in one partition
+    assert "SinglePartition" not in p and "shufflepartitionidpassthrough" in p
 
 
 def test_one_pass_comprehensive_stats(spark):
