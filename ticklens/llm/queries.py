@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, fingerprints, licenses, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
+from . import ann, byte_bpe, divergence, fingerprints, licenses, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -63,10 +63,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the term shares of each source are from its lang's other sources, and its own terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_iblt_fingerprints, op2_pattern_packing, op3_license_digests, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,)
+    own = (op1_iblt_fingerprints, op2_pattern_packing, op3_license_digests, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,
+           op11_source_divergence)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_digests": licenses.oracle_sql()}
+    return {"op3_license_digests": licenses.oracle_sql(), "op11_source_divergence": divergence.oracle_sql()}
