@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, divergence, fingerprints, licenses, ngram_lm, packing, simhash, suffix_dedup, token_files, toxicity
+from . import ann, byte_bpe, divergence, fingerprints, licenses, ngram_lm, packing, retrieval_packing, simhash, suffix_dedup, token_files, toxicity, vector_codes
 from .common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,11 +68,22 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings' parts and their errors."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' token pieces in sequences of documents that share words."""
+    return retrieval_packing.retrieval_packing(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_iblt_fingerprints, op2_pattern_packing, op3_license_digests, op4_toxicity, op5_byte_bpe, op6_cross_polytope_ann, op7_simhash_vptree, op8_suffix_dedup, op9_lm_scores, op10_token_files,
-           op11_source_divergence)
+           op11_source_divergence, op12_vector_codes, op13_retrieval_packing)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_digests": licenses.oracle_sql(), "op11_source_divergence": divergence.oracle_sql()}
+    return {"op3_license_digests": licenses.oracle_sql(), "op11_source_divergence": divergence.oracle_sql(),
+            "op12_vector_codes": vector_codes.oracle_sql()}
