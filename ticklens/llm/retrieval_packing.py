@@ -10,9 +10,8 @@ All sequences of a shard are full but the last, which is cut into powers of two,
 """
 from __future__ import annotations
 
-import math
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,18 +34,27 @@ Piece = tuple[int, int, int]  # document, first id, ids
 # --- tokens --------------------------------------------------------------------------------------
 
 def tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """row, doc (the doc_id, 0 if null), no_id, n (ids with the end id) and the compressed ids of every
-    document."""
+    """One row for each document: row (its place), doc (the doc_id, 0 if null), no_id, n (ids with the
+    end id), mark (see ``mark``) and the compressed ids; and, with a ``token`` of 0 or more, for each
+    task and token in how many of the task's documents it is (``n``)."""
     def encode(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, pack = word_ids(vocabulary), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], "<u4").tobytes()
+        found = np.zeros(words.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
         for frame in slices(frames):
             raws = [words.encode(t) + end for t in frame["text"]]
-            yield frame[["row", "doc", "no_id"]].assign(n=[len(r) // 4 for r in raws], packed=[pack(r) for r in raws])
+            marks = []
+            for raw in raws:
+                token, often = terms(np.frombuffer(raw, "<u4"))
+                found[token] += 1
+                marks.append(mark(token, often, end_id))
+            yield frame[["row", "doc", "no_id"]].assign(n=[len(r) // 4 for r in raws], mark=marks, packed=[pack(r) for r in raws], token=-1)
+        used = np.flatnonzero(found)
+        yield pd.DataFrame({"row": -1, "doc": 0, "no_id": False, "n": found[used], "mark": -1, "packed": b"", "token": used})
 
     doc = F.col("doc_id")
     numbered = texts(docs).select(F.monotonically_increasing_id().alias("row"), F.coalesce(doc, F.lit(0)).alias("doc"), doc.isNull().alias("no_id"), "text")
-    return materialize(numbered.mapInPandas(encode, "row long, doc long, no_id boolean, n long, packed binary"), "tokens")
+    return materialize(numbered.mapInPandas(encode, "row long, doc long, no_id boolean, n long, mark long, packed binary, token long"), "tokens")
 
 
 def unpacked(packed: Iterable[bytes]) -> Iterator[np.ndarray]:
@@ -57,25 +65,21 @@ def unpacked(packed: Iterable[bytes]) -> Iterator[np.ndarray]:
 
 def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids of a document, ascending, without its end id, and how often each occurs."""
-    own = np.sort(ids[:-1])
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
-    return own[first].astype(np.int64), np.diff(np.append(first, len(own)))
-
-
-def document_frequencies(rows: DataFrame) -> DataFrame:
-    """token and in how many documents it is."""
-    def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = np.zeros(0, np.int64)
-        for frame in frames:
-            for ids in unpacked(frame["packed"]):
-                token, _ = terms(ids)
-                if len(token) and token[-1] >= len(found):
-                    found = np.concatenate([found, np.zeros(int(token[-1]) + 1 - len(found), np.int64)])
-                found[token] += 1
-        used = np.flatnonzero(found)
-        yield pd.DataFrame({"token": used, "n": found[used]})
+    own = ids[:-1].copy()
+    own.sort()
+    new = np.empty(len(own), bool)
+    new[:1] = True
+    np.not_equal(own[1:], own[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return own[first].astype(np.int64), np.diff(first, append=len(own))
+
 
-    return rows.select("packed").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def mark(token: np.ndarray, often: np.ndarray, end_id: int) -> int:
+    """The token that characterises a document: often in it and rare in text at large, which the order
+    of a BPE vocabulary tells; the lowest of equals, the end id if it has none."""
+    if not len(token):
+        return end_id
+    return int(token[(np.log1p(token) * (often / (often + K1))).argmax()])
 
 
 class Weights:
@@ -90,11 +94,6 @@ class Weights:
     def __call__(self, token: np.ndarray, often: np.ndarray, length: int | np.ndarray) -> np.ndarray:
         return self.idf[token] * often * (K1 + 1) / (often + K1 * (1 - B + B * length / self.mean))
 
-    def mark(self, ids: np.ndarray, end_id: int) -> int:
-        """The token that weighs most in a document, the lowest of equals; without any, the end id."""
-        token, often = terms(ids)
-        return int(token[self(token, often, len(ids)).argmax()]) if len(token) else end_id
-
 
 def shard_table(totals: dict[int, int], shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """First shard and number of shards of each token's documents: tokens with few ids share one,
@@ -140,19 +139,18 @@ class Index:
     def use(self, doc: int) -> None:
         self.used[doc] = True
         self.left -= 1
-        if 2 * self.left < self.kept:  # used documents leave the index
+        if 4 * self.left < 3 * self.kept:  # used documents leave the index
             unused = ~self.used[self.doc]
             self._postings(self.of[unused], self.doc[unused], self.weight[unused])
 
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first, ties in their order."""
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 score of every document for the seed's terms; 0 for used ones and without a common term."""
         term = self.term[self.own[seed] : self.own[seed + 1]]
         first, many = self.start[term], self.start[term + 1] - self.start[term]
         at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
         score = np.bincount(self.doc[at], self.weight[at], minlength=len(self.used))
         score[self.used] = 0
-        order = np.argsort(-score, kind="stable")
-        return order[: np.count_nonzero(score)]
+        return score
 
 
 def fill(lengths: np.ndarray, index: Index, capacity: int) -> list[list[Piece]]:
@@ -187,22 +185,21 @@ def fill(lengths: np.ndarray, index: Index, capacity: int) -> list[list[Piece]]:
         if room == capacity or not index.left:
             seed = unused()
             continue
-        found = index.neighbours(seed)
-        length, at, opened = lengths[found], 0, len(windows)
-        while at < len(found) and len(windows) == opened:
-            fits = np.flatnonzero(length[at:] <= room)
-            if not len(fits):
+        score, opened = index.scores(seed), len(windows)
+        while len(windows) == opened:
+            fitting = np.where(lengths <= room, score, 0)
+            best = int(fitting.argmax())
+            if not fitting[best]:
                 break
-            at += int(fits[0])
-            index.use(int(found[at]))
-            place(int(found[at]), 0)
-            at += 1
+            index.use(best)
+            score[best] = 0
+            place(best, 0)
         if len(windows) > opened:
             seed = unused()
             continue
         # no more fit: the best of the rest is cut, or, if none shares a term, the next in order is taken
-        rest = found[~index.used[found]]
-        seed = int(rest[0]) if len(rest) else unused()
+        best = int(score.argmax())
+        seed = best if score[best] else unused()
     return [*windows, window] if window else windows
 
 
@@ -234,15 +231,6 @@ def pack_shard(docs: list[np.ndarray], weights: Weights, capacity: int = CAPACIT
 
 # --- the operator --------------------------------------------------------------------------------
 
-def by_mark(weights: Callable[[], Weights], end_id: int):
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = weights()
-        for frame in frames:
-            yield pd.DataFrame({"mark": [found.mark(ids, end_id) for ids in unpacked(frame["packed"])], "n": frame["n"]})
-
-    return run
-
-
 def retrieval_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID,
                       shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece of every
@@ -256,21 +244,17 @@ def retrieval_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY
     and one for each that marks a shard.  A shard is a bounded number of ids: a token that marks too
     many documents has them dealt to several shards by their places in the table.
     """
-    rows = tokens(docs, vocabulary, end_id)
-    spark = rows.sparkSession
-    frequencies = {r["token"]: r["n"] for r in document_frequencies(rows).collect()}
+    made = tokens(docs, vocabulary, end_id)
+    spark = made.sparkSession
+    rows = made.filter("token < 0").drop("token")
+    frequencies = {r["token"]: r["n"] for r in made.filter("token >= 0").groupBy("token").agg(F.sum("n").alias("n")).collect()}
     n_docs, n_ids = rows.agg(F.count("*"), F.sum("n")).first()
     held = spark.sparkContext.broadcast(Weights(frequencies, n_docs, (n_ids or 1) / max(1, n_docs)))
-    marked = rows.select("packed", "n").mapInPandas(by_mark(lambda: held.value, end_id), "mark long, n long")
-    totals = {r["mark"]: r["n"] for r in marked.groupBy("mark").agg(F.sum("n").alias("n")).collect()}
-    table = spark.sparkContext.broadcast(shard_table(totals, shard_tokens))
-
-    @F.pandas_udf("long")
-    def shard(packed: pd.Series, row: pd.Series) -> pd.Series:
-        first, many = table.value
-        mark = np.array([held.value.mark(ids, end_id) for ids in unpacked(packed)], np.int64)
-        spread = pd.util.hash_array(row.to_numpy(np.uint64)) % many[mark].astype(np.uint64)
-        return pd.Series(first[mark] + spread.astype(np.int64))
+    totals = {r["mark"]: r["n"] for r in rows.groupBy("mark").agg(F.sum("n").alias("n")).collect()}
+    first, many = shard_table(totals, shard_tokens)
+    shards = spark.createDataFrame([(k, int(first[k]), int(many[k])) for k in totals], "mark long, first long, many long")
+    dealt = rows.join(F.broadcast(shards), "mark")  # at most a row for each token of the vocabulary
+    dealt = dealt.select("row", "doc", "no_id", "packed", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("many"))).alias("shard"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["no_id", "doc", "row"], ascending=[False, True, True], ignore_index=True)
@@ -286,6 +270,6 @@ def retrieval_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY
         own = frame.loc[made.pop("place"), ["doc", "no_id"]].reset_index(drop=True)
         return pd.concat([own, made], axis=1)
 
-    pieces = (rows.withColumn("shard", shard("packed", "row")).groupBy("shard")
+    pieces = (dealt.groupBy("shard")
               .applyInPandas(pack, "doc long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
     return pieces.select(F.when(~F.col("no_id"), F.col("doc")).alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -8,10 +8,9 @@ the library whole.  ``tests/llm`` compares both ways.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Characters that some libraries take for white space and others don't.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 #: A Latin word and at most one mark: lower-casing is letter by letter and composition changes nothing.
@@ -19,7 +18,8 @@ PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 class WordIds(dict):
-    """Maps a word to its ids (little-endian unsigned 32-bit); fills itself, up to ``most`` words."""
+    """Maps a word to its ids (unsigned 32-bit, in the machine's order: little-endian); fills itself, up
+    to ``most`` words."""
 
     def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
@@ -34,15 +34,19 @@ class WordIds(dict):
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def part(self, part: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, part.encode())))]
+    def part(self, part: str) -> bytes:
+        """A lower-case Latin word that is one part of a text."""
+        spelt = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if plain := PLAIN.fullmatch(word):
-            ids = self.part(plain[1].lower()) + (self.part(plain[2]) if plain[2] else [])
-            got = np.array(ids, "<u4").tobytes()
+        if word.isascii() and word.isalpha() and word.islower():
+            got = self.part(word)
+        elif plain := PLAIN.fullmatch(word):  # its letters are looked up alone, then the mark
+            letters = plain[1].lower()
+            got = self.part(word) if letters == word else self[letters] + (self[plain[2]] if plain[2] else b"")
         else:
             got = self.whole(word)
         if len(word) <= 64:
