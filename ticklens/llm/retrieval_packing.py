@@ -27,6 +27,8 @@ END_ID = 1
 #: Tokens of a shard, about; a longer document has one to itself.
 SHARD_TOKENS = 1 << 20
 K1, B = 1.2, 0.75
+#: A term in this share of a shard's documents is frequent.
+FREQUENT = 0.25
 
 Piece = tuple[int, int, int]  # document, first id, ids
 
@@ -41,14 +43,17 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
         words, pack = word_ids(vocabulary), zstandard.ZstdCompressor(level=1).compress
         end = np.array([end_id], "<u4").tobytes()
         found = np.zeros(words.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        narrow = "<u2" if len(found) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         for frame in slices(frames):
-            raws = [words.encode(t) + end for t in frame["text"]]
-            marks = []
-            for raw in raws:
-                token, often = terms(np.frombuffer(raw, "<u4"))
+            sizes, marks, packed = [], [], []
+            for text in frame["text"]:
+                ids = np.frombuffer(words.encode(text) + end, "<u4").astype(narrow)
+                token, often = terms(ids)
                 found[token] += 1
+                sizes.append(len(ids))
                 marks.append(mark(token, often, end_id))
-            yield frame[["row", "doc", "no_id"]].assign(n=[len(r) // 4 for r in raws], mark=marks, packed=[pack(r) for r in raws], token=-1)
+                packed.append(pack(ids))
+            yield frame[["row", "doc", "no_id"]].assign(n=sizes, mark=marks, packed=packed, token=-1)
         used = np.flatnonzero(found)
         yield pd.DataFrame({"row": -1, "doc": 0, "no_id": False, "n": found[used], "mark": -1, "packed": b"", "token": used})
 
@@ -57,10 +62,12 @@ def tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     return materialize(numbered.mapInPandas(encode, "row long, doc long, no_id boolean, n long, mark long, packed binary, token long"), "tokens")
 
 
-def unpacked(packed: Iterable[bytes]) -> Iterator[np.ndarray]:
+def unpacked(packed: Iterable[bytes], sizes: Iterable[int]) -> Iterator[np.ndarray]:
+    """The ids of compressed documents of so many ids."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for p in packed:
-        yield np.frombuffer(unpack(p), "<u4")
+    for p, n in zip(packed, sizes, strict=True):
+        raw = unpack(p)
+        yield np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
 def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +78,10 @@ def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new[:1] = True
     np.not_equal(own[1:], own[:-1], out=new[1:])
     first = np.flatnonzero(new)
-    return own[first].astype(np.int64), np.diff(first, append=len(own))
+    often = np.empty_like(first)
+    np.subtract(first[1:], first[:-1], out=often[:-1])
+    often[-1:] = len(own) - first[-1:]
+    return own[first].astype(np.int64), often
 
 
 def mark(token: np.ndarray, often: np.ndarray, end_id: int) -> int:
@@ -116,39 +126,50 @@ def shard_table(totals: dict[int, int], shard_tokens: int) -> tuple[np.ndarray,
 # --- a shard -------------------------------------------------------------------------------------
 
 class Index:
-    """Inverted index of a shard: for each term the documents that hold it and its weight in each."""
+    """Inverted index of a shard: for each term the documents that hold it and its weight in each; terms
+    that a good part of the documents hold have a row of all their weights instead."""
 
     def __init__(self, docs: list[np.ndarray], weights: Weights) -> None:
         found = [terms(ids) for ids in docs]
         size = np.array([len(t) for t, _ in found], np.int64)
         doc = np.repeat(np.arange(len(docs)), size)
-        token = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int64)
-        weight = weights(token, np.concatenate([n for _, n in found]) if found else token, np.array([len(d) for d in docs])[doc])
-        _, self.term = np.unique(token, return_inverse=True)  # by document
+        token = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in found)])
+        often = np.concatenate([np.zeros(0, np.int64), *(n for _, n in found)])
+        weight = weights(token, often, np.array([len(d) for d in docs])[doc])
+        order = np.argsort(token.astype(np.uint16) if token.max(initial=0) < 1 << 16 else token, kind="stable")
+        term = np.cumsum(np.diff(token[order], prepend=-1) > 0) - 1
+        self.term = np.empty(len(token), np.int64)  # by document
+        self.term[order] = term
         self.own = np.concatenate([[0], np.cumsum(size)])
-        order = np.argsort(self.term, kind="stable")
         self.used = np.zeros(len(docs), bool)
         self.left = len(docs)
-        self._postings(self.term[order], doc[order], weight[order])
+        held = np.bincount(term)
+        self.row = np.where(held >= FREQUENT * len(docs), 0, -1)  # of a frequent term
+        self.row[self.row == 0] = np.arange(np.count_nonzero(self.row == 0))
+        self.rows = np.zeros((int(self.row.max(initial=-1)) + 1, len(docs)))
+        rare = self.row[term] < 0
+        self.rows[self.row[term[~rare]], doc[order][~rare]] = weight[order][~rare]
+        self._postings(term[rare], doc[order][rare], weight[order][rare])
 
     def _postings(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
         self.of, self.doc, self.weight = term, doc, weight
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=int(self.term.max(initial=-1)) + 1))])
+        self.start = np.searchsorted(term, np.arange(len(self.row) + 1))
         self.kept = self.left
 
     def use(self, doc: int) -> None:
         self.used[doc] = True
         self.left -= 1
-        if 4 * self.left < 3 * self.kept:  # used documents leave the index
+        if 2 * self.left < self.kept:  # used documents leave the index
             unused = ~self.used[self.doc]
             self._postings(self.of[unused], self.doc[unused], self.weight[unused])
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 score of every document for the seed's terms; 0 for used ones and without a common term."""
         term = self.term[self.own[seed] : self.own[seed + 1]]
+        row = self.row[term]
         first, many = self.start[term], self.start[term + 1] - self.start[term]
         at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        score = np.bincount(self.doc[at], self.weight[at], minlength=len(self.used))
+        score = self.rows[row[row >= 0]].sum(axis=0) + np.bincount(self.doc[at], self.weight[at], minlength=len(self.used))
         score[self.used] = 0
         return score
 
@@ -254,17 +275,17 @@ def retrieval_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY
     first, many = shard_table(totals, shard_tokens)
     shards = spark.createDataFrame([(k, int(first[k]), int(many[k])) for k in totals], "mark long, first long, many long")
     dealt = rows.join(F.broadcast(shards), "mark")  # at most a row for each token of the vocabulary
-    dealt = dealt.select("row", "doc", "no_id", "packed", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("many"))).alias("shard"))
+    dealt = dealt.select("row", "doc", "no_id", "n", "packed", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("many"))).alias("shard"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["no_id", "doc", "row"], ascending=[False, True, True], ignore_index=True)
-        ids = list(unpacked(frame["packed"]))
+        ids = list(unpacked(frame["packed"], frame["n"]))
         number = int(frame["shard"].iloc[0]) << 32
         out = []
         for k, sequence in enumerate(pack_shard(ids, held.value, capacity)):
             offset = 0
             for doc, start, n in sequence:
-                out.append((doc, start, n, zlib.crc32(ids[doc][start : start + n].tobytes()), len(ids[doc]), number + k, offset))
+                out.append((doc, start, n, zlib.crc32(ids[doc][start : start + n].astype("<u4")), len(ids[doc]), number + k, offset))
                 offset += n
         made = pd.DataFrame(out, columns=["place", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
         own = frame.loc[made.pop("place"), ["doc", "no_id"]].reset_index(drop=True)

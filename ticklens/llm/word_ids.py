@@ -13,8 +13,10 @@ from functools import lru_cache
 
 #: Characters that some libraries take for white space and others don't.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-#: A Latin word and at most one mark: lower-casing is letter by letter and composition changes nothing.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Latin letters, which at most one of the marks follows: lower-casing is letter by letter and
+#: composition changes nothing.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = frozenset(".,;:!?")
 
 
 class WordIds(dict):
@@ -42,11 +44,11 @@ class WordIds(dict):
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and word.islower():
-            got = self.part(word)
-        elif plain := PLAIN.fullmatch(word):  # its letters are looked up alone, then the mark
-            letters = plain[1].lower()
-            got = self.part(word) if letters == word else self[letters] + (self[plain[2]] if plain[2] else b"")
+        letters, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+        if letters.isascii() and letters.isalpha() or LATIN.fullmatch(letters):
+            low = letters.lower()
+            # letters are looked up alone, then the mark
+            got = self.part(word) if low == word else self[low] + (self[mark] if mark else b"")
         else:
             got = self.whole(word)
         if len(word) <= 64:
