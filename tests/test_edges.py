@@ -158,21 +158,6 @@ def test_views_and_table_exists(spark, make_trades, make_ticks):
     assert views.run_sql(spark, "SELECT COUNT(*) AS n FROM trades").first().n == 1
 
 
-def test_rollups_overwrite_only_written_timeframes(spark, make_trades, tmp_path):
-    from ticklens.sources import sinks
-    t = make_trades([(1, "2024-01-30 12:00:10", 1.0, 1.0, "buy"), (2, "2024-01-30 12:01:20", 3.0, 2.0, "sell"),
-                     (3, "2024-01-30 12:07:00", 2.0, 1.0, "buy")])
-    path = str(tmp_path / "rollups")
-    sinks.write_rollups(t, path, ["1m", "5m"])
-    sinks.write_rollups(t.filter("id = 1"), path, ["1m"])          # rewrites the 1m partition only
-    got = {(r.timeframe, str(r.timestamp)): (r.open_price, r.close_price, r.trade_count)
-           for r in spark.read.parquet(path).collect()}
-    assert got[("5m", "2024-01-30 12:00:00")] == (1.0, 3.0, 2)       # untouched
-    assert got[("5m", "2024-01-30 12:05:00")] == (2.0, 2.0, 1)
-    assert [k for k in got if k[0] == "1m"] == [("1m", "2024-01-30 12:00:00")]
-    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
-
-
 def test_timeframe_resolution():
     from ticklens.functions.timeframe import resolve_timeframe, validate_stats_timeframe
     assert [resolve_timeframe(x) for x in ("1m", "5m", "15m", "1h", "all")] == [1, 5, 15, 60, None]
@@ -238,3 +223,49 @@ def test_date_filter_prunes_the_appended_table(spark, make_trades, tmp_path):
     near = timeframe_filter(stored, 60, "2024-01-20 12:30:00")
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and near.count() == t.filter("timestamp >= timestamp_ntz'2024-01-20 11:30:00'").count()
+
+
+@pytest.mark.parametrize("prices", [[1.0], [2.5, 2.5, 2.5], [0.0, 0.0], [-3.7, -1.2, -0.05], [-1.0, 0.0, 1.0], [0.001, 0.0013, 0.0029], [10.0, 20.0],
+                                    [99.5, 100.0, 123456.7], [1e-9, 5e8], [None, 4.0, float("nan"), float("inf"), 6.0], [None], []])
+def test_rounded_histogram(spark, prices):
+    """Edges are multiples of 1, 2 or 5 times a power of ten; every finite price is in its bin once."""
+    import math
+    from ticklens.operators import distribution
+    from ticklens.schema import TICKS
+    ticks = spark.createDataFrame([(i, p, None, "ab"[i % 2], None) for i, p in enumerate(prices)], TICKS)
+    got = distribution.histogram_by_source(ticks, 20).collect()
+    finite = [(p, "ab"[i % 2]) for i, p in enumerate(prices) if p is not None and math.isfinite(p)]
+    assert sum(r["count"] for r in got) == len(finite)
+    if not finite:
+        return
+    lo, hi = min(finite)[0], max(finite)[0]
+    for r in got:
+        if lo == hi:
+            assert (r.bin_number, r.bin_start) == (0, lo)
+            continue
+        assert r["count"] == sum(s == r.source and r.bin_start <= p < r.bin_end for p, s in finite)
+        step = r.bin_end - r.bin_start
+        lead = step / 10 ** math.floor(math.log10(step) + 1e-9)
+        assert min(abs(lead - k) for k in (1, 2, 5, 10)) < 1e-6
+        assert abs(r.bin_start / step - round(r.bin_start / step)) < 1e-6
+        assert 20 / math.sqrt(10) < (hi - lo) / step < 20 * math.sqrt(10)
+    if lo < hi:
+        assert min(r.bin_number for r in got) == 0
+
+
+def test_sql_functions_see_the_rows_of_their_time(spark, make_trades):
+    import datetime as dt
+    from ticklens.operators import windows
+    from ticklens.plans import views
+    rows = [(1, "2024-01-01 00:00:10", 1.0, 1.0, "buy"), (2, "2024-01-01 00:00:10", 2.0, 1.0, "buy"), (3, "2024-01-01 05:59:59", None, 2.0, "buy"),
+            (4, "2024-01-01 06:00:00", 4.0, 2.0, "buy"), (5, None, 5.0, 1.0, "buy")]
+    views.register_views(spark, make_trades(rows[:1]))
+    assert set(views.register_functions(spark)) == {"ohlc", "vwap", "changes"}
+    assert views.run_sql(spark, "SELECT * FROM vwap(NULL)").first().total_trades == 1
+    t = make_trades(rows)
+    views.register_views(spark, t)  # grown
+    assert views.run_sql(spark, "SELECT * FROM vwap(NULL)").first().total_trades == 5
+    got = {r.id: (r.prev_price, r.pct_change) for r in views.run_sql(spark, "SELECT * FROM changes(NULL)").collect()}
+    assert got == {r.id: (r.prev_price, r.pct_change) for r in windows.price_changes(t).collect()}
+    bar = views.run_sql(spark, "SELECT * FROM ohlc(:s, :t) WHERE timestamp IS NOT NULL ORDER BY timestamp", s=3600, t=dt.datetime(2024, 1, 1)).first()
+    assert (bar.timestamp, bar.open, bar.close, bar.volume, bar.trade_count) == (dt.datetime(2024, 1, 1), 1.0, 2.0, 2.0, 2)

@@ -69,8 +69,8 @@ def test_no_registered_plan_moves_all_rows_into_one_partition(spark):
 def test_bars_and_metrics_do_not_sort_their_rows(spark):
     """open and close come out of hash aggregates: no keyed sort aggregate over raw rows."""
     from ticklens.operators import bars
-    from ticklens.sources import sinks
+    from ticklens.sources import rollups
     from ticklens.sources.tables import load_trades
     t = load_trades(spark, SF)
-    for df in (bars.ohlc_bars(t), bars.ohlcv_interval_bars(t), bars.price_history(t, as_of="2024-01-31 00:00:00"), sinks.rollups(t)):
+    for df in (bars.ohlc_bars(t), bars.ohlcv_interval_bars(t), bars.price_history(t, as_of="2024-01-31 00:00:00"), rollups.rollups(t)):
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()

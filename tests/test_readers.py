@@ -53,6 +53,8 @@ def test_a_cluster_needs_a_shared_folder():
 
 def test_dashboard_cache_is_released(spark):
     with dispatch.dashboard(load_trades(spark, SF), 43200, "2024-01-31 00:00:00") as views:
-        cached = views._cached
-        assert cached.is_cached and views["volume"].count() > 0
-    assert not cached.is_cached and views["volume"].count() > 0
+        assert not views._cached()  # nothing was asked for yet
+        assert views["volume"].count() > 0
+        cached = list(views._cached())
+        assert cached and all(df.is_cached for df in cached)
+    assert not any(df.is_cached for df in cached) and views["volume"].count() > 0

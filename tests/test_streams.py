@@ -58,11 +58,11 @@ def test_streaming_append_sink_equals_batch(spark, tmp_path):
 def test_dashboard_bundle(spark):
     from ticklens.plans import dispatch
     t = load_trades(spark, SF)
-    out = dispatch.dashboard(t, 1440, as_of="2024-01-31 00:00:00")
-    assert set(out) == {"price", "volatility", "distribution", "moving_averages", "volume", "volume_share", "heatmap"}
-    n = out["price"].count()
-    assert n > 0 and out["moving_averages"].count() == n
-    assert sum(r["count"] for r in out["heatmap"].collect()) <= n - 1
+    with dispatch.dashboard(t, 1440, as_of="2024-01-31 00:00:00") as out:
+        assert set(out) == {"price", "volatility", "distribution", "moving_averages", "volume", "volume_share", "heatmap"}
+        n = out["price"].count()
+        assert n > 0 and out["moving_averages"].count() == n
+        assert sum(r["count"] for r in out["heatmap"].collect()) <= n - 1
 
 
 def test_tick_blocked_equals_batch_window(spark, tmp_path):
@@ -102,3 +102,74 @@ def test_state_folder_holds_two_versions(spark, tmp_path):
     assert len(os.listdir(tmp_path / "b" / "all")) >= 6 and len(os.listdir(tmp_path / "b" / "latest")) <= 2
 
 
+def test_dashboard_builds_what_is_asked_for(spark, monkeypatch):
+    """A plain view starts no ordered pass; with the cache all views come from one read and one pass."""
+    from ticklens.operators import windows as w
+    from ticklens.plans import dispatch
+    passes = []
+    monkeypatch.setattr(w, "ordered_window", lambda *a, f=w.ordered_window, **k: passes.append(1) or f(*a, **k))
+    t = load_trades(spark, SF)
+    plain = dispatch.dashboard(t, 43200, "2024-01-31 00:00:00", persist=False)
+    assert plain["volume"].count() == 3 and not passes
+    expected = {name: sorted(map(str, plain[name].collect())) for name in plain}
+    del passes[:]
+    with dispatch.dashboard(t, 43200, "2024-01-31 00:00:00") as cached:
+        assert not passes
+        got = {name: sorted(map(str, cached[name].collect())) for name in cached}
+        assert len(passes) == 1
+        for name in cached:
+            plan = cached[name]._jdf.queryExecution().withCachedData().toString()
+            assert "InMemoryRelation" in plan
+    rounded = lambda rows: [[round(float(x), 6) for x in __import__("re").findall(r"-?\d+\.\d+(?:e-?\d+)?", r)] for r in rows]
+    assert set(got) == set(expected)
+    for name in got:
+        assert len(got[name]) == len(expected[name])
+        if name not in ("volume", "volume_share"):
+            assert rounded(got[name]) == rounded(expected[name])
+
+
+def test_tick_state_is_constant_and_survives_a_restart(spark, make_ticks, tmp_path):
+    rows = [(i, None if i % 11 == 5 else float(i * i % 17), f"2024-01-01 00:{i // 60:02d}:{i % 60:02d}", "NEX Stream" if i % 3 else "Coinbase", "s") for i in range(90)]
+    ticks = make_ticks(rows)
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    sizes = []
+    for a in range(0, 90, 30):  # each run stops and the next goes on
+        ticks.filter(F.col("id").between(a, a + 29)).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (streams.stream_tick_state(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination()
+        sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]))
+    assert sizes == [2, 2, 2]
+    exp = windows.source_analytics(ticks)
+    j = spark.read.parquet(out).alias("g").join(exp.alias("e"), "id")
+    assert j.count() == 90 and spark.read.parquet(out).count() == 90
+    assert j.filter(~F.col("g.prev_price").eqNullSafe(F.col("e.prev_price"))
+                    | ~F.round("g.moving_avg_5", 9).eqNullSafe(F.round("e.moving_avg_5", 9))).count() == 0
+
+
+def test_bar_chain_counts_late_rows_within_the_watermark(spark, make_trades, tmp_path):
+    from ticklens.schema import TRADES
+    src = str(tmp_path / "in")
+    batches = [[(1, "2024-01-01 00:00:01", 5.0, 1.0, "buy"), (2, "2024-01-01 00:00:58", 2.0, 1.0, "buy")],
+               [(3, "2024-01-01 00:00:50", 9.0, 1.0, "buy"), (4, "2024-01-01 00:01:02", 3.0, 1.0, "buy")],      # 3 is late, but not too late
+               [(5, "2024-01-01 00:03:00", 4.0, 1.0, "buy")], [(6, "2024-01-01 00:00:30", 100.0, 1.0, "buy")]]   # 6 comes after its bar
+    for rows in batches:
+        make_trades(rows).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(TRADES).option("maxFilesPerTrigger", 1).parquet(src)
+    out = replay.run_to_parquet(streams.stream_bar_chain(stream, ("5 seconds", "1 minute"), "20 seconds"), spark, "chain")
+    got = {(str(r.timestamp)[-8:], r.open, r.high, r.low, r.close, r.trade_count) for r in out.collect()}
+    assert got == {("00:00:00", 5.0, 9.0, 2.0, 2.0, 3), ("00:01:00", 3.0, 3.0, 3.0, 3.0, 1)}
+
+
+def test_redelivered_messages_count_once(spark, tmp_path):
+    from ticklens.schema import RAW_MESSAGES
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s, tzinfo=dt.timezone.utc)
+    text = lambda i: '{"e":"trade","T":%d,"p":"%d","q":"1","m":false}' % (1704067200000 + 1000 * i, i + 1)
+    src = str(tmp_path / "in")
+    batches = [[0, 1, 2], [2, 3, 1], [4, 4, 0]]
+    for ids in batches:
+        spark.createDataFrame([("binance", text(i), at(i)) for i in ids], RAW_MESSAGES).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(RAW_MESSAGES).option("maxFilesPerTrigger", 1).parquet(src)
+    out = replay.run_to_parquet(streams.stream_normalize_once(stream, "1 minute"), spark, "once")
+    assert sorted(r.price for r in out.collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]

@@ -7,6 +7,9 @@ bins.  Only n (or n x m) groups ever reach the final aggregate.
 """
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,26 +128,46 @@ def price_histogram(trades: DataFrame, bins: int = 10, timeframe=None, as_of=Non
             .orderBy(*asc("bin_number")).drop("bin_number"))
 
 
-def histogram_by_source(ticks: DataFrame, bins: int = 20) -> DataFrame:
-    """Price histogram with `bins` common equal-width bins (last bin
-    closed), counted per source; non-empty cells only."""
-    lo, hi = _range_scalars(ticks)
-    n = bins
-    width = (hi - lo) / F.lit(float(n))
+def rounded_bins(lo: Column, hi: Column, n: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """About ``n`` bins over [lo, hi] whose edges are multiples of 1, 2 or 5 times a power of ten, as
+    charts draw them.  Returns (bin of a value, edge where a bin begins).
 
-    def start(k: Column) -> Column:
-        return F.col("_lo") + F.col("_w") * k
+    The step is the one of 1, 2, 5, 10 times a power of ten that is nearest, in ratio, to an nth of the
+    range.  Below 1 it is kept as steps per unit, a whole number, so that edges are exact decimals.
+    Bins are half-open and the last one goes beyond ``hi``.  Without a range there is one bin, 0, that
+    begins at the value itself.
+    """
+    raw = (hi - lo) / F.lit(float(n))
+    power = F.floor(F.log10(F.when(raw > 0, raw)))
+    ratio = raw / F.pow(F.lit(10.0), power)
+    factor = F.lit(1.0)
+    for step, least in ((2.0, 2), (5.0, 10), (10.0, 50)):
+        factor = F.when(ratio >= math.sqrt(least), F.lit(step)).otherwise(factor)
+    fine = power < 0
+    size = F.pow(F.lit(10.0), F.abs(power)) * F.when(fine, 1.0 / factor).otherwise(factor)  # steps per unit, or units per step
 
-    def end(k: Column) -> Column:
-        return F.col("_lo") + F.col("_w") * (k + 1)
+    def edge(k: Column) -> Column:
+        return F.when(size.isNull(), lo).when(fine, k / size).otherwise(k * size)
 
-    rows = ticks.select("source", F.col("price").alias("_v"), lo.alias("_lo"), width.alias("_w"))
-    ks = matching_bins(F.col("_v"), F.col("_lo"), F.col("_w"), n, start, end, closed_last=True)
-    per_cell = (rows.select("source", F.explode(ks).alias("bin_number"), "_lo", "_w")
-                .groupBy("source", "bin_number", "_lo", "_w").agg(F.count(F.lit(1)).alias("count")))
-    k = F.col("bin_number").cast("double")
-    return (per_cell.select("source", F.col("bin_number").cast("long").alias("bin_number"),
-                            start(k).alias("bin_start"), end(k).alias("bin_end"), "count")
+    def bin_of(v: Column) -> Column:
+        k = F.floor(F.when(fine, v * size).otherwise(v / size))
+        return F.coalesce(F.when(v >= edge(k + 1), k + 1).when(v < edge(k), k - 1).otherwise(k), F.lit(0)).cast("long")
+
+    return bin_of, edge
+
+
+def histogram_by_source(ticks: DataFrame, bins: int = 20) -> DataFrame:
+    """Price histogram with about `bins` rounded thresholds (see :func:`rounded_bins`), counted per
+    source: source, bin_number (from the lowest price's bin), bin_start, bin_end and count of non-empty
+    cells.  Missing and non-finite prices take no part."""
+    t = ticks.filter(F.abs("price") < float("inf"))
+    lo, hi = _range_scalars(t)
+    cells = (t.select("source", F.col("price").alias("_v"), lo.alias("_lo"), hi.alias("_hi")))
+    bin_of, edge = rounded_bins(F.col("_lo"), F.col("_hi"), bins)
+    counted = (cells.select("source", bin_of(F.col("_v")).alias("_k"), bin_of(F.col("_lo")).alias("_first"), "_lo", "_hi")
+               .groupBy("source", "_k", "_first", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count")))
+    return (counted.select("source", (F.col("_k") - F.col("_first")).alias("bin_number"), edge(F.col("_k")).alias("bin_start"),
+                           edge(F.col("_k") + 1).alias("bin_end"), "count")
             .orderBy(*asc("source", "bin_number")))
 
 

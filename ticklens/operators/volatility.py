@@ -21,11 +21,15 @@ def _changes(trades, timeframe, as_of, **tuning) -> DataFrame:
 
 def basic_volatility(trades: DataFrame, timeframe=None, as_of=None, **tuning) -> DataFrame:
     """V1: STDDEV, AVG(ABS), MIN, MAX and COUNT of the pct changes."""
-    ch = _changes(trades, timeframe, as_of, **tuning)
-    return ch.agg(F.stddev_samp("pct_change").alias("volatility"),
-                  F.avg(F.abs("pct_change")).alias("avg_change"),
-                  F.min("pct_change").alias("min_change"), F.max("pct_change").alias("max_change"),
-                  F.count(F.lit(1)).alias("sample_size"))
+    return volatility_of(_changes(trades, timeframe, as_of, **tuning))
+
+
+def volatility_of(changes: DataFrame) -> DataFrame:
+    """V1 of a change series (rows with a pct_change)."""
+    return changes.agg(F.stddev_samp("pct_change").alias("volatility"),
+                       F.avg(F.abs("pct_change")).alias("avg_change"),
+                       F.min("pct_change").alias("min_change"), F.max("pct_change").alias("max_change"),
+                       F.count(F.lit(1)).alias("sample_size"))
 
 
 def volatility_by_period(trades: DataFrame, unit: str = "hour", timeframe=None, as_of=None,

@@ -20,6 +20,8 @@ from .filters import feed_rows, pair_filter
 
 TRADE_ORDER = ["timestamp", "id"]
 TICK_ORDER = ["time", "id"]
+# Periods of the dashboard's moving averages.
+AVERAGE_PERIODS = (10, 20, 50)
 
 
 def _newest(df: DataFrame, n: int, ts: str = "timestamp") -> DataFrame:
@@ -79,7 +81,7 @@ def rolling_volatility(trades: DataFrame, window: int = 20, timeframe=None, as_o
             .select("timestamp", "id", "price", "pct_change", "rolling_volatility", "rolling_avg_change"))
 
 
-def moving_averages(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), timeframe=None,
+def moving_averages(trades: DataFrame, periods: Sequence[int] = AVERAGE_PERIODS, timeframe=None,
                     as_of=None, **tuning) -> DataFrame:
     """ma_<p> = AVG(price) over the last p rows; partial windows at the start."""
     t = timeframe_filter(trades, timeframe, as_of)
@@ -89,6 +91,16 @@ def moving_averages(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), ti
     return out.select("timestamp", "id", "price", *[f"ma_{p}" for p in periods])
 
 
+def ordered_analytics(trades: DataFrame, periods: Sequence[int] = AVERAGE_PERIODS, **tuning) -> DataFrame:
+    """W1 and W3 in one ordered pass: all columns, in (timestamp, id) order, with prev_price, pct_change
+    and ma_<p>."""
+    out = ordered_window(trades, TRADE_ORDER, lambda w: {
+        "prev_price": F.lag("price").over(w),
+        **{f"ma_{p}": F.avg("price").over(w.rowsBetween(-(p - 1), 0)) for p in periods},
+    }, halo=max(max(periods) - 1, 1), **tuning)
+    return out.withColumn("pct_change", _pct("price", "prev_price"))
+
+
 def moving_averages_periods(trades: DataFrame, periods: Sequence[int] = (5, 10, 20),
                             limit: int = 100, pair: str = "BTC-USD") -> DataFrame:
     """Any periods over one pair, the newest `limit` rows (newest first).
@@ -121,7 +133,7 @@ def moving_averages_full(trades: DataFrame, periods: Sequence[int] = (7, 25, 99)
             .select("timestamp", "id", "price", *[f"ma{p}" for p in periods]))
 
 
-def moving_averages_filled(trades: DataFrame, periods: Sequence[int] = (10, 20, 50), timeframe=None,
+def moving_averages_filled(trades: DataFrame, periods: Sequence[int] = AVERAGE_PERIODS, timeframe=None,
                            as_of=None, **tuning) -> DataFrame:
     """ma_<p> over p rows once the window is full, the price itself before."""
     t = timeframe_filter(trades, timeframe, as_of)

@@ -1,7 +1,10 @@
 """Parameterised entry points (P1-P5): validate, then pick an operator."""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.timeframe import timeframe_filter, validate_stats_timeframe
 from ..operators import bars, distribution, filters, stats, topk, volatility, volume, windows
@@ -78,18 +81,28 @@ def volatility_analysis(trades: DataFrame, timeframe, analysis: str = "basic", a
     return fns[analysis]()
 
 
-class Dashboard(dict):
-    """P5's DataFrames by name, and the cached slice that feeds them.  `release()`, or leaving a
-    `with` block, frees the cache; the DataFrames still work afterwards."""
+class Dashboard(Mapping):
+    """P5's DataFrames by name, each built when it is first asked for, and the cached rows that feed
+    them.  `release()`, or leaving a `with` block, frees the cache; DataFrames that were built still
+    work afterwards."""
+
+    def __init__(self, views: dict[str, Callable[[], DataFrame]], cached: Callable[[], list[DataFrame]] = list) -> None:
+        self._makers, self._built, self._cached = views, {}, cached
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._makers[name]()
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
 
-    def __init__(self, views: dict[str, DataFrame], cached: DataFrame | None) -> None:
-        super().__init__(views)
-        self._cached = cached
+    def __len__(self) -> int:
+        return len(self._makers)
 
     def release(self) -> None:
-        if self._cached is not None:
-            self._cached.unpersist()
-            self._cached = None
+        for df in self._cached():
+            df.unpersist()
 
     def __enter__(self) -> Dashboard:
         return self
@@ -99,19 +112,41 @@ class Dashboard(dict):
 
 
 def dashboard(trades: DataFrame, timeframe, as_of=None, persist: bool = True) -> Dashboard:
-    """P5: the dashboard bundle for one timeframe — price series, volatility,
-    distribution, moving averages, volume by side, share and heatmap — all
-    fed by one timeframe slice that is cached when `persist`, until the result is released."""
+    """P5: the dashboard bundle for one timeframe: price series, volatility, distribution, moving
+    averages, volume by side, share and heatmap.
+
+    A view that isn't asked for costs nothing.  With `persist` the table is read once, for the
+    timeframe's rows put in order with their previous price and moving averages by ONE ordered pass;
+    all views come from those cached rows (until the bundle is released).  Without it each view is its
+    operator's own plan.
+    """
     _check_tf(timeframe)
     slice_ = timeframe_filter(trades, timeframe, as_of)
-    if persist:
-        slice_ = slice_.persist()
+    if not persist:
+        return Dashboard({
+            "price": lambda: filters.price_series(slice_),
+            "volatility": lambda: volatility.basic_volatility(slice_),
+            "distribution": lambda: distribution.price_distribution(slice_, 10),
+            "moving_averages": lambda: windows.moving_averages(slice_),
+            "volume": lambda: volume.volume_by_side(slice_),
+            "volume_share": lambda: volume.volume_share(slice_),
+            "heatmap": lambda: distribution.price_time_heatmap(slice_),
+        })
+    kept: list[DataFrame] = []
+
+    def rows() -> DataFrame:
+        if not kept:
+            kept.append(slice_.persist())
+            kept.append(windows.ordered_analytics(slice_).persist())
+        return kept[1]
+
+    periods = windows.AVERAGE_PERIODS
     return Dashboard({
-        "price": filters.price_series(slice_),
-        "volatility": volatility.basic_volatility(slice_),
-        "distribution": distribution.price_distribution(slice_, 10),
-        "moving_averages": windows.moving_averages(slice_),
-        "volume": volume.volume_by_side(slice_),
-        "volume_share": volume.volume_share(slice_),
-        "heatmap": distribution.price_time_heatmap(slice_),
-    }, slice_ if persist else None)
+        "price": lambda: rows().select("timestamp", "price"),
+        "volatility": lambda: volatility.volatility_of(rows().filter(F.col("prev_price").isNotNull())),
+        "distribution": lambda: distribution.price_distribution(rows(), 10),
+        "moving_averages": lambda: rows().select("timestamp", "id", "price", *[f"ma_{p}" for p in periods]),
+        "volume": lambda: volume.volume_by_side(rows()),
+        "volume_share": lambda: volume.volume_share(rows()),
+        "heatmap": lambda: distribution.price_time_heatmap(rows()),
+    }, lambda: kept)

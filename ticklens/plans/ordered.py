@@ -4,14 +4,16 @@ The reference evaluates LAG / moving frames with ``OVER (ORDER BY timestamp)``
 and no PARTITION BY.  In Spark such a window puts every row into a single
 partition.  Here the same result comes from ONE shuffle of the rows:
 
-1. **Split points.**  The sort keys of the rows with the least key hashes, a
-   bounded sample that is the same in every run, are sorted by Spark's own
+1. **Split points.**  The sort keys with the least key hashes, a sample of some
+   keys for each range that is the same in every run, are sorted by Spark's own
    comparator (NULLs last, NaN above infinity, decimals exact) and picked at
-   even ranks.  The tie-breaking keys are part of them, so a hot timestamp is
-   still split.  The same job counts the rows.
+   even ranks; only the picks reach the driver.  The tie-breaking keys are part
+   of them, so a hot timestamp is still split.
 2. **Counts.**  One narrow aggregate counts the rows between split points.  The
    driver, which holds one number for each, joins neighbours to buckets of even
-   size that are never shorter than the look-back.
+   size that are never shorter than the look-back.  A row finds its range by a
+   binary search unrolled into projections, so it costs some array reads and
+   comparisons in generated code, whatever the number of ranges.
 3. **One shuffle.**  Bucket k goes to partition k (`repartitionById`); the rows of
    its last ranges, together at least the look-back, go to bucket k + 1 as well.
    The window runs inside the bucket, after those copies, and they are dropped.
@@ -23,27 +25,27 @@ range that holds a wanted rank is ranked.
 """
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 INDEX_COL = "_i"
 RANGE_COL = "_range"
 BUCKET_COL = "_bucket"
 HALO_COL = "_halo"
-HASH_COL = "_h"
 
 # Tuning defaults (rows, not bytes: rows here are narrow trade records).
 ROWS_PER_BUCKET = 2_000_000
 MIN_ROWS_PER_BUCKET = 128        # never split data into buckets smaller than this
-# Keys sampled (a few MB on the driver) and ranges for each bucket; there are
-# at most SAMPLE_ROWS / 4 ranges, so beyond ROWS_PER_BUCKET times a sixteenth of
-# that buckets grow with the data: raise SAMPLE_ROWS with it.
-SAMPLE_ROWS = 40_000
 RANGES_PER_BUCKET = 8
+KEYS_PER_RANGE = 16              # sampled to place a split point
+# Split points that the driver may hold; beyond a sixteenth of it times
+# ROWS_PER_BUCKET rows (10^11) buckets grow with the data.
+MAX_RANGES = 400_000
 
 
 def parallelism(spark) -> int:
@@ -55,55 +57,79 @@ def _order_columns(order_by: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order_by]
 
 
-def _sort_key(pcols: Sequence[str], order_by: Sequence[str]) -> Column:
-    """The total order as one struct: hash and values of the partition columns, then for each order
-    column whether it is NULL and its value.  Structs compare as ORDER BY does, but for NULLs."""
-    parts = [F.xxhash64(*pcols).alias(HASH_COL)] if pcols else []
-    for j, c in enumerate([*pcols, *order_by]):
-        parts += [F.col(c).isNull().alias(f"_n{j}"), F.col(c).alias(f"_k{j}")]
-    return F.struct(*parts)
+def _key_columns(pcols: Sequence[str], order_by: Sequence[str]) -> list[Column]:
+    """The columns of the total order: hash and values of the partition columns, then the order columns."""
+    return [*([F.xxhash64(*pcols)] if pcols else []), *[F.col(c) for c in (*pcols, *order_by)]]
 
 
-def _with_range(df: DataFrame, bounds: list, kind: T.DataType, key: Column) -> DataFrame:
-    """Add ``_range``, the number of split points <= key: a search in two steps over two arrays,
-    which one broadcast row brings to every row."""
-    if not bounds:
+def _sort_key(columns: Sequence[Column]) -> Column:
+    """The total order as one struct: for each column whether it is NULL and its value.  Structs
+    compare as ORDER BY does, but for NULLs."""
+    return F.struct(*[c for j, k in enumerate(columns) for c in (k.isNull().alias(f"_n{j}"), k.alias(f"_k{j}"))])
+
+
+def split_points(keys: DataFrame, n: int, ranges: int) -> DataFrame:
+    """One row of arrays ``_k0``, ``_k1``, ...: the key columns of at most ``ranges - 1`` split points."""
+    names = [f"_k{j}" for j in range(len(keys.columns))]
+    key = _sort_key([F.col(c) for c in names])
+    keys = keys.toDF(*names).select(key.alias("key"))
+    wanted = ranges * KEYS_PER_RANGE
+    if wanted < n:
+        parts = 1 << 40
+        keys = keys.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) < math.ceil(parts * wanted / n))
+    sample = keys.agg(F.sort_array(F.collect_set("key")).alias("s"))  # a set: a repeated key counts once
+    places = F.transform(F.sequence(F.lit(1), F.lit(max(1, ranges - 1))), lambda j: F.floor(j * F.size("s") / ranges).cast("int"))
+    picked = sample.select(F.transform(F.array_distinct(places), lambda j: F.get("s", j)).alias("p"))
+    picked = picked.select(F.array_compact("p").alias("p"))
+    return picked.select(*[F.col(f"p.{c}").alias(c) for c in names])
+
+
+def _with_range(df: DataFrame, points: DataFrame, n_points: int, columns: Sequence[Column]) -> DataFrame:
+    """Add ``_range``, the number of split points <= the row's key.
+
+    A binary search, one step for each projection: a step's range is read more than once by the
+    next, so the optimizer keeps the steps apart and generated code runs them in turn.  The arrays
+    come with one broadcast row.
+    """
+    if not n_points:
         return df.withColumn(RANGE_COL, F.lit(0))
-    g = math.isqrt(len(bounds)) + 1
-    schema = T.StructType([T.StructField("_tops", T.ArrayType(kind)), T.StructField("_parts", T.ArrayType(T.ArrayType(kind)))])
-    row = df.sparkSession.createDataFrame([(bounds[::g], [bounds[k : k + g] for k in range(0, len(bounds), g)])], schema)
-    not_above = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
-    top = not_above(F.col("_tops"))
-    inside = not_above(F.element_at("_parts", F.greatest(top, F.lit(1))))
-    found = F.when(top > 0, (top - 1) * g + inside).otherwise(0).cast("int")
-    return df.join(F.broadcast(row)).withColumn(RANGE_COL, found).drop("_tops", "_parts")
+    own = [f"_c{j}" for j in range(len(columns))]
+    out = df.select("*", *[c.alias(name) for c, name in zip(columns, own)]).join(F.broadcast(points))
+
+    def at_or_after(place: Column, j: int = 0) -> Column:
+        bound, value = F.get(f"_k{j}", place), F.col(own[j])
+        after = bound.isNotNull() & (value.isNull() | (value > bound))
+        same = value.eqNullSafe(bound)
+        return after | (same & at_or_after(place, j + 1) if j + 1 < len(own) else same)
+
+    out = out.withColumn(RANGE_COL, F.lit(0))
+    step = 1 << (n_points.bit_length() - 1)
+    while step:
+        here = F.col(RANGE_COL)
+        out = out.withColumn(RANGE_COL, F.when((here + step <= n_points) & at_or_after(here + (step - 1)), here + step).otherwise(here))
+        step >>= 1
+    # out of a generator: a later filter on the range would else be pushed down, with all steps written out in it
+    return out.select(*df.columns, F.explode(F.array(RANGE_COL)).alias(RANGE_COL))
 
 
 def assign_ranges(df: DataFrame, order_by: Sequence[str], *, partition_by: Sequence[str] | None = None,
                   rows_per_bucket: int | None = None, n: int | None = None) -> tuple[DataFrame, list[int], int]:
     """Tag rows with ``_range``, contiguous ranges of the (partition, order_by) total order; returns
-    the tagged frame, the rows in each range and how many buckets they should make (runs two jobs
-    over the key columns now)."""
-    key = _sort_key(list(partition_by or []), order_by)
-    keys = df.select(key.alias("key"))
-    seen = Observation()
-    counted = keys.observe(seen, F.count(F.lit(1)).alias("n"))
-    sample = [r["key"] for r in counted.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_ROWS).orderBy("key").collect()]
-    n = seen.get["n"] if n is None else n
+    the tagged frame, the rows in each range and how many buckets they should make (runs up to three
+    jobs over the key columns now: the number of rows, unless it is given, split points and counts)."""
+    columns = _key_columns(list(partition_by or []), order_by)
+    n = df.count() if n is None else n
     per = rows_per_bucket or ROWS_PER_BUCKET
-    least = min(parallelism(df.sparkSession), math.ceil(n / min(MIN_ROWS_PER_BUCKET, per)))
-    buckets = max(1, least, math.ceil(n / per))
-    ranges = min(buckets * RANGES_PER_BUCKET if buckets > 1 else 1, max(1, len(sample) // 4 if len(sample) == SAMPLE_ROWS else len(sample)))
-    picks = sorted({round(j * len(sample) / ranges) for j in range(1, ranges)})
-    bounds: list = []
-    for p in picks:
-        if p < len(sample) and (not bounds or bounds[-1] != sample[p]):
-            bounds.append(sample[p])
-    tagged = _with_range(df, bounds, keys.schema["key"].dataType, key)
-    if not bounds:
-        return tagged, [n], 1
-    found = {r[0]: r[1] for r in tagged.groupBy(RANGE_COL).count().collect()}
-    return tagged, [found.get(k, 0) for k in range(len(bounds) + 1)], buckets
+    buckets = max(min(parallelism(df.sparkSession), math.ceil(n / min(MIN_ROWS_PER_BUCKET, per))), math.ceil(n / per))
+    if buckets <= 1:
+        return df.withColumn(RANGE_COL, F.lit(0)), [n], 1
+    ranges = min(buckets * RANGES_PER_BUCKET, n, MAX_RANGES)
+    found = split_points(df.select(*columns), n, ranges)
+    row = found.first()
+    points = df.sparkSession.createDataFrame([row], found.schema)
+    tagged = _with_range(df, points, len(row[0]), columns)
+    counts = {r[0]: r[1] for r in tagged.groupBy(RANGE_COL).count().collect()}
+    return tagged, [counts.get(k, 0) for k in range(len(row[0]) + 1)], buckets
 
 
 def make_buckets(counts: Sequence[int], buckets: int, halo: int) -> tuple[list[int], list[bool], list[int], list[int]]:
@@ -127,8 +153,17 @@ def make_buckets(counts: Sequence[int], buckets: int, halo: int) -> tuple[list[i
         if halo and after < len(sizes) and copies[after] < halo:
             copied[k] = True
             copies[after] += counts[k]
-    starts = [sum(sizes[:k]) for k in range(len(sizes))]
-    return own, copied, starts, copies
+    return own, copied, _starts(sizes), copies
+
+
+def _starts(sizes: Sequence[int]) -> list[int]:
+    """Where each of consecutive runs begins."""
+    return [0, *itertools.accumulate(sizes)][: len(sizes)]
+
+
+def _longs(values: Sequence[int]) -> Column:
+    """A constant array, folded by the optimizer."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
 
 
 def ordered_window(df: DataFrame, order_by: Sequence[str],
@@ -154,17 +189,16 @@ def ordered_window(df: DataFrame, order_by: Sequence[str],
     pcols = list(partition_by or [])
     tagged, counts, buckets = assign_ranges(df, order_by, partition_by=pcols, rows_per_bucket=rows_per_bucket, n=n)
     own, copied, starts, copies = make_buckets(counts, buckets, halo)
-    longs = lambda xs: F.lit(xs)  # noqa: E731  an array of constants
-    bucket = F.element_at(longs(own), F.col(RANGE_COL) + 1)
-    goes_on = F.element_at(longs(copied), F.col(RANGE_COL) + 1)
+    bucket = F.get(_longs(own), F.col(RANGE_COL)).cast("int")
+    goes_on = F.get(_longs(copied), F.col(RANGE_COL)) == 1
     targets = F.when(goes_on, F.array(bucket, bucket + 1)).otherwise(F.array(bucket)) if any(copied) else F.array(bucket)
     spread = (tagged.select("*", F.explode(targets).alias(BUCKET_COL))
-              .withColumn(HALO_COL, F.col(BUCKET_COL) != F.element_at(longs(own), F.col(RANGE_COL) + 1)))
+              .withColumn(HALO_COL, F.col(BUCKET_COL) != bucket))
     placed = spread.repartitionById(len(starts), F.col(BUCKET_COL)) if len(starts) > 1 else spread.coalesce(1)
     w = Window.partitionBy(*pcols, BUCKET_COL).orderBy(F.col(HALO_COL).desc(), *_order_columns(order_by))
     number = F.row_number().over(w)
     if not pcols:
-        first = F.element_at(longs([a - b for a, b in zip(starts, copies)]), F.col(BUCKET_COL) + 1)
+        first = F.get(_longs([a - b for a, b in zip(starts, copies)]), F.col(BUCKET_COL))
         out = placed.withColumn(INDEX_COL, (first + number - 1).cast("long"))
     elif keep_index:
         # rows of the same key in earlier buckets: of each bucket, only its first key can have any
@@ -209,31 +243,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def exact_quantiles(df: DataFrame, value: str, tie: str, quantiles: dict[str, float],
-                    rows_per_bucket: int | None = None) -> tuple[dict[str, float | None], int]:
-    """PERCENTILE_CONT values of ``value`` (NULLs ignored), exact, without
-    sorting the data: the ranges of the (value, tie) order are counted, the
-    driver finds those holding the needed ranks, and only their rows are
-    ranked.  Returns ({name: value}, n)."""
+def values_at_ranks(df: DataFrame, value: str, tie: str, ranks: Callable[[int], Iterable[int]],
+                    rows_per_bucket: int | None = None) -> tuple[dict[int, object], int]:
+    """The values at some 0-based ranks (a function of the number of rows) of ``value`` in ascending
+    order, NULLs left out, without sorting the data: the ranges of the (value, tie) order are counted,
+    the driver finds those holding the wanted ranks, and only their rows are ranked.  Returns
+    ({rank: value}, number of rows)."""
     vals = df.filter(F.col(value).isNotNull()).select(value, tie)
     tagged, counts, _ = assign_ranges(vals, [value, tie], rows_per_bucket=rows_per_bucket)
-    n = sum(counts)
-    if n == 0:
-        return {k: None for k in quantiles}, 0
-    starts = [sum(counts[:k]) for k in range(len(counts))]
+    n, starts = sum(counts), _starts(counts)
     wanted: dict[int, set[int]] = {}
-    plan = {}
-    for name, q in quantiles.items():
-        pos = q * (n - 1)
-        plan[name] = (pos, math.floor(pos), math.ceil(pos))
-        for rank in plan[name][1:]:
-            k = max(k for k in range(len(counts)) if starts[k] <= rank and counts[k])
-            wanted.setdefault(k, set()).add(rank - starts[k])
+    for rank in ranks(n) if n else ():
+        k = bisect.bisect_right(starts, rank) - 1  # of ranges that begin there, the last, which has rows
+        wanted.setdefault(k, set()).add(rank - starts[k])
+    if not wanted:
+        return {}, n
     rn = F.row_number().over(Window.partitionBy(RANGE_COL).orderBy(*_order_columns([value, tie]))) - 1
     cond = F.lit(False)
     for k, places in wanted.items():
         cond = cond | ((F.col(RANGE_COL) == k) & F.col("_rn").isin(*sorted(places)))
     picked = (tagged.filter(F.col(RANGE_COL).isin(*wanted))
               .withColumn("_rn", rn).filter(cond).select(RANGE_COL, "_rn", value).collect())
-    at = {starts[r[0]] + r[1]: r[2] for r in picked}
-    return {name: at[lo] + (at[hi] - at[lo]) * (pos - lo) for name, (pos, lo, hi) in plan.items()}, n
+    return {starts[r[0]] + r[1]: r[2] for r in picked}, n
+
+
+def exact_quantiles(df: DataFrame, value: str, tie: str, quantiles: dict[str, float],
+                    rows_per_bucket: int | None = None) -> tuple[dict[str, float | None], int]:
+    """PERCENTILE_CONT values of ``value`` (NULLs ignored), exact (see :func:`values_at_ranks`).
+    Returns ({name: value}, n)."""
+    def ranks(n: int) -> set[int]:
+        return {r for q in quantiles.values() for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+
+    at, n = values_at_ranks(df, value, tie, ranks, rows_per_bucket)
+    out: dict[str, float | None] = {}
+    for name, q in quantiles.items():
+        pos = q * (n - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        out[name] = at[lo] + (at[hi] - at[lo]) * (pos - lo) if n else None
+    return out, n

@@ -2,15 +2,15 @@
 
 Input: a DataFrame of raw messages ``(source STRING, raw STRING, ingest_time
 TIMESTAMP)`` — a Kafka or file stream in production, a batch DataFrame in
-tests.  Each document is parsed ONCE into Spark's VARIANT type
-(`try_parse_json`; NULL when it is not JSON) and every feed shape — objects
-and Kraken's arrays alike — is read from it with `try_variant_get` paths.
-Every normaliser is a stateless projection + filter, so the same code runs on
-batch and streaming DataFrames, and the mixed-feed router is ONE projection
-(one scan of the stream, no union).  Every trade of a message becomes a row with
-an id that is the same whenever the message is read again.  Numbers and times
-are parsed with ``try_`` functions: a malformed one never fails the job, its
-row goes to :func:`invalid_messages`, out of the same parse.
+tests.  Each message is parsed ONCE: an object into the few fields that any
+feed has, all as text, an array (Kraken's) into its items.  A feed only names
+its fields; numbers and times are converted after that, in one projection for
+all feeds, with ``try_`` functions: a malformed one never fails the job, its
+row goes to :func:`invalid_messages`, out of the same parse.  Every normaliser
+is a stateless projection + filter, so the same code runs on batch and
+streaming DataFrames, and the mixed-feed router is one scan of the stream, no
+union.  Every trade of a message becomes a row with an id that is the same
+whenever the message is read again.
 """
 from __future__ import annotations
 
@@ -36,26 +36,40 @@ MAX_EPOCH_MILLIS = 253_402_300_799_999
 IDS_PER_MESSAGE = 1 << 20
 
 
+# The fields that feeds read of an object, as text whatever their JSON type; `_bad` is the message where it is no object.
+_FIELDS = ("type", "price", "size", "side", "e", "T", "p", "q", "m", "exchange", "pair", "timestamp", "subject", "data", "source", "time")
+_OBJECT = ",".join(f"`{f}` string" for f in (*_FIELDS, "_bad"))
+_STRICT = {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def _num(c: Column) -> Column:
-    """A finite double, else NULL ("NaN" and "Infinity" are no prices)."""
+    """A finite double, else NULL ("NaN" and "Infinity" are no prices; NaN is above infinity)."""
     n = c.try_cast("double")
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    return F.when(F.abs(n) < float("inf"), n)
 
 
 def _parse_once(df: DataFrame, *keep: str) -> DataFrame:
-    """`v` = VARIANT of the `raw` text, parsed ONCE per row.
+    """`v`: the fields of a message that is an object, `items`: the texts of one that is an array.
 
-    Catalyst would substitute a projected `try_parse_json(raw)` into every
-    filter and projection that reads it, parsing again for each reference;
-    producing it through a generator (`explode` of a one-element array) makes
-    it a real column that later filters cannot be pushed below.
+    Catalyst would substitute a projected parse into every filter that reads it,
+    parsing again for each; producing it through a generator (`inline` of a
+    one-element array) makes real columns that later filters cannot be pushed below.
     """
-    return df.select(*keep, F.explode(F.array(F.try_parse_json(F.col("raw")))).alias("v"))
+    raw = F.col("raw")
+    array = raw.rlike(r"^\s*\[")
+    parsed = F.struct(F.when(~array, F.from_json(raw, _OBJECT, _STRICT)).alias("v"),
+                      F.when(array, F.from_json(raw, "array<string>", _STRICT)).alias("items"))
+    return df.select(*keep, F.inline(F.array(parsed)))
+
+
+def _not_json() -> Column:
+    """Neither object nor array, and no other JSON value (looked at only then)."""
+    none = F.col("items").isNull() & (F.col("v").isNull() | _f("_bad").isNotNull())
+    return none & F.try_parse_json("raw").isNull()
 
 
-def _s(path: str) -> Column:
-    """String at a JSON path of `v` (numbers come back as their text)."""
-    return F.try_variant_get(F.col("v"), path, "string")
+def _f(field: str) -> Column:
+    return F.col("v").getField(field)
 
 
 def _arrival() -> Column:
@@ -70,86 +84,56 @@ def _millis_ntz(ms: Column) -> Column:
 
 
 # -------------------------------------------------------------- per feed
-# Each feed turns `v` into an array of entries: one for each trade or tick of
-# the message, none for other traffic.
+# Each feed turns a message into an array of entries, texts still: one for each
+# trade or tick of the message, none for other traffic.
 
-_ENTRY = ("timestamp", "price", "size", "side", "exchange", "pair", "tick_source", "subject", "reason")
-_ENTRY_TYPES = ("timestamp_ntz", "double", "double", "string", "string", "string", "string", "string", "string")
+_ENTRY = "array<struct<price:string,size:string,side:string,time:string>>"
 
 
-def _entry(bad_time: Column | None = None, **cols: Column) -> Column:
-    """An entry; `reason` says why it is rejected, NULL for a good one."""
-    bad = cols["price"].isNull() | (cols["size"].isNull() if "size" in cols else F.lit(False))
-    reason = F.when(bad, F.lit("bad_number"))
-    if bad_time is not None:
-        reason = reason.when(bad_time, F.lit("bad_time"))
-    cols = cols | {"reason": reason}
-    return F.struct(*[cols.get(n, F.lit(None)).cast(t).alias(n) for n, t in zip(_ENTRY, _ENTRY_TYPES)])
+def _entry(price: Column, size: Column | None = None, side: Column | None = None, time: Column | None = None) -> Column:
+    parts = zip(("price", "size", "side", "time"), (price, size, side, time))
+    return F.struct(*[(F.lit(None) if c is None else c).cast("string").alias(n) for n, c in parts])
 
 
-def _none() -> Column:
-    return F.lit(None).cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(_ENTRY, _ENTRY_TYPES)) + ">>")
-
-
-def _if(is_trade: Column, entries: Column) -> Column:
-    return F.when(F.coalesce(is_trade, F.lit(False)), entries).otherwise(_none())
+def _if(is_entry: Column, entries: Column) -> Column:
+    return F.when(F.coalesce(is_entry, F.lit(False)), entries).otherwise(F.lit(None).cast(_ENTRY))
 
 
 def _coinbase() -> Column:
-    return _if(_s("$.type") == "match", F.array(_entry(
-        timestamp=_arrival(), price=_num(_s("$.price")), size=_num(_s("$.size")), side=_s("$.side"),
-        exchange=F.lit("coinbase"), pair=F.lit(DEFAULT_PAIR))))
+    return _if(_f("type") == "match", F.array(_entry(_f("price"), _f("size"), _f("side"))))
 
 
 def _binance() -> Column:
-    side = F.when(F.lower(_s("$.m")) == "true", F.lit("sell")).otherwise(F.lit("buy"))
-    time = _millis_ntz(_s("$.T"))
-    return _if(_s("$.e") == "trade", F.array(_entry(
-        _s("$.T").isNotNull() & time.isNull(), timestamp=time, price=_num(_s("$.p")), size=_num(_s("$.q")), side=side,
-        exchange=F.lit("binance"), pair=F.lit(DEFAULT_PAIR))))
+    side = F.when(F.lower(_f("m")) == "true", F.lit("sell")).otherwise(F.lit("buy"))
+    return _if(_f("e") == "trade", F.array(_entry(_f("p"), _f("q"), side, _f("T"))))
 
 
 def _kraken() -> Column:
-    items = F.try_variant_get(F.col("v"), "$[1]", "array<array<string>>")
-
     def trade(item: Column) -> Column:
         side = F.when(F.get(item, F.lit(3)) == "b", F.lit("buy")).otherwise(F.lit("sell"))
-        return _entry(timestamp=_arrival(), price=_num(F.get(item, F.lit(0))), size=_num(F.get(item, F.lit(1))), side=side,
-                      exchange=F.lit("kraken"), pair=F.lit(DEFAULT_PAIR))
+        return _entry(F.get(item, F.lit(0)), F.get(item, F.lit(1)), side)
 
-    return _if(_s("$[2]") == "trade", F.transform(items, trade))
+    trades = F.from_json(F.get("items", F.lit(1)), "array<array<string>>", _STRICT)
+    return _if(F.get("items", F.lit(2)) == "trade", F.transform(trades, trade))
 
 
 def _plain() -> Column:
-    time = _millis_ntz(_s("$.timestamp"))
-    return _if(_s("$.price").isNotNull(), F.array(_entry(
-        _s("$.timestamp").isNotNull() & time.isNull(), timestamp=time, price=_num(_s("$.price")), size=_num(_s("$.size")),
-        side=_s("$.side"), exchange=F.coalesce(_s("$.exchange"), F.lit(DEFAULT_EXCHANGE)),
-        pair=F.coalesce(_s("$.pair"), F.lit(DEFAULT_PAIR)))))
+    return _if(_f("price").isNotNull(), F.array(_entry(_f("price"), _f("size"), _f("side"), _f("timestamp"))))
 
 
 def _envelope() -> Column:
-    has_data = F.try_variant_get(F.col("v"), "$.data", "variant").isNotNull()
-    price, stamp = _s("$.data.price"), _s("$.timestamp")
     # an absent price is 0.0; one that is there and no number is a reject
-    return _if(_s("$.subject").isNotNull() & has_data, F.array(_entry(
-        stamp.isNotNull() & _millis_ntz(stamp).isNull(), timestamp=F.coalesce(_millis_ntz(stamp), _arrival()),
-        price=F.when(price.isNull(), F.lit(0.0)).otherwise(_num(price)), tick_source=F.lit(ENVELOPE_SOURCE),
-        subject=_s("$.subject"))))
+    price = F.coalesce(F.get_json_object(_f("data"), "$.price"), F.lit("0"))
+    return _if(_f("subject").isNotNull() & _f("data").isNotNull(), F.array(_entry(price, time=_f("timestamp"))))
 
 
 def _ticker() -> Column:
-    label = F.when(_s("$.source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])) \
-             .otherwise(F.lit(TICK_SOURCE_DEFAULT))
-    time = instant_to_ntz(F.try_to_timestamp(_s("$.time")))
-    return _if((_s("$.type") == "ticker") | _s("$.source").isNotNull(), F.array(_entry(
-        time.isNull(), timestamp=time, price=_num(_s("$.price")), tick_source=label,
-        subject=F.coalesce(_s("$.subject"), F.lit(TICK_SUBJECT_DEFAULT)))))
+    return _if((_f("type") == "ticker") | _f("source").isNotNull(), F.array(_entry(_f("price"), time=_f("time"))))
 
 
 _FEEDS = {"coinbase": _coinbase, "binance": _binance, "kraken": _kraken, "plain": _plain,
           "bus": _envelope, "coinbase_ticker": _ticker}
-_TRADE_COLS = ("id", "timestamp", "price", "size", "side", "exchange", "pair")
+TRADE_COLS = ("id", "timestamp", "price", "size", "side", "exchange", "pair")
 
 
 def _entry_id(columns: Sequence[str]) -> Column:
@@ -175,23 +159,51 @@ def parse_messages(raw: DataFrame, feed: str | None = None, source_col: str = "s
     One projection over one scan, batch or stream: trades and rejects come out of the same parse.
     """
     parsed = _parse_once(raw, "*")
-    reject = lambda why: F.array(_entry(price=F.lit(0.0)).withField("reason", F.lit(why)))
+    src = F.lit(feed) if feed is not None else F.col(source_col)
     if feed is not None:
         entries = _FEEDS[feed]()
-        kind = F.lit("trade" if feed in TRADE_FEEDS else "tick")
     else:
-        src = F.col(source_col)
-        entries = reject("unknown_feed")
+        entries = F.array(_entry(F.lit(None)))  # of an unknown feed
         for name, fn in _FEEDS.items():
-            entries = F.when(src == F.lit(name), fn()).otherwise(entries)
-        kind = F.when(src.isin(*TRADE_FEEDS), F.lit("trade")).when(src.isin(*TICK_FEEDS), F.lit("tick"))
-    entries = F.when(F.col("v").isNull(), reject("not_json")).otherwise(entries)
-    rows = parsed.select(*raw.columns, kind.alias("kind"), F.posexplode(entries).alias("pos", "entry"))
-    return rows.select(*raw.columns, "kind", "pos", _entry_id(raw.columns).alias("id"), "entry.*")
+            entries = F.when(src == name, fn()).otherwise(entries)
+    message = F.when(_not_json(), F.lit("not_json"))
+    if feed is None:
+        message = message.when(~src.isin(*_FEEDS) | src.isNull(), F.lit("unknown_feed"))
+    kind = F.when(src.isin(*TRADE_FEEDS), F.lit("trade")).when(src.isin(*TICK_FEEDS), F.lit("tick"))
+    subject = F.when(src == "bus", _f("subject")).when(src == "coinbase_ticker", F.coalesce(_f("subject"), F.lit(TICK_SUBJECT_DEFAULT)))
+    label = F.when(_f("source") == "nex_stream", F.lit(TICK_SOURCE_LABELS["nex_stream"])).otherwise(F.lit(TICK_SOURCE_DEFAULT))
+    flat = src == "plain"
+    marked = parsed.select(
+        "*", message.alias("_message"), kind.alias("kind"), subject.alias("subject"),
+        F.when(src == "bus", F.lit(ENVELOPE_SOURCE)).when(src == "coinbase_ticker", label).alias("tick_source"),
+        F.when(flat, F.coalesce(_f("exchange"), F.lit(DEFAULT_EXCHANGE))).when(src.isin(*TRADE_FEEDS), src).alias("exchange"),
+        F.when(flat, F.coalesce(_f("pair"), F.lit(DEFAULT_PAIR))).when(src.isin(*TRADE_FEEDS), F.lit(DEFAULT_PAIR)).alias("pair"))
+    entries = F.when(F.col("_message").isNotNull(), F.array(_entry(F.lit(None)))).otherwise(entries)
+    rows = marked.select(*raw.columns, "_message", "kind", "subject", "tick_source", "exchange", "pair", F.posexplode(entries).alias("pos", "x"))
+    # texts to numbers and times, once for all feeds
+    sent = F.col("x.time")
+    millis = F.when(src.isin("binance", "plain", "bus"), _millis_ntz(sent))
+    iso = F.when(src == "coinbase_ticker", instant_to_ntz(F.try_to_timestamp(sent)))
+    arrived = F.when(src.isin("coinbase", "kraken", "bus"), _arrival())
+    read = rows.select(*raw.columns, "_message", "kind", "pos", _entry_id(raw.columns).alias("id"),
+                       F.coalesce(millis, iso).alias("_sent"), arrived.alias("_arrived"), sent.alias("_time"),
+                       _num(F.col("x.price")).alias("price"), _num(F.col("x.size")).alias("size"), F.col("x.side").alias("side"),
+                       "exchange", "pair", "tick_source", "subject")
+    bad_time = F.col("_sent").isNull() & ((src == "coinbase_ticker") | F.col("_time").isNotNull())
+    reason = (F.when(F.col("_message").isNotNull(), F.col("_message"))
+              .when(F.col("price").isNull() | (F.col("size").isNull() & (F.col("kind") == "trade")), F.lit("bad_number"))
+              .when(bad_time, F.lit("bad_time")))
+    return read.select(*raw.columns, "kind", "pos", "id", F.coalesce("_sent", "_arrived").alias("timestamp"), "price", "size", "side",
+                       "exchange", "pair", "tick_source", "subject", reason.alias("reason"))
+
+
+def good_trades(rows: DataFrame) -> DataFrame:
+    """The trades among what :func:`parse_messages` gives, with all columns."""
+    return rows.filter(F.col("reason").isNull() & (F.col("kind") == "trade"))
 
 
 def _trades(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("reason").isNull() & (F.col("kind") == "trade")).select(*_TRADE_COLS)
+    return good_trades(rows).select(*TRADE_COLS)
 
 
 def _ticks(rows: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: trade appends (S10) and OHLCV rollups.
+"""Sinks: trade appends (S10).  Stored rollups are in :mod:`.rollups`, a table with retention in :mod:`.trade_store`.
 
 Paths are folders under the cluster's shared storage (callers pass them; the
 tests use a scratch folder).  Writes go through Spark's committers, so a lost
@@ -6,66 +6,34 @@ executor re-runs its task without duplicating output.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import epoch_micros_ntz, ntz_from_micros, time_key
-
-# Rollup timeframes (name -> seconds).
-ROLLUP_TIMEFRAMES = {"1m": 60, "5m": 300, "15m": 900, "1h": 3600}
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
+def by_date(trades: DataFrame, tasks_per_date: int = 4) -> DataFrame:
+    """Trades with their `date`, clustered by it: a date's rows in at most `tasks_per_date` tasks, so
+    that a hot day is not one task's."""
+    dated = trades.withColumn("date", F.to_date("timestamp"))
+    return dated.repartition("date", F.pmod(F.xxhash64("timestamp", "id"), F.lit(tasks_per_date)))
+
+
 def append_trades(trades: DataFrame, path: str, tasks_per_date: int = 4) -> None:
     """S10 (batch): append trades to a parquet table partitioned by trade date.
 
-    Rows are clustered by date first, a date's over `tasks_per_date` tasks, so
-    an append writes at most that many files for each date (a hot day is not
-    one task's), and are sorted by time inside each, so that a later timeframe
-    filter skips row groups, not only date folders; files are capped in size.
+    An append writes at most `tasks_per_date` files for each date, sorted by time, so that a later
+    timeframe filter skips row groups, not only date folders; files are capped in size.
     """
-    dated = trades.withColumn("date", F.to_date("timestamp"))
-    (dated.repartition("date", F.pmod(F.xxhash64("timestamp", "id"), F.lit(tasks_per_date)))
-     .sortWithinPartitions("date", "timestamp")
+    (by_date(trades, tasks_per_date).sortWithinPartitions("date", "timestamp")
      .write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("date").parquet(path))
 
 
-def append_trades_stream(trades_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """S10 (stream): the micro-batch append; the checkpoint gives exactly-once
-    output (replaces the reference's buffer and its lost-row race)."""
-    w = (trades_stream.withColumn("date", F.to_date("timestamp"))
+def append_trades_stream(trades_stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, tasks_per_date: int = 4):
+    """S10 (stream): the micro-batch append, clustered by date like the batch form; the checkpoint gives
+    exactly-once output (replaces the reference's buffer and its lost-row race)."""
+    w = (by_date(trades_stream, tasks_per_date)
          .writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
          .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("date").outputMode("append"))
     return w.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def rollups(trades: DataFrame, timeframes: Sequence[str] = tuple(ROLLUP_TIMEFRAMES)) -> DataFrame:
-    """S11 rows: OHLCV + trade_count per (timestamp, timeframe), epoch-aligned.
-
-    Trades are aggregated to minutes once; the longer timeframes, all whole
-    minutes, are aggregates of those bars, so the fan-out is of bars and not of
-    trades.  Every (timestamp, timeframe) is unique by construction.
-    """
-    width = 60_000_000
-    micros, key = epoch_micros_ntz("timestamp"), time_key()
-    minutes = (trades.groupBy((F.floor(micros / F.lit(width)) * F.lit(width)).alias("m"))
-               .agg(F.min_by("price", key).alias("open_price"), F.min(key).alias("first"), F.max("price").alias("high_price"),
-                    F.min("price").alias("low_price"), F.max_by("price", key).alias("close_price"), F.max(key).alias("last"),
-                    F.sum("size").alias("volume"), F.count(F.lit(1)).alias("trade_count")))
-    widths = F.array(*[F.struct(F.lit(t).alias("tf"), F.lit(ROLLUP_TIMEFRAMES[t] * 1_000_000).alias("w")) for t in timeframes])
-    tagged = minutes.select("*", F.explode(widths).alias("r"))
-    bucket = ntz_from_micros(F.floor(F.col("m") / F.col("r.w")) * F.col("r.w"))
-    return (tagged.groupBy(bucket.alias("timestamp"), F.col("r.tf").alias("timeframe"))
-            .agg(F.min_by("open_price", "first").alias("open_price"), F.max("high_price").alias("high_price"),
-                 F.min("low_price").alias("low_price"), F.max_by("close_price", "last").alias("close_price"),
-                 F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count")))
-
-
-def write_rollups(trades: DataFrame, path: str, timeframes: Sequence[str] = tuple(ROLLUP_TIMEFRAMES)) -> None:
-    """Materialise the rollups, overwriting only the timeframe partitions written; a timeframe's
-    days are written by tasks of their own."""
-    (rollups(trades, timeframes).repartition("timeframe", F.to_date("timestamp"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("timeframe").parquet(path))

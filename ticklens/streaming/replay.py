@@ -9,7 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.exprs import epoch_micros_ntz
 from ..session import checkpoint_dir
 
 
@@ -18,16 +20,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "ticklens", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 3) -> str:
-    """Write `df` as `chunks` consecutive time slices (bounds from approx quantiles)."""
+def time_slices(df: DataFrame, ts_col: str, chunks: int = 3) -> list[DataFrame]:
+    """`df` as consecutive time slices (bounds from approx quantiles); rows without a time are in the last."""
     qs = [i / chunks for i in range(1, chunks)]
-    from pyspark.sql import types as T
-    from ..functions.exprs import epoch_micros_ntz
     col = F.col(ts_col)
     us = epoch_micros_ntz(col) if isinstance(df.schema[ts_col].dataType, T.TimestampNTZType) else F.unix_micros(col)
     df = df.withColumn("_us", us)
-    bounds = df.stat.approxQuantile("_us", qs, 0.001)
-    edges = [None, *bounds, None]
+    edges = [None, *df.stat.approxQuantile("_us", qs, 0.001), None]
+    out = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         part = df
         if lo is not None:
@@ -35,47 +35,54 @@ def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 3) -> str:
         if hi is not None:
             part = part.filter(F.col("_us") < F.lit(hi))
         elif lo is not None:
-            part = part.unionByName(df.filter(F.col("_us").isNull()))  # rows without a time come last
-        part.drop("_us").coalesce(1).write.mode("append").parquet(dest)
+            part = part.unionByName(df.filter(F.col("_us").isNull()))
+        out.append(part.drop("_us"))
+    return out
+
+
+def append_slices(slices: Sequence[DataFrame], dest: str) -> str:
+    """A file for each slice, in turn."""
+    for part in slices:
+        part.coalesce(1).write.mode("append").parquet(dest)
     return dest
 
 
+def write_chunks(df: DataFrame, ts_col: str, dest: str, chunks: int = 3) -> str:
+    """Write `df` as `chunks` consecutive time slices."""
+    return append_slices(time_slices(df, ts_col, chunks), dest)
+
+
 def replay(spark: SparkSession, df: DataFrame, ts_col: str, name: str, chunks: int = 3) -> DataFrame:
     """Streaming DataFrame over `df`, one micro-batch per time chunk."""
     dest = write_chunks(df, ts_col, scratch(spark, name + "-in"), chunks)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(dest)
 
 
+def run_once(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a streaming query in append mode over what there is now (availableNow) into parquet."""
+    q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, mode: str = "append",
                    keys: Sequence[str] = ()) -> DataFrame:
     """Run a streaming query to completion (availableNow) into parquet; read it back.  In update mode
-    each batch brings the rows of the `keys` that changed; a key's last row counts.
-
-    State partitions are fixed when a query first starts; they are set to the
-    cluster's task slots for this run (not the batch shuffle default)."""
+    each batch brings the rows of the `keys` that changed; a key's last row counts."""
     out, ck = scratch(spark, name + "-out"), scratch(spark, name + "-ck")
-    prev = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(max(1, spark.sparkContext.defaultParallelism)))
     if mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-             .outputMode("append").trigger(availableNow=True).start())
-    elif mode == "update":
-        if not keys:
-            raise ValueError("update mode needs the key columns")
-
-        def changed(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        q = (stream.writeStream.foreachBatch(changed).option("checkpointLocation", ck)
-             .outputMode(mode).trigger(availableNow=True).start())
-    else:
-        def snapshot(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-        q = (stream.writeStream.foreachBatch(snapshot).option("checkpointLocation", ck)
-             .outputMode(mode).trigger(availableNow=True).start())
-    try:
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", prev)
+        run_once(stream, out, ck)
+        return spark.read.parquet(out)
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the key columns")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}" if mode == "update" else out)
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     if mode == "update":

@@ -3,18 +3,23 @@
 * T6 normalisation is the batch code (:mod:`ticklens.sources.messages`) —
   stateless projections work unchanged on a streaming DataFrame.
 * T1/T2 are one keyed streaming aggregate (state = one row per pair).
-* T3 bars use an event-time watermark and tumbling windows in append mode.
-* T4: row-frame windows are not allowed on streams: `foreachBatch`
-  runs the distributed ordered window (per source, blocks with a halo) on
-  each micro-batch plus the previous epoch's last five rows per source (a
-  small versioned state table), so no source is ever handled by one task.
+* T3 bars use an event-time watermark and tumbling windows in append mode; a
+  chain of such windows builds longer bars from shorter ones in one query.
+* T4: row-frame windows are not allowed on streams.  Two forms: a keyed state
+  that holds each source's last prices (constant state, one task for a source
+  in a micro-batch), and, where one source is too much for a task,
+  `foreachBatch` with the distributed ordered window on each micro-batch plus
+  the previous epoch's last five rows per source (a small versioned state table).
 * T5 appends each micro-batch and keeps a bounded "latest" table via
   `foreachBatch` (versioned folders, idempotent on retry).
 """
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,7 @@ from ..functions.exprs import instant_to_ntz, ntz_to_instant, order_key, time_ke
 from ..operators.topk import retain_latest
 from ..plans.ordered import INDEX_COL, ordered_window
 from ..sources import messages
+from ..sources.rollups import merged_bars
 
 # Bar width of the live chart and the tick frame (6 rows =
 # current + 5 preceding).
@@ -34,6 +40,18 @@ def stream_normalize(raw_stream: DataFrame) -> DataFrame:
     return messages.normalize_trades(raw_stream)
 
 
+def stream_normalize_once(raw_stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Trades of a feed that may deliver a message again: each trade id once.
+
+    State holds the ids of the last `delay` of event time; a redelivery within that time is dropped by
+    its id, a later one as late data.  A trade without a time of its own counts at its arrival.
+    """
+    good = messages.good_trades(messages.parse_messages(raw_stream))
+    event = F.coalesce(ntz_to_instant("timestamp"), F.col("ingest_time"))
+    return (good.withColumn("_event", event).withWatermark("_event", delay)
+            .dropDuplicatesWithinWatermark(["id"]).select(*messages.TRADE_COLS))
+
+
 def _truthy(price):
     return F.when(price.isNotNull() & (price != 0) & ~F.isnan(price), price)
 
@@ -74,6 +92,58 @@ def stream_bars(trades_stream: DataFrame, width: str = LIVE_BAR, watermark: str
                     "price", "open", "high", "low", "close", "volume", "trade_count"))
 
 
+def stream_bar_chain(trades_stream: DataFrame, widths: Sequence[str] = (LIVE_BAR, "1 minute", "1 hour"),
+                     watermark: str = "10 seconds") -> DataFrame:
+    """Closed bars of the last of `widths`, built from those of the width before it and so on, by
+    chained aggregations under one watermark (append mode).
+
+    Only the shortest bars' aggregate sees trades.  Every width must be a multiple of the one before.
+    A trade late by up to `watermark` still counts; a bar comes out when all shorter bars in it have.
+    """
+    ev = trades_stream.withColumn("event_time", ntz_to_instant("timestamp"))
+    key = order_key(F.unix_micros("event_time"))
+    price = F.col("price")
+    bars = ev.withWatermark("event_time", watermark).select(
+        "event_time", price.alias("open_price"), key.alias("open_key"), price.alias("high_price"), price.alias("low_price"),
+        price.alias("close_price"), key.alias("close_key"), F.col("size").alias("volume"), F.lit(1).cast("long").alias("trade_count"))
+    time = F.col("event_time")
+    for width in widths:
+        bars = merged_bars(bars, F.window(time, width).alias("w"))
+        time = F.window_time("w")
+    return bars.select(instant_to_ntz(F.col("w.start")).alias("timestamp"), instant_to_ntz(F.col("w.end")).alias("bar_end"),
+                       F.col("open_price").alias("open"), F.col("high_price").alias("high"), F.col("low_price").alias("low"),
+                       F.col("close_price").alias("close"), "volume", "trade_count")
+
+
+TICK_FRAME = "id long, price double, time timestamp_ntz, source string, subject string, moving_avg_5 double, prev_price double"
+
+
+def _tick_frames(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """A source's new rows in (time, id) order after its last prices, which are all that is kept."""
+    rows = pd.concat(frames).sort_values(["time", "id"], ignore_index=True)
+    held = np.array(state.get[0], float) if state.exists else np.empty(0)  # a missing price is NaN here
+    prices = np.concatenate([np.full(TICK_FRAME_PRECEDING - len(held), np.nan), held, rows["price"].to_numpy(float)])
+    frame = np.lib.stride_tricks.sliding_window_view(prices, TICK_FRAME_PRECEDING + 1)
+    known = ~np.isnan(frame)
+    with np.errstate(invalid="ignore"):
+        rows["moving_avg_5"] = np.where(known, frame, 0).sum(axis=1) / known.sum(axis=1)
+    rows["prev_price"] = frame[:, -2]
+    state.update((np.concatenate([held, rows["price"].to_numpy(float)])[-TICK_FRAME_PRECEDING:].tolist(),))
+    yield rows[["id", "price", "time", "source", "subject", "moving_avg_5", "prev_price"]].astype(object).where(lambda x: x.notna(), None)
+
+
+def stream_tick_state(ticks_stream: DataFrame) -> DataFrame:
+    """T4 with keyed state: per source, moving_avg_5 (current + 5 preceding prices) and prev_price.
+
+    The state is a ring of each source's last five prices: its size is the number of sources, however
+    long the query runs, and a restart goes on from the checkpoint.  A source's rows of one micro-batch
+    meet in one task, so bound the trigger, or use :func:`stream_tick_analytics`.  A source's rows must
+    arrive in time order across micro-batches; NaN prices count as missing.
+    """
+    rows = ticks_stream.select("id", "price", "time", "source", "subject")
+    return rows.groupBy("source").applyInPandasWithState(_tick_frames, TICK_FRAME, "prices array<double>", "append", "NoTimeout")
+
+
 def stream_tick_analytics(ticks_stream: DataFrame, base: str, checkpoint: str, trigger: dict | None = None):
     """T4: per source, moving_avg_5 (current + 5 preceding prices) and
     prev_price on a stream.
