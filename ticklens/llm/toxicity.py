@@ -1,11 +1,12 @@
 """Toxicity by compression distance.
 
-One zstandard dictionary is trained on toxic and one on ordinary text: each holds the strings that are
-in far more documents of its class than of the other, and any other text compresses alike with both.
-Both begin with the same lead, which is also put before every window: a short window would otherwise
-be stored uncompressed and show nothing.  A document is cut into windows of words, each window is
-compressed with both, and what the toxic dictionary saves, summed up for the document, is turned
-into a probability by a calibration fitted on labelled documents that its dictionaries have not seen.
+One zstandard dictionary is trained on toxic and one on ordinary text, both by zstandard's own trainer.
+Most of what either class is made of is in the other as well and would only compress alike with both,
+so each class' training text is first rid of the words that the other class has about as often.  Both
+dictionaries begin with the same lead, which is also put before every window: a short window would
+otherwise be stored uncompressed and show nothing.  A document is cut into windows of words, each window
+is compressed with both, and what the toxic dictionary saves, summed up for the document, is turned into
+a probability by a calibration fitted on labelled documents that its dictionaries have not seen.
 """
 from __future__ import annotations
 
@@ -26,10 +27,14 @@ SAMPLE_CHARS = 32_768
 WINDOW_WORDS = 5
 #: Bytes that no text holds.
 LEAD = bytes(random.Random(1).choices(range(1, 9), k=48))
-DICTIONARY_BYTES = 4096
-#: A document is rejected from this score on.
-THRESHOLD = 0.7
-#: Lengths of the word beginnings that training counts.
+#: The trainer's limits: bytes of a dictionary, of a segment and of the strings that it counts.
+DICTIONARY_BYTES, SEGMENT, COUNTED = 4096, 32, 6
+LEVEL, MATCH = 7, 5
+#: The calibration's scores come from models fitted without the scored part, of so many.
+FOLDS = 4
+#: A document is rejected from this score on; of the sample's ordinary documents at most this share may be.
+THRESHOLD, REJECTED = 0.7, 0.03
+#: Lengths of the word beginnings that are counted to tell which words a class has more often.
 BEGINNINGS = (5, 6, 7, 8, 10, 12, 16)
 
 
@@ -52,26 +57,35 @@ def contrast(of: Counter, other: Counter) -> dict[bytes, float]:
     return {s: (n - other[s]) / (n + other[s] + 1) ** 0.5 for s, n in of.items() if n > other[s]}
 
 
-def class_strings(own: list[str], others: list[str]) -> bytes:
-    """The strings that mark the first class, strongest last; as many documents of either are counted."""
+def marks(own: list[str], others: list[str]) -> set[bytes]:
+    """Beginnings of words that more documents of the first class have than of the other, by more than
+    chance shows in the other direction; as many documents of either are counted."""
     n = min(len(own), len(others))
     of, other = Counter(), Counter()
     for t in own[:n]:
         of.update(beginnings(t))
     for t in others[:n]:
         other.update(beginnings(t))
-    marks = contrast(of, other)
-    chance = max(contrast(other, of).values(), default=0.0)  # what the other direction shows
-    ranked = sorted(marks, key=lambda s: (-round(marks[s], 1), -len(s), s))
-    chosen: list[bytes] = []
-    size = 0
-    for s in ranked:
-        if marks[s] < 1.15 * chance or size >= DICTIONARY_BYTES:
-            break
-        if not any(s in c for c in chosen):
-            chosen.append(s)
-            size += len(s)
-    return b"".join(reversed(chosen))
+    found, chance = contrast(of, other), max(contrast(other, of).values(), default=0.0)
+    return {s for s, x in found.items() if x >= 1.15 * chance}
+
+
+def marked_text(text: str, own: set[bytes]) -> bytes:
+    """The words of a text that begin so."""
+    words = [b" " + w + b" " for w in text.encode("utf-8", "replace").lower().split()]
+    return b"".join(w[:-1] for w in words if any(w[:k] in own for k in BEGINNINGS if len(w) >= k))
+
+
+def trained(own: list[str], others: list[str]) -> bytes:
+    """A dictionary trained on the first class' text; the text itself if that is too little to train on."""
+    import zstandard
+
+    found = marks(own, others)
+    samples = [x for t in own if len(x := marked_text(t, found)) >= 8] if found else []
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=COUNTED, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 @dataclass
@@ -88,8 +102,9 @@ class Model:
         made = []
         for raw in (self.toxic, self.ordinary):
             p = zstandard.ZstdCompressionParameters.from_level(
-                13, dict_size=len(raw), source_size=400, min_match=5, write_checksum=False,
+                LEVEL, dict_size=len(raw), source_size=400, min_match=MATCH, write_checksum=False,
                 write_content_size=False, write_dict_id=False)
+            # as plain content: trained entropy tables would tell apart letters and not words
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
@@ -109,7 +124,7 @@ class Model:
         if not self.weights:
             return np.zeros(len(texts))
         compressors = self.compressors()
-        rows = np.array([self.features(compressors, t or "") for t in texts], float).reshape(-1, 4)
+        rows = np.array([self.features(compressors, t or "") for t in texts], float).reshape(-1, 4)  # one text's windows at a time
         return 1 / (1 + np.exp(-np.clip(design(rows) @ np.array(self.weights), -30, 30)))
 
 
@@ -134,25 +149,26 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
-    both = [class_strings(toxic, ordinary), class_strings(ordinary, toxic)]
+    both = [trained(toxic, ordinary), trained(ordinary, toxic)]
     size = max(map(len, both))  # equally long, so that the lead is as far away in either
     fill = bytes(random.Random(5).choices(range(1, 9), k=size))
     return Model(*(LEAD + fill[len(x) :] + x for x in both))
 
 
 def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
-    """Dictionaries from all the sample; the calibration from each half seen by the other half's
+    """Dictionaries from all the sample; the calibration from each part seen by the other parts'
     dictionaries.  No model without two documents of each class."""
-    halves = [(toxic[k::2], ordinary[k::2]) for k in (0, 1)]
-    if not all(part for half in halves for part in half):
+    if min(len(toxic), len(ordinary)) < 2:
         return Model()
+    folds = min(FOLDS, len(toxic), len(ordinary))
     model, rows, y = dictionaries(toxic, ordinary), [], []
-    for k in (0, 1):
-        own = dictionaries(*halves[1 - k])
+    for k in range(folds):
+        parts = [([t for i, t in enumerate(c) if i % folds != k], c[k::folds]) for c in (toxic, ordinary)]
+        own = dictionaries(parts[0][0], parts[1][0])
         compressors = own.compressors()
-        for label, texts in zip((1.0, 0.0), halves[k], strict=True):
-            rows += [model.features(compressors, t) for t in texts]
-            y += [label] * len(texts)
+        for label, (_, unseen) in zip((1.0, 0.0), parts, strict=True):
+            rows += [model.features(compressors, t) for t in unseen]
+            y += [label] * len(unseen)
     y = np.array(y)
     weight = np.where(y == 1, toxic_share / len(toxic), (1 - toxic_share) / len(ordinary)) * len(y)
     x = design(np.array(rows, float))
@@ -163,12 +179,16 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float) -> Model:
 
 
 def best_cut(value: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """The value from which on rejecting gives the best F1, halfway to the next lower one."""
+    """The value from which on rejecting gives the best F1, halfway to the next lower one, among those
+    that reject no more than the allowed share of ordinary documents."""
     order = np.argsort(-value, kind="stable")
     v, hit, miss = value[order], np.cumsum((weight * y)[order]), np.cumsum((weight * (1 - y))[order])
     f1 = 2 * hit / (hit + miss + hit[-1])
     last = np.append(v[1:] < v[:-1], True)  # equal values go together
-    k = int(np.argmax(np.where(last, f1, -1)))
+    allowed = last & (miss <= REJECTED * miss[-1])
+    if not allowed.any():
+        return float(v[0]) + 1.0
+    k = int(np.argmax(np.where(allowed, f1, -1)))
     return float((v[k] + v[k + 1]) / 2) if k + 1 < len(v) else float(v[k]) - 1.0
 
 
