@@ -31,10 +31,10 @@ from .common import materialize, slices
 
 LENGTH = 100
 GRAM = 24
-#: Anchors that a task holds before it settles its own repeats.
-HELD = 1 << 20
+#: Anchors that a task holds before it settles its own repeats, and characters whose anchors it finds at once.
+HELD, SLICE = 1 << 19, 1 << 19
 #: Bytes of surroundings that are sorted at once, about; a set of equal leading bytes stays whole.
-SORTED = 3 << 20
+SORTED = 1 << 20
 
 U64 = np.uint64
 
@@ -123,27 +123,27 @@ def anchors(raws: list[bytes]) -> dict[str, np.ndarray]:
 def find_anchors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows gram, whole, doc, tie, loc, again: ``again`` marks what occurred earlier in this task;
     such rows need no partner and are dealt by a hash of their own."""
-    held: list[pd.DataFrame] = []
+    held: list[tuple[np.ndarray, ...]] = []
 
     def settled() -> pd.DataFrame:
-        rows = pd.concat(held, ignore_index=True).sort_values(["gram", "whole", "doc", "tie", "loc"], ignore_index=True)
-        same = (rows["gram"].to_numpy()[1:] == rows["gram"].to_numpy()[:-1]) & (rows["whole"].to_numpy()[1:] == rows["whole"].to_numpy()[:-1])
-        rows["again"] = np.concatenate([[False], same])
-        again = rows["again"].to_numpy()
+        gram, whole, doc, tie, loc = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((loc, tie, doc, whole, gram))
+        gram, whole, doc, tie, loc = (c[order] for c in (gram, whole, doc, tie, loc))
+        same = lambda c: np.concatenate([[False], c[1:] == c[:-1]])
+        again = same(gram) & same(whole)
         # an equal row (a repeated row of the table) is the same place and no repeat
-        twin = (rows[["doc", "tie", "loc"]].to_numpy()[1:] == rows[["doc", "tie", "loc"]].to_numpy()[:-1]).all(axis=1) & same
-        rows.loc[again, "gram"] = _mix(rows["doc"].to_numpy(np.int64).view(U64)[again] * U64(31) + rows["loc"].to_numpy(np.int64).view(U64)[again]).view(np.int64)
-        return rows[np.concatenate([[True], ~twin])]
+        new = ~(again & same(doc) & same(tie) & same(loc))
+        gram[again] = _mix(doc.view(U64)[again] * U64(31) + loc.view(U64)[again]).view(np.int64)
+        return pd.DataFrame({"gram": gram[new], "whole": whole[new], "doc": doc[new], "tie": tie[new], "loc": loc[new], "again": again[new]})
 
-    for frame in slices(frames, 1 << 20):
+    for frame in slices(frames, SLICE):
         a = anchors([t.encode() for t in frame["text"]])
         if len(a["at"]):
-            held.append(pd.DataFrame({
-                "gram": a["gram"].view(np.int64), "whole": a["whole"].view(np.int64), "doc": frame["doc"].to_numpy(np.int64)[a["text"]],
-                "tie": frame["tie"].to_numpy(np.int64)[a["text"]], "loc": a["at"] << 16 | (a["at"] - a["lo"]) << 8 | (a["at"] - a["hi"])}))
-        if sum(map(len, held)) > HELD:
+            held.append((a["gram"].view(np.int64), a["whole"].view(np.int64), frame["doc"].to_numpy(np.int64)[a["text"]],
+                         frame["tie"].to_numpy(np.int64)[a["text"]], a["at"] << 16 | (a["at"] - a["lo"]) << 8 | (a["at"] - a["hi"])))
+        if sum(len(h[0]) for h in held) > HELD:
             yield settled()
-            held = []
     if held:
         yield settled()
 
@@ -219,16 +219,22 @@ def sort_suffixes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def cut_contexts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Anchors with their leading bytes and surroundings, some hundred thousand bytes at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
+    columns = ["lead", "context", "doc", "tie", "lo", "hi"]
     for frame in frames:
-        rows = []
+        rows, size = [], 0
         for doc, tie, packed, locs in zip(frame["doc"], frame["tie"], frame["packed"], frame["locs"], strict=True):
             raw = unpack(packed)
             for loc in locs:
                 at = int(loc) >> 16
                 lo, hi = at - (int(loc) >> 8 & 255), at - (int(loc) & 255)
                 rows.append((raw[at : at + GRAM], raw[lo : hi + LENGTH], doc, tie, lo, hi))
-        yield pd.DataFrame(rows, columns=["lead", "context", "doc", "tie", "lo", "hi"])
+                size += hi - lo + LENGTH
+                if size > SORTED:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
 
 # --- the operator --------------------------------------------------------------------------------
@@ -342,10 +348,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     All rows and columns stay; ``n_chars``, if there, is counted again.
     """
     @F.pandas_udf("string")
-    def kept(pack: pd.Series, found: pd.Series, copy: pd.Series) -> pd.Series:
+    def kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         unpack = zstandard.ZstdDecompressor().decompress
-        raws = [unpack(p) for p in pack]
-        return pd.Series([kept_bytes(r, gone_of(r, f, c)).decode("utf-8", "ignore") for r, f, c in zip(raws, found, copy, strict=True)], dtype=object)
+        for batch in batches:
+            out = []
+            for packed, found, copy in zip(*batch, strict=True):  # one text unpacked at a time
+                raw = unpack(packed)
+                out.append(kept_bytes(raw, gone_of(raw, found, copy)).decode("utf-8", "ignore"))
+            yield pd.Series(out, dtype=object)
 
     others = [c for c in docs.columns if c != "text"]
     rows = with_spans(docs, *others).withColumn("text", kept("_llm_packed", "_llm_spans", "_llm_copy"))
