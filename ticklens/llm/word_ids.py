@@ -23,7 +23,7 @@ class WordIds(dict):
     """Maps a word to its ids (unsigned 32-bit, in the machine's order: little-endian); fills itself, up
     to ``most`` words."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 1_250_000) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -47,8 +47,13 @@ class WordIds(dict):
         letters, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
         if letters.isascii() and letters.isalpha() or LATIN.fullmatch(letters):
             low = letters.lower()
-            # letters are looked up alone, then the mark
-            got = self.part(word) if low == word else self[low] + (self[mark] if mark else b"")
+            if low != word:  # letters are looked up alone, then the mark; new ones are kept without it
+                new = low not in self
+                got = self[low] + (self[mark] if mark else b"")
+                if new:
+                    return got
+            else:
+                got = self.part(word)
         else:
             got = self.whole(word)
         if len(word) <= 64:
