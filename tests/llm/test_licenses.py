@@ -42,6 +42,26 @@ def test_equivalent_spellings(docs_of, spark, spellings):
     assert len({r.canonical_sha256 for r in got}) == 1
 
 
+@pytest.mark.parametrize("one, other", [("our rights", "or rights"), ("four copies", "for copies"), ("filled", "filed"), ("your hours", "yor hors"), ("rise", "rize"),
+                                        ("promise", "promize"), ("called", "caled"), ("fence", "fense"), ("element", "elment"), ("programmed", "programd"),
+                                        ("centred", "centerd"), ("polled", "poled"), ("dialogue", "dialog"), ("perfect per centre", "perfect percentre")])
+def test_other_words_differ(docs_of, spark, one, other):
+    rows = [(0, one), (1, other)]
+    got = rows_of(li.license_scan(docs_of(rows), li.known_digests(spark)))
+    assert len({d for _, d, _ in got}) == 2 and got == oracle(rows)
+
+
+def test_changed_words_are_no_licence(docs_of, spark):
+    rows = list(enumerate([MIT.replace("or sell", "our sell"), MIT.replace("FOR ANY", "FOUR ANY"), MIT.replace("the rights", "rights")]))
+    assert {x for _, _, x in rows_of(li.license_scan(docs_of(rows), li.known_digests(spark)))} == {None}
+
+
+def test_every_known_text_is_found(docs_of, spark):
+    rows = [(i, t.upper().replace("\n", "\n// ") + "\n") for i, (_, t) in enumerate(li.KNOWN)]
+    got = rows_of(li.license_scan(docs_of(rows), li.known_digests(spark)))
+    assert {i: x for i, _, x in got} == dict(enumerate(k for k, _ in li.KNOWN)) and got == oracle(rows)
+
+
 def test_edges(spark, edges, nothing):
     assert rows_of(li.license_scan(edges, li.known_digests(spark))) == oracle(EDGES)
     assert li.license_scan(nothing, li.known_digests(spark)).collect() == []
