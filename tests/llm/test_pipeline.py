@@ -55,7 +55,18 @@ def test_run_and_edges(spark, steps, edges):
     same = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert same(cp.run(spark, SF)) == same(steps[4])
     own = edges.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(1 AS long) AS n_chars", "score")
-    for rows in (own, own.limit(0)):
-        for _, stage in cp.STAGES:
-            rows = stage(spark, rows, SF)
-        assert rows.count() >= 0
+    found = [own]
+    for name, stage in cp.STAGES:
+        found.append(cp.materialize(stage(spark, found[-1], SF), name))
+    assert all(f.columns == own.columns for f in found[:4])
+    texts = [[(r.doc_id, r.text) for r in f.select("doc_id", "text").collect()] for f in found[:4]]
+    rejected = {(r.doc_id, r.score) for r in tox.toxicity(own, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.predicted}
+    assert len(texts[1]) == len(texts[0]) - len(rejected)
+    ids = sorted(i for i, _ in texts[1] if i is not None)
+    assert sorted(i for i, _ in texts[2] if i is not None) == sorted({c for _, _, c in near_brute(texts[1]) if c is not None}) and set(ids) >= {i for i, _ in texts[2] if i is not None}
+    assert len(texts[3]) == len(texts[2])  # texts are cut, rows stay
+    check_rows(found[4].collect(), texts[3], 2048)
+    rows = own.limit(0)
+    for _, stage in cp.STAGES:
+        rows = stage(spark, rows, SF)
+    assert rows.collect() == []

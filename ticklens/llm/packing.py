@@ -195,15 +195,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(vocabulary)
         end = np.array([SEPARATOR_ID], "<u4").tobytes()
-        for frame in slices(frames):
-            rows = []
-            for doc_id, text in zip(frame["doc_id"].array, frame["text"].array, strict=True):
-                raw = words.encode(text) + end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    own = raw[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+        try:
+            for frame in slices(frames):
+                rows = []
+                for doc_id, text in zip(frame["doc_id"].array, frame["text"].array, strict=True):
+                    raw = words.encode(text) + end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        own = raw[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield out.astype({"doc_id": "Int64"})
+        finally:
+            words.clear()  # the worker lives on, and what comes next needs its memory
 
     return texts(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -234,7 +237,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         run = np.searchsorted(first, (length.to_numpy("int64") << 44) | rank.to_numpy("int64"), "right") - 1
         return pd.DataFrame({"sequence_id": sequence[run] + rank.to_numpy("int64") - own[run], "offset": offset[run]})
 
-    own = Window.partitionBy("length", "_part").orderBy(*(F.asc_nulls_first(c) for c in ("doc_id", "piece")))
+    # rows that are alike in all of these may change places in a second run of a task, and nobody can tell
+    order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in names]
+    own = Window.partitionBy("length", "_part").orderBy(*(F.asc_nulls_first(c) for c in order))
     ranked = parted.withColumn("_rank", F.row_number().over(own) - 1)
     joined = ranked.join(bases, ["length", "_part"]).withColumn("_at", place("length", F.col("_rank") + F.col("_base")))
     return joined.select(*names, "_at.sequence_id", "_at.offset")
