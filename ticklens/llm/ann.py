@@ -5,8 +5,8 @@ and the hash is the signed axis nearest to it; ``hashes`` of them make a bucket.
 each table the buckets of their best signed axes.  Candidates are ranked by exact distance.
 
 Equal vectors are one class, so copies cost one row; a class keeps as many ids as an answer can use.
-A bucket's vectors are dealt to tasks in lots, and a query that its buckets gave too few neighbours
-meets all vectors in blocks, so no bucket is cut short.
+A bucket's vectors are dealt to tasks in lots and its queries in parts, and a query that its buckets
+gave too few neighbours meets all vectors in blocks, so no bucket is cut short.
 """
 from __future__ import annotations
 
@@ -23,9 +23,9 @@ from .common import materialize
 #: Vectors up to which one hash makes a bucket; beyond, two.
 ONE_HASH = 1 << 18
 #: (tables, probes in each) for one and for two hashes.
-TABLES = {1: (12, 9), 2: (14, 256)}
-#: Vectors of a bucket in a lot, and of all vectors in a block, about.
-LOT = 8192
+TABLES = {1: (12, 9), 2: (18, 320)}
+#: Vectors of a bucket in a lot, and of all vectors in a block, about; queries that meet them in one task.
+LOT, ASKED = 8192, 4096
 SEED = 20_240_607
 
 
@@ -146,26 +146,40 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, plan: tuple[int,
     asked = materialize(plain.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").distinct(), "queries")
     asked_classes = classes.join(asked.select("vector").distinct(), "vector", "left_semi").withColumn("ids", F.array().cast("array<long>"))
 
-    rows = classes.withColumn("at", F.explode(hashed(tables, hashes, 1)("vector"))).select("at.*", F.to_json("class").alias("class"), "vector", "ids")
+    # the buckets are computed once and kept without the vectors
+    keys = materialize(classes.select(F.to_json("class").alias("class"), F.explode(hashed(tables, hashes, 1)("vector")).alias("at"))
+                       .select("at.*", "class"), "buckets")
+    named_classes = classes.select(F.to_json("class").alias("class"), "vector", "ids")
     probe = asked_classes.withColumn("at", F.explode(hashed(tables, hashes, probes)("vector"))).select("at.*", F.to_json("class").alias("class"), "vector", "ids")
-    lots = (classes.select(F.explode(hashed(tables, hashes, 1)("vector")).alias("at")).groupBy("at.table", "at.bucket").count()
-            .select("table", "bucket", F.ceil(F.col("count") / LOT).cast("int").alias("lots")))
-    dealt = (rows.join(lots, ["table", "bucket"]).withColumn("lot", F.pmod(F.xxhash64("class"), F.col("lots")).cast("int"))
-             .unionByName(probe.join(lots, ["table", "bucket"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))))
+    # a bucket's vectors are dealt in lots, its queries in parts, and each lot meets each part in a task of its own
+    sizes = (keys.groupBy("table", "bucket").count()
+             .join(probe.groupBy("table", "bucket").agg(F.count("*").alias("asked")), ["table", "bucket"])  # buckets that nobody asks for stay out
+             .select("table", "bucket", F.ceil(F.col("count") / LOT).cast("int").alias("lots"), F.ceil(F.col("asked") / ASKED).cast("int").alias("parts")))
+    sizes = materialize(sizes, "bucket-sizes")
+    number = lambda count: F.pmod(F.xxhash64("class"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    rows = keys.join(sizes, ["table", "bucket"]).join(named_classes, "class")
+    dealt = (rows.select("table", "bucket", number("lots").alias("lot"), each("parts").alias("part"), "class", "vector", "ids")
+             .unionByName(probe.join(sizes, ["table", "bucket"])
+                          .select("table", "bucket", each("lots").alias("lot"), number("parts").alias("part"), "class", "vector", "ids")))
     shape = "class string, vec_id long, score double"
-    found = dealt.groupBy("table", "bucket", "lot").applyInPandas(nearest_in(keep), shape)
+    found = dealt.groupBy("table", "bucket", "lot", "part").applyInPandas(nearest_in(keep), shape)
 
     best = Window.partitionBy("class").orderBy("score", "vec_id")
     first = lambda df: df.distinct().withColumn("n", F.row_number().over(best)).filter(F.col("n") <= keep).drop("n")
     stored = materialize(first(found), "found")
     # whoever has too few meets all vectors, in blocks
     enough = stored.groupBy("class").count().filter(F.col("count") >= keep).select("class")
-    blocks = max(1, -(-n // LOT))
-    poor = asked_classes.withColumn("class", F.to_json("class")).join(enough, "class", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    all_rows = classes.withColumn("class", F.to_json("class")).withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
-    rest = (all_rows.select("block", "class", "vector", "ids").unionByName(poor.select("block", "class", "vector", "ids"))
-            .groupBy("block").applyInPandas(nearest_in(keep), shape))
-    answers = first(stored.unionByName(materialize(rest, "rest")))
+    poor = materialize(asked_classes.withColumn("class", F.to_json("class")).join(enough, "class", "left_anti"), "poor")
+    answers = stored
+    if not poor.isEmpty():
+        blocks, parts = max(1, -(-n // LOT)), max(1, -(-poor.count() // ASKED))
+        dealt_poor = poor.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("class"), F.lit(parts)))
+        all_rows = (named_classes.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
+                    .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))))
+        columns = ["block", "part", "class", "vector", "ids"]
+        rest = all_rows.select(*columns).unionByName(dealt_poor.select(*columns)).groupBy("block", "part").applyInPandas(nearest_in(keep), shape)
+        answers = first(stored.unionByName(materialize(rest, "rest")))
 
     named = asked.join(classes.select("vector", F.to_json("class").alias("class")), "vector").select("query_id", "class")
     ranked = (named.join(answers, "class").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
