@@ -52,19 +52,20 @@ def test_tree_finds_every_pair(monkeypatch, leaf, radius):
     flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(600)], np.uint64)
     fps = rng.choice(base, 600) ^ flips
     a, b = fps[:300], fps[300:]
-    found = {(int(i), int(j)) for x, y in sh.near(a, b, np.zeros(300, np.int16), radius) for i, j in zip(x, y)}
+    found = {(int(i), int(j)) for x, y in sh.near(a, b, np.zeros(300, np.int16), radius, sh.bit_groups((16, 16))[1]) for i, j in zip(x, y)}
     assert found == {(i, j) for i in range(300) for j in range(300) if int(a[i] ^ b[j]).bit_count() <= radius}
 
 
-@pytest.mark.parametrize("lot", [7, 1 << 15])
-def test_links_connect_what_is_near(spark, monkeypatch, lot):
+@pytest.mark.parametrize("lot, part, widths", [(7, 11, (16, 16)), (1 << 15, 1 << 18, None), (1 << 15, 1 << 18, (16, 16, 16)), (3, 5, (16, 16, 16, 16)), (5, 1 << 18, (8,) * 8)])
+def test_links_connect_what_is_near(spark, monkeypatch, lot, part, widths):
     monkeypatch.setattr(sh, "LOT", lot)
+    monkeypatch.setattr(sh, "PART", part)
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 7))) & (1 << 64) - 1 for b in base for _ in range(12)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(s,) for s in signed], "fp long")
-    roots = {r.node: r.root for r in components(sh.links(df), "t").collect()}
+    roots = {r.node: r.root for r in components(sh.links(df, widths=widths), "t").collect()}
     forest = sh.Forest(np.array(fps, np.uint64))
     for i, x in enumerate(fps):
         y = np.array([z for z in fps[:i] if (x ^ z).bit_count() <= 4], np.uint64)
@@ -76,6 +77,13 @@ def test_links_connect_what_is_near(spark, monkeypatch, lot):
     assert roots == expected
 
 
+def test_shards_follow_the_number():
+    assert [sh.shard_widths(n) for n in (0, 800_000, 4_000_000, 20_000_000, 10**9)] == [(16, 16), (16, 16), (16,) * 3, (16,) * 4, (8,) * 8]
+    for widths in sh.SHARD_WIDTHS:
+        shards, tree = sh.bit_groups(widths)
+        assert sum(shards) + sum(tree) == (1 << 64) - 1 and len(sh.steps(len(widths), 4)) == len(set(sh.steps(len(widths), 4)))
+
+
 def test_components_of_paths_and_stars(spark):
     rows = [(i, i + 1) for i in range(0, 200)] + [(1000, 1000 + i) for i in range(300)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(rows, "a long, b long"), "t").collect()}

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from ticklens.llm import common
 from ticklens.llm import vector_codes as vc
 
 DDL = "vec_id long, embedding array<float>, label int, code string, error string, part int, n int, ints string"
@@ -56,7 +57,7 @@ def invented(n, width, seed, spread=8):
 @pytest.mark.parametrize("rows, width", [(3, 4), (60, 8), (90, 10), (40, 3)])
 def test_invented(spark, monkeypatch, rows, width):
     monkeypatch.setattr(vc, "ROWS", 7)
-    monkeypatch.setattr(vc, "HOT_SHARE", 0.3)  # some labels are joined either way
+    monkeypatch.setattr(common, "HOT_SHARE", 0.3)  # some labels are joined either way
     own = invented(rows, width, rows)
     own[0] = (own[0][0], [-x for x in own[0][1]], own[0][2])
     assert got(vc.vector_codes(frame(spark, own), 8, 3)) == brute(own, 8, 3)

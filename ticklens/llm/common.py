@@ -47,3 +47,19 @@ def slices(frames: Iterable[pd.DataFrame], most: int = 8 << 20, column: str = "t
         edges = [0, *(i for i in range(1, len(cuts)) if cuts[i] != cuts[i - 1]), len(cuts)]
         for a, b in itertools.pairwise(edges):
             yield frame.iloc[a:b]
+
+
+#: A key with at least this share of the rows is hot: there are no more of them than its inverse.
+HOT_SHARE = 0.001
+
+
+def join_by_counts(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with a stored ``table`` that has one row for each key (null is one too)
+    and how many rows the key has in ``count``.  The few hot keys are broadcast and their rows aren't
+    moved; all others are joined by key."""
+    least = (table.agg(F.sum(count)).first()[0] or 0) * HOT_SHARE
+    named = table.withColumnRenamed(key, "_llm_key")
+    hot, same = F.broadcast(named.filter(F.col(count) >= least)), F.col(key).eqNullSafe(F.col("_llm_key"))
+    here = rows.join(hot, same)
+    rest = rows.join(hot, same, "left_anti").join(named.filter(F.col(count) < least), same)
+    return here.unionByName(rest).drop("_llm_key")

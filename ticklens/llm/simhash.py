@@ -9,6 +9,9 @@ Inside a shard the other groups make the tree; what is left at its leaves is com
 """
 from __future__ import annotations
 
+import functools
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +20,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_counts, materialize
 from .components import components
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-#: Bits of each group: shards by the first two, the tree below by the rest.
-SHARD_GROUPS = (0xFFFF, 0xFFFF << 16)
-TREE_GROUPS = (0xFF << 32, 0xFF << 40, 0xFF << 48, 0xFF << 56)
+#: Widths in bits of the groups that make the shards; the rest of the 64 bits makes the tree, in bytes.
+SHARD_WIDTHS = ((16, 16), (16, 16, 16), (16, 16, 16, 16), (8,) * 8)
 #: The vantage point; groups of it serve as theirs.  Any value gives the same pairs.
 VANTAGE = 0x9E3779B97F4A7C15
 #: Leaves of at most so many comparisons.
 LEAF = 1 << 18
-#: Fingerprints that live in a shard are dealt to tasks in lots of about so many.
-LOT = 1 << 15
+#: Fingerprints that live in a shard are dealt to tasks in lots of about so many, its visitors in parts.
+LOT, PART = 1 << 15, 1 << 18
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -64,29 +66,52 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(shingle)(F.col("text").cast("string")).alias("fp"))
 
 
+def bit_groups(widths: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """Masks of the shards' groups from the lowest bit on, and of the tree's."""
+    used = sum(widths)
+    starts = [sum(widths[:k]) for k in range(len(widths))]
+    return [((1 << w) - 1) << a for w, a in zip(widths, starts, strict=True)], [0xFF << a for a in range(used, 64, 8)]
+
+
+def shard_widths(n: int) -> tuple[int, ...]:
+    """The fewest groups whose fullest shard, of ``n`` fingerprints with even bits, is one lot."""
+    def fullest(widths: tuple[int, ...]) -> float:
+        return n * math.prod(math.comb(w, w // 2) / 2**w for w in widths)
+
+    return next((w for w in SHARD_WIDTHS if fullest(w) <= LOT), SHARD_WIDTHS[-1])
+
+
 def group_distance(fps: np.ndarray, group: int) -> np.ndarray:
     return np.bitwise_count((fps ^ np.uint64(VANTAGE)) & np.uint64(group)).astype(np.int16)
 
 
-def near(own: np.ndarray, others: np.ndarray, spent: np.ndarray, radius: int, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of fingerprints within ``radius``; ``spent`` is what each of ``others`` has used up."""
+def near(own: np.ndarray, others: np.ndarray, spent: np.ndarray, radius: int, groups: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of fingerprints within ``radius``; ``spent`` is what each of ``others`` has used up
+    in other groups than the tree's."""
     def walk(a: np.ndarray, b: np.ndarray, used: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(a) or not len(b):
             return
-        if len(a) * len(b) <= LEAF or level == len(TREE_GROUPS):
+        if len(a) * len(b) <= LEAF or level == len(groups):
             step = max(1, (1 << 21) // len(b))
             for k in range(0, len(a), step):
                 i, j = np.nonzero(np.bitwise_count(own[a[k : k + step], None] ^ others[b]) <= radius)
                 if len(i):
                     yield a[k + i], b[j]
             return
-        da, db = group_distance(own[a], TREE_GROUPS[level]), group_distance(others[b], TREE_GROUPS[level])
+        da, db = group_distance(own[a], groups[level]), group_distance(others[b], groups[level])
         for shell in np.unique(da):
             now = used + np.abs(db - shell)
             go = now <= radius
             yield from walk(a[da == shell], b[go], now[go], level + 1)
 
-    yield from walk(np.arange(len(own)), np.arange(len(others)), spent, level)
+    yield from walk(np.arange(len(own)), np.arange(len(others)), spent, 0)
+
+
+def steps(groups: int, radius: int) -> list[tuple[int, ...]]:
+    """Every vector of changes of the groups' distances whose sizes add up to ``radius`` at most."""
+    if not groups:
+        return [()]
+    return [(d, *rest) for d in range(-radius, radius + 1) for rest in steps(groups - 1, radius - abs(d))]
 
 
 class Forest:
@@ -113,56 +138,70 @@ class Forest:
         return pd.DataFrame({"a": self.values[child].view(np.int64), "b": self.values[self.root[child]].view(np.int64)})
 
 
-def links(distinct: DataFrame, radius: int = DISTANCE) -> DataFrame:
-    """Edges (a, b) that connect exactly the fingerprints (column fp, distinct) within ``radius``.
+def links(distinct: DataFrame, radius: int = DISTANCE, widths: tuple[int, ...] | None = None) -> DataFrame:
+    """Edges (a, b) that connect exactly the fingerprints (column fp, distinct, stored) within ``radius``.
 
-    A pair is found in one shard: of the two, the one with the lesser shard visits the other's.
-    A large shard's fingerprints are dealt out in lots, and visitors go to every lot.
+    A pair is found in one shard: of the two, the one with the lesser shard visits the other's.  A
+    shard's fingerprints are dealt out in lots and its visitors in parts, and each lot meets each part
+    in a task of its own.  ``widths`` sets the shards' groups instead of the choice by their number.
     """
     spark = distinct.sparkSession
-    shells = [range(bin(g).count("1") + 1) for g in SHARD_GROUPS]
-
-    def shard(fp: Column) -> Column:
-        first, second = (F.bit_count(fp.bitwiseXOR(F.lit(VANTAGE - (1 << 64))).bitwiseAND(F.lit(g))) for g in SHARD_GROUPS)
-        return first * len(shells[1]) + second
-
-    homes = distinct.select("fp", shard(F.col("fp")).cast("int").alias("shard"))
-    counts = {r["shard"]: r["n"] for r in homes.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a shard is one of few
-    lots = {s: -(-n // LOT) for s, n in counts.items()}
-    visits = spark.createDataFrame(
-        [(a * len(shells[1]) + b, c * len(shells[1]) + d, lot, abs(a - c) + abs(b - d))
-         for a in shells[0] for b in shells[1] for c in shells[0] for d in shells[1]
-         if abs(a - c) + abs(b - d) <= radius and (a, b) <= (c, d) and a * len(shells[1]) + b in lots
-         for lot in range(lots.get(c * len(shells[1]) + d, 0))], "shard int, to int, lot int, spent int")
-    lot_of = F.pmod(F.xxhash64("fp"), F.element_at(F.create_map(*(F.lit(x) for s in lots.items() for x in s)), F.col("shard"))) if lots else F.lit(0)
-    home_rows = homes.select(F.col("shard").alias("to"), lot_of.cast("int").alias("lot"), F.lit(-1).alias("spent"), "fp")
-    visitor_rows = homes.join(F.broadcast(visits), "shard").select("to", "lot", "spent", "fp")
+    widths = widths or shard_widths(distinct.count())
+    shard_groups, tree_groups = bit_groups(widths)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    own = [f"d{k}" for k in range(len(widths))]
+    places = [(max(widths) + 1) ** k for k in reversed(range(len(widths)))]
+    shard = lambda at: sum((c * p for c, p in zip(at, places)), F.lit(0).cast("long"))
+    homes = distinct.select("fp", *[F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(VANTAGE))).bitwiseAND(F.lit(signed(g)))).alias(c)
+                                    for c, g in zip(own, shard_groups)])
+    at = [F.col(c) for c in own]
+
+    # the ways to the same or a greater shard that a partner may be in: a fixed table
+    ways = [(*d, sum(map(abs, d))) for d in steps(len(widths), radius) if d >= (0,) * len(widths)]
+    ways = spark.createDataFrame(ways, ", ".join(f"c{k} int" for k in range(len(widths))) + ", spent int")
+
+    def reach(df: DataFrame) -> DataFrame:
+        reached = [c + F.col(f"c{k}") for k, c in enumerate(at)]
+        inside = [c.between(0, w) for c, w in zip(reached, widths)]
+        return df.join(F.broadcast(ways)).filter(functools.reduce(operator.and_, inside)).withColumn("to", shard(reached))
+
+    filled = materialize(homes.groupBy(*own).agg(F.count("*").alias("n")), "shards")
+    visitors = reach(filled).groupBy("to").agg(F.sum("n").alias("visitors"))
+    plan = materialize(filled.select(shard(at).alias("to"), "n").join(visitors, "to")
+                       .select("to", F.ceil(F.col("n") / LOT).alias("lots"), F.ceil(F.col("visitors") / PART).alias("parts")), "plan")
+    dealt = lambda count: F.pmod(F.xxhash64("fp"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count).cast("int") - 1))
+    home_rows = (homes.withColumn("to", shard(at)).join(plan, "to")
+                 .select("to", dealt("lots").alias("lot"), each("parts").alias("part"), F.lit(-1).alias("spent"), "fp"))
+    visitor_rows = (reach(homes).join(plan, "to")  # nobody visits an empty shard
+                    .select("to", each("lots").alias("lot"), dealt("parts").alias("part"), "spent", "fp"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         fps, spent = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["spent"].to_numpy(np.int16)
         own, others, used = fps[spent < 0], fps[spent >= 0], spent[spent >= 0]
         forest = Forest(fps)
-        for i, j in near(own, others, used, radius):
+        for i, j in near(own, others, used, radius, tree_groups):
             forest.add(own[i], others[j])
         return forest.edges()
 
-    return home_rows.unionByName(visitor_rows).groupBy("to", "lot").applyInPandas(compare, "a long, b long")
+    return home_rows.unionByName(visitor_rows).groupBy("to", "lot", "part").applyInPandas(compare, "a long, b long")
 
 
 def clusters(prints: DataFrame, radius: int = DISTANCE) -> DataFrame:
-    """fp, component_id (least doc_id that links reach) and root (least linked fp) of every distinct fp of ``prints``.
+    """fp, component_id (least doc_id that links reach), root (least linked fp) and copies (rows) of every
+    distinct fp of ``prints``.
 
     ``prints`` must be stored rows of doc_id and fp.  Equal fingerprints are one class, so any
     number of copies costs one fingerprint.
     """
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "classes")
     roots = components(links(classes, radius), "simhash")
     linked = roots.join(classes, roots["node"] == classes["fp"]).select("fp", "root", "least")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     merged = linked.join(whole, "root").select("fp", "component_id", "root")
     return (classes.join(merged, "fp", "left")
             .select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
-                    F.coalesce("root", "fp").alias("root")))
+                    F.coalesce("root", "fp").alias("root"), "copies"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = DISTANCE) -> DataFrame:
@@ -173,7 +212,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = DISTA
     row; it names no component unless all of that component's ids are null.  Repeated rows stay.
     """
     prints = materialize(fingerprints(docs, shingle), "prints")
-    return (prints.join(clusters(prints, radius), "fp")  # copies make a skewed key, which Spark splits
+    return (join_by_counts(prints, materialize(clusters(prints, radius), "clusters"), "fp", "copies")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 

@@ -15,13 +15,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_by_counts, materialize
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Rows whose distances are held at once.
 ROWS = 4096
-#: Labels with at least this share of the rows: no more than its inverse, so their sums may be broadcast.
-HOT_SHARE = 0.001
 
 Books = list[np.ndarray]  # one for each part: entries by dimensions, int64
 
@@ -97,20 +95,6 @@ def integers(vector: str) -> Column:
     return F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE))
 
 
-def with_label_errors(coded: DataFrame) -> DataFrame:
-    """Add ``label_error``.  Labels with a large share of the rows are few: their sums are broadcast
-    and their rows aren't moved.  All others are joined by label."""
-    totals = coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
-    totals = materialize(totals, "label-errors")
-    least = (totals.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
-    sums = totals.select(F.col("label").alias("_label"), "label_error", (F.col("n") >= least).alias("_hot"))
-    hot = F.broadcast(sums.filter("_hot").drop("_hot"))
-    same = F.col("label").eqNullSafe(F.col("_label"))
-    here = coded.join(hot, same).drop("_label")
-    rest = coded.join(hot, same, "left_anti").join(sums.filter("NOT _hot").drop("_hot"), same).drop("_label")
-    return here.unionByName(rest)
-
-
 def vector_codes(vectors: DataFrame, entries: int = ENTRIES, rounds: int = ROUNDS) -> DataFrame:
     """vec_id, code, error, label_error and codebooks_sha256 of every usable row of ``vectors``
     (vec_id, embedding, label).
@@ -148,7 +132,8 @@ def vector_codes(vectors: DataFrame, entries: int = ENTRIES, rounds: int = ROUND
             books[r["part"]][r["entry"], r["place"]] = r["total"] // r["n"]
     digest = hashlib.sha256(",".join(str(c) for b in books for c in b.reshape(-1).tolist()).encode()).hexdigest()
     coded = materialize(rows.select("vec_id", "label", codes(books, edges)("ints").alias("c")).select("vec_id", "label", "c.*"), "codes")
-    return (with_label_errors(coded).select("vec_id", "code", "error", "label_error")
+    totals = materialize(coded.groupBy("label").agg(F.sum("error").alias("label_error"), F.count("*").alias("n")), "label-errors")
+    return (join_by_counts(coded, totals, "label", "n").select("vec_id", "code", "error", "label_error")
             .withColumn("codebooks_sha256", F.lit(digest)))
 
 
