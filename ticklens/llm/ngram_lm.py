@@ -113,7 +113,7 @@ def encode_sequence(values: np.ndarray, universe: int, name: str) -> tuple[dict[
     at = tops + np.arange(n)
     np.bitwise_or.at(high, at >> 6, U64(1) << (at & 63).astype(U64))
     zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))])[:-1]
-    return ({f"{name}_low": pack_low(values, width), f"{name}_high": high, f"{name}_zeros": zeros.astype(np.uint32)},
+    return ({f"{name}_low": pack_low(values, width), f"{name}_high": high, f"{name}_zeros": zeros.astype(np.uint32 if bits < 1 << 32 else np.uint64)},
             {f"{name}_n": n, f"{name}_width": width})
 
 
@@ -136,6 +136,7 @@ class Sequence:
         self.low, self.high, self.zeros = (arrays[f"{name}_{k}"] for k in ("low", "high", "zeros"))
         self.n, self.width = int(arrays[f"{name}_n"]), int(arrays[f"{name}_width"])
         self.before = self.zeros.astype(np.int64)
+        self.ones = np.arange(len(self.before)) * 64 - self.before
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.before, k, "right") - 1
@@ -143,9 +144,8 @@ class Sequence:
 
     def get(self, k: np.ndarray) -> np.ndarray:
         """Value number k."""
-        ones = np.arange(len(self.before)) * 64 - self.before
-        word = np.searchsorted(ones, k, "right") - 1
-        at = word * 64 + select_in_word(self.high[word], k - ones[word])
+        word = np.searchsorted(self.ones, k, "right") - 1
+        at = word * 64 + select_in_word(self.high[word], k - self.ones[word])
         return (at - k) << self.width | get_low(self.low, k, self.width).astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -387,6 +387,8 @@ def train(docs: DataFrame) -> Model:
 
     if not model.words:
         return model
+    if model.words**2 >= 1 << 63:
+        raise OverflowError(f"{model.words} distinct words: a pair of ids no longer fits 63 bits")
     counted = materialize(plain.mapInPandas(count_pairs, "shard int, run binary").groupBy("shard")
                           .applyInPandas(merge_pairs, "shard int, path string, once long, twice long"), "lm-counts")
     once, twice = counted.agg(F.sum("once"), F.sum("twice")).first()
