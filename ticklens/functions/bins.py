@@ -38,6 +38,18 @@ def matching_bins(value: Column, lo: Column, width: Column, n: int,
     return F.filter(arr, member)
 
 
+def bin_of(value: Column, lo: Column, width: Column, n: int, start: BoundFn, end: BoundFn) -> Column:
+    """The bin k in [0, n) with start(k) <= value < end(k), NULL if there is none, for bins of which
+    each ends exactly where the next begins, so that no value is in two."""
+    k0 = F.floor(F.try_divide(value - lo, width)).cast("long")
+
+    def holds(k: Column) -> Column:
+        kd = k.cast("double")
+        return (k >= 0) & (k < n) & (value >= start(kd)) & (value < end(kd))
+
+    return F.when(holds(k0), k0).when(holds(k0 - 1), k0 - 1).when(holds(k0 + 1), k0 + 1)
+
+
 def bin_grid(spark, n: int, name: str = "bin_number") -> DataFrame:
     """n bins numbered 0..n-1 (a tiny relation used to keep empty bins)."""
     return spark.range(n).select(F.col("id").alias(name))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bins import bin_grid, matching_bins
+from ..functions.bins import bin_grid, bin_of, matching_bins
 from ..functions.exprs import asc, epoch_micros_ntz, ntz_from_micros
 from ..functions.timeframe import timeframe_filter
 from ..plans.ordered import materialize
@@ -46,9 +46,8 @@ def volume_distribution(trades: DataFrame, bins: int = 10, timeframe=None, as_of
         return F.col("_lo") + (F.col("_hi") - F.col("_lo")) * ((k + 1) / F.lit(float(n)))
 
     rows = t.select(F.col("price").alias("_v"), F.col("size"), lo.alias("_lo"), hi.alias("_hi"))
-    ks = matching_bins(F.col("_v"), F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(float(n)),
-                       n, start, end, closed_last=False)
-    per_bin = (rows.select(F.explode(ks).alias("bin_number"), "_v", "size")
+    k = bin_of(F.col("_v"), F.col("_lo"), (F.col("_hi") - F.col("_lo")) / F.lit(float(n)), n, start, end)
+    per_bin = (rows.select(k.alias("bin_number"), "_v", "size").filter(F.col("bin_number").isNotNull())
                .groupBy("bin_number")
                .agg(F.sum("size").alias("_vol"), F.count("_v").alias("_cnt")))
     grid = bin_grid(trades.sparkSession, n).select("bin_number", lo.alias("_lo"), hi.alias("_hi"))
@@ -75,9 +74,11 @@ def _width_bins(trades: DataFrame, bins: int, timeframe, as_of, closed_last: boo
         return start(k) + F.col("_w") if end_from_start else F.col("_lo") + F.col("_w") * (k + 1)
 
     rows = t.select(F.col("price").alias("_v"), lo.alias("_lo"), width.alias("_w"))
-    ks = matching_bins(F.col("_v"), F.col("_lo"), F.col("_w"), n, start, end, closed_last)
-    per_bin = (rows.select(F.explode(ks).alias("bin_number"))
-               .groupBy("bin_number").agg(F.count(F.lit(1)).alias("_cnt")))
+    if end_from_start:  # by rounding, a bin may end a little off the next one's start: a value may be in two, or in none
+        found = rows.select(F.explode(matching_bins(F.col("_v"), F.col("_lo"), F.col("_w"), n, start, end, closed_last)).alias("bin_number"))
+    else:
+        found = rows.select(bin_of(F.col("_v"), F.col("_lo"), F.col("_w"), n, start, end).alias("bin_number")).filter(F.col("bin_number").isNotNull())
+    per_bin = found.groupBy("bin_number").agg(F.count(F.lit(1)).alias("_cnt"))
     grid = bin_grid(trades.sparkSession, n).select("bin_number", lo.alias("_lo"), width.alias("_w"))
     out = grid.join(per_bin, "bin_number", "left")
     k = F.col("bin_number").cast("double")
@@ -182,11 +183,13 @@ def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int =
     Times are computed in epoch microseconds.
     """
     t = timeframe_filter(trades, timeframe, as_of).filter(F.col("timestamp").isNotNull())
-    # one pass over the rows: first (timestamp, id) key and the price range
-    first_key, plo, phi = _scalars(t, k=F.min(F.struct("timestamp", "id")), lo=F.min("price"), hi=F.max("price"))
-    changes = t.filter(F.struct("timestamp", "id") > first_key)
+    # one pass for the ranges and a top-2 for the first two rows: the change rows begin with the second
     us = epoch_micros_ntz("timestamp").cast("double")
-    tlo, thi = _scalars(changes, lo=F.min(us), hi=F.max(us))
+    plo, phi, thi = _scalars(t, lo=F.min("price"), hi=F.max("price"), last=F.max(us))
+    head = t.select("timestamp", "id").orderBy(*asc("timestamp", "id")).limit(2)
+    first_key, n_head, tlo = _scalars(head, k=F.min(F.struct("timestamp", "id")), n=F.count(F.lit(1)), second=F.max(us))
+    changes = t.filter(F.struct("timestamp", "id") > first_key)
+    tlo = F.when(n_head == 2, tlo)  # of one row there is no change
     tw = (thi - tlo) / F.lit(float(time_bins))
     pw = (phi - plo) / F.lit(float(price_bins))
 
@@ -204,10 +207,9 @@ def price_time_heatmap(trades: DataFrame, time_bins: int = 10, price_bins: int =
 
     rows = changes.select(us.alias("_t"), F.col("price").alias("_p"),
                           tlo.alias("_tlo"), tw.alias("_tw"), plo.alias("_plo"), pw.alias("_pw"))
-    tks = matching_bins(F.col("_t"), F.col("_tlo"), F.col("_tw"), time_bins, tstart, tend)
-    pks = matching_bins(F.col("_p"), F.col("_plo"), F.col("_pw"), price_bins, pstart, pend)
-    cells = (rows.select(F.explode(tks).alias("time_bin"), pks.alias("_pks"))
-             .select("time_bin", F.explode("_pks").alias("price_bin"))
+    cells = (rows.select(bin_of(F.col("_t"), F.col("_tlo"), F.col("_tw"), time_bins, tstart, tend).alias("time_bin"),
+                         bin_of(F.col("_p"), F.col("_plo"), F.col("_pw"), price_bins, pstart, pend).alias("price_bin"))
+             .filter(F.col("time_bin").isNotNull() & F.col("price_bin").isNotNull())
              .groupBy("time_bin", "price_bin").agg(F.count(F.lit(1)).alias("_cnt")))
     spark = trades.sparkSession
     grid = spark.range(time_bins * price_bins).select(

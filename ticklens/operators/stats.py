@@ -95,11 +95,12 @@ def price_dispersion(trades: DataFrame, timeframe=None, as_of=None) -> DataFrame
     bucket holding the middle rank are ranked, nothing holds all prices.
     """
     t = timeframe_filter(trades, timeframe, as_of)
-    med, _ = exact_quantiles(t, "price", "id", {"median_price": 0.5})
-    # count / avg / stddev over all rows (NULL prices counted by count(*)).
-    return t.agg(F.count(F.lit(1)).alias("total_records"), F.avg("price").alias("avg_price"),
-                 F.stddev_samp("price").alias("price_stddev"),
-                 F.lit(med["median_price"]).cast("double").alias("median_price"))
+    # count / avg / stddev over all rows (NULL prices counted by count(*)); the median counts on from there
+    found = t.agg(F.count(F.lit(1)).alias("total_records"), F.avg(F.col("price").cast("double")).alias("avg_price"),
+                  F.stddev_samp("price").alias("price_stddev"), F.count("price").alias("_priced")).first()
+    med, _ = exact_quantiles(t, "price", "id", {"median_price": 0.5}, n=found["_priced"])
+    row = (found["total_records"], found["avg_price"], found["price_stddev"], med["median_price"])
+    return t.sparkSession.createDataFrame([row], "total_records long, avg_price double, price_stddev double, median_price double")
 
 
 def trade_count(trades: DataFrame) -> DataFrame:

@@ -80,9 +80,10 @@ def value_at_risk(trades: DataFrame, confidence: float = 0.95, timeframe=None, a
                       F.avg("pct_change").alias("mean_return"), F.count(F.lit(1)).alias("sample_size"))
     ch = materialize(price_changes(trades, timeframe, as_of, **tuning)
                      .filter(F.col("pct_change").isNotNull()).select("pct_change", "id"))
-    var, _ = exact_quantiles(ch, "pct_change", "id", {name: q})
-    return ch.agg(F.lit(var[name]).cast("double").alias(name), F.stddev_samp("pct_change").alias("volatility"),
-                  F.avg("pct_change").alias("mean_return"), F.count(F.lit(1)).alias("sample_size"))
+    found = ch.agg(F.stddev_samp("pct_change").alias("sd"), F.avg("pct_change").alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    var, _ = exact_quantiles(ch, "pct_change", "id", {name: q}, n=found["n"])
+    return trades.sparkSession.createDataFrame([(var[name], found["sd"], found["mean"], found["n"])],
+                                               f"{name} double, volatility double, mean_return double, sample_size long")
 
 
 def recent_volatility(trades: DataFrame, limit: int = 1000, pair: str = "BTC-USD") -> DataFrame:

@@ -244,13 +244,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def values_at_ranks(df: DataFrame, value: str, tie: str, ranks: Callable[[int], Iterable[int]],
-                    rows_per_bucket: int | None = None) -> tuple[dict[int, object], int]:
+                    rows_per_bucket: int | None = None, n: int | None = None) -> tuple[dict[int, object], int]:
     """The values at some 0-based ranks (a function of the number of rows) of ``value`` in ascending
     order, NULLs left out, without sorting the data: the ranges of the (value, tie) order are counted,
     the driver finds those holding the wanted ranks, and only their rows are ranked.  Returns
     ({rank: value}, number of rows)."""
     vals = df.filter(F.col(value).isNotNull()).select(value, tie)
-    tagged, counts, _ = assign_ranges(vals, [value, tie], rows_per_bucket=rows_per_bucket)
+    tagged, counts, _ = assign_ranges(vals, [value, tie], rows_per_bucket=rows_per_bucket, n=n)
     n, starts = sum(counts), _starts(counts)
     wanted: dict[int, set[int]] = {}
     for rank in ranks(n) if n else ():
@@ -268,13 +268,14 @@ def values_at_ranks(df: DataFrame, value: str, tie: str, ranks: Callable[[int],
 
 
 def exact_quantiles(df: DataFrame, value: str, tie: str, quantiles: dict[str, float],
-                    rows_per_bucket: int | None = None) -> tuple[dict[str, float | None], int]:
+                    rows_per_bucket: int | None = None, n: int | None = None) -> tuple[dict[str, float | None], int]:
     """PERCENTILE_CONT values of ``value`` (NULLs ignored), exact (see :func:`values_at_ranks`).
-    Returns ({name: value}, n)."""
+    ``n`` is the number of values if it is known.  Returns ({name: value}, n)."""
     def ranks(n: int) -> set[int]:
         return {r for q in quantiles.values() for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
 
-    at, n = values_at_ranks(df, value, tie, ranks, rows_per_bucket)
+    numbers = df.select(F.col(value).cast("double").alias(value), tie)
+    at, n = values_at_ranks(numbers, value, tie, ranks, rows_per_bucket, n)
     out: dict[str, float | None] = {}
     for name, q in quantiles.items():
         pos = q * (n - 1)
