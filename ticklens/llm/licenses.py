@@ -35,10 +35,18 @@ FAMILIES = (
 )
 PHRASES = (("sub license", "sublicense"), ("sub licensed", "sublicensed"), ("sub licensing", "sublicensing"), ("non commercial", "noncommercial"),
            ("per cent", "percent"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"))
+
+
+def _family(begins: tuple[str, ...], old: str, new: str, ends: tuple[str, ...]) -> tuple[str, str]:
+    """Pattern and replacement.  The pattern starts with letters, so that most places are passed by one
+    comparison; what stands before and after them is looked at only then."""
+    if not old:  # what is put in follows the beginning
+        old, new, begins = begins[0], begins[0] + new, ("",)
+    return rf"{old}(?<=\b(?:{'|'.join(begins)}){old})(?=(?:{'|'.join(ends)})\b)", new
+
+
 #: Applied in turn: pattern, replacement.
-SPELLINGS = (*((rf"\b({'|'.join(a)}){old}({'|'.join(e for e in ends if e)}){'?' if '' in ends else ''}\b" if ends != ("",) else rf"\b({'|'.join(a)}){old}()\b", rf"\1{new}\2")
-               for a, old, new, ends in FAMILIES),
-             *((rf"\b{old}\b", new) for old, new in PHRASES))
+SPELLINGS = (*(_family(*f) for f in FAMILIES), *((rf"\b{old}\b", new) for old, new in PHRASES))
 
 _PERMISSION = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -185,7 +193,7 @@ def canonical(text: Column) -> Column:
     made = F.regexp_replace(F.translate(text, UPPER, LOWER), COPYRIGHT_LINE, "")
     made = F.concat(F.lit(" "), F.regexp_replace(made, SEPARATORS, " "), F.lit(" "))
     for pattern, put in SPELLINGS:
-        made = F.regexp_replace(made, pattern, put.replace("\\", "$"))
+        made = F.regexp_replace(made, pattern, put)
     return F.trim(F.regexp_replace(made, " +", " "))
 
 
