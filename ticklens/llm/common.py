@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def strings(column: pa.Array) -> Iterator[str]:
+    """The texts of an Arrow column one after the other, null as empty; no other copy of them is made."""
+    for x in column:
+        yield x.as_py() or ""
+
+
 def slices(frames: Iterable[pd.DataFrame], most: int = 8 << 20, column: str = "text") -> Iterator[pd.DataFrame]:
     """The same rows in pieces of about ``most`` characters, so that a task's memory follows the
     longest text and not the number of rows in a batch."""

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_counts, materialize
+from .common import join_by_counts, materialize, strings
 from .components import components
 
 SHINGLE = 4
@@ -52,11 +53,10 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprint_of(shingle: int = SHINGLE):
     """A column function: the fingerprint of a text column as a signed long."""
-    @F.pandas_udf("long")
-    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            made = np.array([fingerprint(t or "", shingle) for t in texts], np.uint64)
-            yield pd.Series(made.view(np.int64), index=texts.index)
+            yield pa.array(np.array([fingerprint(t, shingle) for t in strings(texts)], np.uint64).view(np.int64))
 
     return fp
 

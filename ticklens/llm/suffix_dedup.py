@@ -18,21 +18,24 @@ exactly one.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, strings
 
 LENGTH = 100
 GRAM = 24
-#: Anchors that a task holds before it settles its own repeats, and characters whose anchors it finds at once.
-HELD, SLICE = 1 << 19, 1 << 19
+#: Anchors that a task holds before it settles its own repeats, and bytes of texts whose anchors it finds at once.
+HELD, SLICE = 1 << 18, 1 << 18
 #: Bytes of surroundings that are sorted at once, about; a set of equal leading bytes stays whole.
 SORTED = 1 << 20
 
@@ -120,12 +123,12 @@ def anchors(raws: list[bytes]) -> dict[str, np.ndarray]:
     return {"text": text, "at": at - begin[text], "lo": lo - begin[text], "hi": hi - begin[text], "gram": grams[at], "whole": whole}
 
 
-def find_anchors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def find_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows gram, whole, doc, tie, loc, again: ``again`` marks what occurred earlier in this task;
     such rows need no partner and are dealt by a hash of their own."""
     held: list[tuple[np.ndarray, ...]] = []
 
-    def settled() -> pd.DataFrame:
+    def settled() -> pa.RecordBatch:
         gram, whole, doc, tie, loc = (np.concatenate(c) for c in zip(*held, strict=True))
         held.clear()
         order = np.lexsort((loc, tie, doc, whole, gram))
@@ -135,15 +138,22 @@ def find_anchors(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # an equal row (a repeated row of the table) is the same place and no repeat
         new = ~(again & same(doc) & same(tie) & same(loc))
         gram[again] = _mix(doc.view(U64)[again] * U64(31) + loc.view(U64)[again]).view(np.int64)
-        return pd.DataFrame({"gram": gram[new], "whole": whole[new], "doc": doc[new], "tie": tie[new], "loc": loc[new], "again": again[new]})
-
-    for frame in slices(frames, SLICE):
-        a = anchors([t.encode() for t in frame["text"]])
-        if len(a["at"]):
-            held.append((a["gram"].view(np.int64), a["whole"].view(np.int64), frame["doc"].to_numpy(np.int64)[a["text"]],
-                         frame["tie"].to_numpy(np.int64)[a["text"]], a["at"] << 16 | (a["at"] - a["lo"]) << 8 | (a["at"] - a["hi"])))
-        if sum(len(h[0]) for h in held) > HELD:
-            yield settled()
+        return pa.RecordBatch.from_pydict({"gram": gram[new], "whole": whole[new], "doc": doc[new], "tie": tie[new], "loc": loc[new], "again": again[new]})
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        raws = batch.column("text").cast(pa.binary())
+        docs, ties = (batch.column(c).to_numpy() for c in ("doc", "tie"))
+        part = np.cumsum(pc.binary_length(raws).to_numpy().astype(np.int64)) // SLICE
+        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(batch)]
+        for first, last in itertools.pairwise(edges):  # some texts at a time
+            a = anchors(raws.slice(first, last - first).to_pylist())
+            if len(a["at"]):
+                held.append((a["gram"].view(np.int64), a["whole"].view(np.int64), docs[first:last][a["text"]], ties[first:last][a["text"]],
+                             a["at"] << 16 | (a["at"] - a["lo"]) << 8 | (a["at"] - a["hi"])))
+            if sum(len(h[0]) for h in held) > HELD:
+                yield settled()
     if held:
         yield settled()
 
@@ -241,11 +251,11 @@ def cut_contexts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def packed(text: Column) -> Column:
     """Compressed UTF-8 bytes: texts are shuffled so."""
-    @F.pandas_udf("binary")
-    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for texts in batches:
-            yield pd.Series([compress(t.encode()) for t in texts], index=texts.index, dtype=object)
+            yield pa.array([compress(t.encode()) for t in strings(texts)], pa.binary())
 
     return pack(text)
 
@@ -263,7 +273,7 @@ def spans(docs: DataFrame) -> DataFrame:
     doc, tie = keys(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(doc.alias("doc"), tie.alias("tie"), text.alias("text"))
-    found = own.mapInPandas(find_anchors, "gram long, whole long, doc long, tie long, loc long, again boolean")
+    found = own.mapInArrow(find_anchors, "gram long, whole long, doc long, tie long, loc long, again boolean")
     order = ("doc", "tie", "loc")
     same = Window.partitionBy("gram", "again", "whole").orderBy(*order)
     alike = Window.partitionBy("gram", "again")
@@ -347,15 +357,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     All rows and columns stay; ``n_chars``, if there, is counted again.
     """
-    @F.pandas_udf("string")
-    def kept(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         unpack = zstandard.ZstdDecompressor().decompress
+
+        def text(packed: pa.Scalar, found: pa.Scalar, copy: pa.Scalar) -> str:
+            raw = unpack(packed.as_py())
+            return kept_bytes(raw, gone_of(raw, found.as_py(), copy.as_py())).decode("utf-8", "ignore")
+
         for batch in batches:
-            out = []
-            for packed, found, copy in zip(*batch, strict=True):  # one text unpacked at a time
-                raw = unpack(packed)
-                out.append(kept_bytes(raw, gone_of(raw, found, copy)).decode("utf-8", "ignore"))
-            yield pd.Series(out, dtype=object)
+            yield pa.array((text(*row) for row in zip(*batch, strict=True)), pa.string())  # one at a time
 
     others = [c for c in docs.columns if c != "text"]
     rows = with_spans(docs, *others).withColumn("text", kept("_llm_packed", "_llm_spans", "_llm_copy"))

@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import random
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import strings
+
 #: Training uses at most so many documents of each class, of at most so many characters each; the
 #: model is fitted on the driver from these alone.
 SAMPLE_DOCS = 1400
@@ -120,11 +122,12 @@ class Model:
         best = np.sort(saved)[-max(1, len(saved) // 4) :]
         return 100 * saved.sum() / max(100, sum(len(w) - len(LEAD) for w in found)), (saved > 0).mean(), best.mean(), float(best[-1])
 
-    def scores(self, texts: pd.Series) -> np.ndarray:
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
+        """One text and its windows are held at a time."""
         if not self.weights:
-            return np.zeros(len(texts))
+            return np.zeros(sum(1 for _ in texts))
         compressors = self.compressors()
-        rows = np.array([self.features(compressors, t or "") for t in texts], float).reshape(-1, 4)  # one text's windows at a time
+        rows = np.array([self.features(compressors, t) for t in texts], float).reshape(-1, 4)
         return 1 / (1 + np.exp(-np.clip(design(rows) @ np.array(self.weights), -30, 30)))
 
 
@@ -221,10 +224,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
 
 def score(model: Model):
     """A column function: the score, 0 to 1, of a text column; null and empty texts score as no window."""
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(model.scores(texts), index=texts.index)
+            yield pa.array(model.scores(strings(texts)))
 
     return scored
 
