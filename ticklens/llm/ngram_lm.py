@@ -135,17 +135,17 @@ class Sequence:
     def __init__(self, arrays: dict, name: str) -> None:
         self.low, self.high, self.zeros = (arrays[f"{name}_{k}"] for k in ("low", "high", "zeros"))
         self.n, self.width = int(arrays[f"{name}_n"]), int(arrays[f"{name}_width"])
-        self.before = self.zeros.astype(np.int64)
-        self.ones = np.arange(len(self.before)) * 64 - self.before
+        # the ones before each word; the zeros stay in the file
+        self.ones = np.arange(0, 64 * len(self.zeros), 64, dtype=self.zeros.dtype) - self.zeros
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.before, k, "right") - 1
-        return word * 64 + select_in_word(~self.high[word], k - self.before[word])
+        word = np.searchsorted(self.zeros, k.astype(self.zeros.dtype), "right") - 1
+        return word * 64 + select_in_word(~self.high[word], k - self.zeros[word].astype(np.int64))
 
     def get(self, k: np.ndarray) -> np.ndarray:
         """Value number k."""
-        word = np.searchsorted(self.ones, k, "right") - 1
-        at = word * 64 + select_in_word(self.high[word], k - self.ones[word])
+        word = np.searchsorted(self.ones, k.astype(self.ones.dtype), "right") - 1
+        at = word * 64 + select_in_word(self.high[word], k - self.ones[word].astype(np.int64))
         return (at - k) << self.width | get_low(self.low, k, self.width).astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -276,12 +276,12 @@ class Model:
         return np.log10(seen + share * back)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)
 def mapped(path: str) -> dict:
     return map_arrays(path)
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)
 def mapped_pairs(path: str) -> tuple[dict, Sequence, Sequence]:
     level = map_arrays(path)
     return level, Sequence(level, "successors"), Sequence(level, "pointers")
