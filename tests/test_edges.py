@@ -156,6 +156,9 @@ def test_views_and_table_exists(spark, make_trades, make_ticks):
     assert set(views.register_views(spark, t, ticks)) == {"trades", "ticks", "market_analytics"}
     assert stats.table_exists(spark, "market_analytics")
     assert views.run_sql(spark, "SELECT COUNT(*) AS n FROM trades").first().n == 1
+    make_ticks([(i, float(i), f"2024-01-01 00:00:0{i}", "NEX Stream", "s") for i in range(7)]).createOrReplaceTempView("ticks")  # grown
+    grown = views.run_sql(spark, "SELECT price, prev_price, moving_avg_5 FROM market_analytics ORDER BY time").collect()
+    assert [tuple(r) for r in grown][-2:] == [(5.0, 4.0, 2.5), (6.0, 5.0, 3.5)] and len(grown) == 7
 
 
 def test_timeframe_resolution():

@@ -128,3 +128,28 @@ def test_subscribed_messages_semi_join(spark):
     assert got == [1, 3]                                  # no duplicates from two 'a' clients
     star = spark.createDataFrame([(1, "*")], "client_id int, subject string")
     assert M.subscribed_messages(msgs, star).count() == 3
+
+
+@pytest.mark.parametrize("source, text, trades, ticks, reasons", [
+    ("coinbase", "[1, 2]", 0, 0, []), ("coinbase", "123", 0, 0, []), ("coinbase", '"match"', 0, 0, []), ("coinbase", "null", 0, 0, []), ("coinbase", "{}", 0, 0, []),
+    ("coinbase", "{'type':'match','price':'1','size':'1'}", 0, 0, ["not_json"]), ("coinbase", '{"type":"match","price":NaN,"size":1}', 0, 0, ["not_json"]),
+    ("coinbase", '{"type":"match","price":1,"size":', 0, 0, ["not_json"]), ("coinbase", "", 0, 0, ["not_json"]), ("coinbase", ' \n{"type":"match","price":1e2,"size":"2"}', 1, 0, []),
+    ("kraken", "[1, 2", 0, 0, ["not_json"]), ("kraken", '[1,"x","trade"]', 0, 0, []), ("kraken", '[1,[],"trade"]', 0, 0, []), ("kraken", '[1,[["1"]],"trade"]', 0, 0, ["bad_number"]),
+    ("kraken", ' [1,[["5","2","0","b"],[]],"trade"]', 1, 0, ["bad_number"]), ("kraken", '[1,[["5","2"]],"book"]', 0, 0, []),
+    ("plain", '{"price":{"a":1},"size":1}', 0, 0, ["bad_number"]), ("plain", '{"price":true,"size":1}', 0, 0, ["bad_number"]), ("plain", '{"price":"1","size":null}', 0, 0, ["bad_number"]),
+    ("plain", '{"price":1,"size":2,"timestamp":null}', 1, 0, []), ("plain", '{"price":1,"size":2,"timestamp":1.5}', 0, 0, ["bad_time"]),
+    ("bus", '{"subject":"s","data":5}', 0, 1, []), ("bus", '{"subject":"s","data":{"price":null}}', 0, 1, []), ("bus", '{"subject":"s","data":{"price":"1.5"},"x":[{}]}', 0, 1, []),
+    ("bus", '{"subject":"s"}', 0, 0, []), ("coinbase_ticker", '{"type":"ticker","price":1}', 0, 0, ["bad_time"]), (None, "{", 0, 0, ["not_json"]), ("x", "{}", 0, 0, ["unknown_feed"])])
+def test_shapes_of_messages(raw, source, text, trades, ticks, reasons):
+    df = raw([(source, text)])
+    assert M.normalize_trades(df).count() == trades and M.normalize_ticks(df).count() == ticks
+    assert [r.reason for r in M.invalid_messages(df).collect()] == reasons
+
+
+def test_messages_are_parsed_once(raw):
+    """Whatever filters follow: one parse of an object, one of an array and one of its trades."""
+    df = raw([("bus", '{"subject":"s","data":{"price":1}}')])
+    for out in (M.normalize_ticks(df, ["s"]), M.norm_envelope(df).filter("price > 0 AND subject = 's'"), M.normalize_trades(df).filter("price > 1")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("StructField(_bad") == 1
+

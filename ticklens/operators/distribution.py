@@ -8,7 +8,6 @@ bins.  Only n (or n x m) groups ever reach the final aggregate.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,14 +128,13 @@ def price_histogram(trades: DataFrame, bins: int = 10, timeframe=None, as_of=Non
             .orderBy(*asc("bin_number")).drop("bin_number"))
 
 
-def rounded_bins(lo: Column, hi: Column, n: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """About ``n`` bins over [lo, hi] whose edges are multiples of 1, 2 or 5 times a power of ten, as
-    charts draw them.  Returns (bin of a value, edge where a bin begins).
+def rounded_step(lo: Column, hi: Column, n: int) -> tuple[Column, Column]:
+    """The step between edges of about ``n`` bins over [lo, hi] at multiples of 1, 2 or 5 times a power
+    of ten, as charts draw them: (size, fine), where a fine size is steps per unit and not units per
+    step, a whole number, so that edges are exact decimals.  NULLs without a range.
 
     The step is the one of 1, 2, 5, 10 times a power of ten that is nearest, in ratio, to an nth of the
-    range.  Below 1 it is kept as steps per unit, a whole number, so that edges are exact decimals.
-    Bins are half-open and the last one goes beyond ``hi``.  Without a range there is one bin, 0, that
-    begins at the value itself.
+    range.
     """
     raw = (hi - lo) / F.lit(float(n))
     power = F.floor(F.log10(F.when(raw > 0, raw)))
@@ -144,30 +142,36 @@ def rounded_bins(lo: Column, hi: Column, n: int) -> tuple[Callable[[Column], Col
     factor = F.lit(1.0)
     for step, least in ((2.0, 2), (5.0, 10), (10.0, 50)):
         factor = F.when(ratio >= math.sqrt(least), F.lit(step)).otherwise(factor)
-    fine = power < 0
-    size = F.pow(F.lit(10.0), F.abs(power)) * F.when(fine, 1.0 / factor).otherwise(factor)  # steps per unit, or units per step
+    return F.pow(F.lit(10.0), F.abs(power)) * F.when(power < 0, 1.0 / factor).otherwise(factor), power < 0
 
-    def edge(k: Column) -> Column:
-        return F.when(size.isNull(), lo).when(fine, k / size).otherwise(k * size)
 
-    def bin_of(v: Column) -> Column:
-        k = F.floor(F.when(fine, v * size).otherwise(v / size))
-        return F.coalesce(F.when(v >= edge(k + 1), k + 1).when(v < edge(k), k - 1).otherwise(k), F.lit(0)).cast("long")
+def rounded_edge(k: Column, size: Column, fine: Column) -> Column:
+    """Where bin k begins."""
+    return F.when(fine, k / size).otherwise(k * size)
 
-    return bin_of, edge
+
+def rounded_bin(v: Column, size: Column, fine: Column) -> Column:
+    """The bin that holds a value, by its edges; 0 without a step."""
+    k = F.floor(F.when(fine, v * size).otherwise(v / size))
+    return F.coalesce(F.when(v >= rounded_edge(k + 1, size, fine), k + 1).when(v < rounded_edge(k, size, fine), k - 1).otherwise(k),
+                      F.lit(0)).cast("long")
 
 
 def histogram_by_source(ticks: DataFrame, bins: int = 20) -> DataFrame:
-    """Price histogram with about `bins` rounded thresholds (see :func:`rounded_bins`), counted per
+    """Price histogram with about `bins` rounded thresholds (see :func:`rounded_step`), counted per
     source: source, bin_number (from the lowest price's bin), bin_start, bin_end and count of non-empty
-    cells.  Missing and non-finite prices take no part."""
+    cells.  Bins are half-open and the last one goes beyond the highest price; prices that are all
+    equal have one bin, from and to themselves.  Missing and non-finite prices take no part."""
     t = ticks.filter(F.abs("price") < float("inf"))
-    lo, hi = _range_scalars(t)
-    cells = (t.select("source", F.col("price").alias("_v"), lo.alias("_lo"), hi.alias("_hi")))
-    bin_of, edge = rounded_bins(F.col("_lo"), F.col("_hi"), bins)
-    counted = (cells.select("source", bin_of(F.col("_v")).alias("_k"), bin_of(F.col("_lo")).alias("_first"), "_lo", "_hi")
-               .groupBy("source", "_k", "_first", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count")))
-    return (counted.select("source", (F.col("_k") - F.col("_first")).alias("bin_number"), edge(F.col("_k")).alias("bin_start"),
+    ends = t.agg(F.min("price").alias("lo"), F.max("price").alias("hi"))
+    size, fine = rounded_step(F.col("lo"), F.col("hi"), bins)
+    step = ends.select("lo", size.alias("size"), fine.alias("fine")).select("*", rounded_bin(F.col("lo"), F.col("size"), F.col("fine")).alias("first"))
+    one = step.select(F.struct("*").alias("s")).scalar()
+    lo, size, fine, first = (one.getField(c) for c in ("lo", "size", "fine", "first"))
+    counted = (t.select("source", rounded_bin(F.col("price"), size, fine).alias("_k"))
+               .groupBy("source", "_k").agg(F.count(F.lit(1)).alias("count")))
+    edge = lambda k: F.coalesce(rounded_edge(k, size, fine), lo)
+    return (counted.select("source", (F.col("_k") - first).alias("bin_number"), edge(F.col("_k")).alias("bin_start"),
                            edge(F.col("_k") + 1).alias("bin_end"), "count")
             .orderBy(*asc("source", "bin_number")))
 

@@ -38,6 +38,9 @@ _TABLES = (
 )
 
 
+ANALYTICS = "market_analytics"
+
+
 def register_views(spark: SparkSession, trades: DataFrame | None = None, ticks: DataFrame | None = None) -> list[str]:
     """Register `trades`, `ticks` and `market_analytics` (W7 over ticks)."""
     names = []
@@ -46,8 +49,8 @@ def register_views(spark: SparkSession, trades: DataFrame | None = None, ticks:
         names.append("trades")
     if ticks is not None:
         ticks.createOrReplaceTempView("ticks")
-        source_analytics(ticks).createOrReplaceTempView("market_analytics")
-        names += ["ticks", "market_analytics"]
+        source_analytics(ticks).createOrReplaceTempView(ANALYTICS)
+        names += ["ticks", ANALYTICS]
     return names
 
 
@@ -62,5 +65,11 @@ def register_functions(spark: SparkSession) -> list[str]:
 
 def run_sql(spark: SparkSession, text: str, **parameters) -> DataFrame:
     """Free-form SQL over the registered views and functions (planned by Catalyst); `:name` markers in
-    the text take the values of `parameters`."""
+    the text take the values of `parameters`.
+
+    A text that names `market_analytics` has it planned anew, over the `ticks` of now: its split points
+    belong to the rows that it was planned for.
+    """
+    if ANALYTICS in text.lower() and spark.catalog.tableExists("ticks"):
+        source_analytics(spark.table("ticks")).createOrReplaceTempView(ANALYTICS)
     return spark.sql(text, args=parameters or None)
