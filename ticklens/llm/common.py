@@ -1,9 +1,11 @@
 """Small helpers that several operators share: inputs, shared-folder tables, batches."""
 from __future__ import annotations
 
+import ctypes
+import functools
 import itertools
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -38,6 +40,28 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def give_back() -> None:
+    """Return this worker's free memory to the system: allocators keep it, and workers live on from task
+    to task and from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A task's generator that begins and ends with no memory kept for nothing."""
+    @functools.wraps(run)
+    def tidied(batches):
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def strings(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one after the other, null as empty; no other copy of them is made."""
     for x in column:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, slices, texts
+from .common import materialize, shared_path, slices, texts, tidy
 
 #: The end of a text, which also stands before its first word; no word holds white space.
 END = b"\n"
@@ -302,6 +302,7 @@ def train(docs: DataFrame) -> Model:
     bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     count = 1 << bits
 
+    @tidy
     def count_words(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
 
@@ -337,6 +338,7 @@ def train(docs: DataFrame) -> Model:
                   tuple(found[k]["path"] if k in found else "" for k in range(count)),
                   tuple(int(x) for x in np.cumsum([0, *sizes])[:-1]))
 
+    @tidy
     def count_pairs(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         firsts = np.array(model.firsts[1:])
@@ -370,6 +372,7 @@ def train(docs: DataFrame) -> Model:
         write_arrays(path, {"keys": keys, "counts": counts})
         return pd.DataFrame({"shard": [shard], "path": [path], "once": [(counts == 1).sum()], "twice": [(counts == 2).sum()]})
 
+    @tidy
     def build(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for shard, counted in zip(frame["shard"], frame["path"], strict=True):
@@ -402,6 +405,7 @@ def train(docs: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Scores of every whole text: n_tokens, n_known, base_score (add-one unigrams), score (the trie)."""
+    @tidy
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = model.tokens + model.words + 1
         for frame in slices(frames):

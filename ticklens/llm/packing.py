@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, texts
+from .common import materialize, slices, texts, tidy
 from .word_ids import word_ids
 
 CAPACITY = 2048
@@ -192,6 +192,7 @@ def plan_ranges(plan: Plan) -> pd.DataFrame:
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids and the separator, cut at ``capacity``."""
+    @tidy
     def cut(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = word_ids(vocabulary)
         end = np.array([SEPARATOR_ID], "<u4").tobytes()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_counts, materialize, strings
+from .common import join_by_counts, materialize, strings, tidy
 from .components import components
 
 SHINGLE = 4
@@ -54,6 +54,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def fingerprint_of(shingle: int = SHINGLE):
     """A column function: the fingerprint of a text column as a signed long."""
     @F.arrow_udf("long")
+    @tidy
     def fp(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.array([fingerprint(t, shingle) for t in strings(texts)], np.uint64).view(np.int64))

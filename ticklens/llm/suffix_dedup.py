@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, strings
+from .common import materialize, strings, tidy
 
 LENGTH = 100
 GRAM = 24
@@ -123,6 +123,7 @@ def anchors(raws: list[bytes]) -> dict[str, np.ndarray]:
     return {"text": text, "at": at - begin[text], "lo": lo - begin[text], "hi": hi - begin[text], "gram": grams[at], "whole": whole}
 
 
+@tidy
 def find_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows gram, whole, doc, tie, loc, again: ``again`` marks what occurred earlier in this task;
     such rows need no partner and are dealt by a hash of their own."""
@@ -206,6 +207,7 @@ def repeated_spans(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[first], "tie": tie[first], "start": start[first], "stop": start[last] + LENGTH})
 
 
+@tidy
 def sort_suffixes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by their leading bytes; as many whole sets of them as go in are sorted at once."""
     held: list[pd.DataFrame] = []
@@ -228,6 +230,7 @@ def sort_suffixes(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield repeated_spans(pd.concat(held, ignore_index=True))
 
 
+@tidy
 def cut_contexts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Anchors with their leading bytes and surroundings, some hundred thousand bytes at a time."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -252,6 +255,7 @@ def cut_contexts(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def packed(text: Column) -> Column:
     """Compressed UTF-8 bytes: texts are shuffled so."""
     @F.arrow_udf("binary")
+    @tidy
     def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for texts in batches:
@@ -338,6 +342,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     before all others.  Rows with equal doc_id are ordered by a hash of their texts; of wholly equal
     rows the first stays and the others count as later documents.
     """
+    @tidy
     def report(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
         for frame in frames:
@@ -358,6 +363,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     All rows and columns stay; ``n_chars``, if there, is counted again.
     """
     @F.arrow_udf("string")
+    @tidy
     def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         unpack = zstandard.ZstdDecompressor().decompress
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import strings, tidy
 
 #: Training uses at most so many documents of each class, of at most so many characters each; the
 #: model is fitted on the driver from these alone.
@@ -225,6 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
 def score(model: Model):
     """A column function: the score, 0 to 1, of a text column; null and empty texts score as no window."""
     @F.arrow_udf("double")
+    @tidy
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(model.scores(strings(texts)))
