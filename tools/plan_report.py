@@ -17,7 +17,7 @@ from ticklens.plans import registry  # noqa: E402
 from ticklens.session import build_session  # noqa: E402
 
 SKIP_PREFIX = ("stream_",)
-SKIP = {"write_rollups", "append_trades"}
+SKIP = {"write_rollups", "merge_rollups", "append_trades", "retain_stored", "sketched_price_quantiles", "sketched_value_at_risk", "dashboard_bundle"}
 
 
 def summarise(plan: str) -> dict:
@@ -40,7 +40,7 @@ def summarise(plan: str) -> dict:
 
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = build_session()
+    spark = build_session(cpus=os.environ.get("BENCH_CPUS", "*"))
     print("# Plan report\n")
     print(f"Executed (AQE final) plans of every registered batch query at `{sf}`, generated by "
           "`tools/plan_report.py`. *Jobs run* counts every Spark job of the query, planning jobs included; "
