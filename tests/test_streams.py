@@ -173,3 +173,51 @@ def test_redelivered_messages_count_once(spark, tmp_path):
     stream = spark.readStream.schema(RAW_MESSAGES).option("maxFilesPerTrigger", 1).parquet(src)
     out = replay.run_to_parquet(streams.stream_normalize_once(stream, "1 minute"), spark, "once")
     assert sorted(r.price for r in out.collect()) == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def _batch_rows(q):
+    return [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+
+
+def test_replay_writes_and_reads_a_chunk_by_many_tasks(spark, make_trades, monkeypatch, tmp_path):
+    """A large table's chunks are of several files each, and still a micro-batch each, in time order."""
+    monkeypatch.setattr(replay, "ROWS_PER_SLICE", 100)
+    monkeypatch.setattr(replay, "ROWS_PER_FILE", 10)
+    assert replay.slice_sizes(7) == (3, 1) and replay.slice_sizes(500) == (5, 10)
+    rows = [(i, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", float(i), 1.0, "buy") for i in range(480)] + [(i, None, 1.0, 1.0, "buy") for i in range(480, 500)]
+    t = make_trades(rows[::-1])
+    dest = []
+    monkeypatch.setattr(replay, "append_slices", lambda slices, d, *a, f=replay.append_slices: dest.append(d) or f(slices, d, *a))
+    stream = replay.replay(spark, t, "timestamp", "many")
+    assert len([f for f in (tmp_path / dest[0]).iterdir() if f.name.startswith("part-")]) == 50
+    seen = []
+    q = (stream.writeStream.foreachBatch(lambda b, _: seen.append(sorted(r.id for r in b.select("id").collect())))
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert len(seen) == 5 and all(70 <= len(ids) <= 130 for ids in seen)
+    assert [i for ids in seen for i in ids] == list(range(500))
+
+
+def test_replay_slices_that_are_empty_keep_their_micro_batch(spark, make_trades, monkeypatch, tmp_path):
+    monkeypatch.setattr(replay, "ROWS_PER_FILE", 10)
+    t = make_trades([(i, "2024-01-01 00:00:00", 1.0, 1.0, "buy") for i in range(60)])  # one time: all rows in the last slice
+    stream = replay.replay(spark, t, "timestamp", "ties")
+    q = (stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert _batch_rows(q) == [60] and spark.read.parquet(str(tmp_path / "out")).count() == 60
+
+
+def test_replayed_messages_are_the_batch_messages(spark, monkeypatch):
+    """Messages made by the tasks that write the chunks give the trades of the batch form, also when sent twice."""
+    from ticklens.sources import feeds, messages
+    from ticklens.sources.tables import read_table
+    monkeypatch.setattr(replay, "ROWS_PER_SLICE", 250)
+    monkeypatch.setattr(replay, "ROWS_PER_FILE", 40)
+    events = read_table(spark, SF, "events")
+    exp = messages.normalize_trades(feeds.raw_messages_from_events(events))
+    form = feeds.raw_messages_from_events
+    got = replay.run_to_parquet(streams.stream_normalize(replay.replay(spark, events, "ts", "m", form=form)), spark, "m")
+    once = replay.run_to_parquet(streams.stream_normalize_once(replay.replay(spark, events.unionAll(events), "ts", "m2", form=form)), spark, "m2")
+    for rows in (got, once):
+        assert rows.count() == exp.count() and rows.exceptAll(exp).count() == 0
