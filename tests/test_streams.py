@@ -221,3 +221,31 @@ def test_replayed_messages_are_the_batch_messages(spark, monkeypatch):
     once = replay.run_to_parquet(streams.stream_normalize_once(replay.replay(spark, events.unionAll(events), "ts", "m2", form=form)), spark, "m2")
     for rows in (got, once):
         assert rows.count() == exp.count() and rows.exceptAll(exp).count() == 0
+
+
+class _State:
+    def __init__(self, prices=None):
+        self.exists, self.get = prices is not None, (prices,)
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_tick_state_gives_a_source_in_pieces():
+    """No frame of what comes out is a source's whole micro-batch; the pieces are framed as one."""
+    import numpy as np
+    import pandas as pd
+    n = 3 * streams.TICK_PIECE + 17
+    price = np.where(np.arange(n) % 13 == 4, np.nan, np.arange(n) * 7 % 101)
+    whole = pd.DataFrame({"id": np.arange(n), "price": price, "time": np.datetime64("2024-01-01") + np.arange(n).astype("timedelta64[s]"),
+                          "source": "a", "subject": np.where(np.arange(n) % 2 == 0, "s", "t").astype(object)})
+    mixed = whole.sample(frac=1, random_state=1)
+    state = _State([1.0, None])
+    pieces = list(streams._tick_frames(("a",), iter([mixed[i::4] for i in range(4)]), state))
+    assert max(map(len, pieces)) <= streams.TICK_PIECE
+    got = pd.concat(pieces, ignore_index=True)
+    assert got["id"].tolist() == list(range(n)) and got["subject"].tolist() == whole["subject"].tolist() and set(got["source"]) == {"a"}
+    before = pd.Series([1.0, np.nan, *price])
+    np.testing.assert_allclose(got["moving_avg_5"].astype(float), before.rolling(6, min_periods=1).mean()[2:], rtol=1e-9)
+    np.testing.assert_array_equal(got["prev_price"].astype(float), before.shift()[2:])
+    np.testing.assert_array_equal(np.array(state.get[0], float), price[-5:])

@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pandas.api.types import union_categoricals
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,21 +116,36 @@ def stream_bar_chain(trades_stream: DataFrame, widths: Sequence[str] = (LIVE_BAR
                        F.col("close_price").alias("close"), "volume", "trade_count")
 
 
+TICK_PIECE = 10_000  # rows of a source that are framed and given to Spark at a time
 TICK_FRAME = "id long, price double, time timestamp_ntz, source string, subject string, moving_avg_5 double, prev_price double"
 
 
 def _tick_frames(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """A source's new rows in (time, id) order after its last prices, which are all that is kept."""
-    rows = pd.concat(frames).sort_values(["time", "id"], ignore_index=True)
+    """A source's new rows in (time, id) order after its last prices, which are all that is kept.
+
+    What is held of the micro-batch is plain numbers and each different subject once; rows come out in pieces.
+    """
     held = np.array(state.get[0], float) if state.exists else np.empty(0)  # a missing price is NaN here
-    prices = np.concatenate([np.full(TICK_FRAME_PRECEDING - len(held), np.nan), held, rows["price"].to_numpy(float)])
-    frame = np.lib.stride_tricks.sliding_window_view(prices, TICK_FRAME_PRECEDING + 1)
-    known = ~np.isnan(frame)
-    with np.errstate(invalid="ignore"):
-        rows["moving_avg_5"] = np.where(known, frame, 0).sum(axis=1) / known.sum(axis=1)
-    rows["prev_price"] = frame[:, -2]
-    state.update((np.concatenate([held, rows["price"].to_numpy(float)])[-TICK_FRAME_PRECEDING:].tolist(),))
-    yield rows[["id", "price", "time", "source", "subject", "moving_avg_5", "prev_price"]].astype(object).where(lambda x: x.notna(), None)
+    columns: dict[str, list] = {"id": [], "time": [], "price": [], "subject": []}
+    for f in frames:  # copies: a column of a frame keeps its whole Arrow batch
+        for name in ("id", "time"):
+            columns[name].append(f[name].to_numpy(copy=True))
+        columns["price"].append(f["price"].to_numpy(float, copy=True))
+        columns["subject"].append(f["subject"].astype("category"))
+    subjects = union_categoricals(columns.pop("subject"))
+    ids, times, prices = (np.concatenate(columns.pop(name)) for name in ("id", "time", "price"))
+    order = np.lexsort((ids, times))
+    prices = np.concatenate([np.full(TICK_FRAME_PRECEDING - len(held), np.nan), held, prices[order]])
+    state.update((prices[-TICK_FRAME_PRECEDING:][-(len(held) + len(order)):].tolist(),))
+    for a in range(0, len(order), TICK_PIECE):
+        at = order[a:a + TICK_PIECE]
+        frame = np.lib.stride_tricks.sliding_window_view(prices[a:a + len(at) + TICK_FRAME_PRECEDING], TICK_FRAME_PRECEDING + 1)
+        known = ~np.isnan(frame)
+        with np.errstate(invalid="ignore"):
+            avg = np.where(known, frame, 0).sum(axis=1) / known.sum(axis=1)
+        rows = pd.DataFrame({"id": ids[at], "price": frame[:, -1], "time": times[at], "source": key[0], "subject": subjects[at].astype(object),
+                             "moving_avg_5": avg, "prev_price": frame[:, -2]})
+        yield rows.astype(object)  # NaN and NaT become NULL
 
 
 def stream_tick_state(ticks_stream: DataFrame) -> DataFrame:
@@ -137,7 +153,7 @@ def stream_tick_state(ticks_stream: DataFrame) -> DataFrame:
 
     The state is a ring of each source's last five prices: its size is the number of sources, however
     long the query runs, and a restart goes on from the checkpoint.  A source's rows of one micro-batch
-    meet in one task, so bound the trigger, or use :func:`stream_tick_analytics`.  A source's rows must
+    meet in one task, which holds some tens of bytes of each, so bound the trigger, or use :func:`stream_tick_analytics`.  A source's rows must
     arrive in time order across micro-batches; NaN prices count as missing.
     """
     rows = ticks_stream.select("id", "price", "time", "source", "subject")
