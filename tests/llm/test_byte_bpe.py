@@ -36,6 +36,13 @@ def test_long_pieces(text):
     assert BPE.merge([raw], 200)[0] == BPE.merge_long(raw)
 
 
+def test_words_met_again_when_the_memory_is_full():
+    bpe = bb.ByteBPE(PATH, PATTERN, most=3)
+    bpe.learn(["No.", " one"])
+    bpe.learn(["No.", " two", " three"])  # the others make room, one of them is needed
+    assert bpe.encode(["No.", " two", " three"]).tolist() == LIBRARY.encode_ordinary("No. two three")
+
+
 def expected(rows):
     out = []
     for i, t in rows:

@@ -98,11 +98,14 @@ class ByteBPE(dict):
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode what is not there yet; every match of the pattern separately."""
-        new = sorted(set(words) - self.keys())
+        own = set(words)
+        new = own - self.keys()
         if not new:
             return
         if len(self) + len(new) > self.most:
             self.clear()
+            new = own  # the known ones went too
+        new = sorted(new)
         split = [[p.encode() for p in self.pieces.findall(w)] for w in new]
         got = self.encode_pieces({p for parts in split for p in parts})
         for w, parts in zip(new, split, strict=True):
