@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from llm_edges import EDGES
 
+from ticklens.llm import common
 from ticklens.llm import suffix_dedup as sd
 
 
@@ -101,3 +102,19 @@ def test_documents(spark):
     expected = brute(rows)
     assert rows_of(sd.repeated_bytes(docs)) == expected
     assert sum(r[2] for r in expected) > 0
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, None)
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "concat(id, repeat(' x', 2000)) AS text")
+    try:
+        spark.conf.unset(name)
+        sd.remove_repeats(docs.limit(1))
+        sizes = docs.mapInPandas(lambda frames: (f.text.str.len().agg(["sum"]).to_frame("n") for f in frames), "n long")
+        assert sizes.agg({"n": "max"}).first()[0] <= common.BATCH_BYTES + 5000  # all 16 MB of them before
+        spark.conf.set(name, "8m")
+        sd.remove_repeats(docs.limit(1))
+        assert spark.conf.get(name) == "8m"  # what the session says holds
+    finally:
+        spark.conf.set(name, held) if held else spark.conf.unset(name)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_counts, materialize, strings, tidy
+from .common import join_by_counts, materialize, small_batches, strings, tidy
 from .components import components
 
 SHINGLE = 4
@@ -64,6 +64,7 @@ def fingerprint_of(shingle: int = SHINGLE):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of every row; null texts are empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(shingle)(F.col("text").cast("string")).alias("fp"))
 
 

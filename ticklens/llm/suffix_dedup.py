@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, strings, tidy
+from .common import materialize, small_batches, strings, tidy
 
 LENGTH = 100
 GRAM = 24
@@ -274,6 +274,7 @@ def keys(docs: DataFrame) -> tuple[Column, Column]:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc, tie (see ``keys``) and spans, an array of (start, stop) that may overlap, of the rows with any."""
+    small_batches(docs.sparkSession)
     doc, tie = keys(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(doc.alias("doc"), tie.alias("tie"), text.alias("text"))
@@ -319,6 +320,7 @@ def kept_bytes(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def with_spans(docs: DataFrame, *columns: str) -> DataFrame:
     """Rows of ``docs``: the columns asked for, packed text, spans and which copy of equal rows it is."""
+    small_batches(docs.sparkSession)
     doc, tie = keys(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(*columns, doc.alias("_llm_doc"), tie.alias("_llm_tie"), packed(text).alias("_llm_packed"))

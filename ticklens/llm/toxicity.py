@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, tidy
+from .common import small_batches, strings, tidy
 
 #: Training uses at most so many documents of each class, of at most so many characters each; the
 #: model is fitted on the driver from these alone.
@@ -235,6 +235,7 @@ def score(model: Model):
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     """``docs``, all columns, without the rows whose score reaches the threshold; null and empty texts stay."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels, **sample)
     scored = docs.withColumn("_llm_score", score(model)(F.col("text").cast("string")))
     return scored.filter(F.col("_llm_score") < THRESHOLD).select(*docs.columns)
@@ -242,6 +243,7 @@ def keep_ordinary(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFram
 
 def toxicity(docs: DataFrame, labels: DataFrame, **sample: int) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``, from its whole text alone."""
+    small_batches(docs.sparkSession)
     model = train(docs, labels, **sample)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
                          score(model)(F.col("text").cast("string")).alias("score"))
