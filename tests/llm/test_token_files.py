@@ -4,11 +4,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_edges import EDGES
 from tokenizers import Tokenizer
 
 from ticklens.llm import token_files as tf
-from ticklens.llm.word_ids import word_ids
+from ticklens.llm.word_ids import MARKS, WordIds, word_ids
 
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +64,21 @@ def test_words_are_the_librarys(library):
         assert words.encode(t or "") == np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" aSé'’"), st.sampled_from(MARKS), st.characters(codec="utf-8")), max_size=40))
+def test_any_words_are_the_librarys(library, text):
+    ids = library.encode(text, add_special_tokens=False).ids
+    assert word_ids(PATH).encode(text) == np.array(ids, "<u4").tobytes()
+
+
+def test_letters_and_marks_are_looked_up_apart(monkeypatch):
+    words, met = WordIds(PATH, most=1000), []
+    monkeypatch.setattr(words, "whole", lambda text: met.append(text) or WordIds.whole(words, text))
+    for text in ("onthwhtion### Ouanéai%%%", "leouçreç### inthhean%%%"):
+        words.encode(text)
+    assert met == ["###", "%%%"]  # words with marks went through the library one by one
+
+
 def test_edges(edges, library):
     assert rows_of(tf.token_files(edges, PATH)) == brute(library, EDGES)
 

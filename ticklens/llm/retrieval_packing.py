@@ -73,7 +73,7 @@ def unpacked(packed: Iterable[bytes], sizes: Iterable[int]) -> Iterator[np.ndarr
 def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids of a document, ascending, without its end id, and how often each occurs."""
     own = ids[:-1].copy()
-    own.sort()
+    own.sort(kind="stable" if own.itemsize == 2 else None)  # a radix sort
     new = np.empty(len(own), bool)
     new[:1] = True
     np.not_equal(own[1:], own[:-1], out=new[1:])

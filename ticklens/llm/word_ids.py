@@ -13,10 +13,10 @@ from functools import lru_cache
 
 #: Characters that some libraries take for white space and others don't.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
-#: Latin letters, which at most one of the marks follows: lower-casing is letter by letter and
-#: composition changes nothing.
+#: Latin letters, which marks may follow, a part of their own: lower-casing is letter by letter and
+#: composition changes nothing.  An apostrophe is none, it may begin a part with letters.
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = frozenset(".,;:!?")
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds(dict):
@@ -44,18 +44,25 @@ class WordIds(dict):
         return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        letters, mark = (word[:-1], word[-1]) if word[-1:] in MARKS else (word, "")
+        letters = word.rstrip(MARKS)
         if letters.isascii() and letters.isalpha() or LATIN.fullmatch(letters):
             low = letters.lower()
-            if low != word:  # letters are looked up alone, then the mark; new ones are kept without it
-                new = low not in self
-                got = self[low] + (self[mark] if mark else b"")
+            if low != word:  # letters are looked up alone, then the marks; new ones are kept without them
+                got, mark = self.get(low), word[len(letters) :]
+                new = got is None
+                if new:
+                    got = self.keep(low, self.part(low))
+                if mark:
+                    got += self[mark]
                 if new:
                     return got
             else:
                 got = self.part(word)
         else:
             got = self.whole(word)
+        return self.keep(word, got)
+
+    def keep(self, word: str, got: bytes) -> bytes:
         if len(word) <= 64:
             if len(self) >= self.most:
                 self.clear()
